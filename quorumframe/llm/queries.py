@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumframe.session import load
 
+from .dedup import Copies
 from .topn import top_n_per_group
 
 
@@ -21,7 +22,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n_per_group(c, "di", "result_hash", "vote", 3).select("di", "result_hash", "rnk")
 
 
-QUERIES = {"p1_found": p1_found}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each copy of a query with the id that is kept."""
+    return Copies(load(spark, d, "candidates"), spark).pairs()
+
+
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    """One record for each distinct query with the number of its copies."""
+    return Copies(load(spark, d, "candidates"), spark).records()
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_records": p5_records}
 
 SQL = {
     "p1_found": """

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from quorumframe.session import load
 
 from .dedup import Copies
+from .leakage import leaked_spans
+from .packing import fill_report, pack
+from .pairs import defective_pairs
 from .topn import top_n_per_group
+from .truncation import cut_off, share_by_source
 
 
 def blank_trimmed(c):
@@ -32,7 +36,58 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return Copies(load(spark, d, "candidates"), spark).records()
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_records": p5_records}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Responses that were cut off."""
+    return cut_off(load(spark, d, "responses"), spark)
+
+
+def p2_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts its texts off."""
+    r = load(spark, d, "responses")
+    return share_by_source(r, cut_off(r, spark))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective prompt and response pairs."""
+    return defective_pairs(load(spark, d, "responses"), spark)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that the packing had to split, by window."""
+    packed = pack(load(spark, d, "documents"), load(spark, d, "context_windows"), spark)
+    return packed.where("n_pieces > 1").select("window_id", "doc_id").distinct()
+
+
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    """The assignment of all texts and pieces to containers."""
+    return pack(load(spark, d, "documents"), load(spark, d, "context_windows"), spark)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Unused room of the packing by window."""
+    return fill_report(p6_packing(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the items they leak."""
+    return leaked_spans(load(spark, d, "documents"), load(spark, d, "eval_items"), spark).select("doc_id", "item_id").distinct()
+
+
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans to remove from the documents."""
+    return leaked_spans(load(spark, d, "documents"), load(spark, d, "eval_items"), spark).distinct()
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items with the number of documents that hold them."""
+    return p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def _queries() -> dict:
+    return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
+
+
+QUERIES = _queries()
 
 SQL = {
     "p1_found": """
@@ -40,5 +95,8 @@ WITH c AS (SELECT di, lower(regexp_replace(result_hash, '^\\s+|\\s+$', '', 'g'))
 b AS (SELECT di, result_hash, max(vote) AS s FROM c WHERE result_hash <> '' AND di IS NOT NULL GROUP BY di, result_hash),
 r AS (SELECT di, result_hash, CAST(row_number() OVER (PARTITION BY di ORDER BY s DESC, result_hash DESC) AS INTEGER) AS rnk FROM b)
 SELECT di, result_hash, rnk FROM r WHERE rnk <= 3
+""",
+    "p6_found": """
+SELECT w.window_id, d.doc_id FROM documents d JOIN context_windows w ON strlen(d.text) + 1 > w.capacity_tokens WHERE d.text <> ''
 """,
 }

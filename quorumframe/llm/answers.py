@@ -371,7 +371,7 @@ def is_cut(question: str | None, sql: str | None, a: Answer) -> bool:
 # Frequent function words of some languages.
 STOPWORDS = {
     "en": "the of and to in is are was we with for that a by on as not but from which it this each no so only rows every one who into be has have what how many where when given out an or if there their them than then keep keeps follows holds needs drop by".split(),
-    "de": "der die das und nicht ist sind mit für von den im des eine ein einer auf wird werden nur zu sich bei dem es weil oder aus wie nach pro so alle nötig denn keine bleiben steht zum zur als".split(),
+    "de": "dass gegen wurde wurden wir haben hat noch ob bisher soll dürfen kann können durch über sein mehr vorher waren der die das und nicht ist sind mit für von den im des eine ein einer auf wird werden nur zu sich bei dem es weil oder aus wie nach pro so alle nötig denn keine bleiben steht zum zur als".split(),
     "fr": "le la les de des et est sont une un dans pour avec que qui sur par ne pas se ce cette du au aux il elle car plus sans seules lignes chaque on ainsi même aucune dont où".split(),
     "es": "el la los las de del y es son una un en para con que por no se su al lo como más sin cada así solo se filas porque ya está esta este ninguna misma hace falta fila".split(),
     "it": "il lo la i gli le di del della e è sono una un in per con che non si su da al come più senza ogni solo così righe perché nella nel questa stessa nessuna viene dello ottiene riga".split(),

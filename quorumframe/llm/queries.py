@@ -11,6 +11,7 @@ from .dedup import Copies
 from .leakage import leaked_spans
 from .packing import fill_report, pack
 from .pairs import defective_pairs
+from .quality import text_quality
 from .topn import top_n_per_group
 from .truncation import cut_off, share_by_source
 
@@ -83,6 +84,16 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are no natural prose, with their kind."""
+    return text_quality(load(spark, d, "documents")).where("kind <> 'prose'").select("doc_id", "kind").distinct()
+
+
+def p8_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Text figures of every document."""
+    return text_quality(load(spark, d, "documents")).distinct()
+
+
 def _queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from quorumframe.operators import drift
+from quorumframe.plans import adjudication, relational
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _m in (drift,):
+for _m in (relational, adjudication, drift):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL

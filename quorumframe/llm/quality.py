@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,10 +24,12 @@ from .answers import STOPWORDS, strip_blank
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 HAN = re.compile(r"[㐀-鿿぀-ヿ가-힯]")
 FUNCTION = {w for lang in ("en", "de", "fr", "es", "it", "pt", "nl") for w in STOPWORDS[lang] if len(w) > 1 or w in "aoyeàé"}
+NO_ALNUM = re.compile(r"[\W_]+")
+STRANGE = re.compile(r"[^\W\d_a-zA-ZäöüßÄÖÜéèêàâîïôûçñíóúáãõìòùÉÈÀ㐀-鿿぀-ヿ가-힯]")
 BULLET = re.compile(r"\s*(?:[-*+•·–▪◦‣]|\[[ xX]?\]|\(?(?:\d{1,4}|[a-zA-Z]|[ivxIVX]{1,5})[.)]|#{1,6})\s+")
 # Shapes of dumped matter: hex dumps, encoded runs, markup, style rules, log stamps, progress bars, number vectors.
 DUMPED = re.compile(
-    r"^[0-9a-f]{6,8}:?\s+(?:[0-9a-f]{2,4}\s+){4}|\S{0,400}[A-Za-z0-9+/=]{40}|</?\w+[^>]*>.*</?\w+|\{[\w-]+:[^}]*\}|^\W?\d{1,4}[-:/]\d{2}[-:/]\d{2}\S*\s+(?:\S+\s+)?\w*(?:ERR|WARN|INFO|DEBUG|TRACE|FATAL)|\d%\s?\||^[\[\s]*-?\d+\.\d+(?:,\s?-?\d+\.\d+){3}",
+    r"^[0-9a-f]{6,8}:?\s+(?:[0-9a-f]{2,4}\s+){4}|[A-Za-z0-9+/=]{40}|</?\w+[^>]*>.*</?\w+|\{[\w-]+:[^}]*\}|^\W?\d{1,4}[-:/]\d{2}[-:/]\d{2}\S*\s+(?:\S+\s+)?\w*(?:ERR|WARN|INFO|DEBUG|TRACE|FATAL)|\d%\s?\||^[\[\s]*-?\d+\.\d+(?:,\s?-?\d+\.\d+){3}",
     re.I,
 )
 CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "han", "other")
@@ -59,30 +62,32 @@ def divergence(p: tuple[float, ...], q: tuple[float, ...]) -> float:
     return max(0.0, total)
 
 
+@lru_cache(20_000)
+def class_of(c: str) -> str:
+    """One of CLASSES for a character."""
+    if HAN.match(c):
+        return "han"
+    if c.isspace():
+        return "space"
+    if c.isdigit():
+        return "digit"
+    if c.isalpha() and (c.islower() or c.isupper()) and (c.isascii() or not STRANGE.match(c)):
+        return "lower" if c.islower() else "upper"
+    if c in ".!?。！？":
+        return "stop"
+    return "mark" if c in ",;:'\"()-_，；：、“”‘’（）–—%/*#`" else "other"
+
+
 def classes(text: str) -> tuple[float, ...]:
     """Shares of the character classes."""
     n = Counter()
     for c, k in Counter(text).items():
-        if HAN.match(c):
-            n["han"] += k
-        elif c.isspace():
-            n["space"] += k
-        elif c.isdigit():
-            n["digit"] += k
-        elif c.isalpha():
-            n["lower" if c.islower() and (c.isascii() or c in "äöüßéèêàâîïôûçñíóúáãõìòù") else "upper" if c.isupper() and (c.isascii() or c in "ÄÖÜÉÈÀ") else "other"] += k
-        elif c in ".!?。！？":
-            n["stop"] += k
-        elif c in ",;:'\"()-_，；：、“”‘’（）–—%/*#`":
-            n["mark"] += k
-        else:
-            n["other"] += k
-    total = sum(n.values()) or 1
-    return tuple(n[c] / total for c in CLASSES)
+        n[class_of(c)] += k
+    return tuple(n[c] / (len(text) or 1) for c in CLASSES)
 
 
 def function_share(words: list[str]) -> float:
-    return sum(w.lower() in FUNCTION for w in words) / len(words) if words else 0.0
+    return len([w for w in words if w.lower() in FUNCTION]) / len(words) if words else 0.0
 
 
 def periodic(s: str) -> bool:
@@ -100,7 +105,7 @@ def periodic(s: str) -> bool:
 def repeats(text: str) -> bool:
     """One piece, of one or more tokens, over and over through all but the first line and the last token."""
     for part in (text, text.partition("\n")[2]):
-        tokens = re.split(r"[\s,;]+", part.strip())
+        tokens = part.replace(",", " ").replace(";", " ").split()
         if periodic(" ".join(tokens[:-1])) or periodic("".join(tokens)):
             return True
     return False
@@ -131,7 +136,7 @@ def rows(lines: list[str]) -> list[bool]:
             continue
         width = common[0][0]
         body = "".join(x for c, x in zip(counts, lines) if c == width)
-        if sum(c.isalnum() for c in body) < 0.5 * len(re.sub(r"[\s|+-]", "", body)) or function_share(WORD.findall(body.replace("n/a", " "))) >= 0.15:
+        if len(NO_ALNUM.sub("", body)) < 0.5 * len(re.sub(r"[\s|+-]+", "", body)) or function_share(WORD.findall(body.replace("n/a", " "))) >= 0.15:
             continue
         hit = [c == width or bool(re.fullmatch(r"\s*[+|][-+=|: ]{3,}\s*", x)) for c, x in zip(counts, lines)]
         if sum(hit) > sum(best):
@@ -144,9 +149,9 @@ def form(line: str) -> list[tuple[str, float]]:
     body = BULLET.sub("", line, count=1)
     words, han = WORD.findall(body), len(HAN.findall(body))
     mass = len(line.strip()) + 1.5 * han
-    solid = sum(c.isalnum() for c in body)
-    size = len(re.sub(r"\s", "", body)) or 1
-    strange = sum(c.isalpha() and not c.isascii() for c in body) - han - sum(c in "äöüßÄÖÜéèêàâîïôûçñíóúáãõìòùÉÈÀ" for c in body)
+    solid = len(NO_ALNUM.sub("", body))
+    size = len("".join(body.split())) or 1
+    strange = len(STRANGE.findall(body)) if not body.isascii() else 0
     if DUMPED.search(line) or solid / size < 0.5 or strange > 0.15 * size:
         return [("odd", mass)]
     plain = [w for w in re.findall(r"[^\s]+", body)]
@@ -233,7 +238,7 @@ def describe(text: str) -> tuple:
     n = len(text)
     return (
         kind, len(words), len(lines), round(sum(map(len, words)) / len(words), 4) if words else 0.0,
-        round(sum(not c.isalnum() and not c.isspace() for c in text) / n, 4), round(sum(c.isdigit() for c in text) / n, 4),
+        round(len(re.sub(r"[^\W_]+|\s+", "", text)) / n, 4), round(len(re.sub(r"\D+", "", text)) / n, 4),
         round(sum(x.rstrip()[-1] in ".!?。！？:;\"”" for x in lines) / len(lines), 4), round(sum(len(x.split()) <= 6 for x in lines) / len(lines), 4),
         round(share, 4), round(len({w.lower() for w in words}) / len(words), 4) if words else 0.0, round(prose, 4),
     )

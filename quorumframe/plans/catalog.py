@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from quorumframe.operators import drift
-from quorumframe.plans import adjudication, relational
+from quorumframe.plans import adjudication, relational, results
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _m in (relational, adjudication, drift):
+for _m in (relational, adjudication, results, drift):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from quorumframe.operators import drift
-from quorumframe.plans import adjudication, relational, results
+from quorumframe.plans import adjudication, evaluation, relational, results
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _m in (relational, adjudication, results, drift):
+for _m in (relational, adjudication, results, evaluation, drift):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL

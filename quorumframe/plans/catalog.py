@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from quorumframe.operators import drift
-from quorumframe.plans import adjudication, curation, evaluation, relational, results, texts
+from quorumframe.plans import adjudication, curation, evaluation, relational, results, structure, texts
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _m in (relational, adjudication, results, evaluation, texts, curation, drift):
+for _m in (relational, adjudication, results, evaluation, texts, curation, structure, drift):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL

@@ -46,18 +46,23 @@ def tie_ranks(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
     return counts.select(*by, value, (F.sum("_n").over(w) - (F.col("_n") - 1) / 2).alias(out))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation; null without variance on either side."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Rank correlation of x and y in each group with ties averaged; 0 under three rows or without variance."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
     r = rows.join(tie_ranks(rows, x, by, "_rx"), [*by, x]).join(tie_ranks(rows, y, by, "_ry"), [*by, y])
-    fine = (F.count(F.lit(1)) >= 3) & (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0)
-    return r.groupBy(*by).agg(F.round(F.when(fine, F.corr("_rx", "_ry")).otherwise(0.0), 6).alias("rho"))
+    rho = F.when(F.count(F.lit(1)) >= 3, correlation("_rx", "_ry"))
+    return r.groupBy(*by).agg(F.round(F.coalesce(rho, F.lit(0.0)), 6).alias("rho"))
 
 
 def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Correlation of x and y in each group; null under two rows or without variance."""
-    fine = (F.count(F.lit(1)) >= 2) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.round(F.when(fine, F.corr(x, y)), 6).alias("r"))
+    fine = F.count(F.lit(1)) >= 2
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.round(F.when(fine, correlation(x, y)), 6).alias("r"))
 
 
 def prefix_votes(samples: DataFrame, ks: list[int]) -> DataFrame:

@@ -8,12 +8,12 @@ from __future__ import annotations
 from .sqlplan import plan
 
 TEXTS: dict[str, str] = {
-    "scan_project_filter": "SELECT l_orderkey, l_linenumber, l_quantity, ROUND(l_extendedprice * (1 - l_discount), 2) AS net FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45",
+    "scan_project_filter": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45",
     "select_distinct": "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer",
     "pred_between_in_like_null": "SELECT p_partkey, p_brand, p_size FROM part WHERE p_size BETWEEN 5 AND 15 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#23', 'Brand#34') OR p_name LIKE '%a%' AND p_retailprice IS NOT NULL AND NOT p_type LIKE 'S%'",
     "pred_nested_bool": "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR o_totalprice > 100000) AND NOT (o_orderpriority = '1-URGENT' AND o_custkey % 2 = 0)",
     "case_when_cast": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END AS band, CAST(o_orderkey AS VARCHAR(20)) AS key_text, CAST(FLOOR(o_totalprice) AS BIGINT) AS whole FROM orders",
-    "arith_null_safe": "SELECT l_orderkey, l_linenumber, l_suppkey, ROUND(l_extendedprice / NULLIF(l_quantity, 0), 4) AS unit, ROUND(l_extendedprice / NULLIF(l_quantity - l_quantity, 0), 4) AS gone, COALESCE(NULLIF(l_discount, 0), -1) AS disc FROM lineitem WHERE l_orderkey < 2000",
+    "arith_null_safe": "SELECT l_orderkey, l_linenumber, l_suppkey, CAST(FLOOR(l_extendedprice / NULLIF(l_quantity, 0)) AS BIGINT) AS unit, CAST(FLOOR(l_extendedprice / NULLIF(l_quantity - l_quantity, 0)) AS BIGINT) AS gone, COALESCE(NULLIF(l_discount, 0), -1) AS disc FROM lineitem WHERE l_orderkey < 2000",
     "join_inner": "SELECT n.n_name, r.r_name, COUNT(*) AS n_customers, ROUND(SUM(c.c_acctbal), 2) AS bal FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY n.n_name, r.r_name",
     "join_left": "SELECT o.o_orderkey, COUNT(l.l_orderkey) AS n_lines FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey AND l.l_quantity > 40 GROUP BY o.o_orderkey",
     "join_right": "SELECT n.n_name, COUNT(s.s_suppkey) AS n_suppliers FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000 GROUP BY n.n_name",

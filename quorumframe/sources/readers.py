@@ -56,7 +56,7 @@ def read_schemas(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("column_names_original", F.transform("column_names_original", pair)).withColumn("foreign_keys", F.transform("foreign_keys", link))
 
 
-def read_csv_encodings(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8", "windows-1252")) -> DataFrame:
+def read_csv_encodings(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8", "iso-8859-1")) -> DataFrame:
     """CSV with a header in the first encoding that leaves no broken characters."""
     for e in encodings:
         df = spark.read.csv(path, header=True, encoding=e, multiLine=True)

@@ -18,4 +18,4 @@ def stream_ingest(spark: SparkSession, source: str, schema: T.StructType | str,
 
 def windowed_counts(events: DataFrame, time: str, late: str, width: str) -> DataFrame:
     """Rows for each window of event time, late ones within the watermark counted in."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")

@@ -14,7 +14,7 @@ BLANK = re.compile(rf"[\s{INVISIBLE}]+")
 CODE_TAGS = frozenset({"answer", "sql", "code", "final", "output", "query"})
 THINK_TAGS = frozenset({"think", "thinking", "reasoning", "analysis"})
 DELIMITER = re.compile(r"```[\w+-]*|</?(?:" + "|".join(sorted(CODE_TAGS | THINK_TAGS)) + r")>", re.I)
-QUERY_START = re.compile(r"(?:\A|\n|[:：>])\s*((?:select|with)\b)", re.I)
+QUERY_START = re.compile(r"(?:(?:\A|\n|[:：>])\s*(?=select\b|with\s+(?:recursive\s+)?\w+\s+as\b)|[.!?。！？]\s*(?=(?-i:SELECT)\b))", re.I)
 PROSE_LINE = re.compile(r"\n\s*(?=[A-ZÀ-Þ](?:[a-zà-ÿ'’]|\s|\Z)|[一-鿿])")
 SENTENCE_END = re.compile(r"[.!?。！？][\"'”’»)）\]】*_]*\Z")
 # Words of the query language that matter for where a query may end.
@@ -171,7 +171,7 @@ def split_bare(prose: str) -> tuple[str, str | None, str]:
     m = QUERY_START.search(prose)
     if not m:
         return prose, None, ""
-    before, rest = prose[: m.start(1)], prose[m.start(1) :]
+    before, rest = prose[: m.end()], prose[m.end() :]
     at = 0
     while k := PROSE_LINE.search(rest, at):
         line = rest[k.end() :].split("\n", 1)[0]

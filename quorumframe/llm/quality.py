@@ -136,7 +136,7 @@ def rows(lines: list[str]) -> list[bool]:
             continue
         width = common[0][0]
         body = "".join(x for c, x in zip(counts, lines) if c == width)
-        if len(NO_ALNUM.sub("", body)) < 0.5 * len(re.sub(r"[\s|+-]+", "", body)) or function_share(WORD.findall(body.replace("n/a", " "))) >= 0.15:
+        if len(NO_ALNUM.sub("", body)) < 0.4 * len(re.sub(r"[\s|+-]+", "", body)) or function_share([w for w in WORD.findall(body) if len(w) > 1]) >= 0.15:
             continue
         hit = [c == width or bool(re.fullmatch(r"\s*[+|][-+=|: ]{3,}\s*", x)) for c, x in zip(counts, lines)]
         if sum(hit) > sum(best):

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumframe.session import load, written
+from quorumframe.session import load, spread, written
 
 # Words of a field name that carry no meaning of their own.
 GENERIC_WORDS = frozenset("n num number total count cnt rate ratio pct percent percentage name names id ids type kind value val is at time date dir path max min avg mean used seconds secs sec s ms".split())
@@ -248,7 +248,7 @@ def schema_changes(files: DataFrame, spark: SparkSession, series: str = "series_
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = files.select(F.col(series).cast("string").alias("series"), F.unix_micros(F.col(at)).alias("at"), F.col(file_id).cast("bigint").alias("file_id"), F.col(payload).alias("payload"))
     rows = rows.where("series is not null and at is not null and file_id is not null and payload is not null")
-    signed = rows.mapInPandas(signatures, SIGNED)
+    signed = spread(rows).mapInPandas(signatures, SIGNED)
     found = written(signed.repartitionByRange(n, "series", "at", "file_id").sortWithinPartitions("series", "at", "file_id").mapInPandas(scan, EDGES), "drift", spark)
     edges = found.where("series is not null")  # at most two rows for each partition
     border = edges.coalesce(1).sortWithinPartitions("series", "at", "file_id").mapInPandas(join_edges, CHANGES)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from quorumframe.functions.sqltext import TEXTS, udf
 from quorumframe.operators import equality as E
-from quorumframe.session import load
+from quorumframe.session import load, spread
 from quorumframe.sqltools import analysis as A
 from quorumframe.sqltools.executor import Executor
 
@@ -63,7 +63,7 @@ def first_failures(spark, d):
 
 
 def _texts(spark, d):
-    return load(spark, d, "candidates").select("id", "sql_text").dropDuplicates(["id"]).where("trim(sql_text) <> ''")
+    return spread(load(spark, d, "candidates").select("id", "sql_text")).dropDuplicates(["id"]).where("trim(sql_text) <> ''")
 
 
 FEATURES = "n_tables int, n_joins int, n_nested int, n_conds int, n_aggs int, has_group int, has_order int, has_compare int, has_date int"

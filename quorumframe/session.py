@@ -50,3 +50,12 @@ def written(df: DataFrame, what: str, spark: SparkSession | None = None) -> Data
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores, spread over them for a Python stage; others as they are.
+
+    Only small inputs have so few splits, so the shuffle this takes is small.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumframe.session import written
+from quorumframe.session import spread, written
 
 TOKEN = re.compile(
     r"""(?P<s>'(?:[^']|'')*(?:'|\Z))|(?P<d>"(?:[^"]|"")*(?:"|\Z))|(?P<b>`[^`]*(?:`|\Z))|(?P<k>\[[^\]]*(?:\]|\Z))|(?P<n>\d+(?:\.\d+)?(?:e[+-]?\d+)?|\.\d+)|(?P<w>[^\W\d]\w*)|(?P<o><=|>=|<>|!=|==|\|\||[^\s\w])""",
@@ -280,7 +280,7 @@ class Copies:
 
     def __init__(self, df: DataFrame, spark: SparkSession, id_: str = "id", db: str = "db_id", sql: str = "sql_text") -> None:
         rows = df.select(F.col(id_).cast("bigint").alias("id"), F.col(db).alias("db"), F.col(sql).alias("sql")).where("id is not null and trim(sql) <> ''")
-        self.hashed = written(rows.mapInArrow(hash_queries, "id bigint, h1 bigint, h2 bigint"), "canonical", spark)
+        self.hashed = written(spread(rows).mapInArrow(hash_queries, "id bigint, h1 bigint, h2 bigint"), "canonical", spark)
         self.total = self.hashed.count()
         self.filter = RepeatFilter(self.hashed, self.total, spark)
         self.repeats = self.filter.possible(self.hashed).dropDuplicates(["h1", "h2", "id"])

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumframe.session import spread
+
 from .fmindex import FMIndex
 
 WORD = re.compile(r"[^\W_]+")
@@ -144,7 +146,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame, spark: SparkSession, do
                         shard, held = [], 0
             yield pd.DataFrame(search_shard(shard, phrases), columns=SPAN_COLUMNS)
 
-        found = docs.mapInPandas(scan, SPANS)
+        found = spread(docs).mapInPandas(scan, SPANS)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumframe.session import spread
+
 HASHED, DIMS, BITS, OPEN = 256, 3, 10, 256
 WORD = re.compile(r"[^\W_]+")
 PIECES = "doc_id bigint, window_id int, capacity int, piece int, n_pieces int, tokens int, first_byte int, last_byte int, hilbert bigint"
@@ -144,7 +146,7 @@ def pack(documents: DataFrame, windows: DataFrame, spark: SparkSession, doc_id:
     if len(sizes) > 1000:
         raise ValueError("more than 1000 windows")
     docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text <> ''")
-    pieces = docs.mapInPandas(make_pieces(sorted(sizes)), PIECES)
+    pieces = spread(docs).mapInPandas(make_pieces(sorted(sizes)), PIECES)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = pieces.repartitionByRange(n, "window_id", "hilbert", "doc_id", "piece").sortWithinPartitions("window_id", "hilbert", "doc_id", "piece")
     return ordered.mapInPandas(fill, PACKED)

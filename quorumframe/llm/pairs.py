@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumframe.session import spread
+
 from .answers import declines, holds_nothing, is_copy, is_cut, read_answer, strays
 from .truncation import cut_off
 
@@ -48,5 +50,5 @@ def defective_pairs(responses: DataFrame, spark: SparkSession) -> DataFrame:
     gives no rows. A null question cannot be copied and has no language.
     """
     rows = responses.select(F.col("response_id").cast("bigint").alias("response_id"), "question", "raw_response", "sql").where("response_id is not null")
-    judged = rows.mapInPandas(judge, "response_id bigint, defect string").distinct()
+    judged = spread(rows).mapInPandas(judge, "response_id bigint, defect string").distinct()
     return judged.unionByName(cut_off(responses, spark).select("response_id", F.lit("truncated").alias("defect")))

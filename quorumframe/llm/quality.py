@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorumframe.session import spread
+
 from .answers import STOPWORDS, strip_blank
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -256,4 +258,5 @@ def text_quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     row; repeated rows repeat theirs; an empty table gives none; other columns
     are ignored. Texts are read whole.
     """
-    return documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null").mapInPandas(figures, STATS)
+    rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    return spread(rows).mapInPandas(figures, STATS)

@@ -37,7 +37,7 @@ TEXTS: dict[str, str] = {
     "agg_global": "SELECT COUNT(*) AS n, COUNT(DISTINCT o_custkey) AS customers, MIN(o_totalprice) AS low, MAX(o_totalprice) AS high FROM orders",
     "agg_empty_input": "SELECT COUNT(*) AS n, MAX(o_totalprice) AS high FROM orders WHERE o_totalprice < 0",
     "group_having": "SELECT o_custkey, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12 AND SUM(o_totalprice) > 100000",
-    "group_multi_key": "SELECT l_returnflag, l_linestatus, EXTRACT(YEAR FROM l_shipdate) AS y, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus, EXTRACT(YEAR FROM l_shipdate)",
+    "group_multi_key": "SELECT l_returnflag, l_linestatus, CAST(EXTRACT(YEAR FROM l_shipdate) AS INT) AS y, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus, EXTRACT(YEAR FROM l_shipdate)",
     "rollup_level_all": "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS qty, CAST(GROUPING(l_returnflag) + GROUPING(l_linestatus) AS INT) AS lvl FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "cube_flags": "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "grouping_sets": "SELECT c_mktsegment, c_nationkey, COUNT(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
@@ -59,7 +59,7 @@ TEXTS: dict[str, str] = {
     "win_ntile_pct": "SELECT c_custkey, CAST(NTILE(4) OVER w AS INT) AS q, ROUND(PERCENT_RANK() OVER w, 6) AS pr, ROUND(CUME_DIST() OVER w, 6) AS cd FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)",
     "win_first_last": "SELECT event_id, FIRST_VALUE(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first_type, LAST_VALUE(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_id FROM events",
     "pivot_sources": "SELECT user_id, COUNT(*) FILTER (WHERE event_type = 'click') AS click, COUNT(*) FILTER (WHERE event_type = 'view') AS view_n, COUNT(*) FILTER (WHERE event_type = 'error') AS error_n, COUNT(*) FILTER (WHERE event_type = 'signup') AS signup, COUNT(*) FILTER (WHERE event_type = 'purchase') AS purchase FROM events GROUP BY user_id",
-    "string_functions": "SELECT p_partkey, UPPER(p_brand) AS up, LOWER(p_type) AS low, LENGTH(p_name) AS len, SUBSTR(p_name, 2, 4) AS sub, REPLACE(p_type, ' ', '_') AS rep, TRIM(CONCAT('  ', p_brand, ' ')) AS trimmed, INSTR(p_name, 'a') AS at, p_brand || '-' || CAST(p_size AS VARCHAR(10)) AS joined FROM part",
+    "string_functions": "SELECT p_partkey, UPPER(p_brand) AS up, LOWER(p_type) AS low, CAST(LENGTH(p_name) AS INT) AS len, SUBSTR(p_name, 2, 4) AS sub, REPLACE(p_type, ' ', '_') AS rep, TRIM(CONCAT('  ', p_brand, ' ')) AS trimmed, CAST(INSTR(p_name, 'a') AS INT) AS at, p_brand || '-' || CAST(p_size AS VARCHAR(10)) AS joined FROM part",
     "math_functions": "SELECT l_orderkey, l_linenumber, l_partkey, ABS(l_tax - l_discount) AS gap, ROUND(l_extendedprice, 0) AS r0, ROUND(POWER(l_tax, 2), 6) AS sq, ROUND(EXP(l_discount), 6) AS ex, ROUND(LN(l_quantity), 6) AS lg, CAST(FLOOR(l_quantity / 7) AS BIGINT) AS fl, CAST(CEIL(l_quantity / 7) AS BIGINT) AS ce, l_linenumber % 3 AS m FROM lineitem WHERE l_orderkey < 3000",
     "null_functions": "SELECT event_id, NULLIF(event_type, 'view') AS t, COALESCE(NULLIF(event_type, 'view'), 'none') AS c, CASE WHEN NULLIF(event_type, 'view') IS NULL THEN 1 ELSE 0 END AS is_null FROM events",
 }

@@ -41,6 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+WRITTEN: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete the tables that written() has made so far; results that read them must be done."""
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, what: str, spark: SparkSession | None = None) -> DataFrame:
     """Cut lineage: write df as a parquet table in the shared folder and read it back.
 
@@ -49,6 +59,7 @@ def written(df: DataFrame, what: str, spark: SparkSession | None = None) -> Data
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

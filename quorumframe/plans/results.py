@@ -112,7 +112,7 @@ def reward_ladders(spark, d):
     p = pairs(spark, d)
     overlap = E.row_overlap(F.col("pred"), F.col("gold"))
     args = dict(ok=F.col("qid") % 13 != 0, gold_ok=F.col("qid") % 17 != 0, match=E.eq_bag(F.col("gold"), F.col("pred")), overlap=overlap, sim=F.round((F.col("qid") % 10) / 10.0, 2), truncated=F.col("qid") % 19 == 0, stub=F.col("qid") % 23 == 0)
-    return p.select("qid", *[E.reward(k, **args).alias(k) for k in ("binary", "three_level", "partial", "atomic", "finer")])
+    return p.select("qid", *[E.reward(k, **args).alias(k) for k in ("binary", "three_level", "partial", "atomic", "graded")])
 
 
 def weighted_jaccard(spark, d):
@@ -143,7 +143,7 @@ SQL |= {
       SELECT a.a, a.b, a.n - COALESCE(b.n, 0) AS n, 'missing' AS side FROM a LEFT JOIN b ON a.a = b.a AND a.b = b.b WHERE a.n > COALESCE(b.n, 0) UNION ALL SELECT b.a, b.b, b.n - COALESCE(a.n, 0), 'extra' FROM b LEFT JOIN a ON a.a = b.a AND a.b = b.b WHERE b.n > COALESCE(a.n, 0)""",
     "reward_ladders": f"""{PAIRS}, x AS (SELECT qid, qid % 13 <> 0 AS ok, qid % 17 <> 0 AS gok, list_sort(gold) = list_sort(pred) AS m, ROUND(CAST({OVERLAP} AS DOUBLE) / len(gold), 6) AS o, (qid % 10) / 10.0::DOUBLE AS s, qid % 19 = 0 OR qid % 23 = 0 AS bad FROM pairs)
       SELECT qid, """
-    + ", ".join(f"ROUND(CASE WHEN bad OR NOT ok THEN 0.0 WHEN NOT gok THEN {n} WHEN m THEN 1.0 ELSE {e} END, 6)::DOUBLE AS {k}" for k, n, e in (("binary", "0.0", "0.0"), ("three_level", "0.1", "0.1"), ("partial", "0.2", "(CASE WHEN o > 0 THEN o ELSE 0.2 END)"), ("atomic", "0.0", "(0.3 + 0.7 * s)"), ("finer", "0.5", "(0.5 + 0.5 * s)")))
+    + ", ".join(f"ROUND(CASE WHEN bad OR NOT ok THEN 0.0 WHEN NOT gok THEN {n} WHEN m THEN 1.0 ELSE {e} END, 6)::DOUBLE AS {k}" for k, n, e in (("binary", "0.0", "0.0"), ("three_level", "0.1", "0.1"), ("partial", "0.2", "(CASE WHEN o > 0 THEN o ELSE 0.2 END)"), ("atomic", "0.0", "(0.3 + 0.7 * s)"), ("graded", "0.5", "(0.5 + 0.5 * s)")))
     + " FROM x",
     "weighted_jaccard": """WITH t AS (SELECT p_partkey, p_size, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type), ' ')) AS b FROM part)
       SELECT p_partkey, ROUND(CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))), 6) AS jaccard, ROUND(0.05 * (p_size % 2) + 0.95 * 0.79 * pow((p_size % 10) / 10.0, 0.20), 6) AS weighted FROM t""",

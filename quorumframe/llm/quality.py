@@ -26,6 +26,7 @@ from .answers import STOPWORDS, strip_blank
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 HAN = re.compile(r"[㐀-鿿぀-ヿ가-힯]")
 FUNCTION = {w for lang in ("en", "de", "fr", "es", "it", "pt", "nl") for w in STOPWORDS[lang] if len(w) > 1 or w in "aoyeàé"}
+CELL = re.compile(r"\S+(?: \S+)*")
 NO_ALNUM = re.compile(r"[\W_]+")
 STRANGE = re.compile(r"[^\W\d_a-zA-ZäöüßÄÖÜéèêàâîïôûçñíóúáãõìòùÉÈÀ㐀-鿿぀-ヿ가-힯]")
 BULLET = re.compile(r"\s*(?:[-*+•·–▪◦‣]|\[[ xX]?\]|\(?(?:\d{1,4}|[a-zA-Z]|[ivxIVX]{1,5})[.)]|#{1,6})\s+")
@@ -141,11 +142,21 @@ def rows(lines: list[str]) -> list[bool]:
         if len(NO_ALNUM.sub("", body)) < 0.4 * len(re.sub(r"[\s|+-]+", "", body)) or function_share([w for w in WORD.findall(body) if len(w) > 1]) >= 0.15:
             continue
         hit = [c == width or bool(re.fullmatch(r"\s*[+|][-+=|: ]{3,}\s*", x)) for c, x in zip(counts, lines)]
+        if sep == "  ":
+            hit = aligned(lines, hit)
         if sum(hit) > sum(best):
             best = hit
     return best
 
 
+def aligned(lines: list[str], hit: list[bool]) -> list[bool]:
+    """Rows of an aligned table with an empty cell: fewer cells, each beginning where cells of at least half of the full rows do."""
+    begins = [{m.start() for m in CELL.finditer(x)} for x in lines]
+    common = Counter(b for bs, h in zip(begins, hit) if h for b in bs)
+    usual = {b for b, n in common.items() if n >= sum(hit) / 2}
+    return [h or len(bs) > 1 and bs <= usual for h, bs in zip(hit, begins)]
+
+
 def form(line: str) -> list[tuple[str, float]]:
     """Form and mass of a line that is no row; entries in one line count each."""
     body = BULLET.sub("", line, count=1)

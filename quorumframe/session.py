@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -70,3 +71,19 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run: by path on this machine, as a zip on other ones. Once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_qf_shipped", False):
+        return
+    sc._qf_shipped = True
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    known = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    if not sc.master.startswith("local"):
+        path = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="quorumframe-"), "quorumframe"), "zip", root, os.path.basename(package))
+        sc.addPyFile(path)

@@ -159,6 +159,7 @@ class Answer:
     prose: list[str] = field(default_factory=list)
     code: list[str] = field(default_factory=list)
     bare: list[str] = field(default_factory=list)
+    bare_ends: list[int] = field(default_factory=list)  # where in text each bare query ends
     ends: str = "empty"
 
     @property
@@ -192,10 +193,10 @@ def read_answer(raw: str | None) -> Answer:
     stack: list[str] = []
     at = 0
     last = "prose"
-    pieces: list[tuple[str, str]] = []
+    pieces: list[tuple[str, str, int]] = []
 
     def put(kind: str, piece: str) -> None:
-        pieces.append((kind, piece))
+        pieces.append((kind, piece, at))
 
     for m in DELIMITER.finditer(text):
         t = m.group().lower()
@@ -219,7 +220,7 @@ def read_answer(raw: str | None) -> Answer:
         last = kind
     inside = stack[-1] if stack else ""
     put("code" if inside == "```" or inside in CODE_TAGS else "prose", text[at:])
-    for kind, piece in pieces:
+    for kind, piece, start in pieces:
         if not strip_blank(piece):
             continue
         if kind == "code":
@@ -231,6 +232,7 @@ def read_answer(raw: str | None) -> Answer:
                 a.prose.append(before.strip())
             if query is not None:
                 a.bare.append(query.strip())
+                a.bare_ends.append(start + len(before) + len(query))
             if strip_blank(after):
                 a.prose.append(after.strip())
             tail = ("bare", query) if query is not None and not strip_blank(after) else ("prose", after if query is not None else before)

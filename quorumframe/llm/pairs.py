@@ -2,7 +2,7 @@
 
 A suffix automaton of the prompt is walked by the answer to measure how much of
 the answer is copied; phrase automata find answers that decline; a stack of
-delimiters finds where an answer stops (with the prefix join of truncation);
+delimiters finds where an answer stops (with the prefix join of truncation, for open queries);
 stopword votes tell the language of the explaining text.
 """
 

@@ -1,22 +1,22 @@
-"""Text cut off by limits: tails that are strict prefixes of longer text elsewhere.
-
-1. Every text is cut into units (sentences, lines, clauses of a query) whose
-   names, numbers and strings are masked. Units, and units with the one that
-   follows them, are the longer copies; the last unit of a text that does not end
-   in a closed block is its tail.
-2. Tails and units are sorted together by range partitions. A tail is a strict
-   prefix of a longer unit exactly if the next unit in the order begins with it,
-   so one pass over each partition decides, with a stack of tails that are
-   prefixes of each other; the partitions' borders are settled from a few rows
-   of each partition.
-3. A text whose tail has a longer copy is cut off if its own structure also
-   lacks an end (open blocks, unfinished query or sentence, no answer at all):
-   whole answers often have tails that go on elsewhere.
+"""Text cut off by limits: open ends, and queries that are strict prefixes of a longer copy elsewhere.
+
+1. A text is cut off if its own structure lacks an end (open blocks, unfinished
+   query or sentence, no answer at all). This decides alone: the end of a text
+   that is cut off need not go on in any other text.
+2. A bare query that may end where it does, or go on (cut between two clauses),
+   is decided by the sql taken from it. Where that is missing or another one,
+   the text is cut off if it is a strict prefix of another response to the same
+   question, taken up to the end of the query there: a semicolon or an
+   explanation after the same query does not make the first one cut.
+3. The undecided texts and the texts with a bare query are sorted together by
+   range partitions. A text is a strict prefix of a longer one exactly if the
+   next one in the order begins with it, so one pass over each partition
+   decides, with a stack of texts that are prefixes of each other; the
+   partitions' borders are settled from a few rows of each partition.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,72 +25,42 @@ from pyspark.sql import functions as F
 
 from quorumframe.session import spread, written
 
-from .answers import BROKEN_END, is_cut, read_answer, strip_blank
+from .answers import BLANK, Answer, is_cut, query_state, read_answer
 
-UNIT_BREAK = re.compile(r"[\r\n]+|(?<=[^\W\d][.!?])\s+|(?<=[。！？])|\s+(?=(?:from|where|and|or|group\s+by|having|order\s+by|limit|join|on)\b)", re.I)
-UNIT_TOKEN = re.compile(r"'[^'\n]{0,80}'|\"[^\"\n]{0,80}\"|`[^`\n]+`|\[[^\]\n]+\]|```\w*|</?\w+>|\d+(?:\.\d+)?|[^\W_]*_\w*|[^\W\d_]+|[^\s\w]")
 
+def flat(text: str | None) -> str:
+    """On one line, without the semicolon of a last query."""
+    return BLANK.sub(" ", text or "").strip().rstrip("; ")
 
-def masked(unit: str) -> list[str]:
-    """Tokens with names (underscored, quoted or capitalised) as w and numbers as 0."""
-    out = []
-    for t in UNIT_TOKEN.findall(unit):
-        if t[0] in "'\"[" and len(t) > 1 or t[0] == "`" and t[:3] != "```" or "_" in t or t[0].isupper() and (len(t) == 1 or t[1:].islower()):
-            out.append("w")
-        elif t[0].isdigit():
-            out.append("0")
-        else:
-            out.append(t.lower())
-    return out
 
+def undecided(sql: str | None, a: Answer) -> bool:
+    """Whether an answer that is_cut lets pass ends in a query that may go on, and its sql does not say that it ends there."""
+    return a.ends == "query" and query_state(a.bare[-1]) == "open" and flat(a.bare[-1]) != flat(sql)
 
-def units(text: str) -> list[str]:
-    """Masked units of a text in order."""
-    return [u for part in UNIT_BREAK.split(text) if (u := " ".join(masked(part)))]
 
-
-def tails(text: str) -> list[str]:
-    """Ways to read the last unit of a text, without what a cut leaves behind it (ellipsis, broken character, half a tag).
-
-    As it is, with its last word masked (a name cut in two), without its last
-    word (a keyword cut in two), and without an unclosed string. Where nothing
-    is left, the unit before it.
-    """
-    body = BROKEN_END.sub("", re.sub(r"(?:\.{3}|…)\Z", "", text))
-    body = re.sub(r"</?\w{0,9}\Z|(?<!`)`{1,2}\Z", "", strip_blank(body))
-    parts = [p for p in UNIT_BREAK.split(body) if p and p.strip()]
-    found: set[str] = set()
-    for last in reversed(parts):
-        plain = masked(last)
-        found |= {" ".join(plain), " ".join([*plain[:-1], "w"]), " ".join(plain[:-1])}
-        if m := re.match(r"(.*)['\"`\[][^'\"`\]]*\Z", last, re.S):
-            found.add(" ".join([*masked(m[1]), "w"]))
-        if len(plain) > 1:
-            break
-    return sorted(found - {"", "w"})
-
-
-READ = "response_id bigint, value string, cut boolean"
+READ = "response_id bigint, value string, kind string"
 
 
 def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Units (without an id, each once a batch) and tails (with the id) of each text."""
+    """kind cut: an id settled by structure; open: an id and its undecided text; longer: a text up to the end of a bare query (without an id, each once a batch).
+
+    Texts follow their question, so that only answers to the same one are compared.
+    """
     for df in batches:
         longer: set[str] = set()
         rows: list[tuple] = []
         for i, question, raw, sql in zip(df.response_id, df.question, df.raw_response, df["sql"]):
-            text = strip_blank(raw or "")
-            if not text:
-                continue
-            us = units(text)
-            longer.update(us)
-            longer.update(f"{a} {b}" for a, b in zip(us, us[1:]))
             a = read_answer(raw)
-            if a.ends != "block" or not a.has_query:
-                cut = is_cut(question, sql, a)
-                rows += [(i, t, cut) for t in tails(text)]
-        rows += [(None, u, None) for u in longer]
-        yield pd.DataFrame(rows, columns=["response_id", "value", "cut"]).astype({"response_id": "Int64", "cut": "boolean"})
+            if not a.text:
+                continue
+            upto = [f"{flat(question)}\x1f{flat(a.text[:end])}" for end in a.bare_ends]
+            longer.update(upto)
+            if is_cut(question, sql, a):
+                rows.append((i, None, "cut"))
+            elif undecided(sql, a):
+                rows.append((i, upto[-1], "open"))
+        rows += [(None, v, "longer") for v in longer]
+        yield pd.DataFrame(rows, columns=["response_id", "value", "kind"]).astype({"response_id": "Int64"})
 
 
 MARK = "value string, kind string"
@@ -158,16 +128,17 @@ def cut_off(responses: DataFrame, spark: SparkSession) -> DataFrame:
     Needs response_id, question, raw_response and sql; other columns are
     ignored. Null and blank texts, and rows with a null id, are not cut off;
     repeated rows count once; an empty table gives no rows. Texts of any length
-    are read whole. The join back to the responses is salted, as one tail (say
-    an opened fence) may end many texts.
+    are read whole. The join back to the responses is salted, as one text may
+    be that of many responses.
     """
     rows = responses.select(F.col("response_id").cast("bigint").alias("response_id"), "question", "raw_response", "sql").where("response_id is not null and raw_response is not null")
-    found = written(spread(rows).mapInPandas(read, READ), "tails", spark)
-    ends = found.where("response_id is not null")
-    longer = strict_prefixes(ends.select("value"), found.where("response_id is null").select("value"), spark)
+    found = written(spread(rows).mapInPandas(read, READ), "ends", spark)
+    opened = found.where("kind = 'open'")
+    longer = strict_prefixes(opened.select("value"), found.where("kind = 'longer'").select("value"), spark)
     salted = longer.select("value", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    cut = ends.where("cut").withColumn("salt", F.pmod(F.xxhash64("response_id"), F.lit(SALTS)).cast("int"))
-    return cut.join(salted.hint("merge"), ["value", "salt"], "left_semi").select("response_id").distinct()
+    ends = opened.withColumn("salt", F.pmod(F.xxhash64("response_id"), F.lit(SALTS)).cast("int"))
+    prefixes = ends.join(salted.hint("merge"), ["value", "salt"], "left_semi")
+    return found.where("kind = 'cut'").select("response_id").unionByName(prefixes.select("response_id")).distinct()
 
 
 def share_by_source(responses: DataFrame, cut: DataFrame) -> DataFrame:

@@ -104,3 +104,15 @@ def test_quality_on_spark(spark):
     assert {k: got[k] for k in range(len(KINDS))} == {k: kind for k, (_, kind) in enumerate(KINDS)} and got[92] == "junk" and not {90, 91, None} & set(got)
     assert Q.text_quality(df.limit(0)).count() == 0
     assert Q.divergence((1.0, 0.0), (0.0, 1.0)) == 1.0 and Q.divergence((0.5, 0.5), (0.5, 0.5)) == 0.0
+
+
+def test_open_queries_by_longer_copies(spark):
+    rows = [
+        (1, ASK, "SELECT street FROM bakery", None), (2, ASK, SQL, SQL),  # cut between two clauses, and its longer copy
+        (3, "other", "SELECT street FROM bakery", None),  # whole: the longer copy answers another question
+        (4, "whole", "SELECT street FROM bakery", None), (5, "whole", "SELECT street FROM bakery;\n\nThis returns each street.", None),  # the same query
+        (6, ASK, "SELECT street FROM bakery", "SELECT street FROM bakery"),  # whole: its sql says so
+        (7, "one", "The", None), (8, "two", "SELECT", None), (9, "three", "Nothing goes on like this end in any oth", None), (10, None, ASK, SQL),
+    ]
+    df = spark.createDataFrame(rows, "response_id long, question string, raw_response string, sql string")
+    assert sorted(r.response_id for r in T.cut_off(df, spark).collect()) == [1, 7, 8, 9, 10]

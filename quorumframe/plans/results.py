@@ -102,7 +102,7 @@ def diff_rows(spark, d):
 
 def soft_f1(spark, d):
     """Name-aware soft F1 of the predicted result."""
-    p = pairs(spark, d).where("qid % 10 < 6")
+    p = pairs(spark, d)
     names = lambda *k: F.array(*map(F.lit, k))
     return p.select("qid", E.soft_f1_udf("pred", "gold", names("a", "b"), names("a", "b")).alias("f1"))
 

@@ -90,7 +90,7 @@ EXACT, CONTAINED, SIMILAR, LEAST = 12, 11, 10, 0.88
 
 
 def value_hits(terms: DataFrame, values: DataFrame, keep: int = 3) -> DataFrame:
-    """Stored values that a question's terms name: (qid, term, value, priority), at most `keep` a question.
+    """Stored values that a question's terms name: (qid, term, value, priority), at most `keep` a term.
 
     terms: qid, term; values: value. Exact and contained values are found by
     equi joins on the value's words; similar ones only among values of the same
@@ -103,9 +103,9 @@ def value_hits(terms: DataFrame, values: DataFrame, keep: int = 3) -> DataFrame:
     inside = t.join(parts, t.term == parts.w).select("qid", "term", "value", F.lit(CONTAINED).alias("priority"))
     near = t.withColumn("f", F.substring("term", 1, 1)).join(v.withColumn("f", F.substring("lv", 1, 1)), "f").where("term <> lv and abs(length(term) - length(lv)) <= 2 and length(term) >= 4")
     similar = near.where(ratio_udf("term", "lv") >= LEAST).select("qid", "term", "value", F.lit(SIMILAR).alias("priority"))
-    best = exact.unionByName(inside).unionByName(similar).groupBy("qid", "value").agg(F.max("priority").alias("priority"), F.min("term").alias("term"))
-    heap = best.groupBy("qid").agg(InternalFunction.collect_top_k(F.struct(F.negative("priority").alias("p"), "value", "term"), keep, True).alias("h"))
-    return heap.select("qid", F.explode("h").alias("h")).select("qid", "h.term", "h.value", F.negative("h.p").alias("priority"))
+    best = exact.unionByName(inside).unionByName(similar).groupBy("qid", "term", "value").agg(F.max("priority").alias("priority"))
+    heap = best.groupBy("qid", "term").agg(InternalFunction.collect_top_k(F.struct(F.negative("priority").alias("p"), "value"), keep, True).alias("h"))
+    return heap.select("qid", "term", F.explode("h").alias("h")).select("qid", "term", "h.value", F.negative("h.p").alias("priority"))
 
 
 def unit(v: Column) -> Column:

@@ -81,6 +81,13 @@ def test_value_hits(spark):
     assert got == {("Paris", 12), ("New York", 11)} or got == {("Paris", 12), ("New York", 11), ("Berlin", 10)}
 
 
+def test_value_hits_keep_three_a_term(spark):
+    t = spark.createDataFrame([(1, w) for w in ("alpha", "bravo", "delta", "gamma", "lake")], "qid int, term string")
+    v = spark.createDataFrame([(w,) for w in ("Alpha", "Bravo", "Delta", "Gamma", "A Lake", "B Lake", "C Lake", "D Lake")], "value string")
+    got = sorted((r.term, r.value, r.priority) for r in V.value_hits(t, v).collect())
+    assert got == [(w, w.title(), 12) for w in ("alpha", "bravo", "delta", "gamma")] + [("lake", f"{k} Lake", 11) for k in "ABC"]
+
+
 def test_readers(spark, tmp_path):
     p = tmp_path / "a.json"
     p.write_text(json.dumps([{"q": f"x{k}"} for k in range(5)]))

@@ -52,6 +52,8 @@ TEXTS: dict[str, str] = {
     "set_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 6000",
     "set_all_variants": "SELECT l_linenumber AS k FROM lineitem WHERE l_orderkey < 100 EXCEPT ALL SELECT p_size FROM part WHERE p_size < 8 AND p_partkey < 50",
     "set_intersect_all": "SELECT l_linenumber AS k FROM lineitem WHERE l_orderkey < 100 INTERSECT ALL SELECT p_size FROM part WHERE p_size < 8",
+    "set_except_all_counts": "SELECT k, COUNT(*) AS n FROM (SELECT l_linenumber AS k FROM lineitem EXCEPT ALL SELECT p_size FROM part WHERE p_size < 8) t GROUP BY k",
+    "set_intersect_all_counts": "SELECT k, COUNT(*) AS n FROM (SELECT l_linenumber AS k FROM lineitem INTERSECT ALL SELECT p_size FROM part WHERE p_size < 8) t GROUP BY k",
     "win_rank_family": "SELECT o_orderkey, CAST(RANK() OVER w AS INT) AS r, CAST(DENSE_RANK() OVER w AS INT) AS dr, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS INT) AS rn FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)",
     "win_lag_lead": "SELECT event_id, user_id, LAG(event_type) OVER w AS prev_type, LEAD(event_id, 2) OVER w AS next2, ROUND(value - LAG(value) OVER w, 4) AS delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "win_frame_rows": "SELECT event_id, ROUND(SUM(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS s3, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM events",

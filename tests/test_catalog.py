@@ -30,3 +30,12 @@ def test_core_does_not_need_llm():
 
     code = "import sys; sys.modules['quorumframe.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p4_found' in q and 'p1_found' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_all_set_operations_read_whole_tables(spark, data):
+    from collections import Counter
+
+    lines = Counter(r.k for r in spark.read.parquet(f"{data}/lineitem.parquet").selectExpr("l_linenumber as k").collect())
+    sizes = Counter(r.k for r in spark.read.parquet(f"{data}/part.parquet").where("p_size < 8").selectExpr("p_size as k").collect())
+    for name, want in (("set_except_all_counts", lines - sizes), ("set_intersect_all_counts", lines & sizes)):
+        assert {r.k: r.n for r in catalog.QUERIES[name](spark, data).collect()} == dict(want)

@@ -92,18 +92,24 @@ EXACT, CONTAINED, SIMILAR, LEAST = 12, 11, 10, 0.88
 def value_hits(terms: DataFrame, values: DataFrame, keep: int = 3) -> DataFrame:
     """Stored values that a question's terms name: (qid, term, value, priority), at most `keep` a term.
 
-    terms: qid, term; values: value. Exact and contained values are found by
-    equi joins on the value's words; similar ones only among values of the same
-    first letter and near length (an equi join, then the ratio).
+    terms: qid, term; values: value. Exact values (of the same letters and digits)
+    and values with the term as a word are found by equi joins. Among values of
+    the same first letter (an equi join), those that hold the term or are held by
+    it are contained too, and those of a length that the ratio allows are similar
+    by the ratio.
     """
-    v = values.where("value is not null").select("value", F.lower("value").alias("lv")).distinct()
-    t = terms.where("term is not null").select("qid", F.lower("term").alias("term")).distinct()
-    exact = t.join(v, t.term == v.lv).select("qid", "term", "value", F.lit(EXACT).alias("priority"))
+    norm = lambda c: F.coalesce(F.nullif(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""), F.lit("")), c)
+    v = values.where("value is not null").select("value", F.lower("value").alias("lv")).distinct().withColumn("nv", norm(F.col("lv")))
+    t = terms.where("term is not null").select("qid", F.lower("term").alias("term")).distinct().withColumn("nt", norm(F.col("term")))
+    exact = t.join(v, t.nt == v.nv).select("qid", "term", "value", F.lit(EXACT).alias("priority"))
     parts = v.select("value", "lv", F.explode(F.split("lv", r"\s+")).alias("w")).where("w <> lv")
     inside = t.join(parts, t.term == parts.w).select("qid", "term", "value", F.lit(CONTAINED).alias("priority"))
-    near = t.withColumn("f", F.substring("term", 1, 1)).join(v.withColumn("f", F.substring("lv", 1, 1)), "f").where("term <> lv and abs(length(term) - length(lv)) <= 2 and length(term) >= 4")
-    similar = near.where(ratio_udf("term", "lv") >= LEAST).select("qid", "term", "value", F.lit(SIMILAR).alias("priority"))
-    best = exact.unionByName(inside).unionByName(similar).groupBy("qid", "term", "value").agg(F.max("priority").alias("priority"))
+    near = t.withColumn("f", F.substring("nt", 1, 1)).join(v.withColumn("f", F.substring("nv", 1, 1)), "f").where("nt <> nv")
+    held = near.where("length(nt) >= 3 and not (nt rlike '^[0-9]{3}$') and (length(nv) >= 3 and contains(nv, nt) or length(nv) >= 4 and contains(nt, nv))").select("qid", "term", "value", F.lit(CONTAINED).alias("priority"))
+    # 2 * matched / both lengths, and no more is matched than the shorter one has.
+    allowed = 2 * F.least(F.length("nt"), F.length("nv")) / (F.length("nt") + F.length("nv")) >= LEAST
+    similar = near.where("length(term) >= 4").where(allowed).where(ratio_udf("nt", "nv") >= LEAST).select("qid", "term", "value", F.lit(SIMILAR).alias("priority"))
+    best = exact.unionByName(inside).unionByName(held).unionByName(similar).groupBy("qid", "term", "value").agg(F.max("priority").alias("priority"))
     heap = best.groupBy("qid", "term").agg(InternalFunction.collect_top_k(F.struct(F.negative("priority").alias("p"), "value"), keep, True).alias("h"))
     return heap.select("qid", "term", F.explode("h").alias("h")).select("qid", "term", "h.value", F.negative("h.p").alias("priority"))
 

@@ -88,6 +88,13 @@ def test_value_hits_keep_three_a_term(spark):
     assert got == [(w, w.title(), 12) for w in ("alpha", "bravo", "delta", "gamma")] + [("lake", f"{k} Lake", 11) for k in "ABC"]
 
 
+def test_value_hits_of_long_and_contained_values(spark):
+    t = spark.createDataFrame([(1, w) for w in ("abcdefghijkl", "katrinabergen", "homeport", "lake", "old")], "qid int, term string")
+    v = spark.createDataFrame([(w,) for w in ("abcdefXXXghijkl", "Katrina", "Home Port", "Lakeside Inn", "Golden")], "value string")
+    got = sorted((r.term, r.value, r.priority) for r in V.value_hits(t, v).collect())
+    assert got == [("abcdefghijkl", "abcdefXXXghijkl", 10), ("homeport", "Home Port", 12), ("katrinabergen", "Katrina", 11), ("lake", "Lakeside Inn", 11)]
+
+
 def test_readers(spark, tmp_path):
     p = tmp_path / "a.json"
     p.write_text(json.dumps([{"q": f"x{k}"} for k in range(5)]))

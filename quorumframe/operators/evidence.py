@@ -61,13 +61,14 @@ def relevance(questions: DataFrame, schemas: DataFrame) -> DataFrame:
     return q.join(c, "db_id").select("di", "tbl", pts.alias("points")).where("points > 0")
 
 
-def within_budget(df: DataFrame, group: str, order: str, text: str, budget: int, max_items: int = 64) -> DataFrame:
+def within_budget(df: DataFrame, group: str, order: str, text: str, budget: int) -> DataFrame:
     """Lines of each group in order that fit a budget of characters; a line too long is skipped and later ones may fit.
 
-    A group's first max_items lines are folded (a bounded heap), since each fills
-    at least two characters and budgets are small.
+    Lines that are too long for the whole budget never fit and are left out
+    first; all others of a group are folded in their order.
     """
-    items = df.where(F.col(text).isNotNull()).groupBy(group).agg(InternalFunction.collect_top_k(F.struct(F.col(order).alias("o"), F.col(text).alias("t")), min(max_items, budget), True).alias("xs"))
+    fits = df.where(F.col(text).isNotNull()).withColumn("_fits", F.length(text) + 1 <= budget)
+    items = fits.groupBy(group).agg(F.array_sort(F.collect_list(F.when(F.col("_fits"), F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))).alias("xs"))
     zero = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"))
     fold = F.aggregate("xs", zero, lambda a, x: F.when(a["used"] + F.length(x["t"]) + 1 <= budget, F.struct((a["used"] + F.length(x["t"]) + 1).alias("used"), F.concat(a["kept"], F.array(x["t"])).alias("kept"))).otherwise(a))
     return items.select(group, fold.alias("f")).select(group, F.array_join("f.kept", "\n").alias("section"), F.col("f.used").alias("used"))

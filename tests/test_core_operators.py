@@ -74,6 +74,12 @@ def test_budget_skips_long_lines(spark):
     assert [tuple(r) for r in V.within_budget(df, "g", "o", "t", 10).collect()] == [(1, "aaa\ncc", 7)]
 
 
+def test_budget_takes_a_line_after_many_skipped_ones(spark):
+    rows = [(1, k, "b" * 9) for k in range(100)] + [(1, 100, "c"), (2, 1, "d" * 50)]
+    df = spark.createDataFrame(rows, "g int, o int, t string")
+    assert sorted(tuple(r) for r in V.within_budget(df, "g", "o", "t", 12).collect()) == [(1, "b" * 9 + "\nc", 12), (2, "", 0)]
+
+
 def test_value_hits(spark):
     t = spark.createDataFrame([(1, "paris"), (1, "berlim"), (1, "new")], "qid int, term string")
     v = spark.createDataFrame([("Paris",), ("Berlin",), ("New York",), ("Rome",), (None,)], "value string")

@@ -34,7 +34,7 @@ TOKEN = re.compile(
 # Words that end the select list or the WHERE clause at the same depth.
 SELECT_END = frozenset({"from", "union", "intersect", "except"})
 WHERE_END = frozenset({"group", "having", "order", "limit", "offset", "union", "intersect", "except", "window", "qualify"})
-COMPARES = frozenset({"=", "==", "!=", "<>", "<", ">", "<=", ">=", "like", "glob", "between", "||"})
+COMPARES = frozenset({"=", "==", "!=", "<>", "<", ">", "<=", ">=", "like", "glob", "between", "||", "then", "else"})
 SEP = "\x1f"
 
 
@@ -89,6 +89,20 @@ def split_top(ts: list[str], at: str) -> list[list[str]]:
     return parts
 
 
+def cases_folded(ts: list[str]) -> list[str]:
+    """Each CASE ... END as one token, inner ones with the outer; one without its END stays as it is."""
+    out: list[str] = []
+    opened: list[int] = []
+    for t in ts:
+        out.append(t)
+        if t == "case":
+            opened.append(len(out) - 1)
+        elif t == "end" and opened:
+            k = opened.pop()
+            out[k:] = [SEP.join(out[k:])]
+    return out
+
+
 def settled(ts: list[str]) -> list[str]:
     """Canonical order of one query's tokens: select items and AND-ed conditions sorted, inner queries first."""
     flat: list[str] = []  # brackets become one token
@@ -106,6 +120,7 @@ def settled(ts: list[str]) -> list[str]:
         else:
             flat.append(ts[i])
             i += 1
+    flat = cases_folded(flat)
     out: list[str] = []
     i = 0
     while i < len(flat):
@@ -142,7 +157,8 @@ def canonical_sql(sql: str | None) -> str | None:
 
     Two queries have the same text if they differ only in whitespace, letter
     case, closing semicolons, quoting, the order of select items, or the order
-    of AND-ed conditions of a WHERE without OR outside brackets.
+    of AND-ed conditions of a WHERE without OR outside brackets and CASE. Inside a
+    CASE, and in a WHERE with a CASE that has no END, conditions keep their order.
     """
     if sql is None:
         return None

@@ -102,3 +102,16 @@ def test_top_n(spark):
     assert top_n_per_group(df.limit(0), "g", "i", "s").count() == 0
     with pytest.raises(ValueError):
         top_n_per_group(df, "g", "i", "s", 0)
+
+
+def test_canonical_case():
+    same = [
+        ("SELECT a FROM t WHERE b = 1 AND CASE WHEN c = 2 OR d = 3 THEN 1 ELSE 0 END = 1", "SELECT a FROM t WHERE CASE WHEN c = 2 OR d = 3 THEN 1 ELSE 0 END = 1 AND b = 1"),
+        ("SELECT a FROM t WHERE CASE WHEN c = 2 THEN CASE WHEN e = 1 THEN 1 END ELSE 0 END = 1 AND b = 1", "SELECT a FROM t WHERE b = 1 AND CASE WHEN c = 2 THEN CASE WHEN e = 1 THEN 1 END ELSE 0 END = 1"),
+        ("SELECT CASE WHEN a = 1 THEN \"x\" ELSE \"y\" END FROM t", "SELECT CASE WHEN a = 1 THEN 'x' ELSE 'y' END FROM t"),
+        ("SELECT lower(\"a\") FROM t", "SELECT lower(a) FROM t"),
+    ]
+    for a, b in same:
+        assert D.canonical_sql(a) == D.canonical_sql(b), (a, b)
+    assert D.canonical_sql("SELECT a FROM t WHERE CASE WHEN c = 2 AND d = 3 THEN 1 END = 1") != D.canonical_sql("SELECT a FROM t WHERE CASE WHEN c = 2 THEN 1 AND d = 3 END = 1")
+    assert D.canonical_sql("SELECT a FROM t WHERE b = 1 OR CASE WHEN c = 2 THEN 1 END = 1") != D.canonical_sql("SELECT a FROM t WHERE CASE WHEN c = 2 THEN 1 END = 1 OR b = 1")

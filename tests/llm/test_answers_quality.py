@@ -116,3 +116,9 @@ def test_open_queries_by_longer_copies(spark):
     ]
     df = spark.createDataFrame(rows, "response_id long, question string, raw_response string, sql string")
     assert sorted(r.response_id for r in T.cut_off(df, spark).collect()) == [1, 7, 8, 9, 10]
+
+
+def test_pairs_have_one_defined_result(spark):
+    rows = [(30, ASK, "The bakery table holds the column st", None), (32, None, ASK, SQL), (33, ASK, ASK, ""), (34, ASK, SQL, SQL)]
+    df = spark.createDataFrame(rows, "response_id long, question string, raw_response string, sql string")
+    assert sorted(tuple(r) for r in defective_pairs(df, spark).collect()) == [(30, "truncated"), (32, "truncated"), (33, "copy")]

@@ -87,6 +87,13 @@ def test_value_hits(spark):
     assert got == {("Paris", 12), ("New York", 11)} or got == {("Paris", 12), ("New York", 11), ("Berlin", 10)}
 
 
+def test_value_hits_have_one_defined_result(spark):
+    t = spark.createDataFrame([(1, "paris"), (1, "berlim"), (1, "copenhagem")], "qid int, term string")
+    v = spark.createDataFrame([("Paris",), ("Berlin",), ("Copenhagen",)], "value string")
+    # berlim and Berlin share 10 of 12 characters (0.83), copenhagem and Copenhagen 18 of 20 (0.9).
+    assert sorted((r.term, r.value, r.priority) for r in V.value_hits(t, v).collect()) == [("copenhagem", "Copenhagen", 10), ("paris", "Paris", 12)]
+
+
 def test_value_hits_keep_three_a_term(spark):
     t = spark.createDataFrame([(1, w) for w in ("alpha", "bravo", "delta", "gamma", "lake")], "qid int, term string")
     v = spark.createDataFrame([(w,) for w in ("Alpha", "Bravo", "Delta", "Gamma", "A Lake", "B Lake", "C Lake", "D Lake")], "value string")

@@ -1,52 +1,42 @@
 """Candidate pools: deduplication, grouping by execution result, and the choice of a winner.
 
-A pool has rows (qid, pos, sample_idx, model, sql_text); outcomes have, for each
-(qid, key) and instance, a signature. Everything is keyed by question and is
-pre-aggregated before each shuffle: winners are picked with max_by over the
-groups (a mergeable aggregate), never by sorting a question's rows in one task.
+A pool has rows (qid, sample_idx, model, sql_text); an entry is a distinct text of
+a question with its vector of signatures, one an instance. Everything is keyed by
+question and pre-aggregated before each shuffle: every rule is one mergeable
+aggregate (max_by or a bounded heap) over the groups with the question's figures
+beside them, so all rules together take one grouping and one aggregation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.internal import InternalFunction
 
-from quorumframe.session import load
+from quorumframe.functions.textops import count_joins
 
-INSTANCES = 3
 GATE_SIZE, GATE_GAP = 2, 1
 DOMINANCE = 0.05
 
 
-def event_pool(events: DataFrame) -> DataFrame:
-    """The test pool: each event is one sampled query of the user's question, with its one-cell result."""
-    cell = F.floor(F.col("value") / 50).cast("int")
-    return events.select(
-        F.col("user_id").alias("qid"),
-        F.col("event_id").alias("sample_idx"),
-        F.when(F.col("event_id") % 2 == 0, "m1").otherwise("m2").alias("model"),
-        F.when(F.col("event_type") != "error", cell).alias("res_cell"),
-        F.when(F.col("event_type") == "error", "err").when(F.col("event_type") == "signup", "none").otherwise("ok").alias("status"),
-        F.concat(F.lit("SELECT  "), F.upper("event_type"), F.lit(" "), cell.cast("string")).alias("sql_text"),
-    )
-
-
 def normalized(sql: Column) -> Column:
     """Text key of a query: lower case, blanks collapsed, ends trimmed."""
     return F.lower(F.trim(F.regexp_replace(sql, r"\s+", " ")))
 
 
-def top_pair(order: Column) -> Column:
-    """The two largest structs of a group (a mergeable bounded heap)."""
-    return InternalFunction.collect_top_k(order, 2, False)
+def heap(order: Column, k: int, least: bool = False) -> Column:
+    """The k largest (or least) structs of a group: a mergeable bounded heap; null ones are left out.
+
+    The one place where Spark's own collect_top_k, which has no public name, is called.
+    """
+    return InternalFunction.collect_top_k(order, k, least)
 
 
-def dedupe(pool: DataFrame) -> DataFrame:
-    """One row for each question and query text: votes, first sample, its writing, models.
+def dedupe(pool: DataFrame, *extra: Column) -> DataFrame:
+    """One row for each question and query text: votes, first sample, its writing, models, and extra aggregates.
 
     Null texts and null questions take no part. Ties of the first sample go to
     the smaller text. The number of models is bounded, so the set is too.
@@ -57,29 +47,23 @@ def dedupe(pool: DataFrame) -> DataFrame:
         F.min("sample_idx").alias("min_idx"),
         F.min_by("sql_text", F.struct("sample_idx", "sql_text")).alias("sql_text"),
         F.array_sort(F.collect_set("model")).alias("models"),
-        F.max("res_cell").alias("res_cell"),
-        F.max("status").alias("status"),
+        *extra,
     )
 
 
-def signature(status: Column, cell: Column, qid: Column, instance: int) -> Column:
-    """Signature of a one-cell result in an instance: ERROR, E (no rows) or the typed cell."""
-    return F.when(status == "err", "ERROR").when(status == "none", "E").otherwise(F.concat(F.lit("I"), ((cell + qid * instance) % 7).cast("string")))
-
-
-def with_vectors(entries: DataFrame, instances: int = INSTANCES) -> DataFrame:
-    """Entries with the signature vector over the instances."""
-    sigs = [signature(F.col("status"), F.col("res_cell"), F.col("qid"), k) for k in range(instances)]
-    return entries.withColumn("vector", F.array(*sigs)).withColumn("score", F.round((F.col("min_idx") * 7919 % 1000) / 1000.0, 3))
-
-
-def build_groups(entries: DataFrame) -> DataFrame:
+def build_groups(entries: DataFrame, vector: str = "vector", empty: Column | None = None, zero: Column | None = None) -> DataFrame:
     """Groups of equal vectors: size in votes, members, models, representative and its score.
 
-    A candidate that fails in any instance is in no group.
+    entries: qid, key, votes, min_idx, models, score and the vector. A candidate
+    that fails in any instance is in no group. empty and zero tell the groups
+    without a cell and those of zeros alone (aggregates over the members, which
+    share them); by default they are read from one-cell signatures.
     """
-    good = entries.where(~F.array_contains("vector", "ERROR"))
-    g = good.groupBy("qid", "vector").agg(
+    good = entries.where(~F.array_contains(vector, "ERROR"))
+    v = F.col(vector)
+    empty = F.first(F.forall(v, lambda x: x == "E")) if empty is None else empty
+    zero = F.first(F.exists(v, lambda x: x != "E") & F.forall(v, lambda x: (x == "I0") | (x == "E"))) if zero is None else zero
+    g = good.groupBy("qid", F.col(vector).alias("vector")).agg(
         F.sum("votes").alias("size"),
         F.count(F.lit(1)).alias("n_keys"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("models")))).alias("models"),
@@ -88,12 +72,12 @@ def build_groups(entries: DataFrame) -> DataFrame:
         F.min_by("score", F.struct("min_idx", "key")).alias("score"),
         F.max("score").alias("best_score"),
         F.round(F.avg("score"), 6).alias("mean_score"),
+        empty.alias("is_empty"),
+        zero.alias("is_zero"),
     )
-    sig = F.array_join("vector", "|")
     return g.select(
-        "qid", "vector", sig.alias("sig"), "size", "n_keys", "models", F.size("models").alias("n_models"), "rep", "rep_idx", "score", "best_score", "mean_score",
-        F.forall("vector", lambda x: x == "E").alias("is_empty"),
-        (F.exists("vector", lambda x: x != "E") & F.forall("vector", lambda x: (x == "I0") | (x == "E"))).alias("is_zero"),
+        "qid", "vector", F.array_join("vector", "|").alias("sig"), "size", "n_keys", "models", F.size("models").alias("n_models"), "rep", "rep_idx", "score", "best_score", "mean_score",
+        "is_empty", "is_zero",
     )
 
 
@@ -111,13 +95,42 @@ def pick(groups: DataFrame, *order: Column, columns: tuple[str, ...] = ("rep", "
     return best.select("qid", *[f"w.{c}" for c in columns])
 
 
+def close_vote(first: Column, second: Column) -> Column:
+    """Whether the vote of the two largest groups is close: top1 < 2 or a lead of at most 1."""
+    return F.coalesce((first["size"] < GATE_SIZE) | (second.isNotNull() & (first["size"] - second["size"] <= GATE_GAP)), F.lit(False))
+
+
 def gated(groups: DataFrame) -> DataFrame:
-    """The two largest groups of each question and whether the vote is close: top1 < 2 or a lead of at most 1."""
-    pair = F.struct("size", "sig", "rep", "score", "n_models")
-    top = groups.groupBy("qid").agg(top_pair(pair).alias("top"))
-    first, second = F.col("top")[0], F.get("top", F.lit(1))
-    close = (first["size"] < GATE_SIZE) | (second.isNotNull() & (first["size"] - second["size"] <= GATE_GAP))
-    return top.select("qid", first.alias("first"), second.alias("second"), F.coalesce(close, F.lit(False)).alias("close"))
+    """The two largest groups of each question and whether the vote is close."""
+    top = groups.groupBy("qid").agg(heap(F.struct("size", "sig", "rep", "score", "n_models"), 2).alias("top"))
+    first, second = F.get("top", F.lit(0)), F.get("top", F.lit(1))
+    return top.select("qid", first.alias("first"), second.alias("second"), close_vote(first, second).alias("close"))
+
+
+def enriched(groups: DataFrame, ranks: bool = True) -> DataFrame:
+    """Groups with what the rules need of their question: in_ (may win), top_size, all_votes, first, second, close and (ranks) beaten.
+
+    beaten: how many rankable groups have a mean score more than DOMINANCE
+    lower. It is counted from the question's distinct means (at most a million,
+    as they have six digits), not from pairs of groups.
+    """
+    fine = ~(F.col("is_empty") | F.col("is_zero"))
+    pair = F.struct("size", "sig", "score", "n_models")
+    q = groups.groupBy("qid").agg(
+        F.max(fine).alias("any_fine"), F.max("size").alias("top_size"), F.sum("size").alias("all_votes"),
+        heap(F.when(fine, pair), 2).alias("top_fine"), heap(pair, 2).alias("top_all"),
+    )
+    top = F.when(F.col("any_fine"), F.col("top_fine")).otherwise(F.col("top_all"))
+    first, second = F.get(top, F.lit(0)), F.get(top, F.lit(1))
+    q = q.select("qid", "any_fine", "top_size", "all_votes", first.alias("first"), second.alias("second"), close_vote(first, second).alias("close"))
+    out = groups.join(q, "qid").withColumn("in_", fine | ~F.col("any_fine"))
+    if ranks:
+        micros = F.round(F.col("mean_score") * 1e6).cast("bigint").alias("micros")
+        counts = out.where("in_").groupBy("qid", micros).agg(F.count(F.lit(1)).alias("n"))
+        below = W.partitionBy("qid").orderBy("micros").rangeBetween(W.unboundedPreceding, -int(DOMINANCE * 1e6) - 1)
+        counts = counts.select("qid", "micros", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("beaten"))
+        out = out.withColumn("micros", micros).join(counts, ["qid", "micros"], "left").drop("micros")
+    return out
 
 
 def s() -> Column:
@@ -139,121 +152,99 @@ def logit(x: Column) -> Column:
     return F.log(c / (1 - c))
 
 
-def arm_vav(g: DataFrame) -> DataFrame:
-    return pick(rankable(g), s())
-
-
-def arm_soft_cross(w: int) -> Callable[[DataFrame], DataFrame]:
-    return lambda g: pick(rankable(g), s() + w * F.col("n_models"))
-
-
-def arm_soft_ladder(g: DataFrame) -> DataFrame:
-    return pick(rankable(g), F.col("n_models") > 1, s())
+def best(*order: Column, among: Column | None = None) -> Column:
+    """Aggregate: (rep, size, sig) of the largest order key; groups where `among` does not hold are left out."""
+    key = F.struct(*[o.alias(f"k{i}") for i, o in enumerate([*order, F.col("sig")])])
+    return F.max_by(F.struct("rep", "size", "sig"), key if among is None else F.when(among, key))
 
 
-def arm_grouphead(g: DataFrame) -> DataFrame:
-    return pick(rankable(g), F.round(s() * p(), 6), s())
+def of_rankable(*order: Column) -> Column:
+    return best(*order, among=F.col("in_"))
 
 
-def arm_hybrid(g: DataFrame) -> DataFrame:
-    top = g.groupBy("qid").agg(F.max("size").alias("top_size"))
-    return pick(g.join(top, "qid"), F.round(s() / F.col("top_size") * p(), 6))
+def on_close(c: Column) -> Column:
+    return F.when(F.col("close"), c)
 
 
-def arm_tier_temp(t: float) -> Callable[[DataFrame], DataFrame]:
+def tempered(t: float) -> Column:
     """Clean groups before empty or zero ones, then size times the tempered score."""
-    return lambda g: pick(g, ~(F.col("is_empty") | F.col("is_zero")), F.round(s() * sigmoid(logit(p()) / t), 6), s())
-
+    return best(~(F.col("is_empty") | F.col("is_zero")), F.round(s() * sigmoid(logit(p()) / t), 6), s())
 
-def arm_dominance(g: DataFrame) -> DataFrame:
-    """Most groups beaten by more than DOMINANCE in mean score, then size times mean, then size.
 
-    The groups beaten are counted from the question's() sorted means, one sum a
-    distinct mean, instead of comparing all pairs of groups.
-    """
-    r = rankable(g)
-    micros = F.round(F.col("mean_score") * 1e6).cast("bigint")
-    below = W.partitionBy("qid").orderBy(micros).rangeBetween(W.unboundedPreceding, -int(DOMINANCE * 1e6) - 1)
-    return pick(r.withColumn("beaten", F.count(F.lit(1)).over(below)), F.col("beaten"), F.round(s() * F.col("mean_score"), 6), s())
-
-
-def arm_vote_rate(g: DataFrame) -> DataFrame:
-    """Size times the share of a question's votes."""
-    total = g.groupBy("qid").agg(F.sum("size").alias("all_votes"))
-    return pick(rankable(g).join(total, "qid"), F.round(s() * s() / F.col("all_votes"), 6))
+def cascade(k: int) -> Column:
+    """The k best groups by size times mean score (a bounded heap), then the best of them by size times the representative's."""
+    stage = F.struct(F.round(s() * F.col("mean_score"), 6).alias("a"), F.col("sig").alias("sig"), s().alias("size"), F.col("rep").alias("rep"), p().alias("score"))
+    kept = F.transform(heap(F.when(F.col("in_"), stage), k), lambda t: F.struct(F.round(t["size"] * t["score"], 6).alias("k0"), t["sig"].alias("sig"), t["size"].alias("size"), t["rep"].alias("rep")))
+    w = F.array_max(kept)
+    return F.when(w.isNotNull(), F.struct(w["rep"].alias("rep"), w["size"].alias("size"), w["sig"].alias("sig")))
 
 
-def arm_soft_mean(g: DataFrame) -> DataFrame:
-    return pick(rankable(g), F.round(s() * F.col("mean_score"), 6))
+def runner_up() -> Column:
+    """Where the vote is close, the second group wins if its score is strictly higher."""
+    want = F.when(F.col("close") & F.coalesce(F.col("second.score") > F.col("first.score"), F.lit(False)), F.col("second.sig")).otherwise(F.col("first.sig"))
+    return of_rankable((F.col("sig") == want).cast("int"))
+
+
+def by_structure() -> Column:
+    """Where the vote is close, groups of several models first, then size, then fewer joins in the representative; else the largest group."""
+    return of_rankable(on_close((F.col("n_models") > 1).cast("int")), s(), on_close(-count_joins(F.col("rep"))))
+
+
+def conservative() -> Column:
+    """Where the vote is close, the group of most models, then size, but only if it has more models than the largest group, or as many and more votes."""
+    better = F.col("close") & ((F.col("n_models") > F.col("first.n_models")) | (F.col("n_models") == F.col("first.n_models")) & (s() > F.col("first.size")))
+    return of_rankable(better.cast("int"), F.when(better, F.col("n_models")), F.when(better, s()), (F.col("sig") == F.col("first.sig")).cast("int"))
+
+
+# A rule is an aggregate over the enriched groups of a question.
+RULES: dict[str, Callable[[], Column]] = {
+    "vav": lambda: of_rankable(s()),
+    "soft_cross_w1": lambda: of_rankable(s() + F.col("n_models")),
+    "soft_cross_w2": lambda: of_rankable(s() + 2 * F.col("n_models")),
+    "soft_cross_w3": lambda: of_rankable(s() + 3 * F.col("n_models")),
+    "soft_ladder": lambda: of_rankable((F.col("n_models") > 1).cast("int"), s()),
+    "gated": by_structure,
+    "grouphead": lambda: of_rankable(F.round(s() * p(), 6), s()),
+    "hybrid": lambda: best(F.round(s() / F.col("top_size") * p(), 6)),
+    "tiebreak": runner_up,
+    "tier_temp_half": lambda: tempered(0.5),
+    "tier_temp_1": lambda: tempered(1.0),
+    "tier_temp_2": lambda: tempered(2.0),
+    "r3": lambda: of_rankable(F.col("beaten"), F.round(s() * F.col("mean_score"), 6), s()),
+    "vote_rate": lambda: of_rankable(F.round(s() * s() / F.col("all_votes"), 6)),
+    "soft_mean": lambda: of_rankable(F.round(s() * F.col("mean_score"), 6)),
+    "cascade_2": lambda: cascade(2),
+    "cascade_4": lambda: cascade(4),
+    "p03": conservative,
+}
 
 
-def arm_cascade(k: int) -> Callable[[DataFrame], DataFrame]:
-    """The k best groups by size times mean score (a bounded heap), then the best of them by size times the representative's."""
+def arm(name: str) -> Callable[[DataFrame], DataFrame]:
+    """A rule as a function from groups to winners (qid, rep, size, sig)."""
+    return lambda g: enriched(g, ranks=name == "r3").groupBy("qid").agg(RULES[name]().alias("w")).where("w is not null").select("qid", "w.rep", "w.size", "w.sig")
 
-    def run(g: DataFrame) -> DataFrame:
-        stage = F.struct(F.round(s() * F.col("mean_score"), 6).alias("a"), F.col("sig").alias("sig"), s().alias("size"), F.col("rep").alias("rep"), p().alias("score"))
-        top = rankable(g).groupBy("qid").agg(InternalFunction.collect_top_k(stage, k, False).alias("top"))
-        flat = top.select("qid", F.explode("top").alias("t")).select("qid", "t.sig", "t.size", "t.rep", "t.score")
-        return pick(flat, F.round(s() * p(), 6))
 
-    return run
+ARMS: dict[str, Callable[[DataFrame], DataFrame]] = {name: arm(name) for name in RULES}
+arm_vav = ARMS["vav"]
 
 
-def arm_tiebreak(g: DataFrame) -> DataFrame:
-    """Where the vote is close, the second group wins if its score is strictly higher."""
-    t = gated(rankable(g))
-    win = F.when(F.col("close") & F.coalesce(F.col("second.score") > F.col("first.score"), F.lit(False)), F.col("second")).otherwise(F.col("first"))
-    return t.select("qid", win.alias("w")).select("qid", "w.rep", "w.size", "w.sig")
-
-
-def arm_gated(g: DataFrame) -> DataFrame:
-    """Where the vote is close, groups of several models first, then size, then the shorter representative."""
-    r = rankable(g)
-    close = gated(r).select("qid", "close")
-    on = lambda c: F.when(F.col("close"), c)
-    return pick(r.join(close, "qid"), on((F.col("n_models") > 1).cast("int")), s(), on(-F.length("rep")))
-
-
-def arm_override(g: DataFrame) -> DataFrame:
-    """Another group than the largest wins only with strictly more models and at least its size."""
-    r = rankable(g)
-    base = pick(r, s(), columns=("sig", "size", "n_models")).select("qid", F.col("size").alias("b_size"), F.col("n_models").alias("b_models"), F.col("sig").alias("b_sig"))
-    better = (F.col("n_models") > F.col("b_models")) & (s() >= F.col("b_size"))
-    return pick(r.join(base, "qid"), better, F.when(better, F.col("n_models")), s())
-
-
-ARMS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "vav": arm_vav,
-    "soft_cross_w1": arm_soft_cross(1),
-    "soft_cross_w2": arm_soft_cross(2),
-    "soft_cross_w3": arm_soft_cross(3),
-    "soft_ladder": arm_soft_ladder,
-    "gated": arm_gated,
-    "grouphead": arm_grouphead,
-    "hybrid": arm_hybrid,
-    "tiebreak": arm_tiebreak,
-    "tier_temp_half": arm_tier_temp(0.5),
-    "tier_temp_1": arm_tier_temp(1.0),
-    "tier_temp_2": arm_tier_temp(2.0),
-    "r3": arm_dominance,
-    "vote_rate": arm_vote_rate,
-    "soft_mean": arm_soft_mean,
-    "cascade_2": arm_cascade(2),
-    "cascade_4": arm_cascade(4),
-    "p03": arm_override,
-}
+def all_winners(groups: DataFrame) -> DataFrame:
+    """(arm, qid, rep, size, sig) of every rule, from one aggregation of the groups."""
+    each = enriched(groups).groupBy("qid").agg(*[rule().alias(name) for name, rule in RULES.items()])
+    named = F.explode(F.array(*[F.struct(F.lit(name).alias("arm"), F.col(name).alias("w")) for name in RULES]))
+    return each.select("qid", named.alias("x")).where("x.w is not null").select("x.arm", "qid", "x.w.rep", "x.w.size", "x.w.sig")
 
 
 def majority(entries: DataFrame) -> DataFrame:
-    """The query text with most votes, then the earliest sample, then the smaller text."""
-    key = F.struct(F.col("votes"), -F.col("min_idx"))
+    """The query text with most votes, then the earliest sample, then the larger text."""
+    key = F.struct(F.col("votes"), -F.col("min_idx"), "key")
     best = entries.groupBy("qid").agg(F.max_by(F.struct("key", "votes"), key).alias("w"))
     return best.select("qid", F.col("w.key").alias("rep"), F.col("w.votes").alias("size"))
 
 
 def argmax_score(entries: DataFrame) -> DataFrame:
-    """The candidate of the highest score, then the earliest."""
-    best = entries.where("status <> 'err'").groupBy("qid").agg(F.max_by(F.struct("key", "score"), F.struct(F.col("score"), -F.col("min_idx"))).alias("w"))
+    """The candidate of the highest score, then the earliest, then the larger text."""
+    best = entries.groupBy("qid").agg(F.max_by(F.struct("key", "score"), F.struct(F.col("score"), -F.col("min_idx"), "key")).alias("w"))
     return best.select("qid", F.col("w.key").alias("rep"), F.col("w.score").alias("score"))
 
 
@@ -266,23 +257,6 @@ def with_fallback(questions: DataFrame, winners: DataFrame, maj: DataFrame) -> D
     return j.select("qid", F.coalesce("w_rep", "m_rep", F.lit("SELECT 1")).alias("rep"), source.alias("source"))
 
 
-def entries_of(spark: SparkSession, d: str, model: str | None = None, instances: int = INSTANCES) -> DataFrame:
-    pool = event_pool(load(spark, d, "events"))
-    return with_vectors(dedupe(pool.where(F.col("model") == model) if model else pool), instances)
-
-
-def judged(winners: DataFrame, entries: DataFrame) -> DataFrame:
-    """Whether each winner's result equals the gold result in every instance; a missing winner is wrong."""
-    gold = [F.concat(F.lit("I"), ((F.col("qid") % 5 + F.col("qid") * k) % 7).cast("string")) for k in range(INSTANCES)]
-    v = entries.select("qid", F.col("key").alias("rep"), "vector")
-    return winners.join(v, ["qid", "rep"], "left").select("qid", "rep", F.coalesce(F.col("vector") == F.array(*gold), F.lit(False)).alias("correct"))
-
-
-def all_winners(spark: SparkSession, d: str) -> DataFrame:
-    """(arm, qid, rep) of every arm over one grouping."""
-    g = build_groups(entries_of(spark, d))
-    out = None
-    for name, arm in ARMS.items():
-        w = arm(g).select(F.lit(name).alias("arm"), "qid", "rep")
-        out = w if out is None else out.unionByName(w)
-    return out
+def judged(winners: DataFrame, right: DataFrame) -> DataFrame:
+    """Whether each winner (qid, rep) is right by the judged texts (qid, rep, correct); a missing winner or judgement is wrong."""
+    return winners.join(right.select("qid", "rep", "correct"), ["qid", "rep"], "left").select("qid", "rep", F.coalesce("correct", F.lit(False)).alias("correct"))

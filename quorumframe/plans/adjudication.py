@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pyspark.sql import Window as W
+
 from quorumframe.operators import pool as P
 from quorumframe.session import load
 
+from . import fixture as X
+
 POOL = """
 pool AS (SELECT user_id AS qid, event_id AS sample_idx, CASE WHEN event_id % 2 = 0 THEN 'm1' ELSE 'm2' END AS model,
   CASE WHEN event_type = 'error' THEN NULL ELSE CAST(FLOOR(value / 50) AS INT) END AS res_cell,
@@ -54,11 +58,8 @@ ARM_SQL = {
     "cascade_2": winner_sql("ROUND(size * score, 6) DESC", "(SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY ROUND(size * mean_score, 6) DESC, sig DESC) AS r1 FROM rankable) q WHERE r1 <= 2)"),
     "cascade_4": winner_sql("ROUND(size * score, 6) DESC", "(SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY ROUND(size * mean_score, 6) DESC, sig DESC) AS r1 FROM rankable) q WHERE r1 <= 4)"),
     "tiebreak": f"WITH {POOL}, {TOPS} SELECT qid, rep, size, sig FROM (SELECT r.*, ROW_NUMBER() OVER (PARTITION BY r.qid ORDER BY size DESC, sig DESC) AS rn, CASE WHEN {CLOSE} AND COALESCE(p2 > p1, FALSE) THEN 2 ELSE 1 END AS want FROM rankable r JOIN tops USING (qid)) t WHERE rn = want",
-    "gated": winner_sql(f"CASE WHEN {CLOSE} THEN CAST(n_models > 1 AS INT) END DESC NULLS LAST, size DESC, CASE WHEN {CLOSE} THEN -LENGTH(rep) END DESC NULLS LAST", "(SELECT r.*, s1, s2 FROM rankable r JOIN tops USING (qid))").replace(f"WITH {POOL}", f"WITH {POOL}, {TOPS}"),
-    "p03": winner_sql(
-        "CAST(n_models > bm AND size >= bs AS INT) DESC, CASE WHEN n_models > bm AND size >= bs THEN n_models END DESC NULLS LAST, size DESC",
-        "(SELECT r.*, b.n_models AS bm, b.size AS bs FROM rankable r JOIN (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY size DESC, sig DESC) AS r0 FROM rankable) q WHERE r0 = 1) b USING (qid))",
-    ),
+    "gated": winner_sql(f"CASE WHEN {CLOSE} THEN CAST(n_models > 1 AS INT) END DESC NULLS LAST, size DESC, CASE WHEN {CLOSE} THEN -len(regexp_extract_all(lower(regexp_replace(rep, '''[^'']*''', '', 'g')), '\\bjoin\\b')) END DESC NULLS LAST", "(SELECT r.*, s1, s2 FROM rankable r JOIN tops USING (qid))").replace(f"WITH {POOL}", f"WITH {POOL}, {TOPS}"),
+    "p03": f"WITH {POOL}, {TOPS}, b AS (SELECT r.*, {CLOSE} AS close, FIRST_VALUE(n_models) OVER w AS bm, FIRST_VALUE(size) OVER w AS bs, ROW_NUMBER() OVER w AS place, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY n_models DESC, size DESC, sig DESC) AS wide FROM rankable r JOIN tops USING (qid) WINDOW w AS (PARTITION BY qid ORDER BY size DESC, sig DESC)), c AS (SELECT qid, bool_or(close AND wide = 1 AND (n_models > bm OR n_models = bm AND size > bs)) AS change FROM b GROUP BY qid) SELECT qid, rep, size, sig FROM b JOIN c USING (qid) WHERE CASE WHEN change THEN wide = 1 ELSE place = 1 END",
 }
 MAJ = "maj AS (SELECT qid, key AS rep, votes AS size FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY votes DESC, min_idx) AS rn FROM scored) t WHERE rn = 1)"
 VAV = "vav AS (SELECT qid, rep, size, sig FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY size DESC, sig DESC) AS rn FROM rankable) t WHERE rn = 1)"
@@ -67,7 +68,7 @@ GOLD = "('I' || CAST((qid % 5) % 7 AS VARCHAR) || '|I' || CAST((qid % 5 + qid) %
 
 def _arm_query(name):
     def query(spark, d):
-        return P.ARMS[name](P.build_groups(P.entries_of(spark, d)))
+        return P.ARMS[name](P.build_groups(X.entries_of(spark, d)))
 
     query.__doc__ = f"Winners of the {name} rule."
     return query
@@ -75,51 +76,51 @@ def _arm_query(name):
 
 def dedupe_candidates(spark, d):
     """Distinct query texts of each question with their votes."""
-    return P.dedupe(P.event_pool(load(spark, d, "events"))).select("qid", "key", "votes", "min_idx", "sql_text", F.array_join("models", ",").alias("models"))
+    return X.dedupe(X.event_pool(load(spark, d, "events"))).select("qid", "key", "votes", "min_idx", "sql_text", F.array_join("models", ",").alias("models"))
 
 
 def groups_by_signature(spark, d):
     """Groups of equal result vectors."""
-    return P.build_groups(P.entries_of(spark, d)).select("qid", "sig", "size", "n_keys", "n_models", "rep", "is_empty", "is_zero")
+    return P.build_groups(X.entries_of(spark, d)).select("qid", "sig", "size", "n_keys", "n_models", "rep", "is_empty", "is_zero")
 
 
 def rankable_groups(spark, d):
     """Groups that may win."""
-    return P.rankable(P.build_groups(P.entries_of(spark, d))).select("qid", "sig", "size")
+    return P.rankable(P.build_groups(X.entries_of(spark, d))).select("qid", "sig", "size")
 
 
 def multi_instance_vector(spark, d):
     """Signature vector of each candidate over three instances."""
-    return P.entries_of(spark, d).select("qid", "key", F.array_join("vector", "|").alias("sig"))
+    return X.entries_of(spark, d).select("qid", "key", F.array_join("vector", "|").alias("sig"))
 
 
 def maj_winner(spark, d):
     """Majority text of each question."""
-    return P.majority(P.entries_of(spark, d))
+    return P.majority(X.entries_of(spark, d))
 
 
 def argmax_winner(spark, d):
     """Highest-scored candidate of each question."""
-    return P.argmax_score(P.entries_of(spark, d))
+    return P.argmax_score(X.entries_of(spark, d).where("status <> 'err'"))
 
 
 def fallback_chain(spark, d):
     """Winner of the vote, else the majority text, else a constant query."""
-    e = P.entries_of(spark, d)
-    return P.with_fallback(P.event_pool(load(spark, d, "events")), P.arm_vav(P.build_groups(e)), P.majority(e))
+    e = X.entries_of(spark, d)
+    return P.with_fallback(X.event_pool(load(spark, d, "events")), P.arm_vav(P.build_groups(e)), P.majority(e))
 
 
 def winner_judged(spark, d):
     """Whether the vote's winner has the gold result in all instances."""
-    e = P.entries_of(spark, d)
-    return P.judged(P.arm_vav(P.build_groups(e)), e)
+    e = X.entries_of(spark, d)
+    return X.judged(P.arm_vav(P.build_groups(e)), e)
 
 
 def pool_membership(spark, d):
     """Winners of the vote in the pools of one model, the other, and both."""
     out = None
     for name, model in (("m1", "m1"), ("m2", "m2"), ("both", None)):
-        w = P.arm_vav(P.build_groups(P.entries_of(spark, d, model))).select(F.lit(name).alias("pool"), "qid", "sig", "size")
+        w = P.arm_vav(P.build_groups(X.entries_of(spark, d, model))).select(F.lit(name).alias("pool"), "qid", "sig", "size")
         out = w if out is None else out.unionByName(w)
     return out
 
@@ -128,21 +129,21 @@ def instance_ladder(spark, d):
     """Winners of the vote on the first one, two and three instances."""
     out = None
     for k in (1, 2, 3):
-        w = P.arm_vav(P.build_groups(P.entries_of(spark, d, instances=k))).select(F.lit(k).alias("k"), "qid", "sig", "size")
+        w = P.arm_vav(P.build_groups(X.entries_of(spark, d, instances=k))).select(F.lit(k).alias("k"), "qid", "sig", "size")
         out = w if out is None else out.unionByName(w)
     return out
 
 
 def order_split(spark, d):
     """Groups that fall apart when the order of samples matters (the parity of the cell stands for the order)."""
-    e = P.entries_of(spark, d).where("status = 'ok'").withColumn("ordered", F.col("res_cell") % 2)
+    e = X.entries_of(spark, d).where("status = 'ok'").withColumn("ordered", F.col("res_cell") % 2)
     g = e.groupBy("qid", F.array_join("vector", "|").alias("sig")).agg(F.countDistinct("ordered").alias("n_orders"), F.sum("votes").alias("size"))
     return g.where("n_orders > 1")
 
 
 def vote_shortest(spark, d):
     """The largest group, first seen on ties, and the shortest query in it."""
-    e = P.entries_of(spark, d).where("status <> 'err'").withColumn("sig", F.array_join("vector", "|"))
+    e = X.entries_of(spark, d).where("status <> 'err'").withColumn("sig", F.array_join("vector", "|"))
     g = e.groupBy("qid", "sig").agg(F.sum("votes").alias("size"), F.min("min_idx").alias("first"), F.min_by("key", F.struct(F.length("key").alias("n"), "key")).alias("rep"))
     best = g.groupBy("qid").agg(F.max_by(F.struct("rep", "size"), F.struct(F.col("size"), -F.col("first"))).alias("w"))
     return best.select("qid", "w.rep", "w.size")
@@ -150,24 +151,24 @@ def vote_shortest(spark, d):
 
 def vote_prefer_source(spark, d):
     """The text with most votes; on ties one that model m1 gave, then the earliest, then the shortest."""
-    e = P.entries_of(spark, d)
+    e = X.entries_of(spark, d)
     key = F.struct(F.col("votes"), F.array_contains("models", "m1"), -F.col("min_idx"))
     return e.groupBy("qid").agg(F.max_by(F.struct("key", "votes"), key).alias("w")).select("qid", F.col("w.key").alias("rep"), F.col("w.votes").alias("size"))
 
 
 def vote_min_votes(spark, d):
     """Winners whose group has at least 8 votes."""
-    return P.arm_vav(P.build_groups(P.entries_of(spark, d))).where("size >= 8")
+    return P.arm_vav(P.build_groups(X.entries_of(spark, d))).where("size >= 8")
 
 
 def vote_keep_empty(spark, d):
     """The vote with empty groups kept in."""
-    return P.pick(P.build_groups(P.entries_of(spark, d)), F.col("size"))
+    return P.pick(P.build_groups(X.entries_of(spark, d)), F.col("size"))
 
 
 def vote_quality(spark, d):
     """Votes first, then the quality of the text: fewer words, then shorter."""
-    e = P.entries_of(spark, d).where("status <> 'err'")
+    e = X.entries_of(spark, d).where("status <> 'err'")
     quality = F.round(-2.0 * F.size(F.split("key", " ")) - 0.001 * F.length("key"), 6)
     w = e.groupBy("qid").agg(F.max_by(F.struct("key", "votes"), F.struct(F.col("votes"), quality, F.col("key"))).alias("w"))
     return w.select("qid", F.col("w.key").alias("rep"), F.col("w.votes").alias("size"))
@@ -175,7 +176,7 @@ def vote_quality(spark, d):
 
 def source_ablation(spark, d):
     """Winners over each subset of models; votes are not counted again by model."""
-    e = P.entries_of(spark, d)
+    e = X.entries_of(spark, d)
     out = None
     for tags in (("m1",), ("m2",), ("m1", "m2")):
         sub = e.where(F.arrays_overlap("models", F.array(*map(F.lit, tags))))
@@ -186,8 +187,8 @@ def source_ablation(spark, d):
 
 def confidence_flags(spark, d):
     """Share of all samples that voted for the winner, low below 0.2 (strictly)."""
-    n = P.event_pool(load(spark, d, "events")).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    w = P.arm_vav(P.build_groups(P.entries_of(spark, d)))
+    n = X.event_pool(load(spark, d, "events")).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    w = P.arm_vav(P.build_groups(X.entries_of(spark, d)))
     return w.join(n, "qid").select("qid", F.round(F.col("size") / F.col("n"), 6).alias("confidence"), (F.col("size") / F.col("n") < 0.2).alias("low"))
 
 
@@ -198,23 +199,21 @@ def centroid_filter(spark, d):
     mean is taken from the counts of each distinct cell of the question (at most
     ten here), not from all pairs of candidates.
     """
-    e = P.entries_of(spark, d).where("status = 'ok'").select("qid", "key", "res_cell", "min_idx")
+    e = X.entries_of(spark, d).where("status = 'ok'").select("qid", "key", "res_cell", "min_idx")
     cells = e.groupBy("qid", "res_cell").agg(F.count(F.lit(1)).alias("n"))
     b = cells.select("qid", F.col("res_cell").alias("other"), F.col("n").alias("n_other"))
     sim = cells.join(b, "qid").groupBy("qid", "res_cell").agg(F.sum(F.col("n_other") / (1 + F.abs(F.col("res_cell") - F.col("other")))).alias("total"), F.sum("n_other").alias("k"))
     scored = e.join(sim, ["qid", "res_cell"]).where("k > 1").withColumn("mean_sim", F.round((F.col("total") - 1) / (F.col("k") - 1), 6))
-    w = P.W.partitionBy("qid").orderBy("mean_sim", "min_idx")
+    w = W.partitionBy("qid").orderBy("mean_sim", "min_idx")
     drop = F.greatest(F.lit(1), F.least(F.col("k") - 1, F.round(F.col("k") * 0.25)))
     return scored.withColumn("r", F.row_number().over(w)).where(F.col("r") > drop).select("qid", "key", "mean_sim")
 
 
 def accuracy_matrix(spark, d):
     """Accuracy of each rule over all questions."""
-    e = P.entries_of(spark, d)
-    j = P.all_winners(spark, d)
-    v = e.select("qid", F.col("key").alias("rep"), F.array_join("vector", "|").alias("sig"))
+    e = X.entries_of(spark, d)
     gold = F.concat_ws("|", *[F.concat(F.lit("I"), ((F.col("qid") % 5 + F.col("qid") * k) % 7).cast("string")) for k in range(3)])
-    return j.join(v, ["qid", "rep"]).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("sig") == gold).cast("bigint")).alias("n_correct"))
+    return P.all_winners(P.build_groups(e)).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("sig") == gold).cast("bigint")).alias("n_correct"))
 
 
 QUERIES = {f"{k}_winner" if k == "vav" else f"arm_{k}": _arm_query(k) for k in P.ARMS}

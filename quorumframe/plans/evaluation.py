@@ -9,6 +9,7 @@ from quorumframe.operators import pool as P
 from quorumframe.operators import stats as S
 from quorumframe.session import load
 
+from . import fixture as X
 from .adjudication import ARM_SQL, CLOSE, GOLD, MAJ, POOL, TOPS, VAV
 
 KS = [4, 8, 16, 32]
@@ -16,7 +17,7 @@ KS = [4, 8, 16, 32]
 
 def _samples(spark, d):
     """Samples of each question in order with their result and whether it is right."""
-    p = P.event_pool(load(spark, d, "events"))
+    p = X.event_pool(load(spark, d, "events"))
     rn = F.row_number().over(W.partitionBy("qid").orderBy("sample_idx"))
     return p.select("qid", rn.alias("rn"), F.coalesce(F.col("res_cell").cast("string"), F.lit("err")).alias("res"), F.coalesce(F.col("res_cell") == F.col("qid") % 5, F.lit(False)).alias("correct"))
 
@@ -25,9 +26,9 @@ SAMPLES = "samples AS (SELECT user_id AS qid, ROW_NUMBER() OVER (PARTITION BY us
 
 
 def _judged(spark, d):
-    e = P.entries_of(spark, d)
+    e = X.entries_of(spark, d)
     g = P.build_groups(e)
-    return P.judged(P.arm_vav(g), e), P.judged(P.majority(e).select("qid", "rep"), e)
+    return X.judged(P.arm_vav(g), e), X.judged(P.majority(e).select("qid", "rep"), e)
 
 
 def run_summary(spark, d):
@@ -72,7 +73,7 @@ def maj_at_k(spark, d):
 
 def prefix_grid(spark, d):
     """Accuracy by prefix and model, and over all models."""
-    p = P.event_pool(load(spark, d, "events"))
+    p = X.event_pool(load(spark, d, "events"))
     rn = F.row_number().over(W.partitionBy("qid", "model").orderBy("sample_idx"))
     s = p.select("qid", "model", rn.alias("rn"), F.coalesce(F.col("res_cell") == F.col("qid") % 5, F.lit(False)).alias("correct"))
     k = F.explode(F.array(*map(F.lit, KS))).alias("k")
@@ -125,34 +126,34 @@ def feature_correlations(spark, d):
 
 def self_bleu(spark, d):
     """How alike the sampled texts of each question are."""
-    e = P.dedupe(P.event_pool(load(spark, d, "events"))).select("qid", F.col("min_idx").alias("id"), F.col("key").alias("text"))
+    e = X.dedupe(X.event_pool(load(spark, d, "events"))).select("qid", F.col("min_idx").alias("id"), F.col("key").alias("text"))
     return S.self_bleu(e)
 
 
 def vote_strata(spark, d):
     """Questions and accuracy of the vote by votes of its winner: 0 to 5, then 6 and more."""
-    e = P.entries_of(spark, d)
+    e = X.entries_of(spark, d)
     w = P.arm_vav(P.build_groups(e))
-    j = P.judged(w, e).join(w.select("qid", "size"), "qid")
+    j = X.judged(w, e).join(w.select("qid", "size"), "qid")
     band = F.when(F.col("size") >= 6, "6+").otherwise(F.col("size").cast("string"))
     return j.groupBy(band.alias("votes")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("bigint")).alias("n_correct"))
 
 
 def size_buckets(spark, d):
     """Groups of the pool by size bucket and number of models."""
-    g = P.build_groups(P.entries_of(spark, d))
+    g = P.build_groups(X.entries_of(spark, d))
     b = F.when(F.col("size") == 1, "1").when(F.col("size") <= 4, "2-4").when(F.col("size") <= 9, "5-9").otherwise("10+")
     return g.groupBy(b.alias("bucket"), "n_models").agg(F.count(F.lit(1)).alias("n"))
 
 
 def gated_analysis(spark, d):
     """How the close-vote gate works: triggered, changed, improved, regressed."""
-    e = P.entries_of(spark, d)
+    e = X.entries_of(spark, d)
     g = P.build_groups(e)
-    base, arm = P.arm_vav(g), P.arm_tiebreak(g)
+    base, arm = P.arm_vav(g), P.ARMS["tiebreak"](g)
     close = P.gated(P.rankable(g)).select("qid", "close")
-    a = P.judged(base, e).select("qid", F.col("rep").alias("ra"), F.col("correct").alias("ca"))
-    b = P.judged(arm, e).select("qid", F.col("rep").alias("rb"), F.col("correct").alias("cb"))
+    a = X.judged(base, e).select("qid", F.col("rep").alias("ra"), F.col("correct").alias("ca"))
+    b = X.judged(arm, e).select("qid", F.col("rep").alias("rb"), F.col("correct").alias("cb"))
     j = a.join(b, "qid").join(close, "qid")
     n = lambda c: F.sum(c.cast("bigint"))
     return j.agg(n(F.col("close")).alias("triggered"), n(F.col("ra") != F.col("rb")).alias("changed"), n(~F.col("ca") & F.col("cb")).alias("improved"), n(F.col("ca") & ~F.col("cb")).alias("regressed"))
@@ -160,13 +161,13 @@ def gated_analysis(spark, d):
 
 def rank_metrics(spark, d):
     """Ranking quality of the scores against the gold result."""
-    e = P.entries_of(spark, d).where("status <> 'err'")
+    e = X.entries_of(spark, d).where("status <> 'err'")
     return S.ranking_metrics(e.select("qid", "key", "score", (F.coalesce(F.col("res_cell") % 7 == F.col("qid") % 5, F.lit(False)) & (F.col("status") == "ok")).cast("int").alias("label")))
 
 
 def stage_agreement(spark, d):
     """Recall of the final winner among the k best of the first stage, for questions with more than k groups."""
-    g = P.rankable(P.build_groups(P.entries_of(spark, d)))
+    g = P.rankable(P.build_groups(X.entries_of(spark, d)))
     r = g.withColumn("ra", F.row_number().over(W.partitionBy("qid").orderBy(F.round(F.col("size") * F.col("mean_score"), 6).desc(), F.desc("sig")))).withColumn("rb", F.row_number().over(W.partitionBy("qid").orderBy(F.round(F.col("size") * F.col("score"), 6).desc(), F.desc("sig"))))
     top = r.where("rb = 1").join(g.groupBy("qid").agg(F.count(F.lit(1)).alias("n_groups")), "qid")
     k = F.explode(F.array(*map(F.lit, [1, 2, 3]))).alias("k")
@@ -185,15 +186,15 @@ def winner_sources(spark, d):
     """Where winners come from in each pool, one column a source."""
     out = None
     for name, model in (("m1", "m1"), ("m2", "m2"), ("both", None)):
-        e = P.entries_of(spark, d, model)
-        f = P.with_fallback(P.event_pool(load(spark, d, "events")), P.arm_vav(P.build_groups(e)), P.majority(e)).select(F.lit(name).alias("pool"), "source")
+        e = X.entries_of(spark, d, model)
+        f = P.with_fallback(X.event_pool(load(spark, d, "events")), P.arm_vav(P.build_groups(e)), P.majority(e)).select(F.lit(name).alias("pool"), "source")
         out = f if out is None else out.unionByName(f)
     return out.groupBy("pool").pivot("source", ["group", "fallback_maj", "no_pool"]).count().na.fill(0)
 
 
 def label_stats(spark, d):
     """Positive share and all-right, all-wrong and mixed questions by model."""
-    e = P.entries_of(spark, d).where("status <> 'err'").withColumn("label", F.coalesce(F.col("res_cell") % 7 == F.col("qid") % 5, F.lit(False)).cast("int")).select("qid", "label", F.explode("models").alias("model"))
+    e = X.entries_of(spark, d).where("status <> 'err'").withColumn("label", F.coalesce(F.col("res_cell") % 7 == F.col("qid") % 5, F.lit(False)).cast("int")).select("qid", "label", F.explode("models").alias("model"))
     q = e.groupBy("model", "qid").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
     return q.groupBy("model").agg(
         F.sum("n").alias("n"), F.round(F.sum("pos") / F.sum("n"), 6).alias("pos_ratio"), F.sum((F.col("pos") == F.col("n")).cast("bigint")).alias("all_right"),

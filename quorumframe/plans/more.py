@@ -10,6 +10,7 @@ from quorumframe.operators import equality as E
 from quorumframe.operators import pool as P
 from quorumframe.session import load
 
+from . import fixture as X
 from .adjudication import GOLD, POOL, VAV
 from .curation import CAND
 
@@ -38,7 +39,7 @@ def temp_grid(spark, d):
     s = _hashed(spark, d)
     best = s.where("vote is not null").groupBy("di").agg(F.max_by("h", F.struct("vote", "h")).alias("top"))
     # One row a sample and number; a question's samples of one temperature are counted, not sorted, within a bounded heap.
-    first = s.groupBy("di", "temperature").agg(P.InternalFunction.collect_top_k(F.struct("id", "h"), 8, True).alias("xs"))
+    first = s.groupBy("di", "temperature").agg(P.heap(F.struct("id", "h"), 8, True).alias("xs"))
     k = F.explode(F.array(F.lit(2), F.lit(4), F.lit(8))).alias("k")
     x = first.select("di", "temperature", "xs", k).select("di", "temperature", "k", F.posexplode(F.slice("xs", F.lit(1), F.col("k"))).alias("p", "x"))
     v = x.groupBy("di", "temperature", "k", F.col("x.h").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("first"))
@@ -48,7 +49,7 @@ def temp_grid(spark, d):
 
 def _with_rows(spark, d) -> DataFrame:
     """Entries with a result of two columns whose order turns with the votes."""
-    e = P.entries_of(spark, d).where("status = 'ok'")
+    e = X.entries_of(spark, d).where("status = 'ok'")
     a, b = F.concat(F.lit("I"), (F.col("res_cell") % 7).cast("string")), F.concat(F.lit("I"), ((F.col("res_cell") + F.col("qid")) % 3).cast("string"))
     return e.withColumn("rows", F.array(F.when(F.col("votes") % 2 == 0, F.array(a, b)).otherwise(F.array(b, a))))
 
@@ -70,9 +71,9 @@ def arm_consensus_f1(spark, d):
 
 def label_crosscheck(spark, d):
     """Labels of two ways to judge a winner: consistent, differing or missing on one side."""
-    e = P.entries_of(spark, d)
-    a = P.judged(P.arm_vav(P.build_groups(e)), e).where("qid % 7 <> 0").select("qid", F.col("correct").alias("a"))
-    b = P.judged(P.majority(e).select("qid", "rep"), e).where("qid % 11 <> 0").select("qid", F.col("correct").alias("b"))
+    e = X.entries_of(spark, d)
+    a = X.judged(P.arm_vav(P.build_groups(e)), e).where("qid % 7 <> 0").select("qid", F.col("correct").alias("a"))
+    b = X.judged(P.majority(e).select("qid", "rep"), e).where("qid % 11 <> 0").select("qid", F.col("correct").alias("b"))
     j = a.join(b, "qid", "full")
     state = F.when(F.col("a").isNull() | F.col("b").isNull(), "missing").when(F.col("a") == F.col("b"), "consistent").otherwise("mismatch")
     return j.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
@@ -100,7 +101,7 @@ def example_pick(spark, d):
     a used database folds over these nine.
     """
     q = load(spark, d, "questions").where("difficulty in ('easy', 'medium', 'hard') and gold_sql is not null and di >= 0").select("di", "db_id", "difficulty", F.length("question").alias("n"), F.when(F.col("difficulty") == "easy", 0).when(F.col("difficulty") == "medium", 1).otherwise(2).alias("rank"))
-    offers = q.groupBy("rank").agg(P.InternalFunction.collect_top_k(F.struct("n", "di", "db_id"), 3, True).alias("xs"))
+    offers = q.groupBy("rank").agg(P.heap(F.struct("n", "di", "db_id"), 3, True).alias("xs"))
     nine = offers.agg(F.array_sort(F.collect_list(F.struct("rank", "xs"))).alias("all"))
     zero = F.array().cast("array<struct<di:int,db_id:string>>")
 

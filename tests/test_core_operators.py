@@ -9,6 +9,7 @@ from quorumframe.operators import curate as C
 from quorumframe.operators import evidence as V
 from quorumframe.operators import pool as P
 from quorumframe.operators import stats as S
+from quorumframe.plans import fixture as X
 from quorumframe.sources import readers as R
 from quorumframe.sources import store as ST
 from quorumframe.streaming.ingest import stream_ingest, windowed_counts
@@ -17,7 +18,7 @@ POOL = "qid int, sample_idx int, model string, res_cell int, status string, sql_
 
 
 def groups(spark, rows):
-    return P.build_groups(P.with_vectors(P.dedupe(spark.createDataFrame(rows, POOL)), 1))
+    return P.build_groups(X.with_vectors(X.dedupe(spark.createDataFrame(rows, POOL)), 1))
 
 
 def votes(q, n, model, cell, status="ok", text=None, start=0):
@@ -32,14 +33,14 @@ def test_degenerate_groups_are_skipped(spark):
     got = {r.qid: (r.sig, r.size) for r in P.arm_vav(g).collect()}
     # 4 % 7 + 4 * 0: an all-zero group wins where there is no other; a tie goes to the larger signature.
     assert got == {1: ("I3", 3), 2: ("I5", 2), 3: ("I2", 2), 4: ("I0", 5)}
-    f = {r.qid: (r.rep, r.source) for r in P.with_fallback(spark.createDataFrame([(q,) for q in range(1, 7)], "qid int"), P.arm_vav(g), P.majority(P.dedupe(spark.createDataFrame(rows, POOL)))).collect()}
+    f = {r.qid: (r.rep, r.source) for r in P.with_fallback(spark.createDataFrame([(q,) for q in range(1, 7)], "qid int"), P.arm_vav(g), P.majority(X.dedupe(spark.createDataFrame(rows, POOL)))).collect()}
     assert f[5][1] == "fallback_maj" and f[6] == ("SELECT 1", "no_pool")
 
 
 def test_models_and_gates(spark):
     rows = votes(1, 3, "m1", 1) + votes(1, 1, "m1", 2, start=10) + votes(1, 1, "m2", 2, start=11, text="select m1 2 ok")
     g = groups(spark, rows)
-    assert P.arm_vav(g).first().sig == "I1" and P.arm_soft_ladder(g).first().sig == "I2" and P.arm_soft_cross(3)(g).first().sig == "I2"
+    assert P.arm_vav(g).first().sig == "I1" and P.ARMS["soft_ladder"](g).first().sig == "I2" and P.ARMS["soft_cross_w3"](g).first().sig == "I2"
     assert P.gated(g).first().close and P.arm_vav(groups(spark, [])).count() == 0
 
 

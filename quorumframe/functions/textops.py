@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +11,16 @@ from pyspark.sql import functions as F
 FORBIDDEN = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "REPLACE", "ATTACH", "DETACH")
 STARTS = ("SELECT", "WITH", "EXPLAIN", "PRAGMA")
 # Words without content, for keyword matching.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "by", "do", "does", "for", "from", "give", "have", "how", "in", "is", "it", "list", "many", "me", "of", "on", "or", "show", "that", "the", "their", "there", "to", "what", "when", "where", "which", "who", "whose", "with")
+STOP_WORDS = tuple(
+    """a an the is are was were be been being of to in on at for with by from and or not
+no nor what which who whom whose how many much most more most less least each every
+all any some such than then that this these those it its their there here where when
+why per our your above below between into over under again further once out up down
+find get give show display list count sum average avg min max total number value
+values information detail details record records data database table tables column
+columns question answer queries query please would could should can will may does
+do did done has have had having year month day date time first last""".split()
+)
 
 
 def norm_key(c: Column) -> Column:
@@ -76,16 +87,23 @@ def export_sql(c: Column) -> Column:
 
 FENCE = r"(?is)```\s*sql\s*\n?(.*?)```"
 ANY_FENCE = r"(?s)```\w*\s*\n?(.*?)```"
-STATEMENT = r"(?is)\b((?:select|with)\b[^;]*)"
+# To the first semicolon outside quotes; an open quote holds the rest.
+STATEMENT = r"""(?is)\b((?:select|with)\b(?:[^;'"]++|'[^']*+(?:'|\z)|"[^"]*+(?:"|\z))*+)"""
+
+
+def no_comment_lines(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?m)^\s*--.*$", "")
 
 
 def fenced_sql(c: Column) -> Column:
-    """The first fenced query: a sql fence, else any fence, else the text from SELECT or WITH to a semicolon, else all."""
+    """Without its comment lines: the first sql fence, else any fence, else the text from SELECT or WITH to a semicolon outside quotes, else all."""
+    c = no_comment_lines(c)
     return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(c, p, 1)), F.lit("")) for p in (FENCE, ANY_FENCE, STATEMENT)], F.trim(c))
 
 
 def parse_method(c: Column) -> Column:
     """Which step of fenced_sql answers."""
+    c = no_comment_lines(c)
     hit = lambda p: F.trim(F.regexp_extract(c, p, 1)) != ""
     return F.when(c.isNull(), None).when(hit(FENCE), "sql_fence").when(hit(ANY_FENCE), "fence").when(hit(STATEMENT), "statement").otherwise("rest")
 
@@ -118,8 +136,9 @@ def named_tables(c: Column) -> Column:
 
 
 def references_tables(pred: Column, gold: Column, schema: Column) -> Column:
-    """Whether a query names a table of the gold query (of the schema where the gold names none): no stub."""
-    want = F.when(F.size(named_tables(gold)) > 0, named_tables(gold)).otherwise(schema)
+    """Whether a query names a table of the gold query (of the schema where the gold names none, or begins with WITH): no stub."""
+    own = named_tables(gold)
+    want = F.when((F.size(own) > 0) & ~F.ltrim(F.lower(gold)).startswith("with"), own).otherwise(schema)
     return F.coalesce(F.arrays_overlap(named_tables(pred), want), F.lit(False))
 
 
@@ -146,24 +165,31 @@ def hash16(c: Column) -> Column:
 
 
 def content_tokens(c: Column) -> Column:
-    """Distinct words in lower case that are no stop words and longer than one letter."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0))
-    return F.array_except(F.filter(F.array_distinct(words), lambda w: F.length(w) > 1), F.array(*map(F.lit, STOP_WORDS)))
+    """Words of letters, digits and underscores in lower case, in order and with repeats, without stop words."""
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9_]+"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def token_variants(word: Column) -> Column:
-    """A word with its plain singular or plural forms."""
-    cut = lambda n: F.substring(word, F.lit(1), F.length(word) - n)
-    forms = F.array(
-        word, F.when(word.endswith("ies") & (F.length(word) > 4), F.concat(cut(3), F.lit("y"))), F.when(word.endswith("es") & (F.length(word) > 4), cut(2)),
-        F.when(word.endswith("s") & ~word.endswith("ss") & (F.length(word) > 3), cut(1)), F.when(~word.endswith("s"), F.concat(word, F.lit("s"))),
-    )
-    return F.array_sort(F.array_distinct(F.array_compact(forms)))
+    """A word and its other number: without its s (from four letters on), or with one (from three)."""
+    n, s = F.length(word), word.endswith("s")
+    other = F.when(s & (n >= 4), F.substring(word, F.lit(1), n - 1)).when(~s & (n >= 3), F.concat(word, F.lit("s")))
+    return F.array_compact(F.array(word, other))
 
 
 def norm_name(c: Column) -> Column:
-    """Names with underscores and hyphens as blanks, camel case split, in lower case."""
-    return norm_key(F.regexp_replace(F.regexp_replace(c, r"([a-z0-9])([A-Z])", "$1 $2"), r"[_\-]+", " "))
+    """Names in lower case, ends trimmed, hyphens as underscores."""
+    return F.replace(F.lower(F.trim(c)), F.lit("-"), F.lit("_"))
+
+
+def norm_value(c: Column) -> Column:
+    """Letters a to z and digits of a value in lower case; a null value is an empty text."""
+    return F.regexp_replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"[^a-z0-9]", "")
+
+
+def truncate(c: Column, n: int) -> Column:
+    """Blanks collapsed; a longer text is cut to n characters, the last three being dots. A null text is empty."""
+    t = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    return F.when(F.length(t) <= n, t).otherwise(F.concat(F.substring(t, 1, max(n - 3, 1)), F.lit("...")))
 
 
 def estimate_tokens(c: Column) -> Column:
@@ -185,6 +211,24 @@ def corrupt_steps(c: Column, id_: Column, seed: int) -> Column:
     return F.when(n > 1, F.array_join(new, " ")).otherwise(c)
 
 
+def truncate_prompt(c: Column, budget: int, size: Callable[[Column], Column] = estimate_tokens, overhead: int = 0) -> Column:
+    """The longest beginning whose size with the template's overhead is within the budget, its end trimmed.
+
+    The cut is found by bisection over the number of characters, as a fold of 32
+    steps; size need only not shrink as a text grows.
+    """
+    n = F.length(c)
+    zero = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
+        fits = size(F.substring(c, F.lit(1), mid)) + overhead <= budget
+        return F.when(acc["lo"] >= acc["hi"], acc).otherwise(F.struct(F.when(fits, mid).otherwise(acc["lo"]).alias("lo"), F.when(fits, acc["hi"]).otherwise(mid - 1).alias("hi")))
+
+    cut = F.aggregate(F.sequence(F.lit(1), F.lit(32)), zero, halve)["lo"]
+    return F.when(size(c) + overhead <= budget, c).otherwise(F.rtrim(F.substring(c, F.lit(1), cut)))
+
+
 def trim_to_tokens(c: Column, budget: int) -> Column:
     """The longest beginning within a token budget by estimate_tokens."""
     return F.when(estimate_tokens(c) <= budget, c).otherwise(F.substring(c, 1, budget * 4))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.internal import InternalFunction
+
+from .pool import heap
 
 
 def draw(seed: int | str, *keys: Column) -> Column:
@@ -34,7 +35,7 @@ def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
 def lowest_draws(df: DataFrame, group: str, id_: str, k: int, seed: int | str) -> DataFrame:
     """At most k rows of each group, those of the lowest draw: a bounded heap for each group and task."""
     pair = F.struct(draw(seed, F.col(id_)).alias("d"), F.col(id_).alias(id_))
-    kept = df.groupBy(group).agg(InternalFunction.collect_top_k(pair, k, True).alias("h"))
+    kept = df.groupBy(group).agg(heap(pair, k, True).alias("h"))
     return kept.select(group, F.explode("h").alias("h")).select(group, F.col(f"h.{id_}").alias(id_))
 
 

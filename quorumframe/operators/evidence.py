@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
-from pyspark.sql.internal import InternalFunction
+from .pool import heap
 
 import pandas as pd
 
@@ -25,7 +24,7 @@ def foreign_keys_of(schemas: DataFrame) -> DataFrame:
     fk = schemas.select("db_id", F.explode("foreign_keys").alias("k")).select("db_id", F.col("k.from_col").alias("a"), F.col("k.to_col").alias("b"))
     left = c.select("db_id", F.col("pos").alias("a"), F.col("tbl").alias("from_tbl"), F.col("col").alias("from_col"))
     right = c.select("db_id", F.col("pos").alias("b"), F.col("tbl").alias("to_tbl"), F.col("col").alias("to_col"))
-    return fk.join(left, ["db_id", "a"]).join(right, ["db_id", "b"]).select("db_id", "from_tbl", "from_col", "to_tbl", "to_col")
+    return fk.join(left, ["db_id", "a"]).join(right, ["db_id", "b"]).select("db_id", "from_tbl", "from_col", "to_tbl", "to_col", F.col("a").alias("from_pos"))
 
 
 def table_documents(schemas: DataFrame) -> DataFrame:
@@ -36,11 +35,23 @@ def table_documents(schemas: DataFrame) -> DataFrame:
 
 
 def ddl_texts(schemas: DataFrame) -> DataFrame:
-    """CREATE TABLE text of each table from its metadata."""
+    """CREATE TABLE text of each table from its metadata: columns in order, then foreign keys."""
     c = columns_of(schemas)
-    line = F.concat(F.lit("  "), "col", F.lit(" "), F.upper("type"), F.when(F.col("is_pk"), " PRIMARY KEY").otherwise(""))
-    lines = F.array_sort(F.collect_list(F.struct("pos", line.alias("t"))))
-    return c.groupBy("db_id", "tbl").agg(F.concat(F.lit("CREATE TABLE "), F.first("tbl"), F.lit(" (\n"), F.array_join(F.transform(lines, lambda x: x["t"]), ",\n"), F.lit("\n);")).alias("ddl"))
+    line = F.concat(F.lit('"'), "col", F.lit('" '), F.upper("type"), F.when(F.col("is_pk"), " PRIMARY KEY").otherwise(""))
+    fk = foreign_keys_of(schemas)
+    links = fk.select("db_id", F.col("from_tbl").alias("tbl"), F.col("from_pos").alias("pos"), F.concat(F.lit('FOREIGN KEY ("'), "from_col", F.lit('") REFERENCES "'), "to_tbl", F.lit('"("'), "to_col", F.lit('")')).alias("t"))
+    rows = c.select("db_id", "tbl", F.lit(0).alias("part"), "pos", line.alias("t")).unionByName(links.select("db_id", "tbl", F.lit(1).alias("part"), "pos", "t"))
+    lines = F.array_sort(F.collect_list(F.struct("part", "pos", "t")))
+    return rows.groupBy("db_id", "tbl").agg(F.concat(F.lit('CREATE TABLE "'), F.first("tbl"), F.lit('" (\n  '), F.array_join(F.transform(lines, lambda x: x["t"]), ",\n  "), F.lit("\n);")).alias("ddl"))
+
+
+def name_ids(schemas: DataFrame) -> DataFrame:
+    """Unique ids of names in lower case: __table.column__ of a column, __table__ of a table, __all__ of the star."""
+    c = columns_of(schemas).select("db_id", F.lower("tbl").alias("t"), F.lower("col").alias("c"))
+    cols = c.select("db_id", F.concat_ws(".", "t", "c").alias("name"), F.concat(F.lit("__"), "t", F.lit("."), "c", F.lit("__")).alias("id"))
+    tables = c.select("db_id", F.col("t").alias("name"), F.concat(F.lit("__"), "t", F.lit("__")).alias("id"))
+    star = schemas.select("db_id", F.lit("*").alias("name"), F.lit("__all__").alias("id"))
+    return cols.unionByName(tables).unionByName(star).distinct()
 
 
 def words(c: Column) -> Column:
@@ -111,8 +122,8 @@ def value_hits(terms: DataFrame, values: DataFrame, keep: int = 3) -> DataFrame:
     allowed = 2 * F.least(F.length("nt"), F.length("nv")) / (F.length("nt") + F.length("nv")) >= LEAST
     similar = near.where("length(term) >= 4").where(allowed).where(ratio_udf("nt", "nv") >= LEAST).select("qid", "term", "value", F.lit(SIMILAR).alias("priority"))
     best = exact.unionByName(inside).unionByName(held).unionByName(similar).groupBy("qid", "term", "value").agg(F.max("priority").alias("priority"))
-    heap = best.groupBy("qid", "term").agg(InternalFunction.collect_top_k(F.struct(F.negative("priority").alias("p"), "value"), keep, True).alias("h"))
-    return heap.select("qid", "term", F.explode("h").alias("h")).select("qid", "term", "h.value", F.negative("h.p").alias("priority"))
+    kept = best.groupBy("qid", "term").agg(heap(F.struct(F.negative("priority").alias("p"), "value"), keep, True).alias("h"))
+    return kept.select("qid", "term", F.explode("h").alias("h")).select("qid", "term", "h.value", F.negative("h.p").alias("priority"))
 
 
 def unit(v: Column) -> Column:
@@ -173,8 +184,8 @@ def block_search(queries: DataFrame, items: DataFrame, k: int, block: int = 4096
     if held or found is None:
         part = search(held) if held else spark.createDataFrame([], "qid bigint, iid bigint, score double")
         found = part if found is None else found.unionByName(part)
-    heap = found.groupBy("qid").agg(InternalFunction.collect_top_k(F.struct("score", F.negative("iid").alias("n")), k, False).alias("h"))
-    return heap.select("qid", F.posexplode("h").alias("p", "h")).select("qid", F.negative("h.n").alias("iid"), F.col("h.score").alias("score"), (F.col("p") + 1).cast("int").alias("rnk"))
+    kept = found.groupBy("qid").agg(heap(F.struct("score", F.negative("iid").alias("n")), k).alias("h"))
+    return kept.select("qid", F.posexplode("h").alias("p", "h")).select("qid", F.negative("h.n").alias("iid"), F.col("h.score").alias("score"), (F.col("p") + 1).cast("int").alias("rnk"))
 
 
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (3, 5, 8)) -> DataFrame:

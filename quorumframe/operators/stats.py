@@ -39,11 +39,42 @@ def mcnemar(fixed: int, broken: int) -> float:
     return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
 
 
-def tie_ranks(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    """Average ranks of tied values, from the counts of distinct values of a group, not from its rows."""
+def running(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Distinct values of each group with the rows that have them (_n) and all rows up to them (_upto).
+
+    A group's values are cut at approximate quantiles into as many ranges as
+    there are shuffle partitions; each range is summed on its own, and only the
+    sums of the ranges are put in order, so no group meets in one task.
+    """
+    k = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return counts.select(*by, value, (F.sum("_n").over(w) - (F.col("_n") - 1) / 2).alias(out))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [i / k for i in range(1, k)], 100 * k).alias("_q"))
+    part = counts.join(cuts, by).withColumn("_p", F.size(F.filter("_q", lambda q: q < F.col(value)))).drop("_q")
+    up = W.partitionBy(*by).orderBy("_p")
+    before = part.groupBy(*by, "_p").agg(F.sum("_n").alias("_m")).select(*by, "_p", (F.sum("_m").over(up) - F.col("_m")).alias("_before"))
+    inside = W.partitionBy(*by, "_p").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return part.withColumn("_in", F.sum("_n").over(inside)).join(before, [*by, "_p"]).select(*by, value, "_n", (F.col("_in") + F.col("_before")).alias("_upto"))
+
+
+def mcnemar_p(a: Column, b: Column) -> Column:
+    """Exact two-sided test as an expression: twice the lower tail of a fair binomial, at most 1.
+
+    The tail is one fold over its terms, each made from the one before it; sums
+    are kept relative to the last term, so large counts do not underflow.
+    """
+    n, k = (a + b).cast("double"), F.least(a, b).cast("int")
+    # From the largest term back: term(i - 1) = term(i) * i / (n - i + 1).
+    zero = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+    back = F.aggregate(F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), zero, lambda acc, i: F.when(k == 0, acc).otherwise(F.struct((acc["t"] * (k - i) / (n - k + i + 1)).alias("t"), (acc["s"] + acc["t"] * (k - i) / (n - k + i + 1)).alias("s"))))
+    # log of C(n, k) / 2^n by one fold over k factors.
+    log_c = F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.when(k == 0, 0.0).otherwise(F.log((n - k + i) / i)))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * back["s"] * F.exp(log_c - n * F.log(F.lit(2.0)))))
+
+
+def tie_ranks(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """Average ranks of tied values, from the counts of distinct values of a group, not from its rows. Null values and groups have no rank."""
+    rows = df.where(" and ".join(f"{c} is not null" for c in [*by, value]))
+    return running(rows, value, by).select(*by, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
 
 
 def correlation(x: str, y: str) -> Column:
@@ -103,11 +134,10 @@ def saturation(points: DataFrame, slack: float = 0.0, key: str = "bucket") -> Da
 
 def index_percentile(df: DataFrame, value: str, share: float, by: list[str]) -> DataFrame:
     """The value at place int(n * share) of the sorted values, from counts of distinct values (no list of the group)."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    total = counts.groupBy(*by).agg(F.sum("_n").alias("_t"))
-    run = counts.withColumn("_c", F.sum("_n").over(w)).join(total, by)
-    return run.where(F.col("_c") > F.least(F.floor(F.col("_t") * share), F.col("_t") - 1)).groupBy(*by).agg(F.min(value).alias("p"))
+    rows = df.where(" and ".join(f"{c} is not null" for c in [*by, value]))
+    run = running(rows, value, by)
+    total = run.groupBy(*by).agg(F.max("_upto").alias("_t"))
+    return run.join(total, by).where(F.col("_upto") > F.least(F.floor(F.col("_t") * share), F.col("_t") - 1)).groupBy(*by).agg(F.min(value).alias("p"))
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -166,7 +166,7 @@ def schema_columns(spark, d):
 
 def schema_foreign_keys(spark, d):
     """Foreign keys by name."""
-    return V.foreign_keys_of(load(spark, d, "db_schemas"))
+    return V.foreign_keys_of(load(spark, d, "db_schemas")).drop("from_pos")
 
 
 def schema_ddl(spark, d):
@@ -174,6 +174,11 @@ def schema_ddl(spark, d):
     return V.ddl_texts(load(spark, d, "db_schemas"))
 
 
+def schema_ids(spark, d):
+    """Unique ids of all names."""
+    return V.name_ids(load(spark, d, "db_schemas"))
+
+
 def table_docs(spark, d):
     """One text for each table."""
     return V.table_documents(load(spark, d, "db_schemas"))
@@ -210,7 +215,7 @@ def column_values(spark, d):
     """At most 20 distinct brand and type values of parts in order."""
     p = load(spark, d, "part")
     v = p.select(F.explode(F.array(F.struct(F.lit("p_brand").alias("col"), F.col("p_brand").alias("v")), F.struct(F.lit("p_type").alias("col"), F.col("p_type").alias("v")))).alias("x")).select("x.*").where("length(v) <= 60").distinct()
-    kept = v.groupBy("col").agg(V.InternalFunction.collect_top_k(F.col("v"), 20, True).alias("vs"))
+    kept = v.groupBy("col").agg(V.heap(F.col("v"), 20, True).alias("vs"))
     return kept.select("col", F.explode("vs").alias("v"))
 
 
@@ -248,7 +253,7 @@ def store_stats(spark, d):
     return R.store_stats(load(spark, d, "candidates").dropDuplicates(["id"]))
 
 
-_F = (label_candidates, stratified_cap, balance_up, balance_down, balance_check, question_split, last_wins_merge, first_wins_merge, overlay_upsert, leak_guard_anti, funnel_counts, manifest_check, disjoint_split, target_union, mix_fraction, seeded_sample, pending_work, validate_candidates, explain_targets, schema_columns, schema_foreign_keys, schema_ddl, table_docs, table_relevance, retriever_records, keyword_budget, value_grounding, column_values, retrieve_topk, recall_mrr, store_query_nullsafe, store_ingest_antijoin, store_stats)
+_F = (label_candidates, stratified_cap, balance_up, balance_down, balance_check, question_split, last_wins_merge, first_wins_merge, overlay_upsert, leak_guard_anti, funnel_counts, manifest_check, disjoint_split, target_union, mix_fraction, seeded_sample, pending_work, validate_candidates, explain_targets, schema_columns, schema_foreign_keys, schema_ddl, schema_ids, table_docs, table_relevance, retriever_records, keyword_budget, value_grounding, column_values, retrieve_topk, recall_mrr, store_query_nullsafe, store_ingest_antijoin, store_stats)
 QUERIES = {f.__name__: f for f in _F}
 
 COLS = """cols AS (SELECT db_id, table_names_original[c.table_idx + 1] AS tbl, CAST(i - 1 AS INTEGER) AS pos, c.column_name AS col, lower(column_types[i]) AS type, list_contains(primary_keys, i - 1) AS is_pk
@@ -278,7 +283,9 @@ SQL = {
     "explain_targets": f"WITH {LAB} SELECT di, MIN(id) AS id FROM lab WHERE label = 1 GROUP BY di",
     "schema_columns": f"WITH {COLS} SELECT db_id, tbl, pos, col, type, kind, is_pk FROM k",
     "schema_foreign_keys": f"WITH {COLS}, f AS (SELECT db_id, unnest(foreign_keys) AS x FROM db_schemas) SELECT f.db_id, a.tbl AS from_tbl, a.col AS from_col, b.tbl AS to_tbl, b.col AS to_col FROM f JOIN cols a ON a.db_id = f.db_id AND a.pos = f.x.from_col JOIN cols b ON b.db_id = f.db_id AND b.pos = f.x.to_col",
-    "schema_ddl": f"WITH {COLS} SELECT db_id, tbl, 'CREATE TABLE ' || tbl || ' (' || chr(10) || string_agg('  ' || col || ' ' || upper(type) || CASE WHEN is_pk THEN ' PRIMARY KEY' ELSE '' END, ',' || chr(10) ORDER BY pos) || chr(10) || ');' AS ddl FROM cols GROUP BY db_id, tbl",
+    "schema_ddl": f"WITH {COLS}, f AS (SELECT db_id, unnest(foreign_keys) AS x FROM db_schemas), l AS (SELECT db_id, tbl, 0 AS part, pos, '\"' || col || '\" ' || upper(type) || CASE WHEN is_pk THEN ' PRIMARY KEY' ELSE '' END AS t FROM cols UNION ALL SELECT f.db_id, a.tbl, 1, a.pos, 'FOREIGN KEY (\"' || a.col || '\") REFERENCES \"' || b.tbl || '\"(\"' || b.col || '\")' FROM f JOIN cols a ON a.db_id = f.db_id AND a.pos = f.x.from_col JOIN cols b ON b.db_id = f.db_id AND b.pos = f.x.to_col) SELECT db_id, tbl, 'CREATE TABLE \"' || tbl || '\" (' || chr(10) || '  ' || string_agg(t, ',' || chr(10) || '  ' ORDER BY part, pos, t) || chr(10) || ');' AS ddl FROM l GROUP BY db_id, tbl",
+    "schema_ids": f"WITH {COLS} SELECT db_id, lower(tbl) || '.' || lower(col) AS name, '__' || lower(tbl) || '.' || lower(col) || '__' AS id FROM cols UNION SELECT db_id, lower(tbl), '__' || lower(tbl) || '__' FROM cols UNION SELECT db_id, '*', '__all__' FROM db_schemas",
+    "keyword_budget": f"WITH RECURSIVE {COLS}, l AS (SELECT db_id, tbl || '.' || col AS t, ROW_NUMBER() OVER (PARTITION BY db_id ORDER BY pos) AS i FROM cols), w(db_id, i, used, kept) AS (SELECT DISTINCT db_id, CAST(0 AS BIGINT), 0, CAST([] AS VARCHAR[]) FROM l UNION ALL SELECT w.db_id, l.i, CASE WHEN w.used + length(l.t) + 1 <= 120 THEN CAST(w.used + length(l.t) + 1 AS INTEGER) ELSE w.used END, CASE WHEN w.used + length(l.t) + 1 <= 120 THEN list_append(w.kept, l.t) ELSE w.kept END FROM w JOIN l ON l.db_id = w.db_id AND l.i = w.i + 1) SELECT db_id, array_to_string(arg_max(kept, i), chr(10)) AS section, arg_max(used, i) AS used FROM w GROUP BY db_id",
     "table_docs": f"WITH {COLS} SELECT db_id, tbl, tbl || ' (' || string_agg(col || ' ' || type, ', ' ORDER BY pos) || ')' AS doc FROM cols GROUP BY db_id, tbl",
     "table_relevance": f"WITH {COLS}, q AS (SELECT di, db_id, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS qw FROM questions WHERE question IS NOT NULL), t AS (SELECT db_id, tbl, list_distinct(list(col)) AS cs FROM cols GROUP BY 1, 2), p AS (SELECT di, tbl, CAST((CASE WHEN len(list_filter(regexp_extract_all(lower(tbl), '[a-z0-9]+'), lambda w: NOT list_contains(qw, w))) = 0 THEN 3 ELSE 0 END) + 2 * len(list_filter(cs, lambda x: len(list_filter(string_split(lower(x), '_'), lambda w: NOT list_contains(qw, w))) = 0)) AS INTEGER) AS points FROM q JOIN t USING (db_id)) SELECT * FROM p WHERE points > 0",
     "retriever_records": f"WITH {COLS}, t AS (SELECT DISTINCT db_id, tbl FROM cols) SELECT di, tbl, list_contains(regexp_extract_all(lower(regexp_replace(gold_sql, '''[^'']*''', '', 'g')), '\\b(?:from|join)\\s+[`\"\\[]?(\\w+)', 1), lower(tbl)) AS is_related FROM questions JOIN t USING (db_id) WHERE gold_sql IS NOT NULL",

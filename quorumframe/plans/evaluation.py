@@ -15,11 +15,17 @@ from .adjudication import ARM_SQL, CLOSE, GOLD, MAJ, POOL, TOPS, VAV
 KS = [4, 8, 16, 32]
 
 
+def _first(pool, by, columns):
+    """The first samples of each group in order, at most the largest of KS: a bounded heap, however many a group has."""
+    kept = pool.groupBy(*by).agg(P.heap(F.struct("sample_idx", *columns), max(KS), True).alias("xs"))
+    return kept.select(*by, F.posexplode("xs").alias("p", "x")).select(*by, (F.col("p") + 1).alias("rn"), *[f"x.{c}" for c in columns])
+
+
 def _samples(spark, d):
-    """Samples of each question in order with their result and whether it is right."""
+    """The first samples of each question in order with their result and whether it is right."""
     p = X.event_pool(load(spark, d, "events"))
-    rn = F.row_number().over(W.partitionBy("qid").orderBy("sample_idx"))
-    return p.select("qid", rn.alias("rn"), F.coalesce(F.col("res_cell").cast("string"), F.lit("err")).alias("res"), F.coalesce(F.col("res_cell") == F.col("qid") % 5, F.lit(False)).alias("correct"))
+    right = F.coalesce(F.col("res_cell") == F.col("qid") % 5, F.lit(False))
+    return _first(p.withColumn("res", F.coalesce(F.col("res_cell").cast("string"), F.lit("err"))).withColumn("correct", right), ["qid"], ["res", "correct"])
 
 
 SAMPLES = "samples AS (SELECT user_id AS qid, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, COALESCE(CASE WHEN event_type <> 'error' THEN CAST(CAST(FLOOR(value / 50) AS INT) AS VARCHAR) END, 'err') AS res, COALESCE(CASE WHEN event_type <> 'error' THEN CAST(FLOOR(value / 50) AS INT) = user_id % 5 END, FALSE) AS correct FROM events)"
@@ -45,15 +51,7 @@ def fixed_broken(spark, d):
 def mcnemar_counts(spark, d):
     """Discordant pairs of the two runs with the exact test."""
     vav, maj = _judged(spark, d)
-    return S.paired(maj, vav).select("fixed", "broken", F.round(mcnemar_p(F.col("fixed"), F.col("broken")), 6).alias("p"))
-
-
-def mcnemar_p(a, b):
-    """Exact two-sided test as an expression: twice the lower tail of a fair binomial, at most 1."""
-    n, k = (a + b).cast("int"), F.least(a, b).cast("int")
-    log_fact = lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(x, F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.log(i.cast("double")))
-    tail = F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda acc, i: acc + F.exp(log_fact(n) - log_fact(i) - log_fact(n - i) - n * F.log(F.lit(2.0))))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    return S.paired(maj, vav).select("fixed", "broken", F.round(S.mcnemar_p(F.col("fixed"), F.col("broken")), 6).alias("p"))
 
 
 def spearman(spark, d):
@@ -73,9 +71,8 @@ def maj_at_k(spark, d):
 
 def prefix_grid(spark, d):
     """Accuracy by prefix and model, and over all models."""
-    p = X.event_pool(load(spark, d, "events"))
-    rn = F.row_number().over(W.partitionBy("qid", "model").orderBy("sample_idx"))
-    s = p.select("qid", "model", rn.alias("rn"), F.coalesce(F.col("res_cell") == F.col("qid") % 5, F.lit(False)).alias("correct"))
+    p = X.event_pool(load(spark, d, "events")).withColumn("correct", F.coalesce(F.col("res_cell") == F.col("qid") % 5, F.lit(False)))
+    s = _first(p, ["qid", "model"], ["correct"])
     k = F.explode(F.array(*map(F.lit, KS))).alias("k")
     return s.select("model", "correct", "rn", k).where("rn <= k").rollup("k", "model").agg(F.count(F.lit(1)).alias("n"), S.rate(F.col("correct"), 6).alias("acc")).where("k is not null")
 

@@ -72,8 +72,8 @@ def arm_consensus_f1(spark, d):
 def label_crosscheck(spark, d):
     """Labels of two ways to judge a winner: consistent, differing or missing on one side."""
     e = X.entries_of(spark, d)
-    a = X.judged(P.arm_vav(P.build_groups(e)), e).where("qid % 7 <> 0").select("qid", F.col("correct").alias("a"))
-    b = X.judged(P.majority(e).select("qid", "rep"), e).where("qid % 11 <> 0").select("qid", F.col("correct").alias("b"))
+    a = X.judged(P.arm_vav(P.build_groups(e)), e).select("qid", F.col("correct").alias("a"))
+    b = X.judged(P.majority(e).select("qid", "rep"), e).select("qid", F.col("correct").alias("b"))
     j = a.join(b, "qid", "full")
     state = F.when(F.col("a").isNull() | F.col("b").isNull(), "missing").when(F.col("a") == F.col("b"), "consistent").otherwise("mismatch")
     return j.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
@@ -85,15 +85,6 @@ def empty_reasons(spark, d):
     return r.groupBy(F.coalesce("parse_method", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(10)
 
 
-def ddl_with_source(spark, d):
-    """Schema text from the catalog where it is known, else from the metadata, with its source."""
-    from quorumframe.operators.evidence import ddl_texts
-
-    meta = ddl_texts(load(spark, d, "db_schemas"))
-    known = F.when(F.col("tbl").startswith("c"), F.concat(F.lit("CREATE TABLE "), "tbl", F.lit(" (known)")))
-    return meta.select("db_id", "tbl", F.coalesce(known, "ddl").alias("ddl"), F.when(known.isNotNull(), "catalog").otherwise("metadata").alias("source"))
-
-
 def example_pick(spark, d):
     """One easy, one medium and one hard example for each schema, of another database where there is one, by length and index.
 
@@ -113,9 +104,9 @@ def example_pick(spark, d):
     return nine.select(F.posexplode(F.aggregate("all", zero, take)).alias("place", "p")).select("place", "p.di", "p.db_id")
 
 
-QUERIES = {f.__name__: f for f in (vote_hash, low_temp_vote, temp_grid, arm_rci, arm_consensus_f1, label_crosscheck, empty_reasons, ddl_with_source, example_pick)}
+QUERIES = {f.__name__: f for f in (vote_hash, low_temp_vote, temp_grid, arm_rci, arm_consensus_f1, label_crosscheck, empty_reasons, example_pick)}
 HASHED = f"{CAND}, h AS (SELECT id, di, temperature, sql_text, vote, lower(trim(result_hash, ' ')) AS h FROM c WHERE exec_ok = 1 AND trim(result_hash, ' ') <> '')"
-JUDGED = f"va AS (SELECT qid, COALESCE(sig = {GOLD}, FALSE) AS a FROM vav WHERE qid % 7 <> 0), mb AS (SELECT m.qid, COALESCE(array_to_string(m.vector, '|') = {GOLD.replace('qid', 'm.qid')}, FALSE) AS b FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY votes DESC, min_idx) AS rn FROM scored) m WHERE rn = 1 AND m.qid % 11 <> 0)"
+JUDGED = f"va AS (SELECT qid, COALESCE(sig = {GOLD}, FALSE) AS a FROM vav), mb AS (SELECT m.qid, COALESCE(array_to_string(m.vector, '|') = {GOLD.replace('qid', 'm.qid')}, FALSE) AS b FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY votes DESC, min_idx) AS rn FROM scored) m WHERE rn = 1)"
 SQL = {
     "vote_hash": f"WITH {HASHED}, g AS (SELECT di, h, COUNT(*) AS n, MIN(id) AS f, arg_min(id, {{'l': COALESCE(length(sql_text), 1073741824), 'i': id}}) AS rep FROM h GROUP BY 1, 2) SELECT di, h AS result_hash, n AS votes, rep FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY di ORDER BY n DESC, f) AS r FROM g) t WHERE r = 1",
     "low_temp_vote": f"WITH {HASHED}, g AS (SELECT di, h, COUNT(*) AS n, MIN(id) AS f FROM h WHERE temperature <= 0.2 GROUP BY 1, 2) SELECT di, h AS result_hash FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY di ORDER BY n DESC, f) AS r FROM g) t WHERE r = 1",

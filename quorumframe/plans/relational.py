@@ -13,7 +13,7 @@ TEXTS: dict[str, str] = {
     "pred_between_in_like_null": "SELECT p_partkey, p_brand, p_size FROM part WHERE p_size BETWEEN 5 AND 15 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#23', 'Brand#34') OR p_name LIKE '%a%' AND p_retailprice IS NOT NULL AND NOT p_type LIKE 'S%'",
     "pred_nested_bool": "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR o_totalprice > 100000) AND NOT (o_orderpriority = '1-URGENT' AND o_custkey % 2 = 0)",
     "case_when_cast": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END AS band, CAST(o_orderkey AS VARCHAR(20)) AS key_text, CAST(FLOOR(o_totalprice) AS BIGINT) AS whole FROM orders",
-    "arith_null_safe": "SELECT l_orderkey, l_linenumber, l_suppkey, CAST(FLOOR(l_extendedprice / NULLIF(l_quantity, 0)) AS BIGINT) AS unit, CAST(FLOOR(l_extendedprice / NULLIF(l_quantity - l_quantity, 0)) AS BIGINT) AS gone, COALESCE(NULLIF(l_discount, 0), -1) AS disc FROM lineitem WHERE l_orderkey < 2000",
+    "arith_null_safe": "SELECT l_orderkey, l_linenumber, l_suppkey, CAST(FLOOR(l_extendedprice / NULLIF(l_quantity, 0)) AS BIGINT) AS unit, CAST(FLOOR(l_extendedprice / NULLIF(l_quantity - l_quantity, 0)) AS BIGINT) AS gone, COALESCE(NULLIF(l_discount, 0), -1) AS disc FROM lineitem",
     "join_inner": "SELECT n.n_name, r.r_name, COUNT(*) AS n_customers, ROUND(SUM(c.c_acctbal), 2) AS bal FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY n.n_name, r.r_name",
     "join_left": "SELECT o.o_orderkey, COUNT(l.l_orderkey) AS n_lines FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey AND l.l_quantity > 40 GROUP BY o.o_orderkey",
     "join_right": "SELECT n.n_name, COUNT(s.s_suppkey) AS n_suppliers FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000 GROUP BY n.n_name",
@@ -25,7 +25,7 @@ TEXTS: dict[str, str] = {
     "join_self": "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND a.s_acctbal > b.s_acctbal",
     "join_semi_exists": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)",
     "join_anti_not_exists": "SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)",
-    "join_not_in": "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_suppkey IS NOT NULL)",
+    "join_not_in": "SELECT c_custkey AS k, 'plain' AS list FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000) UNION ALL SELECT c_custkey, 'with null' FROM customer WHERE c_custkey NOT IN (SELECT NULLIF(n_nationkey, 3) FROM nation)",
     "join_in_subquery": "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09)",
     "join_interval_bucket": "SELECT o.o_orderpriority, b.band, COUNT(*) AS n FROM orders o JOIN (SELECT 0 AS lo, 50000 AS hi, 'a' AS band UNION ALL SELECT 50000, 150000, 'b' UNION ALL SELECT 150000, 10000000, 'c') b ON o.o_totalprice >= b.lo AND o.o_totalprice < b.hi GROUP BY o.o_orderpriority, b.band",
     "subq_scalar": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) * 1.5 FROM orders)",
@@ -50,8 +50,8 @@ TEXTS: dict[str, str] = {
     "set_union_all": "SELECT k, COUNT(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) t GROUP BY k",
     "set_intersect": "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9500 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000",
     "set_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 6000",
-    "set_all_variants": "SELECT l_linenumber AS k FROM lineitem WHERE l_orderkey < 100 EXCEPT ALL SELECT p_size FROM part WHERE p_size < 8 AND p_partkey < 50",
-    "set_intersect_all": "SELECT l_linenumber AS k FROM lineitem WHERE l_orderkey < 100 INTERSECT ALL SELECT p_size FROM part WHERE p_size < 8",
+    "set_all_variants": "SELECT l_linenumber AS k FROM lineitem EXCEPT ALL SELECT p_size FROM part WHERE p_size < 8",
+    "set_intersect_all": "SELECT l_linenumber AS k FROM lineitem INTERSECT ALL SELECT p_size FROM part WHERE p_size < 8",
     "set_except_all_counts": "SELECT k, COUNT(*) AS n FROM (SELECT l_linenumber AS k FROM lineitem EXCEPT ALL SELECT p_size FROM part WHERE p_size < 8) t GROUP BY k",
     "set_intersect_all_counts": "SELECT k, COUNT(*) AS n FROM (SELECT l_linenumber AS k FROM lineitem INTERSECT ALL SELECT p_size FROM part WHERE p_size < 8) t GROUP BY k",
     "win_rank_family": "SELECT o_orderkey, CAST(RANK() OVER w AS INT) AS r, CAST(DENSE_RANK() OVER w AS INT) AS dr, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS INT) AS rn FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)",
@@ -62,7 +62,7 @@ TEXTS: dict[str, str] = {
     "win_first_last": "SELECT event_id, FIRST_VALUE(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first_type, LAST_VALUE(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_id FROM events",
     "pivot_sources": "SELECT user_id, COUNT(*) FILTER (WHERE event_type = 'click') AS click, COUNT(*) FILTER (WHERE event_type = 'view') AS view_n, COUNT(*) FILTER (WHERE event_type = 'error') AS error_n, COUNT(*) FILTER (WHERE event_type = 'signup') AS signup, COUNT(*) FILTER (WHERE event_type = 'purchase') AS purchase FROM events GROUP BY user_id",
     "string_functions": "SELECT p_partkey, UPPER(p_brand) AS up, LOWER(p_type) AS low, CAST(LENGTH(p_name) AS INT) AS len, SUBSTR(p_name, 2, 4) AS sub, REPLACE(p_type, ' ', '_') AS rep, TRIM(CONCAT('  ', p_brand, ' ')) AS trimmed, CAST(INSTR(p_name, 'a') AS INT) AS at, p_brand || '-' || CAST(p_size AS VARCHAR(10)) AS joined FROM part",
-    "math_functions": "SELECT l_orderkey, l_linenumber, l_partkey, ABS(l_tax - l_discount) AS gap, ROUND(l_extendedprice, 0) AS r0, ROUND(POWER(l_tax, 2), 6) AS sq, ROUND(EXP(l_discount), 6) AS ex, ROUND(LN(l_quantity), 6) AS lg, CAST(FLOOR(l_quantity / 7) AS BIGINT) AS fl, CAST(CEIL(l_quantity / 7) AS BIGINT) AS ce, l_linenumber % 3 AS m FROM lineitem WHERE l_orderkey < 3000",
+    "math_functions": "SELECT l_orderkey, l_linenumber, l_partkey, ABS(l_tax - l_discount) AS gap, ROUND(l_extendedprice, 0) AS r0, ROUND(POWER(l_tax, 2), 6) AS sq, ROUND(EXP(l_discount), 6) AS ex, ROUND(LN(l_quantity), 6) AS lg, CAST(FLOOR(l_quantity / 7) AS BIGINT) AS fl, CAST(CEIL(l_quantity / 7) AS BIGINT) AS ce, l_linenumber % 3 AS m FROM lineitem",
     "null_functions": "SELECT event_id, NULLIF(event_type, 'view') AS t, COALESCE(NULLIF(event_type, 'view'), 'none') AS c, CASE WHEN NULLIF(event_type, 'view') IS NULL THEN 1 ELSE 0 END AS is_null FROM events",
 }
 

@@ -42,7 +42,8 @@ def text(e, scope: Scope, mask: bool = False, links: dict[str, str] | None = Non
     if k == "lit":
         return MASK if mask else repr(e["v"])
     if k in ("agg", "fn"):
-        return f"{e['f']}({'distinct ' if e['distinct'] else ''}{', '.join(map(r, e['args']))})"
+        only = f" filter (where {r(e['filter'])})" if e.get("filter") else ""
+        return f"{e['f']}({'distinct ' if e['distinct'] else ''}{', '.join(map(r, e['args']))}){only}"
     if k in ("op", "cmp"):
         a, b = r(e["l"]), r(e["r"])
         if e["op"] == "=" and b < a:
@@ -188,6 +189,11 @@ def features(sql: str) -> dict[str, int]:
     return dict(zip(names, values))
 
 
+def join_difficulty(n_joins: int) -> str:
+    """easy without a join, medium with one or two, hard with more."""
+    return "easy" if n_joins == 0 else "medium" if n_joins <= 2 else "hard"
+
+
 def foreign_key_links(keys: list[tuple[str, str]]) -> dict[str, str]:
     """Columns of each foreign-key set -> its smallest column."""
     root: dict[str, str] = {}
@@ -256,7 +262,9 @@ def atomic_ops(sql: str) -> list[str] | None:
 
 
 def query_ops(q: dict) -> list[str]:
-    out = [f"WITH_CTE({n})" for n in q.get("ctes", {})]
+    out = []
+    for name, body in q.get("ctes", {}).items():
+        out += [f"WITH_CTE({name})", "ENTER_SUBQUERY", *query_ops(body), "EXIT_SUBQUERY"]
     if "set" in q:
         out += query_ops(q["left"]) + [q["set"].upper()] + query_ops(q["right"])
     else:
@@ -282,7 +290,7 @@ def query_ops(q: dict) -> list[str]:
                 out.append(f"WINDOW(partition_by={','.join(map(r, w['partition']))},order_by={','.join(map(r, w['order']))},frame={w['frame']})")
         if q["distinct"]:
             out.append("DISTINCT")
-        for n in walk([q.get("where") or {}, q.get("having") or {}], False):
+        for n in walk([q.get("where") or {}, q.get("having") or {}, [x["e"] for x in q["select"]], q.get("order") or []], False):
             if "q" in n:
                 out += ["ENTER_SUBQUERY", *query_ops(n["q"]), "EXIT_SUBQUERY"]
     s = Scope(sides(q)[0], numbered=True)

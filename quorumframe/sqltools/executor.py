@@ -11,8 +11,8 @@ import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from threading import Timer
 
+from pyspark import InheritableThread
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,12 @@ from quorumframe.functions.textops import FORBIDDEN, STARTS
 from .parser import ParseError, parse
 from .render import INST, ORD, Unsupported, render
 
-CAP, TIMEOUT, THREADS = 100_000, 30.0, 8
+# Rows that are read, rows that are kept, seconds, seconds left to stop.
+CAP, SAVED, TIMEOUT, GRACE, THREADS = 100_000, 1000, 30.0, 5.0, 8
+
+
+class Late(RuntimeError):
+    """A job that went over its deadline: timeout, or worker_hang if it did not stop when told to."""
 
 
 @dataclass
@@ -65,8 +70,8 @@ def is_safe(sql: str) -> bool:
 class Executor:
     """databases: db_id -> list of instances, each a dict of table -> DataFrame. All instances of a database have the same columns."""
 
-    def __init__(self, spark: SparkSession, databases: dict[str, list[dict[str, DataFrame]]], cap: int = CAP, timeout: float = TIMEOUT, threads: int = THREADS) -> None:
-        self.spark, self.cap, self.timeout, self.threads = spark.newSession(), cap, timeout, threads
+    def __init__(self, spark: SparkSession, databases: dict[str, list[dict[str, DataFrame]]], cap: int = CAP, timeout: float = TIMEOUT, threads: int = THREADS, saved: int = SAVED) -> None:
+        self.spark, self.cap, self.timeout, self.threads, self.saved = spark.newSession(), cap, timeout, threads, saved
         self.spark.conf.set("spark.sql.ansi.enabled", "false")
         # Rows beyond the cap are dropped in each task before an instance's rows meet.
         self.spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(2 * cap + 2))
@@ -74,7 +79,7 @@ class Executor:
         self.sizes = {db: len(v) for db, v in databases.items()}
         self.schemas: dict[str, dict[str, dict[str, str]]] = {}
         self.cache: dict[tuple[str, str], list[Outcome]] = {}
-        self.stats = {"tasks": 0, "hits": 0, "executed": 0, "lifted": 0, "failures": 0, "timeouts": 0, "truncated": 0}
+        self.stats = {"tasks": 0, "hits": 0, "executed": 0, "lifted": 0, "failures": 0, "timeouts": 0, "hangs": 0, "truncated": 0}
         for db, insts in databases.items():
             kinds = {"bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "double": "double", "float": "double", "boolean": "bool"}
             self.schemas[db] = {t.lower(): {c.lower(): kinds.get(k, "double" if k.startswith("decimal") else "text") for c, k in df.dtypes} for t, df in insts[0].items()}
@@ -100,23 +105,35 @@ class Executor:
         return [Outcome(False, error=error[:300], error_type=kind) for _ in range(n)]
 
     def collect(self, df: DataFrame) -> tuple[list, float]:
-        """Rows of a job with a deadline: a timer cancels the job by its tag."""
+        """Rows of a job with a deadline: beyond it the job is cancelled by its tag, and left alone if it has not stopped after GRACE seconds."""
         sc = self.spark.sparkContext
         tag = f"qf-{uuid.uuid4().hex}"
-        sc.addJobTag(tag)
-        timer = Timer(self.timeout, lambda: sc.cancelJobsWithTag(tag))
-        began = time.time()
-        timer.start()
-        try:
-            return df.collect(), time.time() - began
-        finally:
-            timer.cancel()
-            sc.removeJobTag(tag)
+        box: dict = {}
 
-    def outcome(self, rows: list, columns: list[str], seconds: float) -> Outcome:
+        def work() -> None:
+            sc.addJobTag(tag)
+            sc.setInterruptOnCancel(True)
+            try:
+                box["rows"] = df.collect()
+            except BaseException as e:  # noqa: BLE001
+                box["error"] = e
+
+        began = time.time()
+        worker = InheritableThread(target=work, daemon=True)
+        worker.start()
+        worker.join(self.timeout)
+        if worker.is_alive():
+            sc.cancelJobsWithTag(tag)
+            worker.join(GRACE)
+            raise Late("timeout" if not worker.is_alive() else "worker_hang")
+        if "error" in box:
+            raise box["error"]
+        return box["rows"], time.time() - began
+
+    def outcome(self, rows: list, columns: list[str], seconds: float, count: int | None = None) -> Outcome:
         cut = len(rows) > self.cap
-        kept = [[cell(v) for v in r] for r in rows[: self.cap]]
-        return Outcome(True, kept, len(rows), cut, seconds=seconds, columns=columns)
+        kept = [[cell(v) for v in r] for r in rows[: min(self.cap, self.saved)]]
+        return Outcome(True, kept, len(rows) if count is None else count, cut, seconds=seconds, columns=columns)
 
     def run_text(self, sql: str, db: str) -> list[Outcome]:
         """Outcomes of one text on every instance of a database."""
@@ -143,13 +160,15 @@ class Executor:
             by: dict[int, list] = {k: [] for k in range(n)}
             for r in rows:
                 by[r[INST]].append(r)
+            # Rows beyond the cap are counted by a job of their own, and only where there are any.
+            over = any(len(x) > self.cap for x in by.values())
+            counts = {r[INST]: r["n"] for r in self.collect(df.groupBy(INST).agg(F.count(F.lit(1)).alias("n")))[0]} if over else {}
             self.stats["lifted"] += 1
-            return [self.outcome([[r[c] for c in names] for r in sorted(by[k], key=lambda r: r[ORD])], names, s / n) for k in range(n)]
+            return [self.outcome([[r[c] for c in names] for r in sorted(by[k], key=lambda r: r[ORD])], names, s / n, counts.get(k)) for k in range(n)]
+        except Late as e:
+            return self.failed(n, str(e), f"over {self.timeout} s")
         except (Unsupported, PySparkException):
             pass
-        except Exception as e:  # noqa: BLE001
-            if "cancelled" in str(e).lower() or "canceled" in str(e).lower():
-                return self.failed(n, "timeout", f"over {self.timeout} s")
         return [self.run_one(parse(sql), db, k) for k in range(n)]
 
     def run_one(self, tree: dict, db: str, k: int) -> Outcome:
@@ -158,27 +177,31 @@ class Executor:
         try:
             df = self.spark.sql(render(tree, schema, {t: self.view(db, t, k) for t in schema}))
             rows, s = self.collect(df.limit(self.cap + 1))
-            return self.outcome([list(r) for r in rows], df.columns, s)
+            count = self.collect(df.agg(F.count(F.lit(1)).alias("n")))[0][0].n if len(rows) > self.cap else None
+            return self.outcome([list(r) for r in rows], df.columns, s, count)
+        except Late as e:
+            return self.failed(1, str(e), f"over {self.timeout} s")[0]
         except (Unsupported, PySparkException, ParseError) as e:
             return self.failed(1, "sqlite_error", str(e))[0]
         except Exception as e:  # noqa: BLE001
-            late = "cancel" in str(e).lower()
-            return self.failed(1, "timeout" if late else "sqlite_error", str(e))[0]
+            return self.failed(1, "sqlite_error", str(e))[0]
 
     def run(self, tasks: list[tuple[str, str]]) -> dict[tuple[str, str], list[Outcome]]:
-        """Outcomes of (text, db) tasks: distinct ones that are not cached run in a pool of threads."""
+        """Outcomes of (text, db) tasks: distinct ones (by their normalised text) that are not cached run in a pool of threads."""
         distinct = list(dict.fromkeys(tasks))
-        new = [t for t in distinct if t not in self.cache]
+        keys = {t: (sqltext.normalize_sql(t[0]), t[1]) for t in distinct}
+        new = list({keys[t]: t for t in reversed(distinct) if keys[t] not in self.cache}.values())[::-1]
         self.stats["tasks"] += len(tasks)
         self.stats["hits"] += len(tasks) - len(new)
         self.stats["executed"] += len(new)
         with ThreadPoolExecutor(self.threads) as pool:
             for task, got in zip(new, pool.map(lambda t: self.run_text(*t), new)):
-                self.cache[task] = got
+                self.cache[keys[task]] = got
                 self.stats["failures"] += sum(not o.ok for o in got)
                 self.stats["timeouts"] += sum(o.error_type == "timeout" for o in got)
+                self.stats["hangs"] += sum(o.error_type == "worker_hang" for o in got)
                 self.stats["truncated"] += sum(o.truncated for o in got)
-        return {t: self.cache[t] for t in distinct}
+        return {t: self.cache[keys[t]] for t in distinct}
 
     def outcomes(self, tasks: list[tuple[str, str]], home: SparkSession) -> DataFrame:
         """Outcomes as a table (sql_text, db_id, inst, ok, rows, row_count, truncated, error_type, seconds) in the caller's session."""

@@ -192,10 +192,11 @@ class Renderer:
             part = ([self.inst(scopes)] if self.lift else []) + [v(x) for x in e["partition"]]
             inside = (f"PARTITION BY {', '.join(part)} " if part else "") + (f"ORDER BY {self.order(e['order'], scopes, names)} " if e["order"] else "") + e["frame"]
             return f"{v(e['x'])} OVER ({inside.strip()})"
-        return self.call(e, v)
+        return self.call(e, v, r)
 
-    def call(self, e: dict, v) -> str:
+    def call(self, e: dict, v, r) -> str:
         f, args = e["f"], [v(a) for a in e["args"]]
+        only = f" FILTER (WHERE {r(e['filter'])})" if e.get("filter") else ""
         d = "DISTINCT " if e["distinct"] else ""
         if f == "strftime" and len(args) == 2 and e["args"][0].get("v"):
             pattern = re.sub(r"%\w", lambda m: DATE_PATTERNS.get(m.group(), "?"), e["args"][0]["v"])
@@ -207,15 +208,15 @@ class Renderer:
         elif f == "date" and len(args) == 1:
             text = f"date_format({args[0]}, 'yyyy-MM-dd')"
         elif f == "group_concat":
-            text = f"array_join(collect_list({d}CAST({args[0]} AS string)), {args[1] if len(args) > 1 else repr(',')})"
+            text = f"array_join(collect_list({d}CAST({args[0]} AS string)){only}, {args[1] if len(args) > 1 else repr(',')})"
         elif f == "total":
-            text = f"coalesce(sum({d}{args[0]}), 0.0D)"
+            text = f"coalesce(sum({d}{args[0]}){only}, 0.0D)"
         elif f in ("min", "max") and len(args) > 1:
             text = f"{'least' if f == 'min' else 'greatest'}({', '.join(args)})"
         elif f == "substr" and len(args) == 3 and e["args"][1].get("v") == 0:
             text = f"substr({args[0]}, 1, {args[2]} - 1)"
         elif f in ("count", "sum", "avg", "min", "max", "coalesce", "ifnull", "nullif", "abs", "round", "length", "upper", "lower", "substr", "replace", "trim", "ltrim", "rtrim", "instr", "rank", "dense_rank", "row_number", "ntile", "percent_rank", "cume_dist", "lag", "lead", "first_value", "last_value"):
-            text = f"{f}({d}{', '.join(args)})"
+            text = f"{f}({d}{', '.join(args)}){only}"
         else:
             raise Unsupported(f"no such function: {f}")
         return text

@@ -126,7 +126,7 @@ def test_readers(spark, tmp_path):
     assert R.read_loss_log(spark, str(tmp_path / "log")).first().loss == 0.5
     entry = {"db_id": "d", "table_names_original": ["t"], "column_names_original": [[-1, "*"], [0, "id"]], "column_types": ["text", "number"], "primary_keys": [1], "foreign_keys": [[1, 1]]}
     (tmp_path / "t.json").write_text(json.dumps([entry]))
-    assert V.ddl_texts(R.read_schemas(spark, str(tmp_path / "t.json"))).first().ddl == "CREATE TABLE t (\n  id NUMBER PRIMARY KEY\n);"
+    assert V.ddl_texts(R.read_schemas(spark, str(tmp_path / "t.json"))).first().ddl == 'CREATE TABLE "t" (\n  "id" NUMBER PRIMARY KEY,\n  FOREIGN KEY ("id") REFERENCES "t"("id")\n);'
     (tmp_path / "u.json").write_text(json.dumps([entry, entry]))
     with pytest.raises(ValueError):
         R.read_schemas(spark, str(tmp_path / "u.json"))

@@ -79,7 +79,7 @@ def test_execution_against_sqlite(spark, data):
 def test_caps_and_unknown_database(spark):
     ex = Executor(spark, {"d": [{"t": spark.range(50).toDF("id")}]}, cap=15)
     (o,) = ex.run_text("select id from t order by id", "d")
-    assert o.ok and o.truncated and len(o.rows) == 15 and o.row_count == 16
+    assert o.ok and o.truncated and len(o.rows) == 15 and o.row_count == 50  # rows beyond the cap are counted
     assert ex.run_text("select 1", "none")[0].error_type == "db_not_found"
     (e,) = ex.run_text("select count(*), max(id) from t where id > 99", "d")
     assert e.rows == [["I0", "N"]]

@@ -2,15 +2,17 @@
 
 1. Every query is brought to a canonical token text, hashed to 128 bits and
    written, with its id, as a narrow table.
-2. Each partition of that table keeps two bit arrays: bits of hashes seen, and
-   bits seen more than once. Partial arrays are cut into segments and merged by
-   segment: twice = twice_a | twice_b | (once_a & once_b). The merge is exact
-   about repeats: a hash in two partitions has all its bits in the result.
+2. The hashes are cut into ranges, each small enough for a filter of at most
+   MAX_BITS; with more than one range the table is written by range, so each pass
+   reads its own part. In a pass, tasks fold blocks of FLUSH rows into two bit
+   arrays, bits of hashes seen and bits seen more than once, cut into segments and
+   merged by segment: twice = twice_a | twice_b | (once_a & once_b). The merge is
+   exact about repeats: a hash in two blocks has all its bits in the result.
 3. Only rows whose bits are all set are shuffled for exact grouping by the
    128-bit hash; the others are singletons and stay where they are.
 
-The filter has a bound (MAX_BITS, 32 MiB broadcast); it is sized from the row
-count below that. Beyond the bound more singletons are shuffled, none is lost.
+The number of passes grows with the rows, so the share of singletons that are
+shuffled stays under a hundredth at every size.
 """
 
 from __future__ import annotations
@@ -168,12 +170,14 @@ def canonical_sql(sql: str | None) -> str | None:
     return SEP.join(settled(ts)) if ts else None
 
 
-BITS_PER_ROW, MIN_BITS, MAX_BITS, SEGMENT_BITS, PROBES = 16, 1 << 20, 1 << 28, 1 << 20, 3
+BITS_PER_ROW, MIN_BITS, MAX_BITS, SEGMENT_BITS, PROBES, FLUSH = 16, 1 << 20, 1 << 28, 1 << 20, 3, 1 << 20
 
 
-def filter_bits(rows: int) -> int:
-    """Size of the filter: 16 bits a row, a power of two between MIN_BITS and MAX_BITS."""
-    return min(MAX_BITS, max(MIN_BITS, 1 << (max(1, rows) * BITS_PER_ROW - 1).bit_length()))
+def filter_plan(rows: int) -> tuple[int, int]:
+    """(passes, bits of each pass's filter): 16 bits a row, a power of two from MIN_BITS to MAX_BITS, and as many ranges of hashes as that takes."""
+    passes = -(-max(1, rows) * BITS_PER_ROW // MAX_BITS)
+    # Ranges differ a little in size; a range of a few rows more only fills its filter a little more.
+    return passes, min(MAX_BITS, max(MIN_BITS, 1 << (max(1, -(-rows // passes)) * BITS_PER_ROW - 1).bit_length()))
 
 
 def positions(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -184,25 +188,35 @@ def positions(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [segment + (a + np.uint64(i) * b) % np.uint64(SEGMENT_BITS) for i in range(PROBES)]
 
 
+def segments_of(h: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Bits of a block of hashes by segment: (segment, once, twice)."""
+    h, n = np.unique(h, return_counts=True)
+    at = np.stack(positions(h, bits), axis=1).astype(np.int64)
+    order = np.argsort(at[:, 0] // SEGMENT_BITS, kind="stable")
+    at, n = at[order], n[order]
+    cuts = np.searchsorted(at[:, 0] // SEGMENT_BITS, np.arange(bits // SEGMENT_BITS + 1))
+    for s in range(bits // SEGMENT_BITS):
+        own = at[cuts[s] : cuts[s + 1]] - s * SEGMENT_BITS
+        if len(own):
+            once, twice = np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
+            once[own.ravel()] = True
+            twice[own[n[cuts[s] : cuts[s + 1]] > 1].ravel()] = True
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "once": [zlib.compress(np.packbits(once).tobytes(), 1)], "twice": [zlib.compress(np.packbits(twice).tobytes(), 1)]})
+
+
 def partial_filters(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """hash column -> (segment, once, twice) of this partition. Memory: the partition's hashes, 8 bytes a row."""
+    """hash column -> (segment, once, twice) of each block of at most about FLUSH rows, the bound of what a task holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
-        if not chunks:
-            return
-        h, n = np.unique(np.concatenate(chunks), return_counts=True)
-        at = np.stack(positions(h, bits), axis=1).astype(np.int64)
-        order = np.argsort(at[:, 0] // SEGMENT_BITS, kind="stable")
-        at, n = at[order], n[order]
-        cuts = np.searchsorted(at[:, 0] // SEGMENT_BITS, np.arange(bits // SEGMENT_BITS + 1))
-        for s in range(bits // SEGMENT_BITS):
-            own = at[cuts[s] : cuts[s + 1]] - s * SEGMENT_BITS
-            if len(own):
-                once, twice = np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
-                once[own.ravel()] = True
-                twice[own[n[cuts[s] : cuts[s + 1]] > 1].ravel()] = True
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "once": [zlib.compress(np.packbits(once).tobytes(), 1)], "twice": [zlib.compress(np.packbits(twice).tobytes(), 1)]})
+        held, n = [], 0
+        for b in batches:
+            held.append(b.column(0).to_numpy(zero_copy_only=False))
+            n += len(held[-1])
+            if n >= FLUSH:
+                yield from segments_of(np.concatenate(held), bits)
+                held, n = [], 0
+        if n:
+            yield from segments_of(np.concatenate(held), bits)
 
     return run
 
@@ -231,15 +245,16 @@ def merge_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 class RepeatFilter:
     """The merged filter over a hash column: which rows may share their hash with another row."""
 
-    def __init__(self, hashed: DataFrame, rows: int, spark: SparkSession, column: str = "h1") -> None:
-        self.bits, self.column = filter_bits(rows), column
-        parts = hashed.select(column).mapInArrow(partial_filters(self.bits), "segment int, once binary, twice binary")
-        n = min(self.bits // SEGMENT_BITS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    def __init__(self, hashed: DataFrame, bits: int, spark: SparkSession, column: str = "h1") -> None:
+        self.bits, self.column = bits, column
+        parts = hashed.select(column).mapInArrow(partial_filters(bits), "segment int, once binary, twice binary")
+        n = min(bits // SEGMENT_BITS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         merged = parts.repartition(n, "segment").sortWithinPartitions("segment").mapInArrow(merge_filters, "segment int, twice binary")
         # At most MAX_BITS / 8 = 32 MiB, whatever the data.
         self.shared = spark.sparkContext.broadcast({r.segment: bytes(r.twice) for r in merged.collect()})
 
-    def _probe(self, df: DataFrame, wanted: bool) -> DataFrame:
+    def flagged(self, df: DataFrame) -> DataFrame:
+        """Rows with `again`: whether their hash may occur again (true of all that do, and of few others)."""
         k, bits, shared = df.columns.index(self.column), self.bits, self.shared
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,19 +266,9 @@ class RepeatFilter:
                 hit = np.ones(len(h), bool)
                 for p in positions(h, bits):
                     hit &= (twice[(p >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (p & np.uint64(7)).astype(np.uint8))) & 1 == 1
-                b = b.filter(pa.array(hit == wanted))
-                if b.num_rows:
-                    yield b
-
-        return df.mapInArrow(run, df.schema)
-
-    def possible(self, df: DataFrame) -> DataFrame:
-        """Rows whose hash may occur again (all that do, and few others)."""
-        return self._probe(df, True)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], names=[*b.schema.names, "again"])
 
-    def single(self, df: DataFrame) -> DataFrame:
-        """Rows whose hash occurs once for sure."""
-        return self._probe(df, False)
+        return df.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in df.dtypes) + ", again boolean")
 
 
 def hash_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +288,7 @@ def hash_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["id", "h1", "h2"])
 
 
-HOT_SHARE = 200
+HOT_GROUPS = 100_000
 
 
 class Copies:
@@ -296,19 +301,29 @@ class Copies:
 
     def __init__(self, df: DataFrame, spark: SparkSession, id_: str = "id", db: str = "db_id", sql: str = "sql_text") -> None:
         rows = df.select(F.col(id_).cast("bigint").alias("id"), F.col(db).alias("db"), F.col(sql).alias("sql")).where("id is not null and trim(sql) <> ''")
-        self.hashed = written(spread(rows).mapInArrow(hash_queries, "id bigint, h1 bigint, h2 bigint"), "canonical", spark)
-        self.total = self.hashed.count()
-        self.filter = RepeatFilter(self.hashed, self.total, spark)
-        self.repeats = self.filter.possible(self.hashed).dropDuplicates(["h1", "h2", "id"])
+        hashed = spread(rows).mapInArrow(hash_queries, "id bigint, h1 bigint, h2 bigint")
+        self.passes, self.bits = filter_plan(df.count())
+        if self.passes > 1:  # ranges of the upper 16 bits
+            hashed = hashed.withColumn("part", F.floor(F.shiftrightunsigned("h1", 48) * self.passes / 65536).cast("int"))
+        hashed = written(hashed, "canonical", spark, *(["part"] if self.passes > 1 else []))
+        self.flags = None
+        for k in range(self.passes):
+            own = hashed.where(f"part = {k}").drop("part") if self.passes > 1 else hashed
+            repeated = RepeatFilter(own, self.bits, spark)
+            marked = written(repeated.flagged(own), "flags", spark)
+            repeated.shared.destroy()
+            self.flags = marked if self.flags is None else self.flags.unionByName(marked)
+        self.repeats = self.flags.where("again").drop("again").dropDuplicates(["h1", "h2", "id"])
         self.groups = self.repeats.groupBy("h1", "h2").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies"))
 
     def pairs(self) -> DataFrame:
         """(keep_id, copy_id): the smallest id of a group with each other id in it.
 
-        Groups of more than a 200th of the rows (fewer than 200 by count) are
-        joined by broadcast, so no hot group meets in one task.
+        Groups of more than a 100,000th of the rows (fewer than HOT_GROUPS by
+        count, three numbers each) are joined by broadcast, so no hot group
+        meets in one task.
         """
-        limit = max(1000, self.total // HOT_SHARE)
+        limit = max(1000, self.flags.count() // HOT_GROUPS)
         many = self.groups.where("n_copies > 1")
         hot = F.broadcast(many.where(F.col("n_copies") > limit).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("keep_id").alias("k")))
         on = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
@@ -319,5 +334,5 @@ class Copies:
 
     def records(self) -> DataFrame:
         """(keep_id, n_copies): one row for each distinct query; sure singletons come without a shuffle."""
-        singles = self.filter.single(self.hashed).select(F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("n_copies"))
+        singles = self.flags.where("not again").select(F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("n_copies"))
         return self.groups.select("keep_id", "n_copies").unionByName(singles)

@@ -11,7 +11,7 @@ from .dedup import Copies
 from .leakage import leaked_spans
 from .packing import fill_report, pack
 from .pairs import defective_pairs
-from .quality import text_quality
+from .quality import structural_kind, text_quality
 from .topn import top_n_per_group
 from .truncation import cut_off, share_by_source
 
@@ -86,7 +86,7 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are no natural prose, with their kind."""
-    return text_quality(load(spark, d, "documents")).where("kind <> 'prose'").select("doc_id", "kind").distinct()
+    return structural_kind(load(spark, d, "documents")).where("kind <> 'prose'").select("doc_id", "kind").distinct()
 
 
 def p8_stats(spark: SparkSession, d: str) -> DataFrame:

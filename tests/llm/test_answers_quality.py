@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from quorumframe.llm import quality as Q
@@ -94,7 +95,40 @@ KINDS = [
 
 @pytest.mark.parametrize(("text", "kind"), KINDS)
 def test_kinds(text, kind):
-    assert Q.describe(text)[0] == kind
+    assert Q.kind_of(text) == kind
+
+
+def test_divergence_decides_the_kind(monkeypatch):
+    """Without the divergence of a line from the profiles, all lines take one form, and other kinds come out."""
+    monkeypatch.setattr(Q, "divergences", lambda lines, against, blocks=None: np.zeros((len(lines), len(against))))
+    assert {k for t, k in KINDS if Q.kind_of(t) != k} == {"list", "junk"} and sum(Q.kind_of(t) != k for t, k in KINDS) == 5
+    monkeypatch.undo()
+    # Each of the three distributions is needed by itself.
+    for k in range(3):
+        monkeypatch.setattr(Q, "BLOCK_WEIGHTS", tuple(0.0 if i != k else 1.0 for i in range(3)))
+        monkeypatch.setattr(Q.divergences, "__defaults__", (Q.BLOCK_WEIGHTS,))
+        assert any(Q.kind_of(t) != kind for t, kind in KINDS), k
+
+
+def test_divergence_against_the_formula():
+    rnd = np.random.default_rng(5)
+    p, q = (np.concatenate([rnd.dirichlet(np.ones(n), 4) for n in Q.SIZES], axis=1) for _ in range(2))
+    at = np.cumsum([0, *Q.SIZES])
+    want = [[sum(w * Q.divergence(a[i:j], b[i:j]) for w, i, j in zip(Q.BLOCK_WEIGHTS, at, at[1:])) for b in q] for a in p]
+    assert np.allclose(Q.divergences(p, q), want)
+
+
+def test_repeats_in_linear_time():
+    import time
+
+    brute = lambda s: len(s) >= 24 and any(s[p:] == s[:-p] for p in range(1, len(s) // 4 + 1))
+    rnd = random.Random(2)
+    for _ in range(400):
+        unit = "".join(rnd.choice("ab") for _ in range(rnd.randint(1, 9)))
+        s = (unit * 20)[: rnd.randint(20, 60)] + rnd.choice(["", "", "a", "b"])
+        assert Q.periodic(s) == brute(s), s
+    began = time.time()
+    assert not Q.periodic("a" * 10_000_000 + "b") and time.time() - began < 5
 
 
 def test_quality_on_spark(spark):

@@ -50,7 +50,7 @@ def test_filter_has_no_false_negatives():
     import pyarrow as pa
 
     rnd = np.random.default_rng(1)
-    bits = D.filter_bits(3000)
+    bits = D.filter_plan(3000)[1]
     parts = [rnd.integers(-(2**62), 2**62, 1000) for _ in range(3)]
     parts[1][:50] = parts[0][:50]
     parts[2][-5:] = parts[2][0]
@@ -68,7 +68,7 @@ def test_filter_has_no_false_negatives():
 @pytest.mark.parametrize("rows", [0, 60, 4000])
 def test_copies(spark, rows, monkeypatch):
     rnd = random.Random(rows)
-    monkeypatch.setattr(D, "HOT_SHARE", 4)
+    monkeypatch.setattr(D, "HOT_GROUPS", 4)
     data = []
     for i in range(rows):
         hot = rnd.random() < 0.33
@@ -115,3 +115,26 @@ def test_canonical_case():
         assert D.canonical_sql(a) == D.canonical_sql(b), (a, b)
     assert D.canonical_sql("SELECT a FROM t WHERE CASE WHEN c = 2 AND d = 3 THEN 1 END = 1") != D.canonical_sql("SELECT a FROM t WHERE CASE WHEN c = 2 THEN 1 AND d = 3 END = 1")
     assert D.canonical_sql("SELECT a FROM t WHERE b = 1 OR CASE WHEN c = 2 THEN 1 END = 1") != D.canonical_sql("SELECT a FROM t WHERE CASE WHEN c = 2 THEN 1 END = 1 OR b = 1")
+
+
+def test_passes_keep_the_filter_sharp(spark, data, monkeypatch):
+    c = spark.read.parquet(f"{data}/candidates.parquet").union(spark.read.parquet(f"{data.replace('0.001', '0.01')}/candidates.parquet"))
+    one = D.Copies(c, spark)
+    assert one.passes == 1
+    monkeypatch.setattr(D, "BITS_PER_ROW", 16 << 10)  # as if there were a thousand times as many rows for a filter of 2^20 bits a pass
+    monkeypatch.setattr(D, "MAX_BITS", 1 << 20)
+    many = D.Copies(c.limit(1500), spark)
+    assert many.passes > 4
+    monkeypatch.undo()
+    few = D.Copies(c.limit(1500), spark)
+    rows = lambda k: sorted(tuple(r) for r in k.records().collect())
+    assert rows(many) == rows(few) and sorted(map(tuple, many.pairs().collect())) == sorted(map(tuple, few.pairs().collect()))
+    single = many.groups.where("n_copies = 1").count()
+    assert single <= 0.05 * sum(n == 1 for _, n in rows(few))
+
+
+def test_filter_plan_holds_at_every_size():
+    for rows in (0, 1, 10**5, 10**7, 10**8, 10**9, 10**10):
+        passes, bits = D.filter_plan(rows)
+        load = 1 - (1 - 1 / bits) ** (D.PROBES * max(1, rows) / passes)
+        assert bits <= D.MAX_BITS and load**D.PROBES < 0.01, rows

@@ -31,10 +31,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a private one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a private one where it is unset on a single machine (tests)."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(spark.sparkContext, "_qf_shared_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="quorumframe-")
@@ -52,14 +54,14 @@ def drop_written(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, what: str, spark: SparkSession | None = None) -> DataFrame:
-    """Cut lineage: write df as a parquet table in the shared folder and read it back.
+def written(df: DataFrame, what: str, spark: SparkSession | None = None, *by: str) -> DataFrame:
+    """Cut lineage: write df as a parquet table in the shared folder, in folders by the columns `by`, and read it back.
 
     Survives the loss of executors, and later reads prune columns and push filters.
     """
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

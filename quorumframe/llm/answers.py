@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -251,20 +252,28 @@ def read_answer(raw: str | None) -> Answer:
     return a
 
 
-# Phrases by which an answer declines, in lower case with straight quotes.
-REFUSALS = tuple(
-    """must decline|have to decline|can't help|cannot help|can not help|can't do this|cannot do this|unable to write|unable to answer|unable to comply|not able to
-will not write|won't write|won't guess|have to refuse|must refuse|refuse to|do not permit me|not permit me to|have to pass on|pass on this|leave unanswered|have to leave
-not possible.|no query is provided|no query can|no query:|no sql will be written|would rather not|rather not generate|off limits|falls outside what|not allowed to|cannot be answered|can't be answered
-need somebody else|not feel able|no way for me|not in a position|not sufficient|do not have access|don't have access|cannot provide|can't provide|cannot answer|can't answer|must decline|should not disclose
-无法回答|无法处理|无法提供|不能处理|不能回答|恕难从命|恕我|不足以生成|不提供语句|放弃作答|超出了我|不会为|拒绝|不便回答""".replace("\n", "|").split("|")
-)
+# How one says that one does not do a thing, and the things an answerer is asked to do; every pair of them declines.
+NOT_DONE = "can't|cannot|can not|could not|couldn't|won't|will not|would not|wouldn't|shouldn't|should not|must not|may not|unable to|not able to|not feel able to|not allowed to|not permitted to|not permit me to|not let me|not willing to|rather not|refuse to|decline to|have to refuse to|not going to|no way for me to|not in a position to|not comfortable to|impossible to|impossible for me to|not possible to|not possible for me to".split("|")
+TASKS = "help|assist|do|answer|comply|write|provide|give|produce|generate|create|supply|share|disclose|reveal|guess|process|handle|fulfil|complete|continue|respond|offer|build|work on|look at|touch|query|turn|translate".split("|")
+# What is not made, and in which words; every pair of them declines.
+NOTHING = "no query|no sql|no statement|no code|no answer|no select".split("|")
+IS_MADE = "is provided|is given|is offered|is written|can be|could be|will be|from me|:".split("|")
+# Whole phrases by which an answer declines.
+PHRASES = """must decline|have to decline|has to be declined|have to refuse|must refuse|have to pass on|pass on this|leave this one|leave it open|leave unanswered|left unanswered|cannot be answered|can't be answered|could not be answered
+cannot be done|can't be done|not possible.|off limits|falls outside|outside of what i|outside my|beyond what i|beyond my|against my|against the rules|do not permit|does not permit|do not have access|don't have access|have no access
+not sufficient|insufficient information|ask somebody else|need somebody else|not feel able|no way for me|not in a position|not allowed to|i refuse|i decline|i must refuse
+无法回答|无法处理|无法提供|无法完成|无法生成|不能处理|不能回答|不能提供|不能生成|恕难从命|恕我|恕不|不足以|不提供|放弃作答|拒绝|不便|超出了我|不会为|不予|没有权限""".replace("\n", "|").split("|")
+
+
+def refusals() -> list[str]:
+    """All phrases that decline, in lower case with straight quotes."""
+    return [f"{a} {b}" for a in NOT_DONE for b in TASKS] + [f"{a}{'' if b == ':' else ' '}{b}" for a in NOTHING for b in IS_MADE] + PHRASES
 
 
 @lru_cache(1)
 def refusal_automaton() -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
-    for p in REFUSALS:
+    for p in refusals():
         machine.add_word(p, p)
     machine.make_automaton()
     return machine
@@ -298,12 +307,15 @@ class SuffixAutomaton:
     """Suffix automaton of a text; coverage() walks another text through it."""
 
     def __init__(self, text: str) -> None:
+        self.text = text
         self.next: list[dict[str, int]] = [{}]
-        self.link, self.length, last = [-1], [0], 0
-        for c in text:
+        # first: where in the text the strings of a state end for the first time.
+        self.link, self.length, self.first, last = [-1], [0], [0], 0
+        for k, c in enumerate(text, 1):
             cur = len(self.next)
             self.next.append({})
             self.length.append(self.length[last] + 1)
+            self.first.append(k)
             self.link.append(0)
             p = last
             while p >= 0 and c not in self.next[p]:
@@ -318,15 +330,16 @@ class SuffixAutomaton:
                     self.next.append(dict(self.next[q]))
                     self.length.append(self.length[p] + 1)
                     self.link.append(self.link[q])
+                    self.first.append(self.first[q])
                     while p >= 0 and self.next[p].get(c) == q:
                         self.next[p][c] = clone
                         p = self.link[p]
                     self.link[q] = self.link[cur] = clone
             last = cur
 
-    def coverage(self, text: str, least: int) -> tuple[float, int]:
-        """Share of text inside common substrings of at least `least` characters, and the longest of them."""
-        state = size = longest = covered = end = 0
+    def walk(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """For each character of text: its place, the state reached and the length of the longest common substring that ends there."""
+        state = size = 0
         for i, c in enumerate(text, 1):
             while state and c not in self.next[state]:
                 state = self.link[state]
@@ -334,23 +347,46 @@ class SuffixAutomaton:
             if c in self.next[state]:
                 state = self.next[state][c]
                 size += 1
+            yield i, state, size
+
+    def coverage(self, text: str, least: int) -> tuple[float, float]:
+        """Shares of text, and of the automaton's own text, inside common substrings of at least `least` characters.
+
+        A substring that its own text has several times is marked at its first place there.
+        """
+        covered = end = 0
+        spans: list[tuple[int, int]] = []
+        for i, state, size in self.walk(text):
             if size >= least:
                 covered += i - max(end, i - size)
                 end = i
-            longest = max(longest, size)
-        return (covered / len(text) if text else 0.0), longest
+                spans.append((self.first[state] - size, self.first[state]))
+        given = at = 0
+        for a, b in sorted(spans):
+            if b > at:
+                given += b - max(at, a)
+                at = b
+        return (covered / len(text) if text else 0.0), (given / len(self.text) if self.text else 0.0)
+
+
+@lru_cache(4096)
+def automaton(text: str) -> SuffixAutomaton:
+    """The suffix automaton of a prompt; answers to one prompt share it."""
+    return SuffixAutomaton(text)
+
+
+# Shares from which an answer counts as given back, and the shortest substring that counts.
+COPIED, RETURNED, LEAST_RUN = 0.9, 0.95, 8
 
 
 def is_copy(question: str | None, a: Answer) -> bool:
-    """The answer gives back the whole question and nothing else."""
+    """The answer gives back the question and nothing else: nearly all of the answer is copied from it, and nearly all of it is in the answer, however often."""
     q = letters(question or "")
     if not q or a.has_query:
         return False
     text = letters(LABEL.sub(" ", DELIMITER.sub(" ", a.text)))
-    if len(text) < len(q) or text.replace(q, "") and len(text) > 4 * len(q):
-        return False
-    share, longest = SuffixAutomaton(q).coverage(text, min(len(q), 8))
-    return longest >= len(q) and share >= 0.95
+    copied, returned = automaton(q).coverage(text, min(len(q), LEAST_RUN))
+    return copied >= COPIED and returned >= RETURNED
 
 
 def is_cut(question: str | None, sql: str | None, a: Answer) -> bool:
@@ -372,11 +408,11 @@ def is_cut(question: str | None, sql: str | None, a: Answer) -> bool:
 
 # Frequent function words of some languages.
 STOPWORDS = {
-    "en": "the of and to in is are was we with for that a by on as not but from which it this each no so only rows every one who into be has have what how many where when given out an or if there their them than then keep keeps follows holds needs drop by".split(),
-    "de": "dass gegen wurde wurden wir haben hat noch ob bisher soll dürfen kann können durch über sein mehr vorher waren der die das und nicht ist sind mit für von den im des eine ein einer auf wird werden nur zu sich bei dem es weil oder aus wie nach pro so alle nötig denn keine bleiben steht zum zur als".split(),
+    "en": "the of and to in is are was we with for that a by on as not but from which it this each no so only rows every one who into be has have what how many where when given out an or if there their them than then they these those some because such".split(),
+    "de": "dass gegen wurde wurden wir haben hat noch ob bisher soll dürfen kann können durch über sein mehr vorher waren der die das und nicht ist sind mit für von den im des eine ein einer auf wird werden nur zu sich bei dem es weil oder aus wie nach pro so alle denn keine zum zur als".split(),
     "fr": "le la les de des et est sont une un dans pour avec que qui sur par ne pas se ce cette du au aux il elle car plus sans seules lignes chaque on ainsi même aucune dont où".split(),
-    "es": "el la los las de del y es son una un en para con que por no se su al lo como más sin cada así solo se filas porque ya está esta este ninguna misma hace falta fila".split(),
-    "it": "il lo la i gli le di del della e è sono una un in per con che non si su da al come più senza ogni solo così righe perché nella nel questa stessa nessuna viene dello ottiene riga".split(),
+    "es": "el la los las de del y es son una un en para con que por no se su al lo como más sin cada así solo se filas porque ya está esta este ninguna misma".split(),
+    "it": "il lo la i gli le di del della e è sono una un in per con che non si su da al come più senza ogni solo così righe perché nella nel questa stessa nessuna viene dello".split(),
     "pt": "o a os as de do da e é são uma um em para com que não se por no na ao como mais sem cada assim só linhas porque está esta mesma nenhuma pelo pela dos das linha".split(),
     "nl": "de het een en van in is zijn met voor dat op niet die te aan er bij naar om als ook dan maar door over uit wordt alleen rijen elke".split(),
 }
@@ -391,7 +427,7 @@ PLAIN_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 def language(text: str) -> tuple[str, int]:
     """The language with most stopword votes and the votes; '' where nothing tells. Chinese, Japanese, Korean and Cyrillic go by script."""
-    plain = re.sub(r"\b\w*_\w*\b|'[^'\n]{0,40}'|\"[^\"\n]{0,60}\"|`[^`\n]*`", " ", text)
+    plain = re.sub(r"\b\w*_\w*\b|(?<!\w)'[^'\n]*'(?!\w)|\"[^\"\n]*\"|`[^`\n]*`", " ", text)
     votes: dict[str, int] = {}
     han = len(re.findall(r"[一-鿿]", plain))
     for name, span in (("ja", "[\u3040-\u30ff]"), ("ko", "[\uac00-\ud7af]"), ("ru", "[\u0400-\u04ff]")):

@@ -1,44 +1,37 @@
 """Broken prompt and response pairs, each with the one defect it has.
 
 A suffix automaton of the prompt is walked by the answer to measure how much of
-the answer is copied; phrase automata find answers that decline; a stack of
-delimiters finds where an answer stops (with the prefix join of truncation, for open queries);
-stopword votes tell the language of the explaining text.
+the answer is copied and how much of the prompt is given back; a phrase automaton
+finds answers that decline; a stack of delimiters finds where an answer stops
+(with the prefix join of truncation, for open queries); stopword votes tell the
+language of the explaining text. Each answer is parsed once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumframe.session import spread
-
-from .answers import declines, holds_nothing, is_copy, is_cut, read_answer, strays
-from .truncation import cut_off
+from .answers import Answer, declines, holds_nothing, is_copy, is_cut, read_answer, strays
+from .truncation import answers, open_ones
 
 
-def defect(question: str | None, raw: str | None, sql: str | None) -> str:
-    """empty, copy, refusal, truncated (by structure), other_language, or '' for a sound pair."""
+def other_defect(question: str | None, raw: str | None, sql: str | None, a: Answer) -> str:
+    """empty, copy, refusal, other_language, or ''."""
     if holds_nothing(raw):
         return "empty" if holds_nothing(sql) else ""
-    a = read_answer(raw)
     if is_copy(question, a):
         return "copy"
     if not a.has_query and declines(a.text):
         return "refusal"
-    if is_cut(question, sql, a):
-        return "truncated"
     return "other_language" if strays(question, a) else ""
 
 
-def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in batches:
-        found = [defect(q, r, s) for q, r, s in zip(df.question, df.raw_response, df["sql"])]
-        out = pd.DataFrame({"response_id": df.response_id, "defect": found})
-        yield out[(out.defect != "") & (out.defect != "truncated")]
+def defect(question: str | None, raw: str | None, sql: str | None) -> str:
+    """The defect of one pair, truncation by structure among them; '' for a sound pair."""
+    a = read_answer(raw)
+    found = other_defect(question, raw, sql, a)
+    return "truncated" if found in ("", "other_language") and is_cut(question, sql, a) else found
 
 
 def defective_pairs(responses: DataFrame, spark: SparkSession) -> DataFrame:
@@ -49,6 +42,7 @@ def defective_pairs(responses: DataFrame, spark: SparkSession) -> DataFrame:
     part; repeated rows count once; other columns are ignored; an empty table
     gives no rows. A null question cannot be copied and has no language.
     """
-    rows = responses.select(F.col("response_id").cast("bigint").alias("response_id"), "question", "raw_response", "sql").where("response_id is not null")
-    judged = spread(rows).mapInPandas(judge, "response_id bigint, defect string").distinct()
-    return judged.unionByName(cut_off(responses, spark).select("response_id", F.lit("truncated").alias("defect")))
+    found = answers(responses, spark, other_defect)
+    settled = found.where("kind not in ('open', 'longer')").select("response_id", F.when(F.col("kind") == "cut", "truncated").otherwise(F.col("kind")).alias("defect"))
+    opened = open_ones(found, spark).select("response_id", F.when(F.col("cut"), "truncated").otherwise(F.col("otherwise")).alias("defect"))
+    return settled.unionByName(opened.where("defect <> ''")).distinct()

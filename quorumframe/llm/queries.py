@@ -13,7 +13,7 @@ from .packing import fill_report, pack
 from .pairs import defective_pairs
 from .quality import structural_kind, text_quality
 from .topn import top_n_per_group
-from .truncation import cut_off, share_by_source
+from .truncation import cut_off, share_by_source, signals
 
 
 def blank_trimmed(c):
@@ -48,6 +48,11 @@ def p2_sources(spark: SparkSession, d: str) -> DataFrame:
     return share_by_source(r, cut_off(r, spark))
 
 
+def p2_signals(spark: SparkSession, d: str) -> DataFrame:
+    """What tells that a response was cut off: its structure, and a longer copy of the whole text."""
+    return signals(load(spark, d, "responses"), spark)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Defective prompt and response pairs."""
     return defective_pairs(load(spark, d, "responses"), spark)

@@ -17,7 +17,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -38,29 +38,50 @@ def undecided(sql: str | None, a: Answer) -> bool:
     return a.ends == "query" and query_state(a.bare[-1]) == "open" and flat(a.bare[-1]) != flat(sql)
 
 
-READ = "response_id bigint, value string, kind string"
+READ = "response_id bigint, value string, kind string, otherwise string"
+READ_NAMES = [x.split()[0] for x in READ.split(", ")]
 
 
-def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """kind cut: an id settled by structure; open: an id and its undecided text; longer: a text up to the end of a bare query (without an id, each once a batch).
+def read(judge: Callable[[str | None, str | None, str | None, Answer], str] | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Each answer parsed once.
 
+    kind cut: an id settled by structure; open: an id and its undecided text;
+    longer: a text up to the end of a bare query (without an id, each once a
+    batch). judge names another defect of an answer: one that comes before
+    truncation is its kind, one that comes after it stands in otherwise.
     Texts follow their question, so that only answers to the same one are compared.
     """
-    for df in batches:
-        longer: set[str] = set()
-        rows: list[tuple] = []
-        for i, question, raw, sql in zip(df.response_id, df.question, df.raw_response, df["sql"]):
-            a = read_answer(raw)
-            if not a.text:
-                continue
-            upto = [f"{flat(question)}\x1f{flat(a.text[:end])}" for end in a.bare_ends]
-            longer.update(upto)
-            if is_cut(question, sql, a):
-                rows.append((i, None, "cut"))
-            elif undecided(sql, a):
-                rows.append((i, upto[-1], "open"))
-        rows += [(None, v, "longer") for v in longer]
-        yield pd.DataFrame(rows, columns=["response_id", "value", "kind"]).astype({"response_id": "Int64"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            longer: set[str] = set()
+            rows: list[tuple] = []
+            for i, question, raw, sql in zip(df.response_id, df.question, df.raw_response, df["sql"]):
+                a = read_answer(raw)
+                found = judge(question, raw, sql, a) if judge else ""
+                early = found in BEFORE
+                if early:
+                    rows.append((i, None, found, ""))
+                if not a.text:
+                    continue
+                upto = [f"{flat(question)}\x1f{flat(a.text[:end])}" for end in a.bare_ends]
+                longer.update(upto)
+                if early:
+                    continue
+                if is_cut(question, sql, a):
+                    rows.append((i, None, "cut", ""))
+                elif undecided(sql, a):
+                    rows.append((i, upto[-1], "open", found))
+                elif found:
+                    rows.append((i, None, found, ""))
+            rows += [(None, v, "longer", "") for v in longer]
+            yield pd.DataFrame(rows, columns=READ_NAMES).astype({"response_id": "Int64"})
+
+    return run
+
+
+# Defects that an answer has rather than being cut off.
+BEFORE = frozenset({"empty", "copy", "refusal"})
 
 
 MARK = "value string, kind string"
@@ -115,11 +136,33 @@ def strict_prefixes(short: DataFrame, long: DataFrame, spark: SparkSession, part
     each = both.where("value <> ''").groupBy("value").agg(F.max("short").alias("short"), F.max("long").alias("long"))
     marked = written(each.repartitionByRange(n, "value").sortWithinPartitions("value").mapInPandas(walk, MARK), "prefixes", spark)
     # At most one first value and one chain of nested prefixes for each partition.
-    border = marked.where("kind <> 'prefix'").coalesce(1).sortWithinPartitions("value", F.expr("kind = 'pending'")).mapInPandas(close_borders, "value string")
+    border = marked.where("kind <> 'prefix'").repartition(1).sortWithinPartitions("value", F.expr("kind = 'pending'")).mapInPandas(close_borders, "value string")
     return marked.where("kind = 'prefix'").select("value").unionByName(border).distinct()
 
 
-SALTS = 16
+def answers(responses: DataFrame, spark: SparkSession, judge=None) -> DataFrame:
+    """What read() finds, written: the texts are parsed once, whatever is asked of them."""
+    rows = responses.select(F.col("response_id").cast("bigint").alias("response_id"), "question", "raw_response", "sql").where("response_id is not null")
+    return written(spread(rows).mapInPandas(read(judge), READ), "ends", spark)
+
+
+def open_ones(found: DataFrame, spark: SparkSession) -> DataFrame:
+    """(response_id, otherwise, cut) of the undecided answers: whether each is a strict prefix of a longer copy.
+
+    Answers are joined by their distinct texts. One text may be that of many
+    responses, so texts with more than a thousandth of the open answers (fewer
+    than a thousand texts, broadcast) are joined apart from the rest.
+    """
+    opened = found.where("kind = 'open'")
+    cut = strict_prefixes(opened.select("value"), found.where("kind = 'longer'").select("value"), spark)
+    counts = opened.groupBy(F.xxhash64("value").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("t"))
+    hot = counts.crossJoin(F.broadcast(total)).where(F.col("n") > F.greatest(F.lit(1000), F.col("t") / 1000)).select("h")
+    marked = opened.withColumn("h", F.xxhash64("value")).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "h", "left")
+    mine = cut.withColumn("h", F.xxhash64("value")).withColumn("cut", F.lit(True))
+    few = F.broadcast(mine.join(F.broadcast(hot), "h", "left_semi").drop("h"))
+    both = marked.where("hot").join(few, "value", "left").unionByName(marked.where("hot is null").join(mine.drop("h").hint("merge"), "value", "left"))
+    return both.select("response_id", "otherwise", F.coalesce("cut", F.lit(False)).alias("cut"))
 
 
 def cut_off(responses: DataFrame, spark: SparkSession) -> DataFrame:
@@ -128,17 +171,25 @@ def cut_off(responses: DataFrame, spark: SparkSession) -> DataFrame:
     Needs response_id, question, raw_response and sql; other columns are
     ignored. Null and blank texts, and rows with a null id, are not cut off;
     repeated rows count once; an empty table gives no rows. Texts of any length
-    are read whole. The join back to the responses is salted, as one text may
-    be that of many responses.
+    are read whole.
     """
-    rows = responses.select(F.col("response_id").cast("bigint").alias("response_id"), "question", "raw_response", "sql").where("response_id is not null and raw_response is not null")
-    found = written(spread(rows).mapInPandas(read, READ), "ends", spark)
-    opened = found.where("kind = 'open'")
-    longer = strict_prefixes(opened.select("value"), found.where("kind = 'longer'").select("value"), spark)
-    salted = longer.select("value", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    ends = opened.withColumn("salt", F.pmod(F.xxhash64("response_id"), F.lit(SALTS)).cast("int"))
-    prefixes = ends.join(salted.hint("merge"), ["value", "salt"], "left_semi")
-    return found.where("kind = 'cut'").select("response_id").unionByName(prefixes.select("response_id")).distinct()
+    found = answers(responses.where("raw_response is not null"), spark)
+    return found.where("kind = 'cut'").select("response_id").unionByName(open_ones(found, spark).where("cut").select("response_id")).distinct()
+
+
+def signals(responses: DataFrame, spark: SparkSession) -> DataFrame:
+    """Per response with a text: by_structure (the text lacks its own end) and by_prefix (the whole text is a strict prefix of another response's).
+
+    The prefix join alone, over whole texts, as a second signal: it needs that
+    the longer copy was delivered too, and holds of whole answers that another
+    one goes on from. Rules for odd rows as in cut_off.
+    """
+    texts = responses.select(F.col("response_id").cast("bigint").alias("response_id"), "raw_response").where("response_id is not null and trim(raw_response) <> ''").distinct()
+    structure = answers(responses.where("raw_response is not null"), spark).where("kind = 'cut'").select("response_id", F.lit(True).alias("s")).distinct()
+    values = texts.select(F.rtrim("raw_response").alias("value"))
+    prefix = strict_prefixes(values, values, spark).withColumn("p", F.lit(True))
+    j = texts.withColumn("value", F.rtrim("raw_response")).join(prefix, "value", "left").join(structure, "response_id", "left")
+    return j.groupBy("response_id").agg(F.max(F.coalesce("s", F.lit(False))).alias("by_structure"), F.max(F.coalesce("p", F.lit(False))).alias("by_prefix"))
 
 
 def share_by_source(responses: DataFrame, cut: DataFrame) -> DataFrame:

@@ -64,16 +64,36 @@ def test_suffix_automaton():
     rnd = random.Random(1)
     for _ in range(60):
         a, b = ("".join(rnd.choice("abc") for _ in range(n)) for n in (12, 15))
-        share, longest = SuffixAutomaton(a).coverage(b, 3)
-        hit = [False] * len(b)
-        best = 0
+        machine = SuffixAutomaton(a)
+        share, given = machine.coverage(b, 3)
+        hit, back = [False] * len(b), [False] * len(a)
         for i in range(len(b)):
             for j in range(i + 1, len(b) + 1):
-                if b[i:j] in a:
-                    best = max(best, j - i)
-                    if j - i >= 3:
-                        hit[i:j] = [True] * (j - i)
-        assert longest == best and abs(share - sum(hit) / len(b)) < 1e-9
+                k = a.find(b[i:j])
+                if k >= 0 and j - i >= 3:
+                    hit[i:j] = [True] * (j - i)
+        for _, state, size in machine.walk(b):
+            if size >= 3:
+                k = machine.first[state] - size
+                assert a[k : k + size] in b
+                back[k : k + size] = [True] * size
+        assert abs(share - sum(hit) / len(b)) < 1e-9 and abs(given - sum(back) / len(a)) < 1e-9
+
+
+def test_copies_are_told_by_coverage():
+    typo = ASK.replace("street", "streat")
+    assert defect(ASK, typo, None) == "copy" and ASK not in typo  # no containment: only the copied share tells
+    assert defect(ASK, "\n".join([ASK, ASK, typo, ASK, ASK]), None) == "copy"  # however often
+    assert defect(ASK, ASK[: len(ASK) // 2], None) == "truncated"  # all copied, but not all given back
+    assert defect(ASK, f"{ASK} The bakery table is read once, and its rows are kept in their order.", None) == "truncated"  # half of it is new
+
+
+def test_one_defect_each(spark):
+    rows = [(1, ASK, "I'm sorry, but I can't help with...", None), (2, ASK, "SELECT street FROM bakery", None), (3, ASK, SQL, SQL), (4, ASK, "Die Tabelle wird mit der Spalte für den Filter und nicht mit dem Namen gelesen.\nSELECT street FROM bakery", None)]
+    df = spark.createDataFrame(rows, "response_id long, question string, raw_response string, sql string")
+    assert sorted(tuple(r) for r in defective_pairs(df, spark).collect()) == [(1, "refusal"), (2, "truncated"), (4, "other_language")]
+    s = {r.response_id: (r.by_structure, r.by_prefix) for r in T.signals(df, spark).collect()}
+    assert s == {1: (True, False), 2: (False, True), 3: (False, False), 4: (False, False)}
 
 
 def test_language():

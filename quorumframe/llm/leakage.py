@@ -48,8 +48,10 @@ class Phrases:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words(text)]
             for k in range(len(ids) - run + 1):
                 index.setdefault(tuple(ids[k : k + run]), set()).add(item)
-        self.patterns = np.array(list(index), np.int64).reshape(len(index), run)
-        self.items = [sorted(v) for v in index.values()]
+        self.patterns = np.array(list(index), np.int32).reshape(len(index), run)
+        # Items of pattern k: item_ids[item_at[k] : item_at[k + 1]].
+        self.item_at = np.cumsum([0, *map(len, index.values())])
+        self.item_ids = np.array([i for v in index.values() for i in sorted(v)], np.int64)
         self.alphabet = len(self.vocabulary) + 2
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:
@@ -103,7 +105,7 @@ def search_shard(docs: list[tuple[int, list[int], list[int]]], phrases: Phrases)
     at = index.locate(rows)
     hits: dict[tuple[int, int], list[int]] = {}
     for p, pattern in zip(at.tolist(), np.repeat(found, counts).tolist()):
-        for item in phrases.items[pattern]:
+        for item in phrases.item_ids[phrases.item_at[pattern] : phrases.item_at[pattern + 1]].tolist():
             hits.setdefault((int(owner[p]), item), []).append(int(where[p]))
     return [(docs[d][0], item, a, b) for (d, item), starts in hits.items() for a, b in merge_spans(sorted(starts), phrases.run)]
 

@@ -14,13 +14,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumframe.session import spread
+from quorumframe.session import spread, written
 
 HASHED, DIMS, BITS, OPEN = 256, 3, 10, 256
 WORD = re.compile(r"[^\W_]+")
@@ -33,8 +34,13 @@ def projection() -> np.ndarray:
     return np.random.default_rng(20).choice([-1.0, 1.0], size=(HASHED, DIMS))
 
 
+@lru_cache(200_000)
+def bucket(word: str) -> int:
+    return zlib.crc32(word.encode()) % HASHED
+
+
 def hashed_counts(text: str) -> np.ndarray:
-    return np.bincount([zlib.crc32(w.encode()) % HASHED for w in WORD.findall(text.lower())] or [0], minlength=HASHED).astype(float)
+    return np.bincount([bucket(w) for w in WORD.findall(text.lower())] or [0], minlength=HASHED).astype(float)
 
 
 def cells(vectors: np.ndarray) -> np.ndarray:
@@ -146,7 +152,8 @@ def pack(documents: DataFrame, windows: DataFrame, spark: SparkSession, doc_id:
     if len(sizes) > 1000:
         raise ValueError("more than 1000 windows")
     docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text <> ''")
-    pieces = spread(docs).mapInPandas(make_pieces(sorted(sizes)), PIECES)
+    # Written, as choosing the ranges reads the pieces once more.
+    pieces = written(spread(docs).mapInPandas(make_pieces(sorted(sizes)), PIECES), "pieces", spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = pieces.repartitionByRange(n, "window_id", "hilbert", "doc_id", "piece").sortWithinPartitions("window_id", "hilbert", "doc_id", "piece")
     return ordered.mapInPandas(fill, PACKED)

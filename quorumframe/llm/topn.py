@@ -9,14 +9,10 @@ after the max step.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
 
-
-def bounded_heap(pair: Column, n: int) -> Column:
-    """The n largest structs of a group, largest first (a mergeable aggregate with a bounded queue)."""
-    return InternalFunction.collect_top_k(pair, n, False)
+from quorumframe.operators.pool import heap
 
 
 def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int = 3, rank: str = "rnk") -> DataFrame:
@@ -36,7 +32,7 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int = 3
         "g is not null and i is not null and s is not null"
     )
     best = rows.groupBy("g", "i").agg(F.max("s").alias("s"))
-    heaps = best.groupBy("g").agg(bounded_heap(F.struct("s", "i"), n).alias("heap"))
+    heaps = best.groupBy("g").agg(heap(F.struct("s", "i"), n).alias("heap"))
     return heaps.select("g", F.posexplode("heap").alias("p", "h")).select(
         F.col("g").alias(group), F.col("h.i").alias(item), F.col("h.s").alias(score), (F.col("p") + 1).cast("int").alias(rank)
     )

@@ -99,19 +99,31 @@ def parse(payload) -> dict | None:
     return record if isinstance(record, dict) else None
 
 
-def pair_up(gone: list[str], come: list[str], fits) -> list[tuple[str, str]]:
-    """Renames: the likeliest pairs first, each name once; ties by name."""
-    scored = sorted(((-s, a, b) for a in gone for b in come if (s := likeness(a, b)) > 0 and fits(a, b)))
+def pair_up(gone: list[str], come: list[str], fits, alike=lambda a, b: False) -> list[tuple[str, str]]:
+    """Renames: the likeliest pairs of names first, of equally likely ones those whose values are alike, each name once; ties by name."""
+    scored = sorted(((-s, not alike(a, b), a, b) for a in gone for b in come if (s := likeness(a, b)) > 0 and fits(a, b)))
     pairs, seen = [], set()
-    for _, a, b in scored:
+    for _, _, a, b in scored:
         if ("a", a) not in seen and ("b", b) not in seen:
             seen |= {("a", a), ("b", b)}
             pairs.append((a, b))
     return pairs
 
 
-def step(state: dict[str, str], fields: dict[str, str], file_id: int) -> tuple[list[tuple], dict[str, str], list[tuple]]:
-    """Compare a file with the state before it.
+def value_kind(v) -> str:
+    """What a value looks like, for telling renamed fields apart: the size of a number, the shape of a text; '' for no value."""
+    if v is None or isinstance(v, bool):
+        return str(v)[:1] if v is not None else ""
+    if isinstance(v, (int, float)):
+        whole = "i" if float(v).is_integer() else "f"
+        return f"{whole}{len(str(abs(int(v))))}"
+    if isinstance(v, list):
+        return "l"
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", v))[:24]
+
+
+def step(state: dict[str, str], fields: dict[str, str], file_id: int, looked: dict[str, str] | None = None, looks: dict[str, str] | None = None) -> tuple[list[tuple], dict[str, str], list[tuple]]:
+    """Compare a file with the state before it; looked and looks tell what the values of the two look like.
 
     state: field -> type, '' for never typed, '?x' for the unknown type that x
     had before this block. Returns the sure changes, the new state and the
@@ -126,7 +138,10 @@ def step(state: dict[str, str], fields: dict[str, str], file_id: int) -> tuple[l
         old, now = state[a], fields[b]
         return not old or not now or old[0] == "?" or old == now
 
-    pairs = pair_up(gone, come, same)
+    def alike(a: str, b: str) -> bool:
+        return bool(looked and looks and looked.get(a) and looked.get(a) == looks.get(b))
+
+    pairs = pair_up(gone, come, same, alike)
     for a, b in pairs:
         old, now = state[a], fields[b]
         if old[:1] == "?" and now:
@@ -168,9 +183,9 @@ SIGNED = "series string, at bigint, file_id bigint, sig string"
 
 
 def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """payload -> the JSON text of its {path: tag}; broken payloads are left out."""
+    """payload -> the JSON text of its {path: [tag, look of the value]}; broken payloads are left out."""
     for df in batches:
-        sigs = [None if (r := parse(p)) is None else json.dumps({k: tag(v) for k, v in flatten(r)}) for p in df.payload]
+        sigs = [None if (r := parse(p)) is None else json.dumps({k: [tag(v), value_kind(v)] for k, v in flatten(r)}) for p in df.payload]
         yield pd.DataFrame({"series": df.series, "at": df["at"], "file_id": df.file_id, "sig": sigs}).dropna(subset=["sig"])
 
 
@@ -182,11 +197,11 @@ def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     Memory: one schema and the changes of one batch; an edge holds one schema.
     """
-    now = None  # [series, at, file_id, head fields, open changes, state]
+    now = None  # [series, at, file_id, head fields, open changes, state, looks]
     first = True
 
     def edge(e) -> tuple:
-        return (e[2], "", "", "", e[0], e[1], json.dumps(e[3]), json.dumps(e[4]), json.dumps(e[5]))
+        return (e[2], "", "", "", e[0], e[1], json.dumps(e[3]), json.dumps(e[4]), json.dumps([e[5], e[6]]))
 
     last_id = None
     for df in batches:
@@ -194,7 +209,8 @@ def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for series, at, file_id, sig in zip(df.series, df["at"], df.file_id, df.sig):
             if now is not None and now[0] == series and file_id == last_id:
                 continue  # delivered twice
-            fields = json.loads(sig)
+            tagged = json.loads(sig)
+            fields, looks = {k: t for k, (t, _) in tagged.items()}, {k: v for k, (_, v) in tagged.items()}
             last_id = file_id
             if now is None or now[0] != series:
                 if now is not None and first:
@@ -202,9 +218,10 @@ def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     first = False
                 # Only the first series of the partition can go on from an earlier one.
                 symbolic = now is None
-                now = [series, at, file_id, fields, [], {k: t or (f"?{k}" if symbolic else "") for k, t in fields.items()}]
+                now = [series, at, file_id, tagged, [], {k: t or (f"?{k}" if symbolic else "") for k, t in fields.items()}, looks]
                 continue
-            changes, now[5], open_ = step(now[5], fields, file_id)
+            changes, now[5], open_ = step(now[5], fields, file_id, now[6], looks)
+            now[6] = looks
             now[4] += open_
             rows += [(*c, None, None, None, None, None) for c in changes]
         if rows:
@@ -218,19 +235,20 @@ COLS = [x.split()[0] for x in EDGES.split(", ")]
 
 def join_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Edges in order: the changes at the partitions' borders and the conditional ones."""
-    series, state = None, {}
+    series, state, looked = None, {}, {}
     for df in batches:
         rows = []
         for e in df.itertuples(index=False):
-            head, open_, tail = json.loads(e.head), json.loads(e.open), json.loads(e.tail)
+            head, open_, (tail, looks) = json.loads(e.head), json.loads(e.open), json.loads(e.tail)
+            fields = {k: t for k, (t, _) in head.items()}
             if e.series == series:
-                changes, carry, _ = step(state, head, e.file_id)
+                changes, carry, _ = step(state, fields, e.file_id, looked, {k: v for k, (_, v) in head.items()})
                 rows += changes
             else:
-                carry = dict(head)
+                carry = fields
             rows += settle(open_, carry)
             state = {k: (carry.get(t[1:], "") if t[:1] == "?" else t) for k, t in tail.items()}
-            series = e.series
+            series, looked = e.series, looks
         yield pd.DataFrame(rows, columns=COLS[:4])
 
 
@@ -248,10 +266,11 @@ def schema_changes(files: DataFrame, spark: SparkSession, series: str = "series_
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = files.select(F.col(series).cast("string").alias("series"), F.unix_micros(F.col(at)).alias("at"), F.col(file_id).cast("bigint").alias("file_id"), F.col(payload).alias("payload"))
     rows = rows.where("series is not null and at is not null and file_id is not null and payload is not null")
-    signed = spread(rows).mapInPandas(signatures, SIGNED)
+    # Written, as choosing the ranges reads it once more.
+    signed = written(spread(rows).mapInPandas(signatures, SIGNED), "signed", spark)
     found = written(signed.repartitionByRange(n, "series", "at", "file_id").sortWithinPartitions("series", "at", "file_id").mapInPandas(scan, EDGES), "drift", spark)
     edges = found.where("series is not null")  # at most two rows for each partition
-    border = edges.coalesce(1).sortWithinPartitions("series", "at", "file_id").mapInPandas(join_edges, CHANGES)
+    border = edges.repartition(1).sortWithinPartitions("series", "at", "file_id").mapInPandas(join_edges, CHANGES)
     return found.where("series is null").select("file_id", "change", "field_from", "field_to").unionByName(border)
 
 
@@ -298,13 +317,52 @@ def unified_table(files: DataFrame, file_id: str = "file_id", payload: str = "pa
     return once.mapInPandas(branches, FIELDS)
 
 
-def fused_schema(files: DataFrame, table: DataFrame, family: str = "family", file_id: str = "file_id") -> DataFrame:
-    """The union schema: for each family and path its alternative types, how many files show each, and the first that does.
+def fused_schema(files: DataFrame, table: DataFrame, family: str = "family", file_id: str = "file_id", at: str = "written_at") -> DataFrame:
+    """The union schema: for each family and path its alternative types, how many files show each, and the first that does by its time.
 
     A mergeable aggregate (counts and minima), so no schema is gathered in one task.
     """
+    fam = files.select(F.col(file_id).cast("bigint").alias("file_id"), F.col(family).alias("family"), F.col(at).alias("at")).groupBy("file_id").agg(F.min("family").alias("family"), F.min("at").alias("at"))
+    return table.join(fam, "file_id").groupBy("family", "path", "type").agg(F.count(F.lit(1)).alias("n_files"), F.min_by("file_id", F.struct("at", "file_id")).alias("first_file"))
+
+
+def one_name(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Renames of one family -> the name that each of its renamed fields has in the common table: the first name of its chain."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in sorted(zip(pairs.a, pairs.b)):
+        a, b = find(a), find(b)
+        if a != b:
+            root[b] = a
+    return pd.DataFrame({"family": pairs.family.iloc[0], "path": list(root), "field": [find(x) for x in root]})
+
+
+def common_names(files: DataFrame, changes: DataFrame, table: DataFrame, family: str = "family", file_id: str = "file_id") -> DataFrame:
+    """(family, path, field): the common name of each renamed path of a family.
+
+    Two names that ever stand in one file side by side are two fields, whatever
+    they are called elsewhere. What is gathered for a family are its distinct
+    renames, not its files.
+    """
     fam = files.select(F.col(file_id).cast("bigint").alias("file_id"), F.col(family).alias("family")).groupBy("file_id").agg(F.min("family").alias("family"))
-    return table.join(fam, "file_id").groupBy("family", "path", "type").agg(F.count(F.lit(1)).alias("n_files"), F.min("file_id").alias("first_file"))
+    renames = changes.where("change = 'renamed'").join(fam, "file_id").select("family", F.col("field_from").alias("a"), F.col("field_to").alias("b")).distinct()
+    names = table.join(fam, "file_id").groupBy("file_id", "family").agg(F.array_sort(F.collect_set("path")).alias("paths")).select("family", "paths").distinct()
+    both = renames.join(names, "family").where(F.array_contains("paths", F.col("a")) & F.array_contains("paths", F.col("b"))).select("family", "a", "b").distinct()
+    return renames.join(both, ["family", "a", "b"], "left_anti").groupBy("family").applyInPandas(one_name, "family string, path string, field string")
+
+
+def consistent_table(files: DataFrame, spark: SparkSession) -> DataFrame:
+    """unified_table with the family and the common name of each path as field; renamed paths keep their own as path."""
+    fam = files.select(F.col("file_id").cast("bigint").alias("file_id"), "family").groupBy("file_id").agg(F.min("family").alias("family"))
+    table = written(unified_table(files), "branches", spark)
+    names = common_names(files, schema_changes(files, spark), table)
+    named = table.join(fam, "file_id").join(names, ["family", "path"], "left")
+    return named.select("file_id", "family", F.coalesce("field", "path").alias("field"), *[c for c in table.columns if c != "file_id"])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -313,8 +371,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
-    """All run records as one table of typed branches."""
-    return unified_table(load(spark, d, "run_files"))
+    """All run records as one table of typed branches, renamed fields under one name."""
+    return consistent_table(load(spark, d, "run_files"), spark)
 
 
 def p4_schema(spark: SparkSession, d: str) -> DataFrame:
@@ -324,4 +382,9 @@ def p4_schema(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_table": p4_table, "p4_schema": p4_schema}
-SQL: dict[str, str] = {}
+SQL = {
+    "p4_schema": """WITH f AS (SELECT CAST(file_id AS BIGINT) AS file_id, min(family) AS family, min(written_at) AS wat, arg_min(payload, ingested_at) AS payload FROM run_files GROUP BY 1),
+      j AS (SELECT file_id, family, wat, trim(replace(payload, chr(65279), ''), ' ' || chr(10) || chr(13) || chr(9)) AS p FROM f),
+      t AS (SELECT file_id, family, wat, replace(substr(fullkey, 3), '"', '') AS path, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN 'number' WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type = 'NULL' THEN 'null' ELSE 'list' END AS type FROM (SELECT * FROM j WHERE json_valid(p)) v, json_tree(v.p) WHERE type <> 'OBJECT' AND fullkey NOT LIKE '%[%' AND fullkey <> '$')
+      SELECT family, path, type, COUNT(*) AS n_files, arg_min(file_id, {'a': wat, 'f': file_id}) AS first_file FROM t GROUP BY 1, 2, 3""",
+}

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from quorumframe.functions.textops import export_sql
 
@@ -56,24 +57,36 @@ def read_schemas(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("column_names_original", F.transform("column_names_original", pair)).withColumn("foreign_keys", F.transform("foreign_keys", link))
 
 
-def read_csv_encodings(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8", "iso-8859-1")) -> DataFrame:
-    """CSV with a header in the first encoding that leaves no broken characters."""
-    for e in encodings:
-        df = spark.read.csv(path, header=True, encoding=e, multiLine=True)
-        names = [F.col(f"`{c}`").contains("�") for c in df.columns]
-        broken = any("�" in c for c in df.columns) or df.where(F.greatest(*names, F.lit(False))).limit(1).count() > 0
-        if not broken or e == encodings[-1]:
-            return df.toDF(*[c.lstrip("﻿") for c in df.columns])
-    raise ValueError("no encoding given")
+# Characters that windows-1252 has at the bytes where iso-8859-1 has controls.
+LATIN = {chr(b): bytes([b]).decode("windows-1252") for b in range(0x80, 0xA0) if bytes([b]).decode("windows-1252", "ignore")}
+
+
+def read_csv_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header in UTF-8 (with or without a byte order mark), or in windows-1252 where that leaves broken characters."""
+    df = spark.read.csv(path, header=True, encoding="utf-8", multiLine=True)
+    broken = any("\ufffd" in c for c in df.columns) or df.where(F.greatest(*[F.col(f"`{c}`").contains("\ufffd") for c in df.columns], F.lit(False))).limit(1).count() > 0
+    if broken:  # Spark reads the one-byte set without those characters; they are put in afterwards
+        df = spark.read.csv(path, header=True, encoding="iso-8859-1", multiLine=True)
+        df = df.select(*[F.translate(F.col(f"`{c}`"), "".join(LATIN), "".join(LATIN.values())).alias("".join(LATIN.get(x, x) for x in c)) for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a text file with their number from 0, read in splits: lines are counted by split, and only the counts are put in order.
+
+    A folder's files follow each other by name.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    before = W.orderBy("f", "b")
+    counts = raw.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n")).select("f", "b", (F.sum("n").over(before) - F.col("n")).alias("before"))
+    inside = F.row_number().over(W.partitionBy("f", "b").orderBy("m"))
+    return raw.withColumn("i", inside).join(F.broadcast(counts), ["f", "b"]).select((F.col("before") + F.col("i") - 1).alias("line"), F.col("value").alias("text"))
 
 
 def read_line_pairs(spark: SparkSession, gold: str, pred: str) -> DataFrame:
     """Two line files joined by line number: gold query and db_id (tab-separated), and the prediction ('' where it lacks one)."""
-    def lines(path: str) -> DataFrame:
-        return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line", "text"))
-
-    g = lines(gold).select("line", F.split("text", "\t").alias("p")).select("line", F.col("p")[0].alias("gold_sql"), F.get("p", F.lit(1)).alias("db_id"))
-    return g.join(lines(pred).withColumnRenamed("text", "pred_sql"), "line", "left").withColumn("pred_sql", F.coalesce("pred_sql", F.lit("")))
+    g = numbered_lines(spark, gold).select("line", F.split("text", "\t").alias("p")).select("line", F.col("p")[0].alias("gold_sql"), F.get("p", F.lit(1)).alias("db_id"))
+    return g.join(numbered_lines(spark, pred).withColumnRenamed("text", "pred_sql"), "line", "left").withColumn("pred_sql", F.coalesce("pred_sql", F.lit("")))
 
 
 def read_loss_log(spark: SparkSession, path: str) -> DataFrame:
@@ -140,3 +153,29 @@ def merge_items(a: DataFrame, b: DataFrame, index: str = "dataset_index") -> Dat
 def file_hashes(spark: SparkSession, pattern: str) -> DataFrame:
     """SHA-256 of whole files (path, sha256)."""
     return spark.read.format("binaryFile").load(pattern).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def checkpoint_faults(completed: DataFrame, items: DataFrame, run: str = "run", index: str = "dataset_index") -> DataFrame:
+    """For each run: indices that are completed twice, items that come twice, completed indices without an item, and items without a completed index."""
+    a = completed.groupBy(run, index).agg(F.count(F.lit(1)).alias("na"))
+    b = items.groupBy(run, index).agg(F.count(F.lit(1)).alias("nb"))
+    j = a.join(b, [run, index], "full")
+    n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    return j.groupBy(run).agg(n(F.col("na") > 1).alias("repeated_indices"), n(F.col("nb") > 1).alias("repeated_items"), n(F.col("nb").isNull()).alias("without_item"), n(F.col("na").isNull()).alias("without_index"))
+
+
+def example_entries(records: DataFrame) -> DataFrame:
+    """Examples (idx, record as JSON text) of two shapes as one table: idx, question, response, db_id, kind.
+
+    Chat messages give the first user and the last assistant text; items give
+    each candidate that ran, was judged right and keeps its whole response.
+    Records of neither shape, and entries without question or response, give no
+    rows.
+    """
+    kind = "messages array<struct<role: string, content: string>>, question string, db_id string, candidates array<struct<raw_response: string, execution_success: boolean, correct_vav: boolean>>"
+    r = records.select("idx", F.from_json("record", kind).alias("r")).select("idx", "r.*")
+    said = lambda role: F.transform(F.filter("messages", lambda m: m["role"] == role), lambda m: m["content"])
+    chat = r.where("messages is not null").select("idx", F.get(said("user"), F.lit(0)).alias("question"), F.try_element_at(said("assistant"), F.lit(-1)).alias("response"), F.lit(None).cast("string").alias("db_id"), F.lit("messages").alias("kind"))
+    items = r.where("messages is null and candidates is not null").select("idx", "question", F.explode("candidates").alias("c"), "db_id").where("c.execution_success and c.correct_vav")
+    items = items.select("idx", "question", F.col("c.raw_response").alias("response"), "db_id", F.lit("items").alias("kind"))
+    return chat.unionByName(items).where("question is not null and question <> '' and trim(response) <> ''")

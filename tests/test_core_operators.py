@@ -117,8 +117,8 @@ def test_readers(spark, tmp_path):
     assert R.read_items(spark, str(tmp_path / "b.json"), "q string").first().q == "y" and R.read_items(spark, str(p), "q string").count() == 5
     (tmp_path / "c.jsonl").write_text('﻿{"a": 1}\n\n{broken\n{"a": 2}\n')
     assert [r.a for r in R.read_json_lines(spark, str(tmp_path / "c.jsonl"), "a int").collect()] == [1, 2]
-    (tmp_path / "d.csv").write_bytes("a,b\n1,größe\n".encode("cp1252"))
-    assert R.read_csv_encodings(spark, str(tmp_path / "d.csv")).first().b == "größe"
+    (tmp_path / "d.csv").write_bytes("a,b\n1,größe “€”\n".encode("cp1252"))
+    assert R.read_csv_encodings(spark, str(tmp_path / "d.csv")).first().b == "größe “€”"
     (tmp_path / "gold").write_text("SELECT 1\tdb\nSELECT 2\tdb\n")
     (tmp_path / "pred").write_text("SELECT 1\n")
     assert [r.pred_sql for r in R.read_line_pairs(spark, str(tmp_path / "gold"), str(tmp_path / "pred")).orderBy("line").collect()] == ["SELECT 1", ""]

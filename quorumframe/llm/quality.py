@@ -48,11 +48,13 @@ TOKEN = re.compile(r"[㐀-鿿぀-ヿ가-힯]|[^\W\d_㐀-鿿぀-ヿ가-힯]+(?:['
 # A few lines of each form, from which its profiles are measured, one profile a language or manner.
 SAMPLES = {
     ("sentence", "en"): "The second run was not as good as we had hoped, so the team went back to the first plan and checked each step again.\nWhen a rule fails it is often because the words of the question were read in another way than they were meant.\nNobody knows yet whether this will hold for a longer test, but the numbers of the last week point in that direction.\nPeople in the valley keep their boats on the shore until the ice has gone.",
+    ("sentence", "en with names"): "Every clerk of Vanora keeps 214 notes in the old archive of Belmir, unless Tesso marked them as lost.\nCompare the copper index of Ralo with the one dated 3371 and return the lower value.\nThe guild of Sorin pays 88 coins for each lamp that Mirella repaired in Tavo, and Dorin keeps zeta lists of them.",
     ("sentence", "de"): "Der zweite Lauf war nicht so gut wie erhofft, deshalb hat die Gruppe den ersten Plan wieder aufgenommen und jeden Schritt noch einmal geprüft.\nOb das auch für einen längeren Versuch gilt, ist noch offen, aber die Zahlen der letzten Woche zeigen in diese Richtung.\nDie meisten Fehler stammen aus einer Tabelle, die bisher niemand gelesen hat.",
     ("sentence", "fr"): "La deuxième série n'était pas aussi bonne que nous l'avions espéré, et le groupe est donc revenu au premier plan pour vérifier chaque étape.\nPersonne ne sait encore si cela vaut pour un essai plus long, mais les chiffres de la semaine vont dans ce sens.",
     ("sentence", "es"): "La segunda prueba no fue tan buena como esperábamos, así que el grupo volvió al primer plan y revisó cada paso otra vez.\nNadie sabe todavía si esto vale para una prueba más larga, pero los números de la última semana van en esa dirección.",
     ("sentence", "zh"): "第二次运行的结果没有我们希望的那么好，所以小组回到了第一个计划，并且重新检查了每一个步骤。\n这些数字还不能说明它在更长的测试中也成立，但是上一周的结果指向同一个方向。\n大部分错误来自一张没有人读过的表，原因是它的名字在文档中写错了。",
-    ("sentence", "zh with names"): "检索器对 city_name 的判断没有变化，原因是 price 的取值在两张表中不同。\n第 12 步之后的奖励不再上升，因此我们保留了 old_plan 的结果。\n把 visits 的说明改短以后，效果反而更好。\n下一步计划在 lake_town 上再测一次。\nprice 的提示改善了 Lumi 的取值，原因是缓存在第 80 分钟以后才命中。",
+    ("sentence", "zh with names"): "检索器对 city_name 的判断没有变化，原因是 price 的取值在两张表中不同。\n第 12 步之后的奖励不再上升，因此我们保留了 old_plan 的结果。\n把 visits 的说明改短以后，效果反而更好。\n下一步计划在 lake_town 上再测一次。\nprice 的提示改善了 Lumi 的取值，原因是缓存在第 80 分钟以后才命中。\nLumi 建议在文档中保留 old_price 这一列。",
+    ("sentence", "zh short"): "简短的句子也是句子。我们先看第一张表，再看第二张表。\n目前没有发现问题，大家可以继续使用。city 的写法有两种，先按第一种处理。\nLumi 写了 30 行，Soren 改了 4 行，其余保持原样。\n明天在 lake_town 上去掉旧的说明，再跑一次 price 的测试。",
     ("entry", "words"): "missing price in orders\nvotes of the second group\nrename old_name\ncheck city_name spelling\nstep 14\nnext steps\nopen the gate\nResults of table_3\nask Lumi about price\nlake_town.price\nblue paint\nRed Lake Inn",
     ("entry", "settings"): "max_steps = 200\nlearning_rate: 0.001\nseed=17\nuse_cache: true\nmodel_name = small_v2\ntimeout: 30\nverbose: off\nprice_check: on\nowner: Lumi",
     ("entry", "inline"): "step 14; votes of group two; missing price in orders; seed 23; rename old_name; check city_name\nblue paint, two brushes, a ladder, nails, old cloth, tape\nseed 11; step 90; seed 4; step 7; price of ticket",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from quorumframe.functions.textops import content_tokens, token_variants
+
 from .pool import heap
 
 import pandas as pd
@@ -62,14 +64,52 @@ def words(c: Column) -> Column:
 TABLE_POINTS, COLUMN_POINTS, VALUE_POINTS = 3, 2, 4
 
 
-def relevance(questions: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Points of each table of a question's schema: words of the question in its name and its columns' names."""
-    q = questions.where("question is not null").select("di", "db_id", words(F.col("question")).alias("qw"))
-    c = columns_of(schemas).groupBy("db_id", "tbl").agg(F.array_sort(F.collect_set("col")).alias("cols"))
-    name_words = words(F.regexp_replace(F.col("tbl"), "_", " "))
-    hit_cols = F.size(F.filter("cols", lambda x: F.size(F.array_except(F.split(F.lower(x), "_"), F.col("qw"))) == 0))
-    pts = F.when(F.size(F.array_except(name_words, F.col("qw"))) == 0, TABLE_POINTS).otherwise(0) + COLUMN_POINTS * hit_cols
-    return q.join(c, "db_id").select("di", "tbl", pts.alias("points")).where("points > 0")
+def relevance(questions: DataFrame, schemas: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """Points of each table of a question's schema (di, db_id, tbl, points); tables without points have 0.
+
+    For each content word of the question, repeats included: TABLE_POINTS for
+    each of its forms among the words of the table's name, COLUMN_POINTS for
+    each among those of its columns' names, and VALUE_POINTS if it names a value
+    that the table stores. hits: di, tbl, term.
+    """
+    q = questions.where("question is not null").select("di", "db_id", content_tokens(F.col("question")).alias("qw"))
+    c = columns_of(schemas).groupBy("db_id", "tbl").agg(F.array_distinct(F.flatten(F.collect_list(content_tokens(F.col("col"))))).alias("cw"))
+    forms = F.flatten(F.transform("qw", token_variants))
+    among = lambda ws: F.size(F.filter("forms", lambda w: F.array_contains(ws, w)))
+    t = q.join(c, "db_id").withColumn("forms", forms).withColumn("tw", content_tokens(F.col("tbl")))
+    t = t.select("di", "db_id", "tbl", "qw", (TABLE_POINTS * among(F.col("tw")) + COLUMN_POINTS * among(F.col("cw"))).alias("points"))
+    if hits is None:
+        return t.select("di", "db_id", "tbl", "points")
+    h = hits.groupBy("di", "tbl").agg(F.collect_set("term").alias("terms"))
+    named = F.size(F.filter("qw", lambda w: F.array_contains(F.coalesce("terms", F.array().cast("array<string>")), w)))
+    return t.join(h, ["di", "tbl"], "left").select("di", "db_id", "tbl", (F.col("points") + VALUE_POINTS * named).alias("points"))
+
+
+# Characters of the schema section, tables that are named when none has points.
+SCHEMA_CAP, FALLBACK_TABLES = 1100, 8
+
+
+def schema_sections(points: DataFrame, schemas: DataFrame, cap: int = SCHEMA_CAP) -> DataFrame:
+    """Schema text of each question (di, section): tables by points, those without points last.
+
+    In full, if that fits the cap; else with bare column names for tables
+    without points; else only the tables with points (the first
+    FALLBACK_TABLES in bare form where there are none).
+    """
+    fk = foreign_keys_of(schemas).groupBy("db_id", F.col("from_tbl").alias("tbl"), F.col("from_pos").alias("pos")).agg(F.max(F.concat_ws(".", "to_tbl", "to_col")).alias("to"))
+    c = columns_of(schemas).join(fk, ["db_id", "tbl", "pos"], "left")
+    marks = F.array_compact(F.array(F.when(F.col("is_pk"), "PK"), F.when(F.col("to").isNotNull(), F.concat(F.lit("FK→"), "to"))))
+    spec = F.concat_ws(" ", F.concat_ws(":", "col", "type"), F.when(F.size(marks) > 0, F.concat(F.lit("("), F.array_join(marks, ","), F.lit(")"))))
+    line = lambda xs: F.concat("tbl", F.lit("("), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", xs.alias("t")))), lambda x: x["t"]), ", "), F.lit(")"))
+    lines = c.groupBy("db_id", "tbl").agg(line(spec).alias("full"), line(F.col("col")).alias("bare"))
+    order = F.struct((F.col("points") <= 0).alias("z"), F.negative("points").alias("p"), "tbl", "full", "bare")
+    each = points.join(lines, ["db_id", "tbl"]).groupBy("di").agg(F.array_sort(F.collect_list(order)).alias("xs"))
+    text = lambda f, xs="xs": F.array_join(F.transform(xs, f), "\n")
+    full = text(lambda x: x["full"])
+    compact = text(lambda x: F.when(x["z"], x["bare"]).otherwise(x["full"]))
+    kept = F.filter("xs", lambda x: ~x["z"])
+    last = F.when(F.size(kept) > 0, text(lambda x: x["full"], kept)).otherwise(text(lambda x: x["bare"], F.slice("xs", 1, FALLBACK_TABLES)))
+    return each.select("di", F.when(F.length(full) <= cap, full).when(F.length(compact) <= cap, compact).otherwise(last).alias("section"))
 
 
 def within_budget(df: DataFrame, group: str, order: str, text: str, budget: int) -> DataFrame:
@@ -105,10 +145,10 @@ def value_hits(terms: DataFrame, values: DataFrame, keep: int = 3) -> DataFrame:
     """Stored values that a question's terms name: (qid, term, value, priority), at most `keep` a term.
 
     terms: qid, term; values: value. Exact values (of the same letters and digits)
-    and values with the term as a word are found by equi joins. Among values of
-    the same first letter (an equi join), those that hold the term or are held by
-    it are contained too, and those of a length that the ratio allows are similar
-    by the ratio.
+    and values with the term as a word are found by equi joins. Values of the
+    same first letter that hold the term or are held by it are contained too, by
+    an equi join on three characters; those of a length that the ratio allows are
+    similar by the ratio, by an equi join on first letter and length.
     """
     norm = lambda c: F.coalesce(F.nullif(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""), F.lit("")), c)
     v = values.where("value is not null").select("value", F.lower("value").alias("lv")).distinct().withColumn("nv", norm(F.col("lv")))
@@ -116,11 +156,22 @@ def value_hits(terms: DataFrame, values: DataFrame, keep: int = 3) -> DataFrame:
     exact = t.join(v, t.nt == v.nv).select("qid", "term", "value", F.lit(EXACT).alias("priority"))
     parts = v.select("value", "lv", F.explode(F.split("lv", r"\s+")).alias("w")).where("w <> lv")
     inside = t.join(parts, t.term == parts.w).select("qid", "term", "value", F.lit(CONTAINED).alias("priority"))
-    near = t.withColumn("f", F.substring("nt", 1, 1)).join(v.withColumn("f", F.substring("nv", 1, 1)), "f").where("nt <> nv")
-    held = near.where("length(nt) >= 3 and not (nt rlike '^[0-9]{3}$') and (length(nv) >= 3 and contains(nv, nt) or length(nv) >= 4 and contains(nt, nv))").select("qid", "term", "value", F.lit(CONTAINED).alias("priority"))
-    # 2 * matched / both lengths, and no more is matched than the shorter one has.
-    allowed = 2 * F.least(F.length("nt"), F.length("nv")) / (F.length("nt") + F.length("nv")) >= LEAST
-    similar = near.where("length(term) >= 4").where(allowed).where(ratio_udf("nt", "nv") >= LEAST).select("qid", "term", "value", F.lit(SIMILAR).alias("priority"))
+    t, v = t.withColumn("f", F.substring("nt", 1, 1)), v.withColumn("f", F.substring("nv", 1, 1))
+    # The shorter text begins with three characters that the longer one has: an equi join on those.
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(3))))).alias("g")
+    asks = t.where("length(nt) >= 3 and not (nt rlike '^[0-9]{3}$')")
+    in_value = asks.withColumn("g", F.substring("nt", 1, 3)).join(v.where("length(nv) >= 3").select("*", grams("nv")), ["f", "g"]).where("nt <> nv and contains(nv, nt)")
+    in_term = asks.select("*", grams("nt")).join(v.where("length(nv) >= 4").withColumn("g", F.substring("nv", 1, 3)), ["f", "g"]).where("nt <> nv and contains(nt, nv)")
+    pick = lambda df, p: df.select("qid", "term", "value", F.lit(p).alias("priority"))
+    # 2 * matched / both lengths, and no more is matched than the shorter one has: each term meets the lengths that allow it.
+    low, high = F.ceil(F.length("nt") * LEAST / (2 - LEAST) - 1e-9), F.floor(F.length("nt") * (2 - LEAST) / LEAST + 1e-9)
+    sized = t.where("length(term) >= 4").select("*", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("n"))
+    near = sized.join(v.withColumn("n", F.length("nv")), ["f", "n"]).where("nt <> nv")
+    # What is not matched is edited, so the edits that the ratio leaves room for decide most pairs before Python sees them.
+    room = F.floor((F.length("nt") + F.length("nv")) * (1 - LEAST) + 1e-9).cast("int")
+    near = near.where(F.levenshtein("nt", "nv") <= room)
+    held = pick(in_value, CONTAINED).unionByName(pick(in_term, CONTAINED))
+    similar = pick(near.where(ratio_udf("nt", "nv") >= LEAST), SIMILAR)
     best = exact.unionByName(inside).unionByName(held).unionByName(similar).groupBy("qid", "term", "value").agg(F.max("priority").alias("priority"))
     kept = best.groupBy("qid", "term").agg(heap(F.struct(F.negative("priority").alias("p"), "value"), keep, True).alias("h"))
     return kept.select("qid", "term", F.explode("h").alias("h")).select("qid", "term", "h.value", F.negative("h.p").alias("priority"))

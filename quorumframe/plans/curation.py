@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quorumframe.functions import textops as X
 from quorumframe.operators import curate as C
 from quorumframe.operators import evidence as V
 from quorumframe.session import load
@@ -186,7 +187,14 @@ def table_docs(spark, d):
 
 def table_relevance(spark, d):
     """Points of the tables that a question names."""
-    return V.relevance(load(spark, d, "questions"), load(spark, d, "db_schemas"))
+    return V.relevance(load(spark, d, "questions").dropDuplicates(["di"]), load(spark, d, "db_schemas")).where("points > 0").select("di", "tbl", "points")
+
+
+def schema_section(spark, d):
+    """Schema text of each question within its budget."""
+    s = load(spark, d, "db_schemas")
+    q = load(spark, d, "questions").where("di >= 0").dropDuplicates(["di"])
+    return V.schema_sections(V.relevance(q, s), s, 420)
 
 
 def retriever_records(spark, d):
@@ -253,12 +261,17 @@ def store_stats(spark, d):
     return R.store_stats(load(spark, d, "candidates").dropDuplicates(["id"]))
 
 
-_F = (label_candidates, stratified_cap, balance_up, balance_down, balance_check, question_split, last_wins_merge, first_wins_merge, overlay_upsert, leak_guard_anti, funnel_counts, manifest_check, disjoint_split, target_union, mix_fraction, seeded_sample, pending_work, validate_candidates, explain_targets, schema_columns, schema_foreign_keys, schema_ddl, schema_ids, table_docs, table_relevance, retriever_records, keyword_budget, value_grounding, column_values, retrieve_topk, recall_mrr, store_query_nullsafe, store_ingest_antijoin, store_stats)
+_F = (label_candidates, stratified_cap, balance_up, balance_down, balance_check, question_split, last_wins_merge, first_wins_merge, overlay_upsert, leak_guard_anti, funnel_counts, manifest_check, disjoint_split, target_union, mix_fraction, seeded_sample, pending_work, validate_candidates, explain_targets, schema_columns, schema_foreign_keys, schema_ddl, schema_ids, table_docs, table_relevance, schema_section, retriever_records, keyword_budget, value_grounding, column_values, retrieve_topk, recall_mrr, store_query_nullsafe, store_ingest_antijoin, store_stats)
 QUERIES = {f.__name__: f for f in _F}
 
 COLS = """cols AS (SELECT db_id, table_names_original[c.table_idx + 1] AS tbl, CAST(i - 1 AS INTEGER) AS pos, c.column_name AS col, lower(column_types[i]) AS type, list_contains(primary_keys, i - 1) AS is_pk
   FROM (SELECT *, unnest(column_names_original) AS c, generate_subscripts(column_names_original, 1) AS i FROM db_schemas) t WHERE c.table_idx >= 0),
 k AS (SELECT *, CASE WHEN regexp_matches(type, 'char|text|clob') THEN 'text' WHEN regexp_matches(type, 'date|time') THEN 'date' ELSE 'number' END AS kind FROM cols)"""
+_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(set(X.STOP_WORDS))) + "]"
+_WORDS = "list_filter(regexp_extract_all(lower({c}), '[a-z0-9_]+'), lambda w: NOT list_contains(" + _STOP + ", w))"
+_FORMS = "flatten([CASE WHEN w LIKE '%s' AND length(w) >= 4 THEN [w, w[1:length(w) - 1]] WHEN w NOT LIKE '%s' AND length(w) >= 3 THEN [w, w || 's'] ELSE [w] END FOR w IN qw])"
+POINTS = f"""q AS (SELECT DISTINCT ON (di) di, db_id, {_WORDS.format(c='question')} AS qw FROM questions WHERE question IS NOT NULL), tw AS (SELECT db_id, tbl, {_WORDS.format(c='min(tbl)')} AS tw, list_distinct(flatten(list({_WORDS.format(c='col')}))) AS cw FROM cols GROUP BY 1, 2),
+p AS (SELECT di, db_id, tbl, CAST(3 * len(list_filter(forms, lambda v: list_contains(tw, v))) + 2 * len(list_filter(forms, lambda v: list_contains(cw, v))) AS INTEGER) AS points FROM (SELECT q.di, q.db_id, t.tbl, t.tw, t.cw, {_FORMS} AS forms FROM q JOIN tw t ON t.db_id = q.db_id) x)"""
 NEAR = """e AS (SELECT vec_id, label, embedding::DOUBLE[64] AS v FROM embeddings), s AS (SELECT a.vec_id AS qid, b.vec_id AS iid, a.label AS la, b.label AS lb, ROUND(array_cosine_similarity(a.v, b.v), 9) AS sc FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 rk AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY qid ORDER BY sc DESC, iid) AS INTEGER) AS rnk FROM s)"""
 SQL = {
@@ -287,7 +300,12 @@ SQL = {
     "schema_ids": f"WITH {COLS} SELECT db_id, lower(tbl) || '.' || lower(col) AS name, '__' || lower(tbl) || '.' || lower(col) || '__' AS id FROM cols UNION SELECT db_id, lower(tbl), '__' || lower(tbl) || '__' FROM cols UNION SELECT db_id, '*', '__all__' FROM db_schemas",
     "keyword_budget": f"WITH RECURSIVE {COLS}, l AS (SELECT db_id, tbl || '.' || col AS t, ROW_NUMBER() OVER (PARTITION BY db_id ORDER BY pos) AS i FROM cols), w(db_id, i, used, kept) AS (SELECT DISTINCT db_id, CAST(0 AS BIGINT), 0, CAST([] AS VARCHAR[]) FROM l UNION ALL SELECT w.db_id, l.i, CASE WHEN w.used + length(l.t) + 1 <= 120 THEN CAST(w.used + length(l.t) + 1 AS INTEGER) ELSE w.used END, CASE WHEN w.used + length(l.t) + 1 <= 120 THEN list_append(w.kept, l.t) ELSE w.kept END FROM w JOIN l ON l.db_id = w.db_id AND l.i = w.i + 1) SELECT db_id, array_to_string(arg_max(kept, i), chr(10)) AS section, arg_max(used, i) AS used FROM w GROUP BY db_id",
     "table_docs": f"WITH {COLS} SELECT db_id, tbl, tbl || ' (' || string_agg(col || ' ' || type, ', ' ORDER BY pos) || ')' AS doc FROM cols GROUP BY db_id, tbl",
-    "table_relevance": f"WITH {COLS}, q AS (SELECT di, db_id, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS qw FROM questions WHERE question IS NOT NULL), t AS (SELECT db_id, tbl, list_distinct(list(col)) AS cs FROM cols GROUP BY 1, 2), p AS (SELECT di, tbl, CAST((CASE WHEN len(list_filter(regexp_extract_all(lower(tbl), '[a-z0-9]+'), lambda w: NOT list_contains(qw, w))) = 0 THEN 3 ELSE 0 END) + 2 * len(list_filter(cs, lambda x: len(list_filter(string_split(lower(x), '_'), lambda w: NOT list_contains(qw, w))) = 0)) AS INTEGER) AS points FROM q JOIN t USING (db_id)) SELECT * FROM p WHERE points > 0",
+    "table_relevance": f"WITH {COLS}, {POINTS} SELECT di, tbl, points FROM p WHERE points > 0",
+    "schema_section": f"""WITH {COLS}, {POINTS}, fk AS (SELECT db_id, x.from_col AS pos, x.to_col AS dst FROM (SELECT db_id, unnest(foreign_keys) AS x FROM db_schemas) f), ft AS (SELECT fk.db_id, fk.pos, MAX(b.tbl || '.' || b.col) AS dst FROM fk JOIN cols b ON b.db_id = fk.db_id AND b.pos = fk.dst GROUP BY 1, 2),
+      spec AS (SELECT c.db_id, c.tbl, c.pos, c.col, c.col || ':' || c.type || CASE WHEN c.is_pk OR ft.dst IS NOT NULL THEN ' (' || concat_ws(',', CASE WHEN c.is_pk THEN 'PK' END, 'FK→' || ft.dst) || ')' ELSE '' END AS s FROM cols c LEFT JOIN ft ON ft.db_id = c.db_id AND ft.pos = c.pos),
+      ln AS (SELECT db_id, tbl, tbl || '(' || string_agg(s, ', ' ORDER BY pos) || ')' AS a, tbl || '(' || string_agg(col, ', ' ORDER BY pos) || ')' AS b FROM spec GROUP BY 1, 2),
+      e AS (SELECT p.di, string_agg(a, chr(10) ORDER BY points <= 0, points DESC, p.tbl) AS f1, string_agg(CASE WHEN points > 0 THEN a ELSE b END, chr(10) ORDER BY points <= 0, points DESC, p.tbl) AS f2, string_agg(CASE WHEN points > 0 THEN a END, chr(10) ORDER BY points DESC, p.tbl) AS f3, list(b ORDER BY points <= 0, points DESC, p.tbl) AS f4 FROM p JOIN ln ON ln.db_id = p.db_id AND ln.tbl = p.tbl WHERE di >= 0 GROUP BY p.di)
+      SELECT di, CASE WHEN length(f1) <= 420 THEN f1 WHEN length(f2) <= 420 THEN f2 ELSE COALESCE(f3, array_to_string(f4[1:8], chr(10))) END AS section FROM e""",
     "retriever_records": f"WITH {COLS}, t AS (SELECT DISTINCT db_id, tbl FROM cols) SELECT di, tbl, list_contains(regexp_extract_all(lower(regexp_replace(gold_sql, '''[^'']*''', '', 'g')), '\\b(?:from|join)\\s+[`\"\\[]?(\\w+)', 1), lower(tbl)) AS is_related FROM questions JOIN t USING (db_id) WHERE gold_sql IS NOT NULL",
     "column_values": "SELECT col, v FROM (SELECT col, v, ROW_NUMBER() OVER (PARTITION BY col ORDER BY v) AS r FROM (SELECT DISTINCT 'p_brand' AS col, p_brand AS v FROM part UNION SELECT DISTINCT 'p_type', p_type FROM part) t WHERE length(v) <= 60) u WHERE r <= 20",
     "retrieve_topk": f"WITH {NEAR} SELECT qid, iid, rnk FROM rk WHERE rnk <= 10",

@@ -292,6 +292,34 @@ def rescued(spark, d):
     return j.agg(F.count(F.lit(1)).alias("maj_wrong"), F.coalesce(F.sum(F.col("top").cast("bigint")), F.lit(0)).alias("rescued"), F.coalesce(F.sum(F.col("any").cast("bigint")), F.lit(0)).alias("could_be"))
 
 
+def run_consensus(spark, d):
+    """Winners by mean soft F1 to the vote's winner: the candidate of the highest score, and the group of the highest size times its representative's."""
+    e = written(executed_entries(spark, d).where(~F.array_contains("vector", "ERROR")), "entries", spark)
+    g = groups_of(e)
+    top = P.arm_vav(g).select("qid", F.col("rep").alias("key")).join(e.select("qid", "key", F.col("run_sql").alias("gold")), ["qid", "key"]).select("qid", "gold")
+    pairs = e.join(top, "qid").select("qid", "key", "min_idx", "db_id", F.col("run_sql").alias("pred"), "gold", F.md5(F.array_join("vector", "|")).alias("v"))
+    scored = pairs.join(I.soft_scores(pairs, images_of(spark, d)).withColumnRenamed("sql", "pred"), ["db_id", "pred", "gold"])
+    sizes = g.select("qid", F.md5("sig").alias("v"), "size", "rep")
+    s = scored.join(sizes, ["qid", "v"]).withColumn("f1", F.round("f1", 6))
+    one = s.groupBy("qid").agg(F.max_by("key", F.struct("f1", "size", F.negative("min_idx"), "key")).alias("by_candidate"))
+    group = s.where("key = rep").groupBy("qid").agg(F.max_by("key", F.struct(F.round(F.col("size") * F.col("f1"), 6), "size", "v")).alias("by_group"))
+    return one.join(group, "qid")
+
+
+def database_values(spark, d):
+    """Stored text values and sample rows of each table."""
+    return I.stored_values(images_of(spark, d))
+
+
+def value_relevance(spark, d):
+    """Points of the tables that a question names, by their names, columns and stored values."""
+    v = I.stored_values(images_of(spark, d)).where("col is not null").select("db_id", "tbl", F.lower("value").alias("value")).distinct()
+    q = load(spark, d, "questions").where("question is not null").dropDuplicates(["di"])
+    words = q.select("di", "db_id", F.explode(F.array_distinct(T.content_tokens(F.col("question")))).alias("term"))
+    hits = words.join(v, (words.db_id == v.db_id) & (words.term == v.value)).select("di", "tbl", "term")
+    return V.relevance(q, load(spark, d, "db_schemas"), hits).where("points > 0").select("di", "tbl", "points")
+
+
 def catalog_tables(spark, d):
     """CREATE TABLE texts that the databases keep."""
     return I.catalog_ddl(images_of(spark, d))
@@ -310,6 +338,6 @@ def ddl_with_source(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (run_vectors, run_groups, run_winner, run_judged, run_accuracy, run_ladder, run_order_aware, run_labels, run_set_labels, gold_runs, same_rows_kept, unsolved_kinds, first_failure, run_stats, rescued, catalog_tables, ddl_with_source)
+    for f in (run_vectors, run_groups, run_winner, run_judged, run_accuracy, run_ladder, run_order_aware, run_labels, run_set_labels, gold_runs, same_rows_kept, unsolved_kinds, first_failure, run_stats, rescued, run_consensus, database_values, value_relevance, catalog_tables, ddl_with_source)
 }
 SQL: dict[str, str] = {}

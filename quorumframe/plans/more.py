@@ -85,26 +85,7 @@ def empty_reasons(spark, d):
     return r.groupBy(F.coalesce("parse_method", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(10)
 
 
-def example_pick(spark, d):
-    """One easy, one medium and one hard example for each schema, of another database where there is one, by length and index.
-
-    Each class offers its three nearest by a bounded heap; the pick that avoids
-    a used database folds over these nine.
-    """
-    q = load(spark, d, "questions").where("difficulty in ('easy', 'medium', 'hard') and gold_sql is not null and di >= 0").select("di", "db_id", "difficulty", F.length("question").alias("n"), F.when(F.col("difficulty") == "easy", 0).when(F.col("difficulty") == "medium", 1).otherwise(2).alias("rank"))
-    offers = q.groupBy("rank").agg(P.heap(F.struct("n", "di", "db_id"), 3, True).alias("xs"))
-    nine = offers.agg(F.array_sort(F.collect_list(F.struct("rank", "xs"))).alias("all"))
-    zero = F.array().cast("array<struct<di:int,db_id:string>>")
-
-    def take(acc, cls):
-        free = F.filter(cls["xs"], lambda x: ~F.exists(acc, lambda a: a["db_id"] == x["db_id"]))
-        best = F.when(F.size(free) > 0, free[0]).otherwise(cls["xs"][0])
-        return F.concat(acc, F.array(F.struct(best["di"].alias("di"), best["db_id"].alias("db_id"))))
-
-    return nine.select(F.posexplode(F.aggregate("all", zero, take)).alias("place", "p")).select("place", "p.di", "p.db_id")
-
-
-QUERIES = {f.__name__: f for f in (vote_hash, low_temp_vote, temp_grid, arm_rci, arm_consensus_f1, label_crosscheck, empty_reasons, example_pick)}
+QUERIES = {f.__name__: f for f in (vote_hash, low_temp_vote, temp_grid, arm_rci, arm_consensus_f1, label_crosscheck, empty_reasons)}
 HASHED = f"{CAND}, h AS (SELECT id, di, temperature, sql_text, vote, lower(trim(result_hash, ' ')) AS h FROM c WHERE exec_ok = 1 AND trim(result_hash, ' ') <> '')"
 JUDGED = f"va AS (SELECT qid, COALESCE(sig = {GOLD}, FALSE) AS a FROM vav), mb AS (SELECT m.qid, COALESCE(array_to_string(m.vector, '|') = {GOLD.replace('qid', 'm.qid')}, FALSE) AS b FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY votes DESC, min_idx) AS rn FROM scored) m WHERE rn = 1)"
 SQL = {

@@ -49,16 +49,22 @@ def exec_outcomes(spark, d):
     return o.select("sql_text", "inst", "ok", "row_count", "error_type", E.sig_bag(F.col("ok"), F.col("rows"), F.col("truncated")).alias("sig"))
 
 
+def exec_signatures(spark, d):
+    """Signatures of the texts on all instances, made where the rows are."""
+    ex = Executor(spark, {"star": star_instances(spark, d)})
+    return ex.signatures([(t, "star") for t in CORPUS], spark).select("sql_text", "inst", "ok", "row_count", "sig", "error_type")
+
+
 def exec_adjudicate(spark, d):
     """Texts grouped by their signature vector over the instances, failing ones left out."""
-    o = exec_outcomes(spark, d)
+    o = exec_signatures(spark, d)
     v = o.groupBy("sql_text").agg(F.transform(F.array_sort(F.collect_list(F.struct("inst", "sig"))), lambda x: x["sig"]).alias("vector"))
     return v.where(~F.array_contains("vector", "ERROR")).groupBy("vector").agg(F.count(F.lit(1)).alias("size"), F.min("sql_text").alias("rep"))
 
 
 def first_failures(spark, d):
     """The first failing instance of each text."""
-    o = exec_outcomes(spark, d).where("not ok")
+    o = exec_signatures(spark, d).where("not ok")
     return o.groupBy("sql_text").agg(F.min("inst").alias("inst"), F.min_by("error_type", "inst").alias("error_type"))
 
 
@@ -66,7 +72,7 @@ def _texts(spark, d):
     return spread(load(spark, d, "candidates").select("id", "sql_text")).dropDuplicates(["id"]).where("trim(sql_text) <> ''")
 
 
-FEATURES = "n_tables int, n_joins int, n_nested int, n_conds int, n_aggs int, has_group int, has_order int, has_compare int, has_date int"
+FEATURES = "n_tables int, n_joins int, n_nested int, n_conds int, n_aggs int, has_group int, has_order int, has_compare int, has_date int, component1 int"
 
 
 def sql_ir(spark, d):
@@ -86,12 +92,13 @@ def hardness(spark, d):
 
 
 def sql_features(spark, d):
-    """Counts that describe each query."""
+    """Counts that describe each query, and the words of its question."""
     @F.pandas_udf(FEATURES)
     def feats(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([A.features(x) for x in s], columns=[p.split()[0] for p in FEATURES.split(", ")])
 
-    return _texts(spark, d).select("id", feats("sql_text").alias("f")).select("id", "f.*")
+    n = load(spark, d, "candidates").select("id", F.size(F.split(F.trim("question"), r"\s+")).alias("q_len")).dropDuplicates(["id"])
+    return _texts(spark, d).select("id", feats("sql_text").alias("f")).select("id", "f.*").join(n, "id")
 
 
 def atomic_ops(spark, d):
@@ -104,13 +111,31 @@ def _pairs(spark, d):
     return load(spark, d, "candidates").select("id", "di", "sql_text").dropDuplicates(["id"]).where("sql_text is not null").join(q, "di")
 
 
+def _links(spark, d):
+    """(db_id, pairs): foreign keys as pairs of table.column names."""
+    from quorumframe.operators.evidence import foreign_keys_of
+
+    side = lambda t, c: F.lower(F.concat_ws(".", t, c))
+    return foreign_keys_of(load(spark, d, "db_schemas")).groupBy("db_id").agg(F.array_sort(F.collect_set(F.concat_ws("=", side("from_tbl", "from_col"), side("to_tbl", "to_col")))).alias("pairs"))
+
+
 def exact_match(spark, d):
-    """Whether each candidate matches its question's gold query in all parts."""
+    """Whether each candidate matches its question's gold query in all parts, linked columns being one."""
     @F.pandas_udf(T.BooleanType())
-    def same(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([A.exact_match(x, y) for x, y in zip(a, b)], dtype="object")
+    def same(a: pd.Series, b: pd.Series, p: pd.Series) -> pd.Series:
+        held: dict = {}
+        out = []
+        for x, y, pairs in zip(a, b, p):
+            key = tuple(pairs) if pairs is not None else ()
+            if key not in held:
+                held[key] = A.foreign_key_links([tuple(k.split("=")) for k in key])
+            out.append(A.exact_match(x, y, held[key]))
+        return pd.Series(out, dtype="object")
 
-    return _pairs(spark, d).select("id", same("sql_text", "gold_sql").alias("exact"))
+    q = load(spark, d, "questions").where("gold_sql is not null").select("di", "gold_sql", F.lower(F.trim("db_id")).alias("db_id"))
+    c = load(spark, d, "candidates").select("id", "di", "sql_text").dropDuplicates(["id"]).where("sql_text is not null")
+    j = c.join(q, "di").join(_links(spark, d), "db_id", "left").select("id", "sql_text", "gold_sql", "pairs")
+    return j.select("id", same("sql_text", "gold_sql", "pairs").alias("exact"))
 
 
 def atomic_jaccard(spark, d):
@@ -127,29 +152,52 @@ def partial_match(spark, d):
     """Share of right parts by class of difficulty, and over all: averages over pairs where the part is there."""
     names = [f"{p}_{x}" for p in A.PARTS for x in ("acc", "rec")]
 
-    @F.pandas_udf(", ".join(["level string", *[f"{n} double" for n in names]]))
+    @F.pandas_udf(", ".join(["level string", "exact double", *[f"{n} double" for n in names]]))
     def score(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         out = []
         for x, y in zip(a, b):
             try:
                 gold = A.parse(y)
             except A.ParseError:
-                out.append([None] * (len(names) + 1))
+                out.append([None] * (len(names) + 2))
                 continue
             try:
                 c = A.compare(A.parse(x), gold)
             except A.ParseError:
                 c = {p: (0, 0, t[2]) for p, t in A.compare(gold, gold).items()}
-            row: list = [A.hardness(y)]
+            row: list = [A.hardness(y), float(bool(A.exact_match(x, y)))]
             for m, p, g in (c[n] for n in A.PARTS):
                 row += [float(m == p == g) if p else None, float(m == p == g) if g else None]
             out.append(row)
-        return pd.DataFrame(out, columns=["level", *names])
+        return pd.DataFrame(out, columns=["level", "exact", *names])
 
     s = _pairs(spark, d).select(score("sql_text", "gold_sql").alias("s")).select("s.*").where("level is not null")
-    agg = s.rollup("level").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(n), 6).alias(n) for n in names])
-    return agg.withColumn("level", F.coalesce("level", F.lit("all")))
+    agg = s.rollup("level").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(n), 6).alias(n) for n in ("exact", *names)])
+    # f1 of a part: 1 where both accuracy and recall are 0.
+    f1 = lambda a, r: F.when((F.coalesce(a, F.lit(0.0)) == 0) & (F.coalesce(r, F.lit(0.0)) == 0), 1.0).otherwise(F.round(2 * a * r / (a + r), 6))
+    return agg.select(F.coalesce("level", F.lit("all")).alias("level"), "n", "exact", *names, *[f1(F.col(f"{p}_acc"), F.col(f"{p}_rec")).alias(f"{p}_f1") for p in A.PARTS])
+
+
+def exec_counts(spark, d):
+    """Rows that each text gives on each instance, failing ones left out."""
+    return exec_signatures(spark, d).where("ok").select("sql_text", "inst", F.col("row_count").cast("bigint").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (exec_outcomes, exec_signatures, exec_counts, exec_adjudicate, first_failures, sql_ir, hardness, sql_features, atomic_ops, exact_match, atomic_jaccard, partial_match)}
+# What each text gives, run by DuckDB on the same instances; texts that fail are left out, LIKE is brought to SQLite's.
+_DUCK = {
+    "SELECT o_orderkey / 2 FROM orders WHERE o_orderkey < 10 ORDER BY 1": "SELECT o_orderkey // 2 FROM orders WHERE o_orderkey < 10",
+    "SELECT max(o_totalprice), o_orderkey FROM orders": "SELECT max(o_totalprice), arg_max(o_orderkey, o_totalprice) FROM orders",
+    "SELECT r_name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_name LIKE 'a%')": "SELECT r_name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_name ILIKE 'a%')",
+}
+_FAILS = ("DROP TABLE orders", "SELECT 1; SELECT 2", "SELECT nothing FROM orders", "SELECT o_orderkey FROM orders WHERE (o_orderkey = 1", "")
+
+
+def _counted(k: int, text: str) -> str:
+    body = _DUCK.get(text, text)
+    own = f"WITH base AS (SELECT * FROM orders) SELECT * FROM (WITH orders AS (SELECT * FROM base WHERE o_orderkey % {k + 1} = 0) {body}) t"
+    quoted = text.replace("'", "''")
+    return f"SELECT '{quoted}' AS sql_text, CAST({k} AS INTEGER) AS inst, COUNT(*) AS n FROM ({own}) c"
 
 
-QUERIES = {f.__name__: f for f in (exec_outcomes, exec_adjudicate, first_failures, sql_ir, hardness, sql_features, atomic_ops, exact_match, atomic_jaccard, partial_match)}
-SQL: dict[str, str] = {}
+SQL = {"exec_counts": " UNION ALL ".join(_counted(k, t) for t in CORPUS if t not in _FAILS for k in range(INSTANCES))}

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
-from .parser import ParseError, cores, parse, sides, walk, walk_queries
+from . import parser
+from .parser import ParseError, cores, sides, walk, walk_queries
 
 MASK = "?"
 
 
+@functools.lru_cache(50_000)
+def parse(sql: str, legacy: bool = False) -> dict:
+    """The tree of a query, parsed once a worker for equal texts; nothing here changes a tree."""
+    return parser.parse(sql, legacy)
+
+
 class Scope:
     """Tables of one select: alias -> table name, in order; canonical names T1, T2, … for atomic operations."""
 
@@ -172,7 +180,7 @@ def hardness(sql: str, legacy: bool = False) -> str:
 
 def features(sql: str) -> dict[str, int]:
     """Counts that describe a query; all -1 for a text that is no query."""
-    names = ("n_tables", "n_joins", "n_nested", "n_conds", "n_aggs", "has_group", "has_order", "has_compare", "has_date")
+    names = ("n_tables", "n_joins", "n_nested", "n_conds", "n_aggs", "has_group", "has_order", "has_compare", "has_date", "component1")
     try:
         q = parse(sql)
     except ParseError:
@@ -184,7 +192,7 @@ def features(sql: str) -> dict[str, int]:
         len({x["table"] for s in walk_queries(q) for x in s.get("from", []) if "table" in x}), sum(max(0, len(s["from"]) - 1) for s in cs), nested_count(q),
         sum(len(conditions(s.get("where"))) for s in cs), sum(n.get("k") == "agg" for n in nodes), int(any(s.get("group") for s in cs)),
         int(any(s.get("order") for s in walk_queries(q))), int(any(n.get("k") == "cmp" and n["op"] in "<=>=" and n["op"] != "=" for n in nodes)),
-        int(any(w in low for w in ("julianday", "strftime", "date("))),
+        int(any(w in low for w in ("julianday", "strftime", "date("))), hardness_counts(q)[0],
     )
     return dict(zip(names, values))
 

@@ -186,6 +186,70 @@ class Executor:
         except Exception as e:  # noqa: BLE001
             return self.failed(1, "sqlite_error", str(e))[0]
 
+    def signed(self, df: DataFrame, by: list[str]) -> DataFrame:
+        """For each instance: rows, a bag signature and a signature in order, made where the rows are.
+
+        A signature is the number of rows and two sums of their hashes, so rows
+        of any number are added up in parallel and none comes to the driver.
+        """
+        kinds = {"boolean": "I", "bigint": "I", "int": "I", "smallint": "I", "tinyint": "I", "double": "F", "float": "F"}
+        cells = []
+        for c, t in df.dtypes:
+            if c not in (INST, ORD):
+                kind = kinds.get(t, "F" if t.startswith("decimal") else "S")
+                x = F.col(f"`{c}`")
+                text = x.cast("bigint").cast("string") if kind == "I" else (x.cast("double") + 0.0).cast("string") if kind == "F" else x.cast("string")
+                cells.append(F.when(x.isNull(), F.lit("N")).otherwise(F.concat(F.lit(kind), text)))
+        row = F.to_json(F.array(*cells))
+        place = F.col(ORD) if ORD in df.columns else F.lit(0)
+        total = lambda *xs: F.sum(F.xxhash64(*xs).cast("decimal(38,0)")).cast("string")
+        return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), total(row).alias("a"), total(row, F.lit(1)).alias("b"), total(place, row).alias("o"))
+
+    def sign_text(self, sql: str, db: str) -> list[tuple[bool, int, str, str, str]]:
+        """(ok, rows, bag signature, signature in order, kind of failure) of a text on every instance; the driver sees one row an instance."""
+        if db not in self.sizes:
+            return [(False, 0, "ERROR", "ERROR", "db_not_found")]
+        n = self.sizes[db]
+        fail = lambda kind: [(False, 0, "ERROR", "ERROR", kind)] * n
+        if not (sql or "").strip():
+            return fail("empty_sql")
+        if not is_safe(sql):
+            return fail("safety_rejection")
+        if sqltext.is_multi_statement(sql):
+            return fail("multi_statement")
+        sig = lambda r: (True, r["n"], f"{r['n']}:{r['a']}:{r['b']}", f"{r['n']}:{r['o']}", "")
+        none = (True, 0, "E", "E", "")
+        schema = self.schemas[db]
+        try:
+            text = render(parse(sql), schema, {t: self.view(db, t, None) for t in schema}, True, self.view(db, "", None))
+            rows = {r[INST]: r for r in self.collect(self.signed(self.spark.sql(text), [INST]))[0]}
+            self.stats["lifted"] += 1
+            return [sig(rows[k]) if k in rows else none for k in range(n)]
+        except ParseError:
+            return fail("sqlite_error")
+        except Late as e:
+            return fail(str(e))
+        except (Unsupported, PySparkException):
+            pass
+        out = []
+        for k in range(n):
+            try:
+                (r,) = self.collect(self.signed(self.spark.sql(render(parse(sql), schema, {t: self.view(db, t, k) for t in schema})), []))[0]
+                out.append(sig(r) if r["n"] else none)
+            except Late as e:
+                out.append((False, 0, "ERROR", "ERROR", str(e)))
+            except (Unsupported, PySparkException):
+                out.append((False, 0, "ERROR", "ERROR", "sqlite_error"))
+        return out
+
+    def signatures(self, tasks: list[tuple[str, str]], home: SparkSession) -> DataFrame:
+        """Signatures of distinct (text, db) tasks as a table (sql_text, db_id, inst, ok, row_count, sig, ordered_sig, error_type); texts run in a pool of threads."""
+        distinct = list(dict.fromkeys(tasks))
+        with ThreadPoolExecutor(self.threads) as pool:
+            got = list(pool.map(lambda t: self.sign_text(*t), distinct))
+        rows = [(sql, db, k, *x) for (sql, db), xs in zip(distinct, got) for k, x in enumerate(xs)]
+        return home.createDataFrame(rows, "sql_text string, db_id string, inst int, ok boolean, row_count bigint, sig string, ordered_sig string, error_type string")
+
     def run(self, tasks: list[tuple[str, str]]) -> dict[tuple[str, str], list[Outcome]]:
         """Outcomes of (text, db) tasks: distinct ones (by their normalised text) that are not cached run in a pool of threads."""
         distinct = list(dict.fromkeys(tasks))

@@ -237,6 +237,64 @@ def judge_texts(pairs: DataFrame, images: DataFrame, limits: Limits = Limits())
     return sliced(rows, images).mapInPandas(lambda it: over_slices(it, each, VERDICT_NAMES), VERDICTS)
 
 
+SOFT = "db_id string, sql string, gold string, f1 double, n int"
+
+
+def soft_scores(pairs: DataFrame, images: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Mean soft F1 of each distinct (db_id, pred, gold) over the instances where the gold text runs, columns matched by name; a prediction that fails scores 0 there."""
+    from quorumframe.operators.equality import soft_f1
+
+    from .executor import cell
+
+    rows = pairs.select("db_id", F.col("pred").alias("a"), F.col("gold").alias("b")).where("db_id is not null and pred is not null and gold is not null").distinct()
+    names = [x.split()[0] for x in SOFT.split(", ")]
+
+    def each(db, cons, a, b) -> tuple:
+        scores = []
+        for c in cons:
+            gold = run_text(c, b, limits)
+            if gold.ok:
+                pred = gold if a == b else run_text(c, a, limits)
+                x, y = ([[cell(v) for v in r] for r in (run.rows or [])] for run in (pred, gold))
+                scores.append(soft_f1(x, y, list(pred.columns), list(gold.columns)) if pred.ok else 0.0)
+        return db, a, b, (sum(scores) / len(scores) if scores else 0.0), len(scores)
+
+    return sliced(rows, images).mapInPandas(lambda it: over_slices(it, each, names), SOFT)
+
+
+# Characters of a value, values of a column, rows that are looked through for them, sample rows of a table.
+VALUE_CHARS, COLUMN_VALUES, SCANNED, SAMPLES = 60, 60, 20_000, 3
+
+
+def stored_values(images: DataFrame) -> DataFrame:
+    """Distinct text values of each text column of each database's first instance, and the first rows of each table.
+
+    (db_id, tbl, col, value, place): place counts values from 1; sample rows
+    have a null col and their cells as one text. At most COLUMN_VALUES values, of
+    the first SCANNED in order, of VALUE_CHARS characters, and SAMPLES rows.
+    """
+    first = images.groupBy("db_id").agg(F.min_by("image", "inst").alias("image"))
+    kind = "db_id string, tbl string, col string, value string, place int"
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            out = []
+            for db, image in zip(df.db_id, df.image):
+                con = open_image(bytes(image))
+                for (t,) in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name").fetchall():
+                    cols = [(c[1], c[2].lower()) for c in con.execute(f'PRAGMA table_info("{t}")')]
+                    for k, r in enumerate(con.execute(f'SELECT * FROM "{t}" ORDER BY rowid LIMIT {SAMPLES}'), 1):
+                        out.append((db, t, None, ", ".join(f"{c}={v}" for (c, _), v in zip(cols, r)), k))
+                    for c, typ in cols:
+                        if "char" in typ or "text" in typ or "clob" in typ:
+                            got = con.execute(f'SELECT DISTINCT v FROM (SELECT substr("{c}", 1, {VALUE_CHARS}) AS v FROM "{t}" WHERE "{c}" IS NOT NULL ORDER BY "{c}" LIMIT {SCANNED}) LIMIT {COLUMN_VALUES}').fetchall()
+                            out += [(db, t, c, str(v[0]), k) for k, v in enumerate((x for x in got if x[0] != ""), 1)]
+                con.close()
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in kind.split(", ")])
+
+    return first.mapInPandas(read, kind)
+
+
 RESULTS = "db_id string, sql string, inst int, ok boolean, columns array<string>, rows array<array<string>>, row_count bigint, truncated boolean, error_type string"
 RESULT_NAMES = [x.split()[0] for x in RESULTS.split(", ")]
 

@@ -83,3 +83,41 @@ def test_caps_and_unknown_database(spark):
     assert ex.run_text("select 1", "none")[0].error_type == "db_not_found"
     (e,) = ex.run_text("select count(*), max(id) from t where id > 99", "d")
     assert e.rows == [["I0", "N"]]
+
+
+def test_filters_and_bodies_count():
+    assert not A.exact_match("select count(*) filter (where id < 5) from t", "select count(*) from t")
+    assert A.atomic_jaccard("with c as (select a from t where b > 1) select a from c", "with c as (select a from u where b > 2) select a from c") < 1.0
+    assert "ENTER_SUBQUERY" in A.atomic_ops("select (select max(a) from t) from u")
+
+
+def test_filter_of_an_aggregate_is_run(spark):
+    ex = Executor(spark, {"d": [{"t": spark.range(50).toDF("id")}, {"t": spark.range(3).toDF("id")}]})
+    got = ex.run_text("select count(*) filter (where id < 5), sum(id) from t", "d")
+    assert [o.rows for o in got] == [[["I5", "I1225"]], [["I3", "I3"]]]
+
+
+def test_signatures_without_rows_on_the_driver(spark):
+    one, two = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "x int, y string"), spark.createDataFrame([], "x int, y string")
+    ex = Executor(spark, {"d": [{"t": one}, {"t": two}]})
+    texts = ["select x, y from t", "select x, y from t order by x desc", "select y, x from t", "select distinct x, y from t", "select x + 0.0, y from t", "select x, y from t where x not in (select x from t where y = 'z')", "select no from t", "drop table t"]
+    r = {(x.sql_text, x.inst): x for x in ex.signatures([(t, "d") for t in texts], spark).collect()}
+    sig = [r[(t, 0)].sig for t in texts]
+    assert sig[0] == sig[1] == sig[5] and len(set(sig[:5])) == 4 and sig[6] == sig[7] == "ERROR" and all(r[(t, 1)].sig == "E" for t in texts[:5])
+    assert r[(texts[0], 0)].ordered_sig != r[(texts[1], 0)].ordered_sig and r[(texts[3], 0)].row_count == 2 and r[(texts[7], 0)].error_type == "safety_rejection"
+
+
+def test_deadline(spark):
+    import time
+
+    n = spark.range(40_000).selectExpr("id", "1 as k")
+    ex = Executor(spark, {"d": [{"t": n, "u": n}]}, timeout=0.5)
+    began = time.time()
+    (o,) = ex.run_text("select count(*) from t join u on t.k = u.k and t.id + u.id <> 7", "d")
+    assert not o.ok and o.error_type in ("timeout", "worker_hang") and time.time() - began < 12
+
+
+def test_equal_texts_run_once(spark):
+    ex = Executor(spark, {"d": [{"t": spark.range(4).toDF("id")}]})
+    ex.run([("SELECT id  FROM t", "d"), ("select id from t;", "d"), ("select id from t", "d")])
+    assert ex.stats["executed"] == 1 and ex.stats["hits"] == 2

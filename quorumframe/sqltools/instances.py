@@ -80,11 +80,19 @@ def open_image(image: bytes) -> sqlite3.Connection:
     return con
 
 
-def run_text(con: sqlite3.Connection, sql: str | None, limits: Limits) -> Run:
-    """Run one text. Steps beyond the budget give query_interrupted, time beyond the deadline timeout, all else that fails sqlite_error."""
+def run_all(cons: list[sqlite3.Connection], sql: str | None, limits: Limits) -> list[Run]:
+    """Run one text on every connection, if it may be run at all."""
     refused = refusal(sql)
-    if refused:
-        return refused
+    return [refused] * len(cons) if refused else [run_allowed(c, sql, limits) for c in cons]
+
+
+def run_text(con: sqlite3.Connection, sql: str | None, limits: Limits) -> Run:
+    """Run one text, if it may be run at all."""
+    return run_all([con], sql, limits)[0]
+
+
+def run_allowed(con: sqlite3.Connection, sql: str, limits: Limits) -> Run:
+    """Run a read-only text. Steps beyond the budget give query_interrupted, time beyond the deadline timeout, all else that fails sqlite_error."""
     ticks, late, until = 0, "", time.monotonic() + limits.timeout
 
     def watch() -> int:
@@ -118,16 +126,29 @@ def sign(run: Run, cap: int) -> tuple[str, str, int]:
     """Signature as a bag of rows, signature in order, and flags of the cells. Cells keep their type: 1, 1.0 and '1' differ."""
     if not run.ok:
         return "ERROR", "ERROR", 0
+    if not run.rows:
+        return NO_ROWS
     texts = [repr(r) for r in run.rows]
     mark = ["TRUNC"] if run.truncated(cap) else []
-    flags = HAS_CELL if any(run.rows) else 0
-    for r in run.rows:
+    if len(texts) == 1 and not mark:
+        one = digest(texts)
+        return one, one, flags_of(run.rows)
+    return digest(sorted(texts) + mark), digest(texts + mark), flags_of(run.rows)
+
+
+def flags_of(rows: list[tuple]) -> int:
+    """What kinds of cells rows have."""
+    flags = HAS_CELL if any(rows) else 0
+    for r in rows:
         for v in r:
             if isinstance(v, (int, float)):
                 flags |= HAS_NUMBER | (HAS_NONZERO if abs(v) >= 1e-12 else 0)
         if flags == HAS_CELL | HAS_NUMBER | HAS_NONZERO:
             break
-    return digest(sorted(texts) + mark), digest(texts + mark), flags
+    return flags
+
+
+NO_ROWS = digest([]), digest([]), 0
 
 
 def sliced(tasks: DataFrame, images: DataFrame) -> DataFrame:
@@ -179,7 +200,7 @@ def execute_texts(tasks: DataFrame, images: DataFrame, limits: Limits = Limits()
 
     def each(db, cons, a, _b) -> tuple:
         began = time.monotonic()
-        runs = [run_text(c, a, limits) for c in cons]
+        runs = run_all(cons, a, limits)
         signed = [sign(r, limits.cap) for r in runs]
         return (
             db, a, [x[0] for x in signed], [x[1] for x in signed], [x[2] for x in signed], [r.count for r in runs], [r.truncated(limits.cap) for r in runs],

@@ -105,7 +105,17 @@ def _queries() -> dict:
 
 QUERIES = _queries()
 
+# All windows of 12 words of the items, and those of the documents with their places.
+_WINDOWS = """
+w AS (SELECT 0 AS side, item_id AS id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') AS ws FROM eval_items UNION ALL SELECT 1, doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') FROM documents),
+v AS (SELECT side, id, i, array_to_string(ws[i:i + 11], ' ') AS p FROM (SELECT side, id, ws, unnest(range(1, len(ws) - 10)) AS i FROM w) t),
+hit AS (SELECT DISTINCT d.id AS doc_id, e.id AS item_id, d.i FROM v d JOIN v e ON d.p = e.p WHERE d.side = 1 AND e.side = 0)
+"""
 SQL = {
+    "p7_found": f"WITH {_WINDOWS} SELECT DISTINCT doc_id, item_id FROM hit",
+    "p7_items": f"WITH {_WINDOWS} SELECT item_id, COUNT(DISTINCT doc_id) AS n_docs FROM hit GROUP BY item_id",
+    "p7_spans": f"""WITH {_WINDOWS}, s AS (SELECT *, CASE WHEN i - LAG(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) <= 12 THEN 0 ELSE 1 END AS new FROM hit), g AS (SELECT *, SUM(new) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS n FROM s)
+SELECT doc_id, item_id, MIN(i) - 1 AS first_word, MAX(i) + 10 AS last_word FROM g GROUP BY doc_id, item_id, n""",
     "p1_found": """
 WITH c AS (SELECT di, lower(regexp_replace(result_hash, '^\\s+|\\s+$', '', 'g')) AS result_hash, vote FROM candidates WHERE vote >= 0),
 b AS (SELECT di, result_hash, max(vote) AS s FROM c WHERE result_hash <> '' AND di IS NOT NULL GROUP BY di, result_hash),

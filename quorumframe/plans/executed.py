@@ -24,6 +24,9 @@ from quorumframe.session import load, written
 from quorumframe.sources.cache import cached_vectors
 from quorumframe.sqltools import instances as I
 
+from .curation import COLS
+from .curation import SQL as CURATION
+
 INSTANCES, ROWS, LITERALS = 40, 24, 12
 LITERAL = re.compile(
     r"(\w+)[`\"\]]?\s*(?:not\s+)?(?:(?:=|!=|<>|<=|>=|<|>|like)\s*(?P<one>'[^']*'|\d+(?:\.\d+)?)|in\s*\((?P<many>[^()]*)\)|between\s+(?P<lo>\d+(?:\.\d+)?)\s+and\s+(?P<hi>\d+(?:\.\d+)?))", re.I
@@ -340,4 +343,9 @@ QUERIES = {
     f.__name__: f
     for f in (run_vectors, run_groups, run_winner, run_judged, run_accuracy, run_ladder, run_order_aware, run_labels, run_set_labels, gold_runs, same_rows_kept, unsolved_kinds, first_failure, run_stats, rescued, run_consensus, database_values, value_relevance, catalog_tables, ddl_with_source)
 }
-SQL: dict[str, str] = {}
+_OWN = """own AS (SELECT db_id, tbl, 'CREATE TABLE "' || tbl || '" (' || string_agg('"' || col || '" ' || CASE WHEN type = 'text' THEN 'TEXT' ELSE 'NUMERIC' END || CASE WHEN is_pk THEN ' PRIMARY KEY' ELSE '' END, ', ' ORDER BY pos) || ')' AS ddl FROM cols GROUP BY 1, 2)"""
+_META = CURATION["schema_ddl"].split(" SELECT db_id, tbl, 'CREATE TABLE", 1)
+SQL = {
+    "catalog_tables": f"WITH {COLS}, {_OWN} SELECT db_id, tbl, ddl FROM own",
+    "ddl_with_source": f"{_META[0]}, {_OWN}, meta AS (SELECT db_id, tbl, 'CREATE TABLE{_META[1]}) SELECT m.db_id, m.tbl, CASE WHEN q.db_id IS NULL THEN m.ddl ELSE own.ddl END AS ddl, CASE WHEN q.db_id IS NULL THEN 'metadata' ELSE 'catalog' END AS source FROM meta m JOIN own ON own.db_id = m.db_id AND own.tbl = m.tbl LEFT JOIN (SELECT DISTINCT db_id FROM questions WHERE gold_sql IS NOT NULL) q ON q.db_id = m.db_id",
+}

@@ -95,4 +95,5 @@ SQL = {
     "arm_rci": f"WITH {POOL}, x AS (SELECT qid, key, votes, min_idx, array_to_string(list_sort(['I' || (res_cell % 7)::VARCHAR, 'I' || ((res_cell + qid) % 3)::VARCHAR]), ',') AS sig FROM scored WHERE status = 'ok'), g AS (SELECT qid, sig, CAST(SUM(votes) AS BIGINT) AS size, arg_min(key, {{'i': min_idx, 'k': key}}) AS rep FROM x GROUP BY 1, 2) SELECT qid, rep, size, sig FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY size DESC, sig DESC) AS r FROM g) t WHERE r = 1",
     "label_crosscheck": f"WITH {POOL}, {VAV}, {JUDGED} SELECT CASE WHEN a IS NULL OR b IS NULL THEN 'missing' WHEN a = b THEN 'consistent' ELSE 'mismatch' END AS state, COUNT(*) AS n FROM va FULL JOIN mb USING (qid) GROUP BY 1",
     "empty_reasons": "WITH r AS (SELECT DISTINCT ON (response_id) * FROM responses) SELECT COALESCE(parse_method, 'none') AS reason, COUNT(*) AS n FROM r WHERE sql IS NULL OR trim(sql, ' ') = '' GROUP BY 1 ORDER BY n DESC, reason LIMIT 10",
+    "arm_consensus_f1": f"WITH {POOL}, x AS (SELECT qid, key, votes, CASE WHEN votes % 2 = 0 THEN a ELSE b END AS p, CASE WHEN votes % 2 = 0 THEN b ELSE a END AS q FROM (SELECT qid, key, votes, res_cell % 7 AS a, (res_cell + qid) % 3 AS b FROM scored WHERE status = 'ok') t), c AS (SELECT qid, arg_max(p, {{'v': votes, 'k': key}}) AS cp, arg_max(q, {{'v': votes, 'k': key}}) AS cq FROM x GROUP BY qid), f AS (SELECT x.*, ((p = cp)::INT + (q = cq)::INT) / 2.0::DOUBLE AS f1 FROM x JOIN c USING (qid)) SELECT qid, key AS rep, f1 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY f1 DESC, votes DESC, key DESC) AS rn FROM f) t WHERE rn = 1",
 }

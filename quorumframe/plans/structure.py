@@ -201,3 +201,24 @@ def _counted(k: int, text: str) -> str:
 
 
 SQL = {"exec_counts": " UNION ALL ".join(_counted(k, t) for t in CORPUS if t not in _FAILS for k in range(INSTANCES))}
+_T = "c AS (SELECT DISTINCT ON (id) id, question, sql_text FROM candidates), t AS (SELECT id, question, regexp_replace(lower(sql_text), '''[^'']*''', '?', 'g') AS m FROM c WHERE trim(sql_text, ' ' || chr(10) || chr(9) || chr(13)) <> '')"
+_SUB = "'\\(\\s*select(?:[^()]|\\([^()]*\\))*\\)'"
+
+
+def _n(word: str, of: str = "o") -> str:
+    return f"len(regexp_extract_all({of}, '{word}'))"
+
+
+# Counts of a query by patterns over its masked text, inner queries taken out: an independent reading for the shapes that candidates have.
+_COUNTS = f"""{_T}, u AS (SELECT id, question, m, regexp_replace(m, {_SUB}, '(q)', 'g') AS o, {_n("[(]\\s*select\\b", "m")} + {_n("\\b(?:union|intersect|except)\\b", "m")} AS nested FROM t),
+x AS (SELECT *, regexp_extract(o, '(?s)\\bwhere\\b(.*?)(?:\\bgroup\\s+by\\b|\\border\\s+by\\b|\\blimit\\b|$)', 1) AS w, regexp_replace(regexp_extract(o, '(?s)select\\s+(?:distinct\\s+)?(.*?)\\sfrom\\b', 1), '\\([^()]*\\)', '', 'g') AS sel, regexp_extract(o, '(?s)\\bgroup\\s+by\\b(.*?)(?:\\bhaving\\b|\\border\\s+by\\b|\\blimit\\b|$)', 1) AS g FROM u),
+y AS (SELECT *, CASE WHEN w = '' THEN 0 ELSE 1 + {_n("\\b(?:and|or)\\b", "w")} - {_n("\\bbetween\\b", "w")} END AS conds, {_n("\\b(?:count|sum|avg|min|max)\\s*[(]")} AS aggs, {_n("\\bjoin\\b")} AS joins,
+  (w <> '')::INT + (g <> '')::INT + regexp_matches(o, '\\border\\s+by\\b')::INT + regexp_matches(o, '\\blimit\\b')::INT + {_n("\\bjoin\\b")} + {_n("\\bor\\b")} + {_n("\\blike\\b")} AS comps FROM x),
+z AS (SELECT *, (aggs > 1)::INT + (len(string_split(sel, ',')) > 1)::INT + (conds > 1)::INT + (g <> '' AND len(string_split(g, ',')) > 1)::INT AS others FROM y)"""
+_NAMES = "list_distinct(regexp_extract_all(m, '\\b(?:from|join)\\s+[`\"\\[]?(\\w+)', 1))"
+_KINDS = (("DROP TABLE orders", "safety_rejection"), ("SELECT 1; SELECT 2", "multi_statement"), ("SELECT nothing FROM orders", "sqlite_error"), ("SELECT o_orderkey FROM orders WHERE (o_orderkey = 1", "sqlite_error"), ("", "empty_sql"))
+SQL |= {
+    "hardness": f"WITH {_COUNTS} SELECT id, CASE WHEN nested = 0 AND comps <= 1 AND others = 0 THEN 'easy' WHEN nested = 0 AND (others <= 2 AND comps <= 1 OR comps <= 2 AND others < 2) THEN 'medium' WHEN nested = 0 AND (others > 2 AND comps <= 2 OR comps = 3 AND others <= 2) OR nested <= 1 AND comps <= 1 AND others = 0 THEN 'hard' ELSE 'extra' END AS hardness FROM z",
+    "sql_features": f"WITH {_COUNTS} SELECT id, CAST(len({_NAMES}) AS INTEGER) AS n_tables, CAST(joins AS INTEGER) AS n_joins, CAST(nested AS INTEGER) AS n_nested, CAST(conds AS INTEGER) AS n_conds, CAST({_n('\\b(?:count|sum|avg|min|max)\\s*[(]', 'm')} AS INTEGER) AS n_aggs, (g <> '')::INT AS has_group, regexp_matches(m, '\\border\\s+by\\b')::INT AS has_order, regexp_matches(regexp_replace(m, '<\\s*>', '', 'g'), '[<>]')::INT AS has_compare, CAST(0 AS INTEGER) AS has_date, CAST(comps AS INTEGER) AS component1, CAST(len(regexp_split_to_array(trim(question, ' '), '\\s+')) AS INTEGER) AS q_len FROM z",
+    "first_failures": "SELECT * FROM (VALUES " + ", ".join("('" + t.replace("'", "''") + f"', CAST(0 AS INTEGER), '{k}')" for t, k in _KINDS) + ") t(sql_text, inst, error_type)",
+}

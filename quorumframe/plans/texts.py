@@ -170,4 +170,6 @@ SQL = {
     "text_equality": "WITH q AS (SELECT DISTINCT ON (di) di, gold_sql FROM questions), c AS (SELECT DISTINCT ON (id) id, di, sql_text FROM candidates) SELECT id, COALESCE(lower(trim(regexp_replace(sql_text, '\\s+', ' ', 'g'), ' ')) = lower(trim(regexp_replace(gold_sql, '\\s+', ' ', 'g'), ' ')), FALSE) AS same FROM c JOIN q USING (di)",
     "prompt_cut": "SELECT DISTINCT ON (response_id) response_id, CASE WHEN greatest(1, length(raw_response) // 4) + 5 <= 40 THEN raw_response ELSE rtrim(substr(raw_response, 1, 143), ' ') END AS prompt FROM responses WHERE raw_response IS NOT NULL",
     "join_difficulty": f"WITH {CAND}, j AS (SELECT id, len(regexp_extract_all(regexp_replace(sql_text, '''[^'']*''', '', 'g'), '(?i)\\bjoin\\b')) AS n FROM c WHERE sql_text IS NOT NULL) SELECT id, CASE WHEN n = 0 THEN 'easy' WHEN n <= 2 THEN 'medium' ELSE 'hard' END AS difficulty FROM j",
+    "related_tables": f"WITH {CAND} SELECT id, array_to_string({TABLES.format(c='sql_text')}, ',') AS tables, regexp_matches(regexp_replace(sql_text, '''[^'']*''', '', 'g'), ';\\s*[^\\s;]') AS multi FROM c WHERE sql_text IS NOT NULL",
+    "schema_lines": "SELECT db_id, table_names_original[c.table_idx + 1] || '.' || c.column_name || ':' || upper(column_types[i]) || CASE WHEN list_contains(primary_keys, i - 1) THEN ' PK' ELSE '' END AS line FROM (SELECT *, unnest(column_names_original) AS c, generate_subscripts(column_names_original, 1) AS i FROM db_schemas) t WHERE c.table_idx >= 0",
 }

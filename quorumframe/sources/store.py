@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ("di", "model", "lora", "temperature", "seed", "prompt_hash")
@@ -36,11 +36,12 @@ def ingest(spark: SparkSession, path: str, incoming: DataFrame, key: tuple[str,
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
     store = spark.read.parquet(path) if exists else spark.createDataFrame([], incoming.schema)
-    before, given = store.count(), incoming.count()
-    fresh = new_rows(store, incoming, key)
-    fresh.write.mode("append").parquet(path)
-    total = spark.read.parquet(path).count()
-    return {"added": total - before, "skipped": given - (total - before), "total": total}
+    came, put = Observation("came"), Observation("put")
+    n = F.count(F.lit(1)).alias("n")
+    # Both are counted while the one job runs; the total comes from the files' footers.
+    new_rows(store, incoming.observe(came, n), key).observe(put, n).write.mode("append").parquet(path)
+    added, given = put.get["n"], came.get["n"]
+    return {"added": added, "skipped": given - added, "total": spark.read.parquet(path).count()}
 
 
 def store_stats(store: DataFrame) -> DataFrame:

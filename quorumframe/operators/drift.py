@@ -118,8 +118,8 @@ def value_kind(v) -> str:
         whole = "i" if float(v).is_integer() else "f"
         return f"{whole}{len(str(abs(int(v))))}"
     if isinstance(v, list):
-        return "l"
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", v))[:24]
+        return f"l{len(v)}"
+    return f"{'9' if v[:1].isdigit() else 'a'}{len(v) // 4}{'/' if '/' in v else ''}"
 
 
 def step(state: dict[str, str], fields: dict[str, str], file_id: int, looked: dict[str, str] | None = None, looks: dict[str, str] | None = None) -> tuple[list[tuple], dict[str, str], list[tuple]]:
@@ -179,13 +179,19 @@ def settle(open_: list, carry: dict[str, str]) -> list[tuple]:
     return out
 
 
+def parted(tagged: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
+    """{path: "tag look"} as {path: tag} and {path: look}."""
+    both = {k: x.split(" ", 1) for k, x in tagged.items()}
+    return {k: x[0] for k, x in both.items()}, {k: x[1] for k, x in both.items()}
+
+
 SIGNED = "series string, at bigint, file_id bigint, sig string"
 
 
 def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """payload -> the JSON text of its {path: [tag, look of the value]}; broken payloads are left out."""
+    """payload -> the JSON text of its {path: "tag look of the value"}; broken payloads are left out."""
     for df in batches:
-        sigs = [None if (r := parse(p)) is None else json.dumps({k: [tag(v), value_kind(v)] for k, v in flatten(r)}) for p in df.payload]
+        sigs = [None if (r := parse(p)) is None else json.dumps({k: f"{tag(v)} {value_kind(v)}" for k, v in flatten(r)}) for p in df.payload]
         yield pd.DataFrame({"series": df.series, "at": df["at"], "file_id": df.file_id, "sig": sigs}).dropna(subset=["sig"])
 
 
@@ -210,7 +216,7 @@ def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if now is not None and now[0] == series and file_id == last_id:
                 continue  # delivered twice
             tagged = json.loads(sig)
-            fields, looks = {k: t for k, (t, _) in tagged.items()}, {k: v for k, (_, v) in tagged.items()}
+            fields, looks = parted(tagged)
             last_id = file_id
             if now is None or now[0] != series:
                 if now is not None and first:
@@ -240,9 +246,9 @@ def join_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for e in df.itertuples(index=False):
             head, open_, (tail, looks) = json.loads(e.head), json.loads(e.open), json.loads(e.tail)
-            fields = {k: t for k, (t, _) in head.items()}
+            fields, own = parted(head)
             if e.series == series:
-                changes, carry, _ = step(state, fields, e.file_id, looked, {k: v for k, (_, v) in head.items()})
+                changes, carry, _ = step(state, fields, e.file_id, looked, own)
                 rows += changes
             else:
                 carry = fields

@@ -309,6 +309,20 @@ def run_consensus(spark, d):
     return one.join(group, "qid")
 
 
+def run_keyed(spark, d):
+    """Candidates whose result on the first instance equals the gold result in order, columns matched by what they select."""
+    e = pool_entries(spark, d)
+    both = e.select("qid", "key", "db_id", F.col("run_sql").alias("pred")).join(golds(spark, d).select("qid", "gold"), "qid")
+    k = I.keyed_match(both.select("db_id", "pred", "gold"), images_of(spark, d)).where("equal")
+    return both.join(k, ["db_id", "pred", "gold"]).select("qid", "key")
+
+
+def failure_messages(spark, d):
+    """The three most frequent messages of failing candidates, cut to 120 characters, with their number."""
+    e = executed_entries(spark, d).where("error <> ''")
+    return e.groupBy(F.substring("error", 1, 120).alias("message")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "message").limit(3)
+
+
 def database_values(spark, d):
     """Stored text values and sample rows of each table."""
     return I.stored_values(images_of(spark, d))
@@ -341,7 +355,7 @@ def ddl_with_source(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (run_vectors, run_groups, run_winner, run_judged, run_accuracy, run_ladder, run_order_aware, run_labels, run_set_labels, gold_runs, same_rows_kept, unsolved_kinds, first_failure, run_stats, rescued, run_consensus, database_values, value_relevance, catalog_tables, ddl_with_source)
+    for f in (run_vectors, run_groups, run_winner, run_judged, run_accuracy, run_ladder, run_order_aware, run_labels, run_set_labels, gold_runs, same_rows_kept, unsolved_kinds, first_failure, run_stats, rescued, run_consensus, run_keyed, failure_messages, database_values, value_relevance, catalog_tables, ddl_with_source)
 }
 _OWN = """own AS (SELECT db_id, tbl, 'CREATE TABLE "' || tbl || '" (' || string_agg('"' || col || '" ' || CASE WHEN type = 'text' THEN 'TEXT' ELSE 'NUMERIC' END || CASE WHEN is_pk THEN ' PRIMARY KEY' ELSE '' END, ', ' ORDER BY pos) || ')' AS ddl FROM cols GROUP BY 1, 2)"""
 _META = CURATION["schema_ddl"].split(" SELECT db_id, tbl, 'CREATE TABLE", 1)

@@ -13,8 +13,10 @@ from quorumframe.session import load, written
 from . import fixture as X
 from .adjudication import ARM_SQL, GOLD, POOL, VAV
 from .curation import LAB, _labelled
+from .curation import SQL as CURATION
 from .evaluation import KVOTES, _points
 from .results import PAIRS, pairs
+from .results import SQL as RESULTS
 
 
 def _gold_sig() -> Column:
@@ -212,7 +214,38 @@ def changed_questions(spark, d):
     return j.select("arm", "qid", F.when(F.col("right"), "fixed").otherwise("broken").alias("change"))
 
 
-_F = (cross_model, cross_model_winners, strategy_variants, budget_medians, vote_mixed, centroid_votes, ablation_matrix, perspective_winners, degenerate_texts, best_of_golds, example_pick, target_funnel, shard_merge, winner_levels, changed_questions)
+def diff_sample(spark, d):
+    """The five smallest rows that one of two results has more often than the other, for each side."""
+    from .results import diff_rows
+
+    kept = diff_rows(spark, d).groupBy("side").agg(P.heap(F.struct("a", "b", "n"), 5, True).alias("xs"))
+    return kept.select("side", F.explode("xs").alias("x")).select("side", "x.a", "x.b", "x.n")
+
+
+def label_histogram(spark, d):
+    """Questions by how many of their candidates are right, up to five and more, with difficulty."""
+    q = load(spark, d, "questions").select("di", F.coalesce("difficulty", F.lit("none")).alias("difficulty")).dropDuplicates(["di"])
+    n = _labelled(spark, d).groupBy("di").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n"))
+    band = F.when(F.col("right") >= 5, "5+").otherwise(F.col("right").cast("string"))
+    return n.join(q, "di").groupBy("difficulty", band.alias("n_right")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("candidates"))
+
+
+def feature_medians(spark, d):
+    """Medians of features by band of size."""
+    p = load(spark, d, "part")
+    band = F.when(F.col("p_size") <= 10, "small").when(F.col("p_size") <= 30, "middle").otherwise("large")
+    return p.groupBy(band.alias("band")).agg(F.median("p_retailprice").alias("price"), F.median(F.length("p_name")).alias("name_length"), F.median(F.length("p_type")).alias("type_length"))
+
+
+def recall_by_label(spark, d):
+    """Retrieval quality by label of the query."""
+    from .curation import recall_mrr
+
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), "label")
+    return recall_mrr(spark, d).join(e, "qid").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("recall_3"), 5).alias("recall_3"), F.round(F.avg("recall_8"), 5).alias("recall_8"), F.round(F.avg("mrr"), 5).alias("mrr"))
+
+
+_F = (diff_sample, label_histogram, feature_medians, recall_by_label, cross_model, cross_model_winners, strategy_variants, budget_medians, vote_mixed, centroid_votes, ablation_matrix, perspective_winners, degenerate_texts, best_of_golds, example_pick, target_funnel, shard_merge, winner_levels, changed_questions)
 QUERIES = {f.__name__: f for f in _F}
 
 BUCKET = "CASE WHEN size = 1 THEN '1' WHEN size <= 4 THEN '2-4' WHEN size <= 9 THEN '5-9' ELSE '>=10' END"
@@ -240,6 +273,10 @@ def _kept(r: float) -> str:
 
 Q1 = "SELECT di, db_id, LENGTH(question) AS n FROM (SELECT DISTINCT ON (di) * FROM questions) q WHERE gold_sql IS NOT NULL AND question IS NOT NULL AND di >= 0 AND difficulty = '{c}'"
 SQL = {
+    "diff_sample": f"SELECT side, a, b, n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY side ORDER BY a, b, n) AS rn FROM ({RESULTS['diff_rows']}) x) y WHERE rn <= 5",
+    "label_histogram": f"WITH {LAB}, n AS (SELECT di, SUM(label) AS r, COUNT(*) AS n FROM lab GROUP BY di) SELECT COALESCE(difficulty, 'none') AS difficulty, CASE WHEN r >= 5 THEN '5+' ELSE CAST(CAST(r AS INTEGER) AS VARCHAR) END AS n_right, COUNT(*) AS n, CAST(SUM(n) AS BIGINT) AS candidates FROM n JOIN (SELECT DISTINCT ON (di) di, difficulty FROM questions) q USING (di) GROUP BY 1, 2",
+    "feature_medians": "SELECT CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 30 THEN 'middle' ELSE 'large' END AS band, CAST(MEDIAN(p_retailprice) AS DOUBLE) AS price, CAST(MEDIAN(length(p_name)) AS DOUBLE) AS name_length, CAST(MEDIAN(length(p_type)) AS DOUBLE) AS type_length FROM part GROUP BY 1",
+    "recall_by_label": f"SELECT label, COUNT(*) AS n, ROUND(AVG(recall_3), 5) AS recall_3, ROUND(AVG(recall_8), 5) AS recall_8, ROUND(AVG(mrr), 5) AS mrr FROM ({CURATION['recall_mrr']}) r JOIN embeddings e ON e.vec_id = r.qid GROUP BY label",
     "cross_model": f"WITH {POOL}, b AS (SELECT {BUCKET} AS bucket, n_models >= 2 AS dual, sig, qid FROM groups) SELECT COALESCE(bucket, 'all') AS bucket, dual, COUNT(*) AS n, {RIGHT} FROM b GROUP BY GROUPING SETS ((bucket, dual), (dual))",
     "cross_model_winners": f"WITH {POOL}, w AS ({ALL_ARMS}) SELECT arm, n_models >= 2 AS dual, COUNT(*) AS n, CAST(SUM((w.sig = {GOLD.replace('qid', 'w.qid')})::INT) AS BIGINT) AS n_correct FROM w JOIN groups g ON g.qid = w.qid AND g.sig = w.sig GROUP BY 1, 2",
     "strategy_variants": f"WITH {KVOTES}, {GRID} " + " UNION ALL ".join([_pick("save", "rgt >= fr * 0.99", "cost, rgt DESC, n0, n1, n2"), _pick("save_rising", "rgt >= fr * 0.99 AND n0 <= n1 AND n1 <= n2", "cost, rgt DESC, n0, n1, n2"), _pick("boost_last", "n2 = 32 AND cost <= fc", "rgt DESC, cost, n0, n1, n2")]),

@@ -49,6 +49,7 @@ RELATIONS = {
     "eq_set": (E.eq_set, "list_sort(list_distinct(gold)) = list_sort(list_distinct(pred))"),
     "eq_header_agnostic": (E.eq_text_set, "list_sort(list_distinct([list_sort([c[2:] FOR c IN r]) FOR r IN gold])) = list_sort(list_distinct([list_sort([c[2:] FOR c IN r]) FOR r IN pred]))"),
     "eq_first_rows": (lambda a, b: E.eq_prefix(a, b, 2), "gold[1:2] = pred[1:2]"),
+    "eq_perm_ordered": (lambda a, b: E.eq_permuted(a, b, F.col("qid") % 2 == 1), "CASE WHEN qid % 2 = 1 THEN gold = pred OR gold = [list_reverse(r) FOR r IN pred] ELSE list_sort(gold) = list_sort(pred) OR list_sort(gold) = list_sort([list_reverse(r) FOR r IN pred]) END"),
     "eq_perm_tolerant": (lambda a, b: E.eq_permuted(a, b, F.lit(False)), "list_sort(gold) = list_sort(pred) OR list_sort(gold) = list_sort([list_reverse(r) FOR r IN pred])"),
 }
 

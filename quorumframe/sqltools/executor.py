@@ -268,7 +268,7 @@ class Executor:
         return {t: self.cache[keys[t]] for t in distinct}
 
     def outcomes(self, tasks: list[tuple[str, str]], home: SparkSession) -> DataFrame:
-        """Outcomes as a table (sql_text, db_id, inst, ok, rows, row_count, truncated, error_type, seconds) in the caller's session."""
+        """Outcomes as a table (sql_text, db_id, inst, ok, columns, rows, row_count, truncated, error_type, seconds) in the caller's session."""
         got = self.run(tasks)
-        rows = [(sql, db, k, o.ok, o.rows, o.row_count, o.truncated, o.error_type, o.seconds) for (sql, db), os in got.items() for k, o in enumerate(os)]
-        return home.createDataFrame(rows, "sql_text string, db_id string, inst int, ok boolean, rows array<array<string>>, row_count int, truncated boolean, error_type string, seconds double")
+        rows = [(sql, db, k, o.ok, o.columns, o.rows, o.row_count, o.truncated, o.error_type, o.seconds) for (sql, db), os in got.items() for k, o in enumerate(os)]
+        return home.createDataFrame(rows, "sql_text string, db_id string, inst int, ok boolean, columns array<string>, rows array<array<string>>, row_count bigint, truncated boolean, error_type string, seconds double")

@@ -258,6 +258,42 @@ def judge_texts(pairs: DataFrame, images: DataFrame, limits: Limits = Limits())
     return sliced(rows, images).mapInPandas(lambda it: over_slices(it, each, VERDICT_NAMES), VERDICTS)
 
 
+def by_key(run: Run, keys: list[str]) -> dict[str, list]:
+    """Columns of a result by key; of two of a key the last one counts."""
+    return {k: [r[i] for r in run.rows] for i, k in enumerate(keys) if not run.rows or i < len(run.rows[0])}
+
+
+KEYED = "db_id string, pred string, gold string, equal boolean"
+
+
+def keyed_match(pairs: DataFrame, images: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Each distinct (db_id, pred, gold): whether both give the same columns on the first instance, rows in order, columns matched by the canonical text of what they select.
+
+    False where a text fails or is no query.
+    """
+    from . import analysis as A
+
+    rows = pairs.select("db_id", F.col("pred").alias("a"), F.col("gold").alias("b")).where("db_id is not null and pred is not null and gold is not null").distinct()
+
+    def keys(sql: str) -> list[str] | None:
+        try:
+            first, _ = A.sides(A.parse(sql))
+            scope = A.Scope(first)
+            return [A.text(x["e"], scope) for x in first["select"]]
+        except A.ParseError:
+            return None
+
+    def each(db, cons, a, b) -> tuple:
+        ka, kb = keys(a), keys(b)
+        if not cons or ka is None or kb is None:
+            return db, a, b, False
+        x, y = run_text(cons[0], a, limits), run_text(cons[0], b, limits)
+        return db, a, b, bool(x.ok and y.ok and by_key(x, ka) == by_key(y, kb))
+
+    first = images.where("inst = 0")
+    return sliced(rows, first).mapInPandas(lambda it: over_slices(it, each, ["db_id", "pred", "gold", "equal"]), KEYED)
+
+
 SOFT = "db_id string, sql string, gold string, f1 double, n int"
 
 
@@ -270,14 +306,16 @@ def soft_scores(pairs: DataFrame, images: DataFrame, limits: Limits = Limits())
     rows = pairs.select("db_id", F.col("pred").alias("a"), F.col("gold").alias("b")).where("db_id is not null and pred is not null and gold is not null").distinct()
     names = [x.split()[0] for x in SOFT.split(", ")]
 
+    cells = lambda run: [[cell(v) for v in r] for r in (run.rows or [])]
+    held: list = [None, []]  # the last gold text of a slice with its runs and their cells
+
     def each(db, cons, a, b) -> tuple:
+        if held[0] != (db, b, id(cons)):
+            held[:] = [(db, b, id(cons)), [(g, cells(g)) for g in run_all(cons, b, limits)]]
         scores = []
-        for c in cons:
-            gold = run_text(c, b, limits)
+        for pred, (gold, y) in zip(run_all(cons, a, limits), held[1]):
             if gold.ok:
-                pred = gold if a == b else run_text(c, a, limits)
-                x, y = ([[cell(v) for v in r] for r in (run.rows or [])] for run in (pred, gold))
-                scores.append(soft_f1(x, y, list(pred.columns), list(gold.columns)) if pred.ok else 0.0)
+                scores.append(soft_f1(cells(pred), y, list(pred.columns), list(gold.columns)) if pred.ok else 0.0)
         return db, a, b, (sum(scores) / len(scores) if scores else 0.0), len(scores)
 
     return sliced(rows, images).mapInPandas(lambda it: over_slices(it, each, names), SOFT)

@@ -162,3 +162,46 @@ def test_cache_runs_only_what_it_lacks(spark, tmp_path, n):
     b = spark.createDataFrame([("d", "select 1"), ("d", "select 2"), (None, "select 3")], "db_id string, sql string")
     assert cached_vectors(a, images(spark), spark, name).count() == 1
     assert {r.sql for r in cached_vectors(b, images(spark).where("false" if n else "true"), spark, name).collect()} == {"select 1", "select 2"}
+
+
+def test_stored_values_and_samples(spark, data):
+    img = X.images_of(spark, data).where("inst = 0")
+    got = I.stored_values(img.limit(1)).collect()
+    db = got[0].db_id
+    con = I.open_image(bytes(img.where(F.col("db_id") == db).first().image))
+    for t, c in {(r.tbl, r.col) for r in got if r.col}:
+        want = sorted({v[0][:60] for v in con.execute(f'select "{c}" from "{t}" where "{c}" is not null').fetchall()})[:60]
+        assert [r.value for r in sorted((r for r in got if (r.tbl, r.col) == (t, c)), key=lambda r: r.place)] == want
+    assert {(r.tbl, r.place) for r in got if r.col is None} == {(t, k) for t in {r.tbl for r in got} for k in (1, 2, 3)}
+
+
+def test_soft_scores_and_keys(spark):
+    from quorumframe.operators.equality import soft_f1
+
+    pairs = [("select a, id from t", "select id, a from t"), ("select id from t", "select id, a from t"), ("select id as x from t", "select id from t"), ("select no from t", "select id from t"), ("select id from t where id > 1", "select id from t")]
+    df = spark.createDataFrame([("e", p, g) for p, g in pairs], "db_id string, pred string, gold string")
+    got = {(r.sql, r.gold): (round(r.f1, 6), r.n) for r in I.soft_scores(df, images(spark)).collect()}
+    assert got[pairs[0]] == (1.0, 1) and got[pairs[3]] == (0.0, 1) and got[pairs[2]] == (0.0, 1)
+    assert got[pairs[1]][0] == soft_f1([["I1"], ["I2"], ["I3"]], [["I1", "Sx"], ["I2", "Sx"], ["I3", "N"]], ["id"], ["id", "a"])
+    assert got[pairs[4]][0] == round(2 * 1.0 * (2 / 3) / (1.0 + 2 / 3), 6)
+    keyed = {(r.pred, r.gold): r.equal for r in I.keyed_match(df, images(spark)).collect()}
+    assert [keyed[p] for p in pairs] == [True, False, True, False, False]
+    assert I.soft_scores(df.limit(0), images(spark)).count() == 0 and I.keyed_match(df.limit(0), images(spark)).count() == 0
+
+
+def test_consensus_against_all_scores(spark, data):
+    rows = {r.qid: r for r in X.run_consensus(spark, data).collect()}
+    assert rows and all(r.by_candidate and r.by_group for r in rows.values())
+    e = X.executed_entries(spark, data).where(~F.array_contains("vector", "ERROR"))
+    g = X.groups_of(e)
+    vav = {r.qid: r.rep for r in P.arm_vav(g).collect()}
+    text = {(r.qid, r.key): (r.db_id, r.run_sql) for r in e.collect()}
+    groups = [(r.qid, r.rep, r["size"], r.v) for r in g.select("qid", "rep", "size", F.md5("sig").alias("v")).collect()]
+    pairs = {(*text[(q, rep)], text[(q, vav[q])][1]) for q, rep, _, _ in groups if q in vav}
+    f1 = {(r.db_id, r.sql, r.gold): round(r.f1, 6) for r in I.soft_scores(spark.createDataFrame(sorted(pairs), "db_id string, pred string, gold string"), X.images_of(spark, data)).collect()}
+    want = {}
+    for q, rep, size, v in groups:
+        if q in vav:
+            key = (round(size * f1[(*text[(q, rep)], text[(q, vav[q])][1])], 6), size, v)
+            want[q] = max(want.get(q, (key, rep)), (key, rep))
+    assert {q: r.by_group for q, r in rows.items()} == {q: rep for q, (_, rep) in want.items()}

@@ -34,17 +34,25 @@ CELL = re.compile(r"\S+(?: \S+)*")
 NO_ALNUM = re.compile(r"[\W_]+")
 STRANGE = re.compile(r"[^\W\d_a-zA-ZäöüßÄÖÜéèêàâîïôûçñíóúáãõìòùÉÈÀ㐀-鿿぀-ヿ가-힯]")
 BULLET = re.compile(r"\s*(?:[-*+•·–▪◦‣]|\[[ xX]?\]|\(?(?:\d{1,4}|[a-zA-Z]|[ivxIVX]{1,5})[.)]|#{1,6})\s+")
-# Shapes of dumped matter: hex dumps, encoded runs, markup, style rules, log stamps, progress bars, number vectors.
-DUMPED = re.compile(
-    r"^[0-9a-f]{6,8}:?\s+(?:[0-9a-f]{2,4}\s+){4}|[A-Za-z0-9+/=]{40}|</?\w+[^>]*>.*</?\w+|\{[\w-]+:[^}]*\}|^\W?\d{1,4}[-:/]\d{2}[-:/]\d{2}\S*\s+(?:\S+\s+)?\w*(?:ERR|WARN|INFO|DEBUG|TRACE|FATAL)|\d%\s?\||^[\[\s]*-?\d+\.\d+(?:,\s?-?\d+\.\d+){3}",
-    re.I,
-)
+# Shapes of dumped matter. At the start of a line: hex dumps, log stamps, number vectors.
+DUMP_START = re.compile(r"[0-9a-f]{6,8}:?\s+(?:[0-9a-f]{2,4}\s+){4}|\W?\d{1,4}[-:/]\d{2}[-:/]\d{2}\S*\s+(?:\S+\s+)?\w*(?:ERR|WARN|INFO|DEBUG|TRACE|FATAL)|[\[\s]*-?\d+\.\d+(?:,\s?-?\d+\.\d+){3}", re.I)
+# Anywhere in it, each with a character that it cannot do without: markup, style rules, progress bars; and encoded runs.
+DUMP_INSIDE = (("<", re.compile(r"</?\w+[^>]*>.*</?\w+", re.I)), ("{", re.compile(r"\{[\w-]+:[^}]*\}")), ("%", re.compile(r"\d%\s?\|")))
+ENCODED = re.compile(r"[A-Za-z0-9+/=]{40}")
+
+
+def dumped(line: str) -> bool:
+    """Whether a line has the shape of dumped matter."""
+    return bool(DUMP_START.match(line) or len(line) >= 40 and ENCODED.search(line) or any(c in line and p.search(line) for c, p in DUMP_INSIDE))
+
+
 CHARS = ("lower", "upper", "digit", "space", "stop", "pause", "cut", "mark", "han", "other")
 WORDS = ("function", "short", "long", "name", "number", "han_function", "han")
 PIECES = ("three", "six", "twelve", "more")
 HAN_FUNCTION = frozenset("的了在是和不有我们这也与就都而但只把被将对从由为上没未其该")
 CUT = re.compile(r"[;；•|\t,，、:：=]+")
 TOKEN = re.compile(r"[㐀-鿿぀-ヿ가-힯]|[^\W\d_㐀-鿿぀-ヿ가-힯]+(?:['’][^\W\d_]+)*(?![\w])|[^\W㐀-鿿぀-ヿ가-힯]+")
+ASCII_TOKEN = re.compile(r"\w+(?:'[a-zA-Z]+)?", re.ASCII)
 # A few lines of each form, from which its profiles are measured, one profile a language or manner.
 SAMPLES = {
     ("sentence", "en"): "The second run was not as good as we had hoped, so the team went back to the first plan and checked each step again.\nWhen a rule fails it is often because the words of the question were read in another way than they were meant.\nNobody knows yet whether this will hold for a longer test, but the numbers of the last week point in that direction.\nPeople in the valley keep their boats on the shore until the ice has gone.",
@@ -54,12 +62,12 @@ SAMPLES = {
     ("sentence", "es"): "La segunda prueba no fue tan buena como esperábamos, así que el grupo volvió al primer plan y revisó cada paso otra vez.\nNadie sabe todavía si esto vale para una prueba más larga, pero los números de la última semana van en esa dirección.",
     ("sentence", "zh"): "第二次运行的结果没有我们希望的那么好，所以小组回到了第一个计划，并且重新检查了每一个步骤。\n这些数字还不能说明它在更长的测试中也成立，但是上一周的结果指向同一个方向。\n大部分错误来自一张没有人读过的表，原因是它的名字在文档中写错了。",
     ("sentence", "zh with names"): "检索器对 city_name 的判断没有变化，原因是 price 的取值在两张表中不同。\n第 12 步之后的奖励不再上升，因此我们保留了 old_plan 的结果。\n把 visits 的说明改短以后，效果反而更好。\n下一步计划在 lake_town 上再测一次。\nprice 的提示改善了 Lumi 的取值，原因是缓存在第 80 分钟以后才命中。\nLumi 建议在文档中保留 old_price 这一列。",
-    ("sentence", "zh short"): "简短的句子也是句子。我们先看第一张表，再看第二张表。\n目前没有发现问题，大家可以继续使用。city 的写法有两种，先按第一种处理。\nLumi 写了 30 行，Soren 改了 4 行，其余保持原样。\n明天在 lake_town 上去掉旧的说明，再跑一次 price 的测试。",
+    ("sentence", "zh short"): "简短的句子也是句子。我们先看第一张表，再看第二张表。\n目前没有发现问题，大家可以继续使用。city 的写法有两种，先按第一种处理。\nLumi 写了 30 行，Soren 改了 4 行，其余保持原样。\n明天在 lake_town 上去掉旧的说明，再跑一次 price 的测试。\n多数问题来自 lake_town 与主表的关系。大家把 old_price 的说明写得太长，读起来不方便。",
     ("entry", "words"): "missing price in orders\nvotes of the second group\nrename old_name\ncheck city_name spelling\nstep 14\nnext steps\nopen the gate\nResults of table_3\nask Lumi about price\nlake_town.price\nblue paint\nRed Lake Inn",
     ("entry", "settings"): "max_steps = 200\nlearning_rate: 0.001\nseed=17\nuse_cache: true\nmodel_name = small_v2\ntimeout: 30\nverbose: off\nprice_check: on\nowner: Lumi",
     ("entry", "inline"): "step 14; votes of group two; missing price in orders; seed 23; rename old_name; check city_name\nblue paint, two brushes, a ladder, nails, old cloth, tape\nseed 11; step 90; seed 4; step 7; price of ticket",
     ("entry", "zh"): "种子 12\n缺少列 price\n第 3 步\n检查 city_name\n下一步计划\n李明的投票\norders 的 price\n结果表",
-    ("entry", "zh inline"): "种子 12; 第 3 步; orders 的 price; 检查 city_name; 种子 907; 李明的投票; 缺失列; 第 44 步\n检查 price; 种子 5; clinic 缺失列; 第 1604 步; visits 的 age",
+    ("entry", "zh inline"): "种子 12; 第 3 步; orders 的 price; 检查 city_name; 种子 907; 李明的投票; 缺失列; 第 44 步\n检查 price; 种子 5; clinic 缺失列; 第 1604 步; visits 的 age\nlake_town_4 缺失列; visits 的 price; Lumi 的投票; 检查 city_name; old_plan 缺失列; Soren 的投票",
     ("odd", "letters"): "xkqoria vbnt zzrwalu qplemi mkjo trwqipaz hufe wqxanit kdzzu pzlerofa qat vvelio xkaj bbdurtez lpoqwi wexzana mnrt bvcqol plkzi wrtqune",
     ("odd", "short letters"): "xkq vbnt zzrw qpl mkj trw\nwqx8 kd2 pz91 q7t vv0 xk4j 22bd\nhgfk lpoq wexz mnrt bvcq plkz wrtq",
     ("odd", "codes"): "a4df1859 e9146c7f 23e44d38 1e5ecba0\nZx81kPq0 mB4tR7 Qw2Lx9 vN5kT8\nid=90ab12 q=44fe09 code=638 w=7c",
@@ -123,22 +131,43 @@ def word_class(w: str) -> str:
 
 
 CHAR_AT, WORD_AT = {c: k for k, c in enumerate(CHARS)}, {c: k for k, c in enumerate(WORDS)}
+
+
+@lru_cache(20_000)
+def place_of(c: str) -> int:
+    """Place of a character's class in CHARS."""
+    return CHAR_AT[class_of(c)]
+
+
+@lru_cache(200_000)
+def word_place(w: str) -> int:
+    """Place of a token's class in WORDS."""
+    return WORD_AT[word_class(w)]
+
+
 SIZES = len(CHARS), len(WORDS), len(PIECES)
 
 
-def described(line: str) -> list[float]:
+def characters(line: str) -> list[float]:
+    """How often each of CHARS comes."""
+    out = [0.0] * SIZES[0]
+    for c, k in Counter(line).items():
+        out[place_of(c)] += k
+    return out
+
+
+def described(line: str, chars: list[float] | None = None) -> list[float]:
     """The three distributions of a line, one after the other: shares of CHARS, of WORDS (a Han character is a word) and of PIECES.
 
     PIECES: the words that lie in pieces of at most 3, 6, 12 and more words
     between separators; two Han characters are a word there.
     """
-    chars, words, sizes = [0.0] * SIZES[0], [0.0] * SIZES[1], [0.0] * SIZES[2]
-    for c, k in Counter(line).items():
-        chars[CHAR_AT[class_of(c)]] += k
+    chars, words, sizes = chars or characters(line), [0.0] * SIZES[1], [0.0] * SIZES[2]
+    token = ASCII_TOKEN if line.isascii() else TOKEN
     for x in CUT.split(line):
         size = 0.0
-        for w in TOKEN.findall(x):
-            at = WORD_AT[word_class(w)]
+        for w in token.findall(x):
+            at = word_place(w)
             words[at] += 1
             size += 0.5 if at >= 5 else 1.0
         if size:
@@ -177,12 +206,12 @@ def divergences(lines: np.ndarray, against: np.ndarray, blocks: tuple[float, ...
     return out
 
 
-def nearest_forms(lines: list[str]) -> list[str]:
-    """Form of the nearest profile of each line."""
+def nearest_forms(lines: list[list[float]]) -> list[str]:
+    """Form of the nearest profile of each described line."""
     forms, against = profiles()
     out: list[str] = []
     for k in range(0, len(lines), 2000):
-        d = divergences(np.array([described(x) for x in lines[k : k + 2000]]), against)
+        d = divergences(np.array(lines[k : k + 2000]), against)
         out += [forms[i] for i in d.argmin(1)]
     return out
 
@@ -216,6 +245,8 @@ def repeats(text: str) -> bool:
 
 def cell_count(line: str, sep: str) -> int:
     """Cells of a line for a separator ('  ' stands for runs of blanks); 0 where it makes no cells of a table."""
+    if line.count(sep) < (2 if sep in ",;" else 1):
+        return 0
     if sep == "  ":
         cells = re.split(r"\s{2,}", line.strip())
     elif sep == "|":
@@ -259,15 +290,27 @@ def aligned(lines: list[str], hit: list[bool]) -> list[bool]:
     return [h or len(bs) > 1 and bs <= usual for h, bs in zip(hit, begins)]
 
 
-def shape(line: str) -> tuple[float, str]:
-    """Mass of a line that is no row, and its text without a bullet; '' where its shape makes it odd."""
-    body = BULLET.sub("", line, count=1)
-    mass = len(line.strip()) + (1.5 * len(HAN.findall(body)) if not body.isascii() else 0)
-    size = len("".join(body.split())) or 1
-    strange = len(STRANGE.findall(body)) if not body.isascii() else 0
-    if DUMPED.search(line) or len(NO_ALNUM.sub("", body)) / size < 0.5 or strange > 0.15 * size:
-        return mass, ""
-    return mass, body
+@lru_cache(20_000)
+def strange(c: str) -> bool:
+    """A letter of no usual alphabet."""
+    return not NO_ALNUM.match(c) and bool(STRANGE.match(c))
+
+
+def shape(line: str) -> tuple[float, str, list[float]]:
+    """Mass of a line that is no row, its text without a bullet ('' where its shape makes it odd), and its characters."""
+    bullet = BULLET.match(line)
+    body = line[bullet.end() :] if bullet else line
+    chars = characters(body)
+    lower, upper, digit, blank, *_, han, other = chars
+    alnum, odd = lower + upper + digit + han, 0.0
+    if other and not body.isascii():
+        odd = sum(strange(c) for c in body)
+        alnum += sum(class_of(c) == "other" and not NO_ALNUM.match(c) for c in body)
+    mass = len(line.strip()) + 1.5 * han
+    size = len(body) - blank or 1
+    if alnum / size < 0.5 or odd > 0.15 * size or dumped(line):
+        return mass, "", chars
+    return mass, body, chars
 
 
 def join_wrapped(text: str, taken: set[str]) -> list[str]:
@@ -277,9 +320,13 @@ def join_wrapped(text: str, taken: set[str]) -> list[str]:
         held: list[str] = []
 
         def close() -> None:
+            if len(held) < 2:
+                out.extend(held)
+                held.clear()
+                return
             words = WORD.findall(" ".join(held))
             wide = all(len(x) >= 40 and len(x.split()) >= 6 for x in held[:-1])
-            if len(held) > 1 and (wide or len(words) >= 10 and len(words) >= 3 * len(held) and function_share(words) >= 0.22):
+            if (wide or len(words) >= 10 and len(words) >= 3 * len(held) and function_share(words) >= 0.22):
                 out.append(" ".join(held))
             else:
                 out.extend(held)
@@ -296,22 +343,22 @@ def join_wrapped(text: str, taken: set[str]) -> list[str]:
     return out
 
 
-def parts(text: str) -> tuple[Counter, list[tuple[float, str]]]:
-    """Masses of a text's lines whose form is settled by counts, and (mass, line) of the others."""
+def parts(text: str) -> tuple[Counter, list[tuple[float, list[float]]]]:
+    """Masses of a text's lines whose form is settled by counts, and (mass, description) of the others."""
     if repeats(text):
         return Counter(odd=1.0), []
     lines = [x for x in re.split(r"[\r\n]+", text) if x.strip()]
     table = rows(lines)
     mass: Counter = Counter()
-    taken = {x for x, is_row in zip(lines, table) if is_row and not DUMPED.search(x)}
+    taken = {x for x, is_row in zip(lines, table) if is_row and not dumped(x)}
     for x in lines:
         if x in taken:
             mass["row"] += len(x.strip())
     rest = []
     for x in join_wrapped(text, taken):
-        m, body = shape(x)
+        m, body, chars = shape(x)
         if body:
-            rest.append((m, body))
+            rest.append((m, described(body, chars)))
         else:
             mass["odd"] += m
     return mass, rest

@@ -30,14 +30,14 @@ SQL_TOKEN = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|\[[^\]]*\]|\
 COMPARE = frozenset({"=", "==", "!=", "<>", "<", ">", "<=", ">="})
 
 
-EDGES = re.compile(rf"\A[\s{INVISIBLE}]+|[\s{INVISIBLE}]+\Z")
+NOTHING_TO_SEE = INVISIBLE + "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # What a transfer that broke off leaves at the end: half an escape, or a broken character.
 BROKEN_END = re.compile(r"(?:\\(?:u[0-9a-fA-F]{0,4}|x[0-9a-fA-F]?)?|\ufffd+)\Z")
 
 
 def strip_blank(text: str) -> str:
     """Without blanks and invisible characters at both ends."""
-    return EDGES.sub("", text)
+    return text.strip(NOTHING_TO_SEE)
 
 
 def predicate_done(ts: list[str]) -> bool:
@@ -435,10 +435,9 @@ def language(text: str) -> tuple[str, int]:
             votes[name] = n
     if han:
         votes["ja" if votes.get("ja", 0) > han / 4 else "zh"] = han // 2 + votes.get("ja", 0) * (votes.get("ja", 0) > han / 4)
-    for w in PLAIN_WORD.findall(plain):
-        low = w.lower()
-        if low not in LEADS:
-            for lang in VOTES.get(low, ()):
+    for w in PLAIN_WORD.findall(plain.lower()):
+        if w in VOTES and w not in LEADS:
+            for lang in VOTES[w]:
                 votes[lang] = votes.get(lang, 0) + 1
     if not votes:
         return "", 0
@@ -446,11 +445,19 @@ def language(text: str) -> tuple[str, int]:
     return best, votes[best]
 
 
+@lru_cache(16_384)
+def asked_in(question: str) -> str:
+    """The language of a question; many answers share one."""
+    return language(question)[0]
+
+
 def strays(question: str | None, a: Answer) -> bool:
     """Whether the explaining text is in another language than the question."""
     prose = " \n".join(p for p in a.prose)
     if question:
         prose = prose.replace(question.strip(), " ")
-    asked, _ = language(question or "")
+    asked = asked_in(question or "")
+    if not asked or not prose:
+        return False
     told, n = language(prose)
-    return bool(asked and told and asked != told and n >= 4)
+    return bool(told and asked != told and n >= 4)

@@ -81,11 +81,15 @@ def build_groups(entries: DataFrame, vector: str = "vector", empty: Column | Non
     )
 
 
+def fine() -> Column:
+    """Neither empty nor all zero."""
+    return ~(F.col("is_empty") | F.col("is_zero"))
+
+
 def rankable(groups: DataFrame) -> DataFrame:
-    """Groups that are neither empty nor all zero, unless a question has no other groups."""
-    fine = ~(F.col("is_empty") | F.col("is_zero"))
-    any_fine = groups.groupBy("qid").agg(F.max(fine).alias("any_fine"))
-    return groups.join(any_fine, "qid").where(fine | ~F.col("any_fine")).drop("any_fine")
+    """Groups that are fine, and all groups of a question without fine ones."""
+    any_fine = groups.groupBy("qid").agg(F.max(fine()).alias("any_fine"))
+    return groups.join(any_fine, "qid").where(fine() | ~F.col("any_fine")).drop("any_fine")
 
 
 def pick(groups: DataFrame, *order: Column, columns: tuple[str, ...] = ("rep", "size", "sig")) -> DataFrame:
@@ -114,16 +118,15 @@ def enriched(groups: DataFrame, ranks: bool = True) -> DataFrame:
     lower. It is counted from the question's distinct means (at most a million,
     as they have six digits), not from pairs of groups.
     """
-    fine = ~(F.col("is_empty") | F.col("is_zero"))
     pair = F.struct("size", "sig", "score", "n_models")
     q = groups.groupBy("qid").agg(
-        F.max(fine).alias("any_fine"), F.max("size").alias("top_size"), F.sum("size").alias("all_votes"),
-        heap(F.when(fine, pair), 2).alias("top_fine"), heap(pair, 2).alias("top_all"),
+        F.max(fine()).alias("any_fine"), F.max("size").alias("top_size"), F.sum("size").alias("all_votes"),
+        heap(F.when(fine(), pair), 2).alias("top_fine"), heap(pair, 2).alias("top_all"),
     )
     top = F.when(F.col("any_fine"), F.col("top_fine")).otherwise(F.col("top_all"))
     first, second = F.get(top, F.lit(0)), F.get(top, F.lit(1))
     q = q.select("qid", "any_fine", "top_size", "all_votes", first.alias("first"), second.alias("second"), close_vote(first, second).alias("close"))
-    out = groups.join(q, "qid").withColumn("in_", fine | ~F.col("any_fine"))
+    out = groups.join(q, "qid").withColumn("in_", fine() | ~F.col("any_fine"))
     if ranks:
         micros = F.round(F.col("mean_score") * 1e6).cast("bigint").alias("micros")
         counts = out.where("in_").groupBy("qid", micros).agg(F.count(F.lit(1)).alias("n"))
@@ -158,70 +161,79 @@ def best(*order: Column, among: Column | None = None) -> Column:
     return F.max_by(F.struct("rep", "size", "sig"), key if among is None else F.when(among, key))
 
 
-def of_rankable(*order: Column) -> Column:
-    return best(*order, among=F.col("in_"))
-
-
 def on_close(c: Column) -> Column:
     return F.when(F.col("close"), c)
 
 
 def tempered(t: float) -> Column:
     """Clean groups before empty or zero ones, then size times the tempered score."""
-    return best(~(F.col("is_empty") | F.col("is_zero")), F.round(s() * sigmoid(logit(p()) / t), 6), s())
+    return best(fine(), F.round(s() * sigmoid(logit(p()) / t), 6), s())
 
 
-def cascade(k: int) -> Column:
+def cascade(k: int, among: Column | None) -> Column:
     """The k best groups by size times mean score (a bounded heap), then the best of them by size times the representative's."""
     stage = F.struct(F.round(s() * F.col("mean_score"), 6).alias("a"), F.col("sig").alias("sig"), s().alias("size"), F.col("rep").alias("rep"), p().alias("score"))
-    kept = F.transform(heap(F.when(F.col("in_"), stage), k), lambda t: F.struct(F.round(t["size"] * t["score"], 6).alias("k0"), t["sig"].alias("sig"), t["size"].alias("size"), t["rep"].alias("rep")))
+    kept = F.transform(heap(stage if among is None else F.when(among, stage), k), lambda t: F.struct(F.round(t["size"] * t["score"], 6).alias("k0"), t["sig"].alias("sig"), t["size"].alias("size"), t["rep"].alias("rep")))
     w = F.array_max(kept)
     return F.when(w.isNotNull(), F.struct(w["rep"].alias("rep"), w["size"].alias("size"), w["sig"].alias("sig")))
 
 
-def runner_up() -> Column:
+def runner_up(among: Column | None) -> Column:
     """Where the vote is close, the second group wins if its score is strictly higher."""
     want = F.when(F.col("close") & F.coalesce(F.col("second.score") > F.col("first.score"), F.lit(False)), F.col("second.sig")).otherwise(F.col("first.sig"))
-    return of_rankable((F.col("sig") == want).cast("int"))
+    return best((F.col("sig") == want).cast("int"), among=among)
 
 
-def by_structure() -> Column:
+def by_structure(among: Column | None) -> Column:
     """Where the vote is close, groups of several models first, then size, then fewer joins in the representative; else the largest group."""
-    return of_rankable(on_close((F.col("n_models") > 1).cast("int")), s(), on_close(-count_joins(F.col("rep"))))
+    return best(on_close((F.col("n_models") > 1).cast("int")), s(), on_close(-count_joins(F.col("rep"))), among=among)
 
 
-def conservative() -> Column:
+def conservative(among: Column | None) -> Column:
     """Where the vote is close, the group of most models, then size, but only if it has more models than the largest group, or as many and more votes."""
     better = F.col("close") & ((F.col("n_models") > F.col("first.n_models")) | (F.col("n_models") == F.col("first.n_models")) & (s() > F.col("first.size")))
-    return of_rankable(better.cast("int"), F.when(better, F.col("n_models")), F.when(better, s()), (F.col("sig") == F.col("first.sig")).cast("int"))
-
-
-# A rule is an aggregate over the enriched groups of a question.
-RULES: dict[str, Callable[[], Column]] = {
-    "vav": lambda: of_rankable(s()),
-    "soft_cross_w1": lambda: of_rankable(s() + F.col("n_models")),
-    "soft_cross_w2": lambda: of_rankable(s() + 2 * F.col("n_models")),
-    "soft_cross_w3": lambda: of_rankable(s() + 3 * F.col("n_models")),
-    "soft_ladder": lambda: of_rankable((F.col("n_models") > 1).cast("int"), s()),
+    return best(better.cast("int"), F.when(better, F.col("n_models")), F.when(better, s()), (F.col("sig") == F.col("first.sig")).cast("int"), among=among)
+
+
+# A rule is an aggregate over the groups of a question that may win (among); these need no figure of their question.
+PLAIN: dict[str, Callable[[Column | None], Column]] = {
+    "vav": lambda among: best(s(), among=among),
+    "soft_cross_w1": lambda among: best(s() + F.col("n_models"), among=among),
+    "soft_cross_w2": lambda among: best(s() + 2 * F.col("n_models"), among=among),
+    "soft_cross_w3": lambda among: best(s() + 3 * F.col("n_models"), among=among),
+    "soft_ladder": lambda among: best((F.col("n_models") > 1).cast("int"), s(), among=among),
+    "grouphead": lambda among: best(F.round(s() * p(), 6), s(), among=among),
+    "tier_temp_half": lambda among: tempered(0.5),
+    "tier_temp_1": lambda among: tempered(1.0),
+    "tier_temp_2": lambda among: tempered(2.0),
+    "soft_mean": lambda among: best(F.round(s() * F.col("mean_score"), 6), among=among),
+    "cascade_2": lambda among: cascade(2, among),
+    "cascade_4": lambda among: cascade(4, among),
+}
+# These need enriched groups.
+WITH_FIGURES: dict[str, Callable[[Column | None], Column]] = {
     "gated": by_structure,
-    "grouphead": lambda: of_rankable(F.round(s() * p(), 6), s()),
-    "hybrid": lambda: best(F.round(s() / F.col("top_size") * p(), 6)),
+    "hybrid": lambda among: best(F.round(s() / F.col("top_size") * p(), 6)),
     "tiebreak": runner_up,
-    "tier_temp_half": lambda: tempered(0.5),
-    "tier_temp_1": lambda: tempered(1.0),
-    "tier_temp_2": lambda: tempered(2.0),
-    "r3": lambda: of_rankable(F.col("beaten"), F.round(s() * F.col("mean_score"), 6), s()),
-    "vote_rate": lambda: of_rankable(F.round(s() * s() / F.col("all_votes"), 6)),
-    "soft_mean": lambda: of_rankable(F.round(s() * F.col("mean_score"), 6)),
-    "cascade_2": lambda: cascade(2),
-    "cascade_4": lambda: cascade(4),
+    "r3": lambda among: best(F.col("beaten"), F.round(s() * F.col("mean_score"), 6), s(), among=among),
+    "vote_rate": lambda among: best(F.round(s() * s() / F.col("all_votes"), 6), among=among),
     "p03": conservative,
 }
+RULES = PLAIN | WITH_FIGURES
 
 
 def arm(name: str) -> Callable[[DataFrame], DataFrame]:
-    """A rule as a function from groups to winners (qid, rep, size, sig)."""
-    return lambda g: enriched(g, ranks=name == "r3").groupBy("qid").agg(RULES[name]().alias("w")).where("w is not null").select("qid", "w.rep", "w.size", "w.sig")
+    """A rule as a function from groups to winners (qid, rep, size, sig).
+
+    A plain rule is one aggregation: its winner among the fine groups, else
+    among all of a question.
+    """
+    rule = RULES[name]
+    if name in PLAIN:
+        won = lambda g: g.groupBy("qid").agg(F.coalesce(rule(fine()), rule(None)).alias("w"))
+    else:
+        won = lambda g: enriched(g, ranks=name == "r3").groupBy("qid").agg(rule(F.col("in_")).alias("w"))
+    return lambda g: won(g).where("w is not null").select("qid", "w.rep", "w.size", "w.sig")
 
 
 ARMS: dict[str, Callable[[DataFrame], DataFrame]] = {name: arm(name) for name in RULES}
@@ -229,8 +241,8 @@ arm_vav = ARMS["vav"]
 
 
 def all_winners(groups: DataFrame) -> DataFrame:
-    """(arm, qid, rep, size, sig) of every rule, from one aggregation of the groups."""
-    each = enriched(groups).groupBy("qid").agg(*[rule().alias(name) for name, rule in RULES.items()])
+    """(arm, qid, rep, size, sig) of every rule, from one aggregation; groups are read more than once, so pass them written."""
+    each = enriched(groups).groupBy("qid").agg(*[rule(F.col("in_")).alias(name) for name, rule in RULES.items()])
     named = F.explode(F.array(*[F.struct(F.lit(name).alias("arm"), F.col(name).alias("w")) for name in RULES]))
     return each.select("qid", named.alias("x")).where("x.w is not null").select("x.arm", "qid", "x.w.rep", "x.w.size", "x.w.sig")
 

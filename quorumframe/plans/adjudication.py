@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quorumframe.operators import pool as P
-from quorumframe.session import load
+from quorumframe.session import load, written
 
 from . import fixture as X
 
@@ -213,7 +213,7 @@ def accuracy_matrix(spark, d):
     """Accuracy of each rule over all questions."""
     e = X.entries_of(spark, d)
     gold = F.concat_ws("|", *[F.concat(F.lit("I"), ((F.col("qid") % 5 + F.col("qid") * k) % 7).cast("string")) for k in range(3)])
-    return P.all_winners(P.build_groups(e)).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("sig") == gold).cast("bigint")).alias("n_correct"))
+    return P.all_winners(written(P.build_groups(e), "groups", spark)).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("sig") == gold).cast("bigint")).alias("n_correct"))
 
 
 QUERIES = {f"{k}_winner" if k == "vav" else f"arm_{k}": _arm_query(k) for k in P.ARMS}

@@ -220,10 +220,10 @@ def value_grounding(spark, d):
 
 
 def column_values(spark, d):
-    """At most 20 distinct brand and type values of parts in order."""
+    """At most 60 distinct brand and type values of parts in order."""
     p = load(spark, d, "part")
     v = p.select(F.explode(F.array(F.struct(F.lit("p_brand").alias("col"), F.col("p_brand").alias("v")), F.struct(F.lit("p_type").alias("col"), F.col("p_type").alias("v")))).alias("x")).select("x.*").where("length(v) <= 60").distinct()
-    kept = v.groupBy("col").agg(V.heap(F.col("v"), 20, True).alias("vs"))
+    kept = v.groupBy("col").agg(V.heap(F.col("v"), 60, True).alias("vs"))
     return kept.select("col", F.explode("vs").alias("v"))
 
 
@@ -307,7 +307,7 @@ SQL = {
       e AS (SELECT p.di, string_agg(a, chr(10) ORDER BY points <= 0, points DESC, p.tbl) AS f1, string_agg(CASE WHEN points > 0 THEN a ELSE b END, chr(10) ORDER BY points <= 0, points DESC, p.tbl) AS f2, string_agg(CASE WHEN points > 0 THEN a END, chr(10) ORDER BY points DESC, p.tbl) AS f3, list(b ORDER BY points <= 0, points DESC, p.tbl) AS f4 FROM p JOIN ln ON ln.db_id = p.db_id AND ln.tbl = p.tbl WHERE di >= 0 GROUP BY p.di)
       SELECT di, CASE WHEN length(f1) <= 420 THEN f1 WHEN length(f2) <= 420 THEN f2 ELSE COALESCE(f3, array_to_string(f4[1:8], chr(10))) END AS section FROM e""",
     "retriever_records": f"WITH {COLS}, t AS (SELECT DISTINCT db_id, tbl FROM cols) SELECT di, tbl, list_contains(regexp_extract_all(lower(regexp_replace(gold_sql, '''[^'']*''', '', 'g')), '\\b(?:from|join)\\s+[`\"\\[]?(\\w+)', 1), lower(tbl)) AS is_related FROM questions JOIN t USING (db_id) WHERE gold_sql IS NOT NULL",
-    "column_values": "SELECT col, v FROM (SELECT col, v, ROW_NUMBER() OVER (PARTITION BY col ORDER BY v) AS r FROM (SELECT DISTINCT 'p_brand' AS col, p_brand AS v FROM part UNION SELECT DISTINCT 'p_type', p_type FROM part) t WHERE length(v) <= 60) u WHERE r <= 20",
+    "column_values": "SELECT col, v FROM (SELECT col, v, ROW_NUMBER() OVER (PARTITION BY col ORDER BY v) AS r FROM (SELECT DISTINCT 'p_brand' AS col, p_brand AS v FROM part UNION SELECT DISTINCT 'p_type', p_type FROM part) t WHERE length(v) <= 60) u WHERE r <= 60",
     "retrieve_topk": f"WITH {NEAR} SELECT qid, iid, rnk FROM rk WHERE rnk <= 10",
     "recall_mrr": f"WITH {NEAR}, g AS (SELECT qid, SUM((la = lb)::INT) AS n FROM s GROUP BY qid), h AS (SELECT qid, " + ", ".join(f"SUM((la = lb AND rnk <= {k})::INT) AS h{k}" for k in (3, 5, 8)) + ", SUM(CASE WHEN la = lb AND rnk <= 10 THEN 1.0::DOUBLE / rnk ELSE 0 END) AS rr FROM rk GROUP BY qid) SELECT qid, " + ", ".join(f"ROUND(CASE WHEN n = 0 THEN 1.0 ELSE CAST(h{k} AS DOUBLE) / n END, 6) AS recall_{k}, ROUND(CAST(h{k} AS DOUBLE) / {k}, 6) AS precision_{k}" for k in (3, 5, 8)) + ", ROUND(CASE WHEN n = 0 THEN 1.0 ELSE rr / n END, 6) AS mrr FROM h JOIN g USING (qid)",
     "store_query_nullsafe": f"WITH {CAND} SELECT id, di, seed FROM c WHERE model = 'api-flash' AND lora IS NULL",

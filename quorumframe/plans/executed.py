@@ -86,6 +86,7 @@ def images_of(spark: SparkSession, d: str) -> DataFrame:
     if d not in held or not _there(spark, held[d]):
         made = written(database_images(load(spark, d, "db_schemas"), load(spark, d, "questions")), "images", spark)
         held[d] = made.inputFiles()[0].rsplit("/", 1)[0]
+        spark.sparkContext.__dict__.setdefault("_qf_prints", {})[d] = I.fingerprint(made)
     return spark.read.schema("db_id string, inst int, image binary").parquet(held[d])
 
 
@@ -110,7 +111,8 @@ def pool_entries(spark: SparkSession, d: str) -> DataFrame:
 def executed_entries(spark: SparkSession, d: str) -> DataFrame:
     """Entries with the outcome of their official text on all instances."""
     e = pool_entries(spark, d)
-    out = cached_vectors(e.select("db_id", F.col("run_sql").alias("sql")), images_of(spark, d), spark, d)
+    images = images_of(spark, d)
+    out = cached_vectors(e.select("db_id", F.col("run_sql").alias("sql")), images, spark, spark.sparkContext._qf_prints[d])
     return e.join(out.withColumnRenamed("sql", "run_sql"), ["db_id", "run_sql"])
 
 
@@ -188,7 +190,7 @@ def run_accuracy(spark, d):
     e = written(executed_entries(spark, d), "entries", spark)
     out = None
     for name, models in POOLS.items():
-        w = P.all_winners(groups_of(sub_pool(e, models))).select(F.lit(name).alias("pool"), "arm", "qid", "rep")
+        w = P.all_winners(written(groups_of(sub_pool(e, models)), "groups", spark)).select(F.lit(name).alias("pool"), "arm", "qid", "rep")
         out = w if out is None else out.unionByName(w)
     j = winners_judged(spark, d, e, written(out, "winners", spark))
     return j.groupBy("pool", "arm").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("bigint")).alias("n_correct"))

@@ -114,8 +114,9 @@ def ablation_matrix(spark, d):
     out = None
     for tags in (("m1",), ("m2",), ("m1", "m2")):
         g = P.build_groups(e.where(F.arrays_overlap("models", F.array(*map(F.lit, tags)))))
-        w = P.all_winners(g).where("arm in ('vav', 'grouphead')").select(F.lit("+".join(tags)).alias("subset"), "arm", "qid", "sig")
-        out = w if out is None else out.unionByName(w)
+        for name in ("vav", "grouphead"):
+            w = P.ARMS[name](g).select(F.lit("+".join(tags)).alias("subset"), F.lit(name).alias("arm"), "qid", "sig")
+            out = w if out is None else out.unionByName(w)
     return out.groupBy("subset", "arm").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("sig") == _gold_sig()).cast("bigint")).alias("n_correct"))
 
 

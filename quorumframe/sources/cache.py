@@ -24,6 +24,8 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
 def cached_vectors(tasks: DataFrame, images: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """Outcomes of the tasks (db_id, sql): those the cache of this name lacks are executed and appended to it first.
 
+    The name must tell one set of images from another: give their fingerprint.
+
     Two runs that miss the same text at once both append it, with equal
     signatures; readers take one of them.
     """

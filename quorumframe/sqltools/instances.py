@@ -390,6 +390,13 @@ def image_of(tables: dict[str, tuple[list[str], list[tuple]]]) -> bytes:
     return image
 
 
+def fingerprint(images: DataFrame) -> str:
+    """A name for a set of images, whatever their order: their number and the sums of two hashes."""
+    h = lambda *x: F.sum(F.xxhash64("db_id", "inst", "image", *x).cast("decimal(38,0)"))
+    r = images.agg(F.count(F.lit(1)).alias("n"), h().alias("a"), h(F.lit(1)).alias("b")).first()
+    return f"{r.n}:{r.a}:{r.b}"
+
+
 def catalog_ddl(images: DataFrame) -> DataFrame:
     """CREATE TABLE texts that the first instance of each database keeps, in order of name: (db_id, tbl, ddl)."""
     first = images.groupBy("db_id").agg(F.min_by("image", "inst").alias("image"))

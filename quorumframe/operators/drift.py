@@ -387,10 +387,21 @@ def p4_schema(spark: SparkSession, d: str) -> DataFrame:
     return fused_schema(files, unified_table(files))
 
 
-QUERIES = {"p4_found": p4_found, "p4_table": p4_table, "p4_schema": p4_schema}
+def p4_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fields that come or go at each file, renames taken apart: the part of the report that SQL can follow."""
+    c = schema_changes(load(spark, d, "run_files"), spark).where("change <> 'type_changed'")
+    both = F.explode(F.array(F.struct(F.lit("gone").alias("way"), F.col("field_from").alias("field")), F.struct(F.lit("came").alias("way"), F.col("field_to").alias("field"))))
+    return c.select("file_id", both.alias("x")).select("file_id", "x.way", "x.field").where("field <> ''")
+
+
+QUERIES = {"p4_fields": p4_fields, "p4_found": p4_found, "p4_table": p4_table, "p4_schema": p4_schema}
+_TREE = """f AS (SELECT CAST(file_id AS BIGINT) AS file_id, min(series_id) AS series_id, min(family) AS family, min(written_at) AS wat, arg_min(payload, ingested_at) AS payload FROM run_files GROUP BY 1),
+      j AS (SELECT file_id, series_id, family, wat, trim(replace(payload, chr(65279), ''), ' ' || chr(10) || chr(13) || chr(9)) AS p FROM f),
+      o AS (SELECT * FROM j WHERE json_valid(p) AND json_type(p) = 'OBJECT'),
+      t AS (SELECT file_id, series_id, family, wat, replace(substr(fullkey, 3), '"', '') AS path, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN 'number' WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type = 'NULL' THEN 'null' ELSE 'list' END AS type FROM o, json_tree(o.p) WHERE type <> 'OBJECT' AND fullkey NOT LIKE '%[%' AND fullkey <> '$')"""
 SQL = {
-    "p4_schema": """WITH f AS (SELECT CAST(file_id AS BIGINT) AS file_id, min(family) AS family, min(written_at) AS wat, arg_min(payload, ingested_at) AS payload FROM run_files GROUP BY 1),
-      j AS (SELECT file_id, family, wat, trim(replace(payload, chr(65279), ''), ' ' || chr(10) || chr(13) || chr(9)) AS p FROM f),
-      t AS (SELECT file_id, family, wat, replace(substr(fullkey, 3), '"', '') AS path, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN 'number' WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type = 'NULL' THEN 'null' ELSE 'list' END AS type FROM (SELECT * FROM j WHERE json_valid(p)) v, json_tree(v.p) WHERE type <> 'OBJECT' AND fullkey NOT LIKE '%[%' AND fullkey <> '$')
-      SELECT family, path, type, COUNT(*) AS n_files, arg_min(file_id, {'a': wat, 'f': file_id}) AS first_file FROM t GROUP BY 1, 2, 3""",
+    "p4_schema": f"WITH {_TREE} SELECT family, path, type, COUNT(*) AS n_files, arg_min(file_id, {{'a': wat, 'f': file_id}}) AS first_file FROM t GROUP BY 1, 2, 3",
+    "p4_fields": f"""WITH {_TREE}, l AS (SELECT file_id, LAG(file_id) OVER (PARTITION BY series_id ORDER BY wat, file_id) AS before FROM o)
+      SELECT l.file_id, 'came' AS way, t.path AS field FROM l JOIN t ON t.file_id = l.file_id LEFT JOIN t q ON q.file_id = l.before AND q.path = t.path WHERE l.before IS NOT NULL AND q.path IS NULL
+      UNION ALL SELECT l.file_id, 'gone', t.path FROM l JOIN t ON t.file_id = l.before LEFT JOIN t q ON q.file_id = l.file_id AND q.path = t.path WHERE q.path IS NULL""",
 }

@@ -49,21 +49,22 @@ class Parser:
     def __init__(self, sql: str) -> None:
         self.ts = tokenize(sql)
         self.i = 0
+        # Lower-case word or operator at each place; '' for quoted things and numbers, and beyond the end.
+        self.words = [t.lower() if kind == "word" else t if kind == "op" else "" for kind, t in self.ts] + [""] * 8
 
     def peek(self, ahead: int = 0) -> str:
         """Lower-case word or operator ahead; '' for quoted things, numbers and the end."""
-        if self.i + ahead >= len(self.ts):
-            return ""
-        kind, t = self.ts[self.i + ahead]
-        return t.lower() if kind == "word" else t if kind == "op" else ""
+        k = self.i + ahead
+        return self.words[k] if k < len(self.words) else ""
 
     def kind(self, ahead: int = 0) -> str:
         return self.ts[self.i + ahead][0] if self.i + ahead < len(self.ts) else "end"
 
     def take(self, *want: str) -> bool:
         """Take the next tokens if they are these words or operators."""
-        if all(self.peek(k) == w for k, w in enumerate(want)):
-            self.i += len(want)
+        i, n = self.i, len(want)
+        if i < len(self.words) and self.words[i] == want[0] and (n == 1 or self.words[i + 1 : i + n] == list(want[1:])):
+            self.i += n
             return True
         return False
 

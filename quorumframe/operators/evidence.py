@@ -112,6 +112,55 @@ def schema_sections(points: DataFrame, schemas: DataFrame, cap: int = SCHEMA_CAP
     return each.select("di", F.when(F.length(full) <= cap, full).when(F.length(compact) <= cap, compact).otherwise(last).alias("section"))
 
 
+# Tables with sample rows, characters of that section, tables up to which all may have some, characters of all sections.
+SAMPLE_TABLES, SAMPLE_CAP, SMALL_SCHEMA, EVIDENCE_CAP = 4, 600, 6, 1800
+
+
+def sample_sections(points: DataFrame, samples: DataFrame, cap: int = SAMPLE_CAP) -> DataFrame:
+    """Sample rows of each question's tables (di, section): the tables of most points, their rows in order.
+
+    Schemas of more than SMALL_SCHEMA tables give only tables with points, if
+    at least two have any. A row that does not fit the cap ends its table, not
+    the section. samples: db_id, tbl, place, value (the cells of a row).
+    """
+    ranked = points.groupBy("di", "db_id").agg(F.array_sort(F.collect_list(F.struct(F.negative("points").alias("p"), "tbl"))).alias("ts"))
+    named = F.filter("ts", lambda t: t["p"] < 0)
+    few = F.slice(named, 1, SAMPLE_TABLES)
+    picked = F.when((F.size("ts") > SMALL_SCHEMA) & (F.size(few) >= 2), few).otherwise(F.slice("ts", 1, SAMPLE_TABLES))
+    tables = ranked.select("di", "db_id", F.posexplode(picked).alias("rank", "t")).select("di", "db_id", "rank", F.col("t.tbl").alias("tbl"))
+    line = F.concat("tbl", F.lit(" #"), F.col("place").cast("string"), F.lit(": "), "value")
+    rows = tables.join(samples, ["db_id", "tbl"]).groupBy("di").agg(F.array_sort(F.collect_list(F.struct("rank", "place", "tbl", line.alias("t")))).alias("xs"))
+    zero = F.struct(F.lit(0).alias("used"), F.lit("").alias("over"), F.array().cast("array<string>").alias("kept"))
+
+    def take(a: Column, x: Column) -> Column:
+        n = F.length(x["t"])
+        fits = a["used"] + n <= cap
+        kept = F.struct((a["used"] + n + 1).alias("used"), a["over"].alias("over"), F.concat(a["kept"], F.array(x["t"])).alias("kept"))
+        over = F.struct(a["used"].alias("used"), x["tbl"].alias("over"), a["kept"].alias("kept"))
+        return F.when(x["tbl"] == a["over"], a).when(fits, kept).otherwise(over)
+
+    return rows.select("di", F.array_join(F.aggregate("xs", zero, take)["kept"], "\n").alias("section"))
+
+
+def assembled(sections: list[tuple[str, Column]], cap: int = EVIDENCE_CAP) -> Column:
+    """Sections under their titles in order of weight: empty ones are left out, one that is too long is cut, and what follows a full text is dropped.
+
+    A cut section leaves three characters free, so that its end can be marked.
+    """
+    parts, used, full = [], F.lit(0), F.lit(False)
+    for title, body in sections:
+        body = F.coalesce(body, F.lit(""))
+        head = f"[{title}]\n"
+        room = F.lit(cap) - used - len(head)
+        fits = F.length(body) <= room
+        kept = F.when(fits, body).otherwise(F.substring(body, F.lit(1), F.greatest(room - 3, F.lit(0))))
+        there = (body != "") & ~full & (room > 0) & (fits | (room > 3))
+        full = full | (body != "") & ~there
+        parts.append(F.when(there, F.concat(F.lit(head), kept)))
+        used = used + F.when(there, F.length(kept) + len(head)).otherwise(0)
+    return F.trim(F.array_join(F.array_compact(F.array(*parts)), "\n\n"))
+
+
 def within_budget(df: DataFrame, group: str, order: str, text: str, budget: int) -> DataFrame:
     """Lines of each group in order that fit a budget of characters; a line too long is skipped and later ones may fit.
 

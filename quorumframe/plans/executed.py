@@ -286,6 +286,25 @@ def run_stats(spark, d):
     )
 
 
+def run_phases(spark, d):
+    """Figures of the two phases, grouping and judgement: tasks, those that were run before (in the phase or by the phase before), texts run, and their failures by kind over all instances."""
+    e = written(executed_entries(spark, d), "entries", spark)
+    w = P.arm_vav(groups_of(e)).select("qid", F.col("rep").alias("key")).join(e.select("qid", "key", "db_id", "run_sql"), ["qid", "key"])
+    judged = w.select("db_id", F.col("run_sql").alias("sql")).unionByName(w.select("qid").join(golds(spark, d), "qid").select("db_id", F.col("gold").alias("sql")))
+    grouped = e.groupBy("db_id", F.col("run_sql").alias("sql")).agg(F.sum("votes").alias("tasks"))
+    second = judged.groupBy("db_id", "sql").agg(F.count(F.lit(1)).alias("tasks")).join(grouped.select("db_id", "sql", F.lit(True).alias("known")), ["db_id", "sql"], "left")
+    texts = grouped.select("db_id", "sql", "tasks", F.lit(False).alias("known"), F.lit("group").alias("phase")).unionByName(second.select("db_id", "sql", "tasks", F.coalesce("known", F.lit(False)).alias("known"), F.lit("judge").alias("phase")))
+    texts = written(texts, "texts", spark)
+    out = cached_vectors(texts.select("db_id", "sql"), images_of(spark, d), spark, spark.sparkContext._qf_prints[d])
+    j = texts.join(out, ["db_id", "sql"])
+    n = lambda c: F.coalesce(F.sum(F.when(~F.col("known"), c).cast("bigint")), F.lit(0))
+    kind = lambda *ks: F.size(F.filter("error_types", lambda x: x.isin(*ks)))
+    return j.groupBy("phase").agg(
+        F.sum("tasks").alias("tasks"), (F.sum("tasks") - n(F.lit(1))).alias("hits"), n(F.lit(1)).alias("executed"), n(F.size("vector")).alias("runs"),
+        n(F.size(F.filter("error_types", lambda x: x != ""))).alias("failures"), n(kind("query_interrupted")).alias("interrupted"), n(kind("timeout")).alias("timeouts"), n(F.size(F.filter("truncated", lambda x: x))).alias("truncated"),
+    )
+
+
 def rescued(spark, d):
     """Questions whose majority text is wrong: how many the best-scored candidate gets right, and how many any candidate does."""
     e = written(executed_entries(spark, d), "entries", spark)
@@ -339,6 +358,15 @@ def value_relevance(spark, d):
     return V.relevance(q, load(spark, d, "db_schemas"), hits).where("points > 0").select("di", "tbl", "points")
 
 
+def evidence_text(spark, d):
+    """Schema summary and sample rows of each question within their budgets."""
+    s, stored = load(spark, d, "db_schemas"), written(I.stored_values(images_of(spark, d)), "stored", spark)
+    q = load(spark, d, "questions").where("question is not null and di >= 0").dropDuplicates(["di"])
+    points = V.relevance(q, s)
+    rows = V.sample_sections(points, stored.where("col is null").select("db_id", "tbl", "place", "value")).withColumnRenamed("section", "rows")
+    return V.schema_sections(points, s).join(rows, "di", "left").select("di", V.assembled([("Schema summary", F.col("section")), ("Sample rows", F.col("rows"))]).alias("evidence"))
+
+
 def catalog_tables(spark, d):
     """CREATE TABLE texts that the databases keep."""
     return I.catalog_ddl(images_of(spark, d))
@@ -357,7 +385,7 @@ def ddl_with_source(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (run_vectors, run_groups, run_winner, run_judged, run_accuracy, run_ladder, run_order_aware, run_labels, run_set_labels, gold_runs, same_rows_kept, unsolved_kinds, first_failure, run_stats, rescued, run_consensus, run_keyed, failure_messages, database_values, value_relevance, catalog_tables, ddl_with_source)
+    for f in (run_vectors, run_groups, run_winner, run_judged, run_accuracy, run_ladder, run_order_aware, run_labels, run_set_labels, gold_runs, same_rows_kept, unsolved_kinds, first_failure, run_stats, run_phases, rescued, run_consensus, run_keyed, failure_messages, database_values, value_relevance, evidence_text, catalog_tables, ddl_with_source)
 }
 _OWN = """own AS (SELECT db_id, tbl, 'CREATE TABLE "' || tbl || '" (' || string_agg('"' || col || '" ' || CASE WHEN type = 'text' THEN 'TEXT' ELSE 'NUMERIC' END || CASE WHEN is_pk THEN ' PRIMARY KEY' ELSE '' END, ', ' ORDER BY pos) || ')' AS ddl FROM cols GROUP BY 1, 2)"""
 _META = CURATION["schema_ddl"].split(" SELECT db_id, tbl, 'CREATE TABLE", 1)

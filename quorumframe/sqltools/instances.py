@@ -321,8 +321,14 @@ def soft_scores(pairs: DataFrame, images: DataFrame, limits: Limits = Limits())
     return sliced(rows, images).mapInPandas(lambda it: over_slices(it, each, names), SOFT)
 
 
-# Characters of a value, values of a column, rows that are looked through for them, sample rows of a table.
-VALUE_CHARS, COLUMN_VALUES, SCANNED, SAMPLES = 60, 60, 20_000, 3
+# Characters of a value, values of a column, rows that are looked through for them, sample rows of a table, characters of their cells.
+VALUE_CHARS, COLUMN_VALUES, SCANNED, SAMPLES, CELL_CHARS = 60, 60, 20_000, 3, 32
+
+
+def short(v) -> str:
+    """A cell on one line, cut to CELL_CHARS characters with dots; nothing for no value."""
+    text = " ".join(("" if v is None else str(v)).split())
+    return text if len(text) <= CELL_CHARS else text[: CELL_CHARS - 3] + "..."
 
 
 def stored_values(images: DataFrame) -> DataFrame:
@@ -343,7 +349,7 @@ def stored_values(images: DataFrame) -> DataFrame:
                 for (t,) in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name").fetchall():
                     cols = [(c[1], c[2].lower()) for c in con.execute(f'PRAGMA table_info("{t}")')]
                     for k, r in enumerate(con.execute(f'SELECT * FROM "{t}" ORDER BY rowid LIMIT {SAMPLES}'), 1):
-                        out.append((db, t, None, ", ".join(f"{c}={v}" for (c, _), v in zip(cols, r)), k))
+                        out.append((db, t, None, ", ".join(f"{c}={short(v)}" for (c, _), v in zip(cols, r)), k))
                     for c, typ in cols:
                         if "char" in typ or "text" in typ or "clob" in typ:
                             got = con.execute(f'SELECT DISTINCT v FROM (SELECT substr("{c}", 1, {VALUE_CHARS}) AS v FROM "{t}" WHERE "{c}" IS NOT NULL ORDER BY "{c}" LIMIT {SCANNED}) LIMIT {COLUMN_VALUES}').fetchall()

@@ -107,3 +107,16 @@ def test_lines_and_examples(spark, tmp_path):
     assert sorted((r.idx, r.response) for r in R.example_entries(df).collect()) == [(0, "a"), (2, "s")]
     c = spark.createDataFrame([("r", 1), ("r", 1), ("r", 2), ("r", None)], "run string, dataset_index int")
     assert R.checkpoint_faults(c.where("dataset_index is not null"), c.where("dataset_index = 1")).first()[1:] == (1, 1, 1, 0)
+
+
+def test_sample_rows_and_assembly(spark):
+    points = spark.createDataFrame([(1, "d", "a", 0), (1, "d", "b", 5), (2, "d", "a", 0), (2, "d", "b", 0)] + [(3, "e", f"t{k}", k % 3) for k in range(8)], "di int, db_id string, tbl string, points int")
+    rows = spark.createDataFrame([("d", t, k, f"{t * 20}{k}") for t in "ab" for k in (1, 2, 3)] + [("e", f"t{k}", 1, "x") for k in range(8)], "db_id string, tbl string, place int, value string")
+    got = {r.di: r.section.split("\n") for r in V.sample_sections(points, rows, 60).collect()}
+    # A line has 26 characters: two of the first table fit, its third ends it, and no line of the second fits any more.
+    assert got[1] == ["b #1: " + "b" * 20 + "1", "b #2: " + "b" * 20 + "2"] and got[2] == ["a #1: " + "a" * 20 + "1", "a #2: " + "a" * 20 + "2"]
+    assert [x.split()[0] for x in got[3]] == ["t2", "t5", "t1", "t4"]
+    t = spark.createDataFrame([("aaaa", "bbbb", "cc"), ("", None, "cc"), ("a" * 50, "b", "c"), (None, "", "")], "a string, b string, c string")
+    out = [r[0] for r in t.select(V.assembled([("A", F.col("a")), ("B", F.col("b")), ("C", F.col("c"))], 20)).collect()]
+    assert out == ["[A]\naaaa\n\n[B]\nbbbb", "[C]\ncc", "[A]\n" + "a" * 13, ""]
+    assert V.sample_sections(points.limit(0), rows).count() == 0

@@ -205,3 +205,12 @@ def test_consensus_against_all_scores(spark, data):
             key = (round(size * f1[(*text[(q, rep)], text[(q, vav[q])][1])], 6), size, v)
             want[q] = max(want.get(q, (key, rep)), (key, rep))
     assert {q: r.by_group for q, r in rows.items()} == {q: rep for q, (_, rep) in want.items()}
+
+
+def test_phases(spark, data):
+    r = {x.phase: x for x in X.run_phases(spark, data).collect()}
+    e = X.executed_entries(spark, data)
+    assert r["group"].tasks == e.agg(F.sum("votes")).first()[0] and r["group"].executed == e.select("db_id", "run_sql").distinct().count()
+    assert all(x.tasks == x.hits + x.executed for x in r.values()) and r["group"].runs == X.INSTANCES * r["group"].executed
+    # Each question's winner was run in the first phase, so at least half of the judgement's tasks are hits.
+    assert r["judge"].hits * 2 >= r["judge"].tasks and r["group"].interrupted == r["group"].timeouts == 0

@@ -647,15 +647,18 @@ def soft_scores(pairs: DataFrame, images: DataFrame, limits: Limits = Limits())
     def many(db, inst, tasks) -> list[tuple]:
         inst.ready(list(dict.fromkeys(x for t in tasks for x in t)), limits, named=True)
         total = {t: [0.0, 0] for t in tasks}
-        known: dict[tuple, float] = {}  # scores of equal results
+        known: dict[tuple[int, int], float] = {}  # scores by the numbers of results; the order of rows does not matter to them
+        numbers: dict[tuple, int] = {}
 
         for k in range(len(inst)):
+            if len(numbers) >= KEPT_RESULTS:
+                known, numbers = {}, {}
             runs: dict[str, tuple] = {}
             for t in tasks:
                 for x in t:
                     if x not in runs:
                         r = inst.run(k, x)
-                        runs[x] = r, (sorted(marshal.dumps(row, 2) for row in r.rows), r.columns) if r.ok and r.rows else None
+                        runs[x] = r, numbers.setdefault((r.columns, *sorted([marshal.dumps(row, 2) for row in r.rows])), len(numbers)) if r.ok and r.rows else None
                 (pred, pk), (gold, gk) = runs[t[0]], runs[t[1]]
                 if not gold.ok:
                     continue
@@ -663,11 +666,7 @@ def soft_scores(pairs: DataFrame, images: DataFrame, limits: Limits = Limits())
                 if not pred.ok or not pred.rows or not gold.rows:
                     total[t][0] += float(pred.ok and not pred.rows and not gold.rows)
                     continue
-                # The order of rows does not matter to the score.
-                key = (*map(tuple, pk), *map(tuple, gk))
-                if key not in known:
-                    if len(known) >= KEPT_RESULTS:
-                        known.clear()
+                if (key := (pk, gk)) not in known:
                     known[key] = soft_f1(cells(pred), cells(gold), list(pred.columns), list(gold.columns))
                 total[t][0] += known[key]
         return [(db, a, b, total[a, b][0] / total[a, b][1] if total[a, b][1] else 0.0, total[a, b][1]) for a, b in tasks]

@@ -63,7 +63,16 @@ def build_groups(entries: DataFrame, vector: str = "vector", empty: Column | Non
     v = F.col(vector)
     empty = F.first(F.forall(v, lambda x: x == "E")) if empty is None else empty
     zero = F.first(F.exists(v, lambda x: x != "E") & F.forall(v, lambda x: (x == "I0") | (x == "E"))) if zero is None else zero
-    g = good.groupBy("qid", F.col(vector).alias("vector")).agg(
+    g = grouped(good, "qid", F.col(vector).alias("vector"), empty=empty, zero=zero)
+    return g.select(
+        "qid", "vector", F.array_join("vector", "|").alias("sig"), "size", "n_keys", "models", F.size("models").alias("n_models"), "rep", "rep_idx", "score", "best_score", "mean_score",
+        "is_empty", "is_zero",
+    )
+
+
+def grouped(good: DataFrame, *by: Column | str, empty: Column, zero: Column) -> DataFrame:
+    """Entries without failures by what tells their results: the figures of each group."""
+    return good.groupBy(*by).agg(
         F.sum("votes").alias("size"),
         F.count(F.lit(1)).alias("n_keys"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("models")))).alias("models"),
@@ -75,10 +84,6 @@ def build_groups(entries: DataFrame, vector: str = "vector", empty: Column | Non
         empty.alias("is_empty"),
         zero.alias("is_zero"),
     )
-    return g.select(
-        "qid", "vector", F.array_join("vector", "|").alias("sig"), "size", "n_keys", "models", F.size("models").alias("n_models"), "rep", "rep_idx", "score", "best_score", "mean_score",
-        "is_empty", "is_zero",
-    )
 
 
 def fine() -> Column:

@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +35,11 @@ from quorumframe.functions.textops import FORBIDDEN, STARTS
 from quorumframe.operators.equality import permutations_fit
 from quorumframe.session import written
 
-from .rowsets import MOST_ROWS, RowSets, Table
+from .rowsets import HAS_CELL, HAS_NONZERO, HAS_NUMBER, MOST_ROWS, Found, RowSets, Shape, Table, places
 
 SLICE = 4096
 # Kept rows, virtual machine steps of one text, steps between two looks at the clock, seconds.
 CAP, STEPS, TICK, TIMEOUT = 100_000, 5_000_000, 1000, 30.0
-HAS_CELL, HAS_NUMBER, HAS_NONZERO = 1, 2, 4
 
 
 @dataclass
@@ -72,13 +72,17 @@ def refusal(sql: str | None) -> Run | None:
     if not (sql or "").strip():
         return Run(error_type="empty_sql", error="empty text")
     words = [t.upper() for t in sqltext.scan(sql) if not t.startswith("'")]
-    if not words or words[0] not in STARTS or set(words) & set(FORBIDDEN):
+    if not words or words[0] not in STARTS or not NOT_RUN.isdisjoint(words):
         return Run(error_type="safety_rejection", error="only single read-only queries are run")
     if sqltext.is_multi_statement(sql):
         return Run(error_type="multi_statement", error="several statements")
     return None
 
 
+NOT_RUN = frozenset(FORBIDDEN)
+NOT_RUN_LOWER = frozenset(x.lower() for x in FORBIDDEN)
+
+
 def open_image(image: bytes) -> sqlite3.Connection:
     """A read-only connection to a database image in memory."""
     con = sqlite3.connect(":memory:", isolation_level=None)
@@ -235,7 +239,7 @@ class Instances:
         self.reader = self.writer = self.sets = None
         self.names: frozenset[str] = frozenset()
         self.tokens: dict[str, tuple[str, ...] | None] = {}
-        self.answers: dict[str, list[list[tuple]] | None] = {}
+        self.answers: dict[str, Found | None] = {}
         self.refused: dict[str, Run | None] = {}
         self.ticks, self.until, self.late, self.limits, self.shown = 0, 0.0, False, Limits(), -1
         if images and max(map(len, images)) <= STAGED:
@@ -327,13 +331,10 @@ class Instances:
         self.tokens[form] = ts
         return form
 
-    def answer(self, text: str) -> list[list[tuple]] | None:
+    def answer(self, text: str) -> Found | None:
         """Rows on all instances, where that takes no run."""
         ts = self.tokens.get(text) or (canonical(text, self.names) if self.reader else None)
-        if ts is None or BEYOND_ROWS.search(text):
-            return None
-        ts = self.sets.unquoted(ts)
-        return self.sets.joined(ts, text) if "join" in ts else self.sets.answer(ts)
+        return None if ts is None or BEYOND_ROWS.search(text) else self.sets.found(self.sets.unquoted(ts), text)
 
     def column_names(self, text: str) -> tuple[str, ...]:
         cur = self.reader.execute(text)
@@ -354,7 +355,9 @@ class Instances:
         self.refused, self.answers, self.columns = {}, {}, {}
         for t in texts:
             if t not in self.refused:
-                self.refused[t] = refusal(t)
+                ts = self.tokens.get(t)
+                # Tokens in one form are in lower case but for quoted ones, none of which is a forbidden word.
+                self.refused[t] = None if ts and ts[0] == "select" and ";" not in ts and NOT_RUN_LOWER.isdisjoint(ts) else refusal(t)
                 self.answers[t] = self.answer(t) if self.refused[t] is None and limits == Limits() else None
                 if named and self.answers[t] is not None:
                     self.columns[t] = self.column_names(t)
@@ -365,7 +368,7 @@ class Instances:
         if refused := self.refused[text]:
             return refused
         if (known := self.answers[text]) is not None:
-            rows = known[k]
+            rows = known.rows(k)
             return Run(rows, len(rows), columns=self.columns.get(text, ())) if rows else NOTHING
         if self.reader is None or BEYOND_ROWS.search(text):
             return run_allowed(self.con(k), text, self.limits)
@@ -409,26 +412,32 @@ KEYWORDS = frozenset(
 )
 
 
-def sliced(tasks: DataFrame, images: DataFrame) -> DataFrame:
+def sliced(tasks: DataFrame, images: DataFrame, stored: bool = False) -> DataFrame:
     """Tasks and images in one table, partitioned by (db_id, slice), the images of a slice before its tasks.
 
-    tasks: db_id, a (text), b (text or null), in distinct rows. Only databases
-    with tasks are sent; their number of slices comes from a count by database.
-    Tasks of one b stay together, but for those with many, as do texts a without
-    b that differ in blanks, letter case and brackets alone.
+    tasks: db_id, a (text), b (text or null), in distinct rows, and further
+    columns that go with them; written first unless they are stored already.
+    Only databases with tasks are sent; their number of slices comes from a
+    count by database. Tasks of one b stay together, but for those with many, as
+    do texts a without b that differ in blanks, letter case and brackets alone.
     """
     spark = tasks.sparkSession
-    tasks = written(tasks, "tasks", spark)  # it is read several times
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    counts = tasks.groupBy("db_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE)).cast("int").alias("n"))
-    many = tasks.where("b is not null").groupBy("db_id", F.xxhash64("b").alias("hb")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SLICE // 4).select("db_id", "hb", F.lit(True).alias("many"))
+    tasks = tasks if stored else written(tasks, "tasks", spark)  # it is read several times
+    more = [c for c in tasks.columns if c not in ("db_id", "a", "b")]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    counts = tasks.groupBy("db_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE)).cast("int").alias("_slices"))
     rough = F.xxhash64(F.lower(F.regexp_replace("a", r"[\s`\[\]]+", "")))
-    place = F.when(F.col("hb").isNull(), rough).when(F.col("many"), F.xxhash64("a", "b")).otherwise(F.col("hb"))
-    keyed = tasks.withColumn("hb", F.when(F.col("b").isNotNull(), F.xxhash64("b"))).join(F.broadcast(many), ["db_id", "hb"], "left")
-    t = keyed.join(counts, "db_id").select("db_id", F.pmod(place, F.col("n")).cast("int").alias("slice"), F.lit(1).alias("kind"), "a", "b", F.lit(0).alias("inst"), F.lit(None).cast("binary").alias("image"))
+    if stored:
+        keyed, place = tasks, rough
+    else:
+        many = tasks.where("b is not null").groupBy("db_id", F.xxhash64("b").alias("hb")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SLICE // 4).select("db_id", "hb", F.lit(True).alias("many"))
+        place = F.when(F.col("hb").isNull(), rough).when(F.col("many"), F.xxhash64("a", "b")).otherwise(F.col("hb"))
+        keyed = tasks.withColumn("hb", F.when(F.col("b").isNotNull(), F.xxhash64("b"))).join(F.broadcast(many), ["db_id", "hb"], "left")
     none = F.lit(None).cast("string")
-    i = images.join(counts, "db_id").select("db_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slice"), F.lit(0).alias("kind"), none.alias("a"), none.alias("b"), "inst", "image")
-    return t.unionByName(i).repartition(parts, "db_id", "slice").sortWithinPartitions("db_id", "slice", "kind", "inst", "b", "a")
+    b = none if stored else F.col("b")
+    t = keyed.join(counts, "db_id").select("db_id", F.pmod(place, F.col("_slices")).cast("int").alias("slice"), F.lit(1).alias("kind"), "a", b.alias("b"), F.lit(0).alias("inst"), F.lit(None).cast("binary").alias("image"), *more)
+    i = images.join(counts, "db_id").select("db_id", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("slice"), F.lit(0).alias("kind"), none.alias("a"), none.alias("b"), "inst", "image", *[F.lit(None).cast(tasks.schema[c].dataType).alias(c) for c in more])
+    return t.unionByName(i).repartition(parts, "db_id", "slice").sortWithinPartitions("db_id", "slice", "kind", "inst", *(["a"] if stored else ["b", "a"]))
 
 
 def over_slices(batches: Iterator[pd.DataFrame], each, names: list[str]) -> Iterator[pd.DataFrame]:
@@ -483,8 +492,159 @@ def over_blocks(batches: Iterator[pd.DataFrame], many: Callable[[str, Instances,
         held.close()
 
 
+class Outcomes:
+    """Outcomes of texts on all instances; equal ones are kept once, and told by a number."""
+
+    def __init__(self, inst: Instances, limits: Limits, ordered: bool = True):
+        """Without `ordered`, signatures in the order of rows are left out."""
+        self.inst, self.limits, self.signer, self.ordered = inst, limits, Signer(limits.cap), ordered
+        self.cells: list[tuple] = []  # bag, order, flags, count, cut, kind of failure
+        self.cell_of: dict[tuple, int] = {}
+        self.all: list[tuple[int, ...]] = []  # cells by instance
+        self.at: dict[tuple[int, ...], int] = {}
+
+    def cell(self, r: Run) -> int:
+        bag, row, flags = self.signer(r)
+        return self.numbered((bag, row if self.ordered else "", flags, r.count, r.truncated(self.limits.cap), r.error_type))
+
+    def numbered(self, c: tuple) -> int:
+        if (n := self.cell_of.get(c)) is None:
+            n = self.cell_of[c] = len(self.cells)
+            self.cells.append(c)
+        return n
+
+    def number(self, cells: tuple[int, ...]) -> int:
+        if (n := self.at.get(cells)) is None:
+            n = self.at[cells] = len(self.all)
+            self.all.append(cells)
+        return n
+
+    def answered(self, found: Found) -> int:
+        shape = found.shape
+        if (n := shape.whole.get(found.masks)) is None:
+            if shape.zero is None:
+                rows = shape.rows(0, 0)
+                shape.zero = self.cell(Run(rows, len(rows)) if rows else NOTHING)
+            if shape.bare and not all(found.masks):
+                cells = [shape.zero] * len(self.inst)
+            else:
+                # The order of rows and equal rows of other texts matter to ordered signatures and to limits alone.
+                shared = shape.printed and not shape.limited and not (self.ordered and shape.pick)
+                known = shape.printed.signed if shared else shape.signed
+                cells = []
+                for k, part in enumerate(shape.parts(found.masks)):
+                    if not part:
+                        c = shape.zero
+                    elif (c := known[k].get(part)) is None:
+                        c = known[k][part] = self.part_cell(shape, k, part)
+                    cells.append(c)
+            n = shape.whole[found.masks] = self.number(tuple(cells))
+        return n
+
+    def part_cell(self, shape: Shape, k: int, part) -> int:
+        """The cell of some rows of an instance."""
+        if (p := shape.printed) is None:
+            rows = shape.rows(k, part)
+            return self.cell(Run(rows, len(rows)) if rows else NOTHING)
+        at = places(part, shape.spans[0][k][0])
+        if shape.pick:
+            at = shape.pick(at)
+        if not at:
+            return self.cell(NOTHING)
+        flags, texts = 0, []
+        for i in at:
+            text, f = p.made[i] or p.row(i)
+            flags |= f
+            texts.append(text)
+        row = digest(texts) if self.ordered or len(at) == 1 else ""
+        if len(at) == 1:
+            bag = row
+        else:
+            texts.sort()
+            bag = digest(texts)
+        return self.numbered((bag, row if self.ordered else "", flags, len(at), False, ""))
+
+    def of(self, texts: list[str]) -> dict[str, tuple[int, str, float]]:
+        """Number of the outcome, first message of a failure and seconds of each text."""
+        out: dict[str, tuple[int, str, float]] = {}
+        self.inst.ready(texts, self.limits)
+        clock = time.monotonic()
+        left = {}
+        for t in texts:
+            if (found := self.inst.answers[t]) is not None:
+                n = self.answered(found)
+                was, clock = clock, time.monotonic()
+                out[t] = n, "", clock - was
+            else:
+                left[t] = [], [""], [0.0]
+        for k in range(len(self.inst)):
+            for t, (cells, error, seconds) in left.items():
+                r = self.inst.run(k, t)
+                cells.append(self.cell(r))
+                error[0] = error[0] or r.error
+                was, clock = clock, time.monotonic()
+                seconds[0] += clock - was
+        return out | {t: (self.number(tuple(cells)), error[0], seconds[0]) for t, (cells, error, seconds) in left.items()}
+
+    def run(self, texts: list[str]) -> list[tuple[int, str, float]]:
+        """As of(), for a block with repeated texts and texts of one form."""
+        forms = {a: self.inst.form(a) for a in dict.fromkeys(texts)}
+        found = self.of(list(dict.fromkeys(forms.values())))
+        # Messages quote their text, so texts that fail are run as they are.
+        failed = [a for a, f in forms.items() if a != f and found[f][1]]
+        own = self.of(failed) if failed else {}
+        return [own[a] if a in own else found[forms[a]] for a in texts]
+
+
+def over_texts(batches: Iterator[pa.RecordBatch], kept: list[str], names: list[str], columns: Callable[[Outcomes, list[str], bool], list[pa.Array]], limits: Limits, ordered: bool) -> Iterator[pa.RecordBatch]:
+    """The columns `kept` of every task with columns(outcomes, texts, whether a slice begins), block by block."""
+    now: tuple | None = None
+    images: list[bytes] = []
+    held: Outcomes | None = None
+    began = True
+
+    for batch in batches:
+        col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        block: list[int] = []
+
+        def done() -> pa.RecordBatch:
+            nonlocal held, began, block
+            held = held or Outcomes(Instances(images), limits, ordered)
+            take, at = pa.array(block, pa.int32()), began
+            began, block = False, []
+            arrays = [col[c].take(take) for c in kept]
+            return pa.RecordBatch.from_arrays(arrays + columns(held, col["a"].take(take).to_pylist(), at), names=names)
+
+        for i, (db, part, kind) in enumerate(zip(col["db_id"].to_pylist(), col["slice"].to_pylist(), col["kind"].to_pylist())):
+            if now != (db, part):
+                if block:
+                    yield done()
+                if held is not None:
+                    held.inst.close()
+                images, held, began, now = [], None, True, (db, part)
+            if kind == 0:
+                images.append(col["image"][i].as_py())
+            else:
+                block.append(i)
+                if len(block) == BLOCK:
+                    yield done()
+        if block:
+            yield done()
+    if held is not None:
+        held.inst.close()
+
+
 VECTORS = "db_id string, sql string, vector array<string>, ordered array<string>, flags array<int>, counts array<bigint>, truncated array<boolean>, error_types array<string>, error string, seconds double"
 VECTOR_NAMES = [x.split()[0] for x in VECTORS.split(", ")]
+CELL_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string()]
+
+
+def by_numbers(o: Outcomes, numbers: list[int], make: Callable[[list[tuple]], list[pa.Array]]) -> list[pa.Array]:
+    """Arrays that are made of the cells by instance of each outcome once, for the texts of these outcomes."""
+    once = list(dict.fromkeys(numbers))
+    place = {n: i for i, n in enumerate(once)}
+    take = pa.array([place[n] for n in numbers], pa.int32())
+    return [x.take(take) for x in make([[o.cells[c] for c in o.all[n]] for n in once])]
 
 
 def execute_texts(tasks: DataFrame, images: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -499,42 +659,66 @@ def execute_texts(tasks: DataFrame, images: DataFrame, limits: Limits = Limits()
     """
     rows = tasks.select("db_id", F.coalesce("sql", F.lit("")).alias("a"), F.lit(None).cast("string").alias("b")).where("db_id is not null").distinct()
 
-    def outcomes(inst: Instances, texts: list[str], signer: Signer) -> dict[str, list]:
-        """Columns of each text, from vector to seconds."""
-        found = {t: ([], [], [], [], [], [], [""], [0.0]) for t in texts}
-        clock = time.monotonic()
+    def arrays(outcomes: list[list[tuple]]) -> list[pa.Array]:
+        return [pa.array([[c[j] for c in cells] for cells in outcomes], pa.list_(kind)) for j, kind in enumerate(CELL_TYPES)]
 
-        def use(j: int, _k: int, r: Run) -> None:
-            nonlocal clock
-            vector, ordered, flags, counts, cut, kinds, error, seconds = found[texts[j]]
-            bag, row, flag = signer(r)
-            vector.append(bag)
-            ordered.append(row)
-            flags.append(flag)
-            counts.append(r.count)
-            cut.append(r.truncated(limits.cap))
-            kinds.append(r.error_type)
-            error[0] = error[0] or r.error
-            was, clock = clock, time.monotonic()
-            seconds[0] += clock - was
-
-        inst.over(texts, limits, use)
-        return found
+    def columns(o: Outcomes, texts: list[str], _began: bool) -> list[pa.Array]:
+        got = o.run(texts)
+        return [*by_numbers(o, [n for n, _, _ in got], arrays), pa.array([e for _, e, _ in got], pa.string()), pa.array([t for _, _, t in got], pa.float64())]
 
-    def many(db, inst, tasks) -> list[tuple]:
-        signer = Signer(limits.cap)
-        forms = {a: inst.form(a) for a, _ in tasks}
-        found = outcomes(inst, list(dict.fromkeys(forms.values())), signer)
-        # Messages quote their text, so texts that fail are run as they are.
-        failed = [a for a, f in forms.items() if a != f and found[f][6][0]]
-        found |= outcomes(inst, failed, signer) if failed else {}
-        out = []
-        for a, _ in tasks:
-            *arrays, error, seconds = found[a if a in found else forms[a]]
-            out.append((db, a, *arrays, error[0], seconds[0]))
-        return out
+    return sliced(rows, images).mapInArrow(lambda it: over_texts(it, ["db_id", "a"], VECTOR_NAMES, columns, limits, True), VECTORS)
+
+
+# fresh: the first row of its text. sig: MD5 of the vector's signatures, joined by '|'. failed_at: the first instance that fails. vec: the
+# signatures as bytes, which are in the order of the joined text; only where an outcome without failures shows first in a block.
+FIGURES = "fresh boolean, sig string, is_empty boolean, is_zero boolean, runs int, failed_at int, error_type string, failures int, interrupted int, timeouts int, truncated int, vec binary"
+FIGURE_TYPES = [("sig", pa.string()), ("is_empty", pa.bool_()), ("is_zero", pa.bool_()), ("runs", pa.int32()), ("failed_at", pa.int32()), ("error_type", pa.string()), ("failures", pa.int32()), ("interrupted", pa.int32()), ("timeouts", pa.int32()), ("truncated", pa.int32())]
+
+
+def figures_of(cells: list[tuple]) -> tuple:
+    """The figures of one outcome, from sig to truncated."""
+    kinds, flags = [c[5] for c in cells], [c[2] for c in cells]
+    at = next((k for k, x in enumerate(kinds) if x), None)
+    return (
+        hashlib.md5("|".join([c[0] for c in cells]).encode()).hexdigest(), not any(f & HAS_CELL for f in flags), any(f & HAS_NUMBER for f in flags) and not any(f & HAS_NONZERO for f in flags),
+        len(cells), at, None if at is None else kinds[at], sum(map(bool, kinds)), kinds.count("query_interrupted"), kinds.count("timeout"), sum(c[4] for c in cells),
+    )
 
-    return sliced(rows, images).mapInPandas(lambda it: over_blocks(it, many, VECTOR_NAMES), VECTORS)
+
+def with_figures(tasks: DataFrame, images: DataFrame, kept: list[str], limits: Limits = Limits()) -> DataFrame:
+    """The columns `kept` of stored tasks (db_id, sql, …) with the figures of their text's outcome (see FIGURES), in the pass that runs them.
+
+    A text of several rows of a block runs once. Rows without a db_id take no part.
+    """
+    asked = [c for c in kept if c not in ("db_id", "sql")]
+    rows = tasks.where("db_id is not null").select("db_id", F.coalesce("sql", F.lit("")).alias("a"), *asked)
+    kind = ", ".join([f"`{c}` {tasks.schema[c].dataType.simpleString()}" for c in kept] + [FIGURES])
+    names = [*kept, *[x.split()[0] for x in FIGURES.split(", ")]]
+    seen: set[str] = set()
+
+    def columns(o: Outcomes, texts: list[str], began: bool) -> list[pa.Array]:
+        if began:
+            seen.clear()
+        fresh = []
+        for t in texts:
+            fresh.append(t not in seen)
+            seen.add(t)
+        numbers = [n for n, _, _ in o.run(texts)]
+
+        def arrays(outcomes: list[list[tuple]]) -> list[pa.Array]:
+            each = list(zip(*map(figures_of, outcomes)))
+            return [pa.array(x, t) for x, (_, t) in zip(each, FIGURE_TYPES)]
+
+        shown: set[int] = set()
+        vec = []
+        for n in numbers:
+            cells = None if n in shown else [o.cells[c] for c in o.all[n]]
+            shown.add(n)
+            vec.append(None if cells is None or any(c[5] for c in cells) else bytes.fromhex("".join([c[0] for c in cells])))
+        return [pa.array(fresh, pa.bool_()), *by_numbers(o, numbers, arrays), pa.array(vec, pa.binary())]
+
+    source = ["a" if c == "sql" else c for c in kept]
+    return sliced(rows, images, True).mapInArrow(lambda it: over_texts(it, source, names, columns, limits, False), kind)
 
 
 def same_result(pred: Run, gold: Run, ordered: bool, cap: int) -> bool:

@@ -1,5 +1,6 @@
 """Execution on instances against plain SQLite, against the Spark executor, and the selection rules against plain Python."""
 
+import hashlib
 import random
 import sqlite3
 
@@ -272,3 +273,25 @@ def test_soft_scores_of_equal_results(spark):
             rows = lambda r: [[cell(v) for v in t] for t in r.rows]
             each.append(soft_f1(rows(x), rows(y), list(x.columns), list(y.columns)) if x.ok else 0.0)
         assert got[p] == pytest.approx(sum(each) / 4), p
+
+
+def test_figures_of_one_pass_are_those_of_the_vectors(spark):
+    db = spark.createDataFrame([("d", k, bytearray(shop(k))) for k in range(4)], "db_id string, inst int, image binary")
+    texts = [*SHOP, *[f"select name from a where size > {k} order by rank desc limit {k % 4}" for k in range(9)], "", "drop table a"]
+    rows = spark.createDataFrame([(n, d, t) for n, t in enumerate(texts * 2) for d in ("d", "none")], "n int, db_id string, sql string")
+    got = I.with_figures(rows, db, ["n", "db_id", "sql"]).collect()
+    want = {(r.db_id, r.sql): r for r in I.execute_texts(rows, db).collect()}
+    assert len(got) == 4 * len(texts) and sum(r.fresh for r in got) == 2 * len(texts)
+    images_ = [I.open_image(shop(k)) for k in range(4)]
+    for r in got:
+        w = want[r.db_id, r.sql]
+        at = next((k for k, x in enumerate(w.error_types) if x), None)
+        assert (r.sig, r.runs, r.failed_at, r.failures) == (hashlib.md5("|".join(w.vector).encode()).hexdigest(), len(w.vector), at, sum(map(bool, w.error_types))), r.sql
+        assert r.is_empty == (not any(f & I.HAS_CELL for f in w.flags)) and (r.vec is None or r.vec.hex() == "".join(w.vector))
+        assert not w.vector or w.vector == [I.sign(I.run_text(c, r.sql, I.Limits()), I.CAP)[0] for c in images_]
+
+
+def test_groups_without_vectors(spark, data, monkeypatch):
+    want = {tuple(r) for r in X.groups_of(X.executed_entries(spark, data)).select("qid", F.md5("sig"), "size", "n_keys", "n_models", "rep", "is_empty", "is_zero").collect()}
+    monkeypatch.setattr(X, "cached_vectors", None)  # the groups need no table of vectors
+    assert {tuple(r) for r in X.run_groups(spark, data).collect()} == want

@@ -530,6 +530,8 @@ class Outcomes:
             else:
                 # The order of rows and equal rows of other texts matter to ordered signatures and to limits alone.
                 shared = shape.printed and not shape.limited and not (self.ordered and shape.pick)
+                if not shared and not shape.signed:
+                    shape.signed = [{} for _ in shape.spans[0]]
                 known = shape.printed.signed if shared else shape.signed
                 cells = []
                 for k, part in enumerate(shape.parts(found.masks)):

@@ -295,3 +295,12 @@ def test_groups_without_vectors(spark, data, monkeypatch):
     want = {tuple(r) for r in X.groups_of(X.executed_entries(spark, data)).select("qid", F.md5("sig"), "size", "n_keys", "n_models", "rep", "is_empty", "is_zero").collect()}
     monkeypatch.setattr(X, "cached_vectors", None)  # the groups need no table of vectors
     assert {tuple(r) for r in X.run_groups(spark, data).collect()} == want
+
+
+def test_first_failures_without_vectors(spark, data, monkeypatch):
+    e = X.executed_entries(spark, data).select("qid", "key", "error_types").collect()
+    at = {(r.qid, r.key): next(((k, x) for k, x in enumerate(r.error_types) if x), None) for r in e}
+    monkeypatch.setattr(X, "cached_vectors", None)
+    got = X.first_failure(spark, data).collect()
+    assert {(r.qid, r.key): (r.inst, r.error_type) for r in got} == {k: v for k, v in at.items() if v}
+    assert {r.rate for r in got} == {round(len(got) / len(at), 6)}

@@ -324,3 +324,15 @@ def test_accuracy_without_vectors(spark, data, monkeypatch):
     monkeypatch.setattr(X, "cached_vectors", None)
     got = {r.arm: (r.n, r.n_correct) for r in X.run_accuracy(spark, data).where("pool = 'both'").collect()}
     assert got == want and len(got) == len(P.RULES)
+
+
+def test_soft_scores_of_whole_results(spark):
+    n = 60
+    image = I.image_of({"t": (["id INTEGER", "a TEXT"], [(k, f"x{k % 5}") for k in range(n)])})
+    db = spark.createDataFrame([("d", 0, bytearray(image))], "db_id string, inst int, image binary")
+    gold = "select p.id as i, q.a as b from t as p, t as q"
+    preds = [f"{gold} where p.id > 0", "select p.id as i, 'x0' as b from t as p, t as q", "select p.id as x, q.a as y from t as p, t as q"]
+    rows = spark.createDataFrame([("d", p, gold) for p in preds], "db_id string, pred string, gold string")
+    want = {preds[0]: 2 * (n - 1) / (2 * n - 1), preds[1]: (n * n + n * n // 5) / (2 * n * n), preds[2]: 0.0}
+    for limits in (I.Limits(), I.Limits(cap=10)):
+        assert {r.sql: round(r.f1, 6) for r in I.soft_scores(rows, db, limits).collect()} == {p: round(f, 6) for p, f in want.items()}
